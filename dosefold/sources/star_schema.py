@@ -172,6 +172,32 @@ class StarSchema:
             )
         )
 
+    @cached_property
+    def contour(self) -> DataFrame:
+        """One target outline per beam, a constant ring joined to the beams present."""
+        ring = [(-8.0, -1.0), (8.0, -1.0), (8.0, 9.0), (0.0, 14.0), (-8.0, 9.0)]
+        points = F.array(
+            *[F.struct(F.lit(i).alias("seq"), F.lit(x).alias("x_mm"), F.lit(y).alias("y_mm")) for i, (x, y) in enumerate(ring)]
+        )
+        return self.beamlet.select("beam_id").distinct().select(
+            "beam_id", F.lit("PTV").alias("structure"), F.lit(0).alias("segment"), F.inline(points)
+        )
+
+    @cached_property
+    def sized_beamlet(self) -> DataFrame:
+        """Beamlets spread to 5 mm cells, with one narrow column per row."""
+        short = F.col("col_idx") == 3
+        return self.beamlet.select(
+            "beam_id", "beamlet_id", "row_idx", "col_idx", (F.col("x_mm") * 2).alias("x_mm"),
+            (F.col("y_mm") * 2 + F.when(short, 1.25).otherwise(0.0)).alias("y_mm"),
+            F.lit(5.0).alias("width_mm"), F.when(short, 2.5).otherwise(5.0).alias("height_mm"),
+        )
+
+    @cached_property
+    def unit_cell(self) -> DataFrame:
+        """One 2.5 mm cell per beamlet on its own row and column."""
+        return self.beamlet.select("beam_id", F.col("row_idx").alias("row"), F.col("col_idx").alias("col"), "beamlet_id")
+
     @cached_property
     def dose(self) -> DataFrame:
         from dosefold.operators.matrix import dose_from_fluence
@@ -274,4 +300,28 @@ from o_pt p group by 1, 2, 3""",
 select *, lead(x) over w as x2, lead(y) over w as y2
 from o_curve
 window w as (partition by structure, patient_id, plan_id order by x, y desc)""",
+    "o_edges": """
+select b.beam_id, e.* from (select distinct beam_id from v_beamlet) b cross join
+ (values (-8.0::double,-1.0::double,8.0::double,-1.0::double),(8.0,-1.0,8.0,9.0),(8.0,9.0,0.0,14.0),(0.0,14.0,-8.0,9.0),(-8.0,9.0,-8.0,-1.0)) e(x1,y1,x2,y2)""",
+    "o_bev": """
+select b.* from v_beamlet b join (
+  select beam_id, row_idx, min(col_idx) as c1, max(col_idx) as c2 from (
+    select b.beam_id, b.row_idx, b.col_idx, b.beamlet_id,
+      sum(case when (e.y1 > b.y_mm) <> (e.y2 > b.y_mm) and b.x_mm < (e.x2 - e.x1) * (b.y_mm - e.y1) / nullif(e.y2 - e.y1, 0) + e.x1 then 1 else 0 end) as crossings,
+      min(pow(b.x_mm - e.x1 - u * (e.x2 - e.x1), 2) + pow(b.y_mm - e.y1 - u * (e.y2 - e.y1), 2)) as gap2
+    from v_beamlet b join o_edges e using (beam_id),
+    lateral (select greatest(0.0, least(1.0, ((b.x_mm - e.x1) * (e.x2 - e.x1) + (b.y_mm - e.y1) * (e.y2 - e.y1))
+      / (pow(e.x2 - e.x1, 2) + pow(e.y2 - e.y1, 2)))) as u) l
+    group by 1, 2, 3, 4) where crossings % 2 = 1 or gap2 < 9.0 group by 1, 2) r
+ on r.beam_id = b.beam_id and r.row_idx = b.row_idx and b.col_idx between r.c1 and r.c2""",
+    "o_cols": "select beam_id, beamlet_id, row_number() over (order by beam_id, beamlet_id) - 1 as column_id from o_bev",
+    "o_cells": """
+select b.beam_id, 2 * (m.mr - b.row_idx) + i.i as row, 2 * b.col_idx + j.j as col, b.beamlet_id
+from v_beamlet b join (select beam_id, max(row_idx) as mr from v_beamlet group by 1) m using (beam_id)
+cross join (values (0), (1)) i(i) cross join (values (0), (1)) j(j) where not (b.col_idx = 3 and i.i = 1)""",
+    "o_vmap": """
+select patient_id, voxel_id, block_id, cast(n as double) / sum(n) over (partition by patient_id, block_id) as share,
+  n, sum(n) over (partition by patient_id, block_id) as total from (
+  select v.patient_id, v.voxel_id, v.iz * 10000 + v.iy // 3 * 100 + v.ix // 4 as block_id, count(*) as n
+  from v_voxel v join o_box b using (patient_id, voxel_id) where v.ix < 24 and v.iy < 18 group by 1, 2, 3)""",
 }
