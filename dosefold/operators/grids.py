@@ -34,3 +34,18 @@ def downsample_map(ct: DataFrame, block_xyz: tuple[int, int, int], size_xyz: tup
         "patient_id", "voxel_id", (F.col("start") + F.col("k")).cast("long").alias("block_id"),
         (F.col("n") / F.col("total")).alias("share"),
     )
+
+
+CELL = ["patient_id", "ix", "iy", "iz"]
+
+
+def voxel_centers(ct: DataFrame, origin: tuple, resolution: tuple) -> DataFrame:
+    """Centre of each dose voxel: middle of its smallest and largest CT index per axis, in mm."""
+    axes = list(zip(("ix", "iy", "iz"), ("x_mm", "y_mm", "z_mm"), origin, resolution))
+    ends = ct.filter(F.col("voxel_id").isNotNull()).groupBy("patient_id", "voxel_id").agg(
+        *[F.min(i).alias(f"{i}_lo") for i, *_ in axes], *[F.max(i).alias(f"{i}_hi") for i, *_ in axes]
+    )
+    return ends.select(
+        "patient_id", "voxel_id",
+        *[((F.col(f"{i}_lo") + F.col(f"{i}_hi")) / 2 * r + o).alias(name) for i, name, o, r in axes],
+    )

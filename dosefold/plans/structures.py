@@ -1 +1,206 @@
+"""Structure algebra queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dosefold.functions.numeric import snap
+from dosefold.operators import grids
+from dosefold.operators import structures as st
+from dosefold.plans.evaluation import S6
+from dosefold.plans.registry import query
+
+RES = (0.98, 0.98, 3.0)
+SIZE = (25, 20, 3)
+VOX_MM3 = 0.98 * 0.98 * 3.0
+V = "SELECT patient_id, ix, iy, iz FROM v_structure_voxel WHERE structure = '{}'"
+
+
+def m(t, name):
+    return st.mask_of(t.structure_voxel, name)
+
+
+@query("structure_union", f"{V.format('PTV')} UNION {V.format('BOX')}")
+def structure_union(t):
+    return st.union(m(t, "PTV"), m(t, "BOX"))
+
+
+@query("structure_intersect", f"{V.format('PTV')} INTERSECT {V.format('BOX')}")
+def structure_intersect(t):
+    return st.intersect(m(t, "PTV"), m(t, "BOX"))
+
+
+@query("structure_subtract", f"{V.format('PTV')} EXCEPT {V.format('BOX')}")
+def structure_subtract(t):
+    return st.subtract(m(t, "PTV"), m(t, "BOX"))
+
+
+def grow_sql(source, k, m_flat, name):
+    """Offsets with max norm <= k and L1 <= 2k, then an in-plane square."""
+    return f"""{name}_a AS (SELECT DISTINCT s.patient_id, s.ix + x.d AS ix, s.iy + y.d AS iy, s.iz + z.d AS iz FROM ({source}) s
+  CROSS JOIN (SELECT range - {k} AS d FROM range({2 * k + 1})) x CROSS JOIN (SELECT range - {k} AS d FROM range({2 * k + 1})) y
+  CROSS JOIN (SELECT range - {k} AS d FROM range({2 * k + 1})) z
+  WHERE abs(x.d) + abs(y.d) + abs(z.d) <= {2 * k} AND s.ix + x.d BETWEEN 0 AND 24 AND s.iy + y.d BETWEEN 0 AND 19 AND s.iz + z.d BETWEEN 0 AND 2),
+{name} AS (SELECT DISTINCT s.patient_id, s.ix + x.d AS ix, s.iy + y.d AS iy, s.iz FROM {name}_a s
+  CROSS JOIN (SELECT range - {m_flat} AS d FROM range({2 * m_flat + 1})) x CROSS JOIN (SELECT range - {m_flat} AS d FROM range({2 * m_flat + 1})) y
+  WHERE s.ix + x.d BETWEEN 0 AND 24 AND s.iy + y.d BETWEEN 0 AND 19)"""
+
+
+def shrink_sql(source, k, m_flat, name):
+    """A cell survives when all its offsets are members."""
+    n = sum(1 for x in range(-k, k + 1) for y in range(-k, k + 1) for z in range(-k, k + 1) if abs(x) + abs(y) + abs(z) <= 2 * k)
+    return f"""{name}_a AS (SELECT s.patient_id, s.ix - x.d AS ix, s.iy - y.d AS iy, s.iz - z.d AS iz FROM ({source}) s
+  CROSS JOIN (SELECT range - {k} AS d FROM range({2 * k + 1})) x CROSS JOIN (SELECT range - {k} AS d FROM range({2 * k + 1})) y
+  CROSS JOIN (SELECT range - {k} AS d FROM range({2 * k + 1})) z WHERE abs(x.d) + abs(y.d) + abs(z.d) <= {2 * k}
+  GROUP BY 1, 2, 3, 4 HAVING count(*) = {n}),
+{name} AS (SELECT s.patient_id, s.ix - x.d AS ix, s.iy - y.d AS iy, s.iz FROM {name}_a s
+  CROSS JOIN (SELECT range - {m_flat} AS d FROM range({2 * m_flat + 1})) x CROSS JOIN (SELECT range - {m_flat} AS d FROM range({2 * m_flat + 1})) y
+  GROUP BY 1, 2, 3, 4 HAVING count(*) = {(2 * m_flat + 1) ** 2})"""
+
+
+@query("structure_expand", grow_sql(V.format("GTV"), 1, 2, "g") + " SELECT * FROM g")
+def structure_expand(t):
+    return st.expand(m(t, "GTV"), 3.0, RES, SIZE)
+
+
+@query("structure_expand_wide", grow_sql(V.format("BOX"), 2, 0, "g") + " SELECT * FROM g")
+def structure_expand_wide(t):
+    return st.expand(m(t, "BOX"), 2.0, (0.98, 0.98, 1.0), SIZE)
+
+
+@query("structure_shrink", shrink_sql(V.format("BODY"), 1, 2, "g") + " SELECT * FROM g")
+def structure_shrink(t):
+    return st.shrink(m(t, "BODY"), 3.0, RES)
+
+
+@query("structure_shrink_box", shrink_sql(V.format("BOX"), 1, 0, "g") + " SELECT * FROM g")
+def structure_shrink_box(t):
+    return st.shrink(m(t, "BOX"), 1.0, RES)
+
+
+@query("structure_expression", grow_sql(V.format("GTV"), 1, 1, "g") + f""",
+e1 AS (SELECT * FROM g EXCEPT {V.format('PTV')}), e2 AS (SELECT * FROM e1 UNION {V.format('BOX')})
+SELECT * FROM e2 INTERSECT ({V.format('CORD')} UNION {V.format('BOX')})""")
+def structure_expression(t):
+    return st.evaluate_expression(t.structure_voxel, "GTV + 2 - PTV | BOX & (CORD + BOX)", RES, SIZE)
+
+
+@query("optimization_structures", grow_sql(V.format("BOX"), 1, 2, "g") + "," + grow_sql(V.format("GTV"), 1, 0, "h") + f"""
+SELECT 'RIND' AS structure, * FROM ((SELECT * FROM g EXCEPT {V.format('BOX')}) INTERSECT {V.format('BODY')})
+UNION ALL SELECT 'NEAR_GTV' AS structure, * FROM (SELECT * FROM h INTERSECT {V.format('BODY')})""")
+def optimization_structures(t):
+    definitions = [("RIND", "(BOX + 3) - BOX"), ("NEAR_GTV", "GTV + 1"), ("PTV", "GTV + 5"), ("BROKEN", "GTV + MISSING"), ("BAD", "GTV ?")]
+    return st.optimization_structures(t.structure_voxel, definitions, RES, SIZE)
+
+
+BLOCK = "v.iz * 130 + v.iy // 2 * 13 + v.ix // 2"
+
+
+def block_ct(t):
+    """CT cells with a coarser dose voxel id, NULL outside the calculation box."""
+    block = F.col("iz") * 130 + F.floor(F.col("iy") / 2) * 13 + F.floor(F.col("ix") / 2)
+    return t.ct_voxel.select("patient_id", "ix", "iy", "iz", "hu", F.when(F.col("dose_voxel").isNotNull(), block).alias("voxel_id"))
+
+
+BLOCK_CT_SQL = f"o_ct AS (SELECT v.patient_id, v.ix, v.iy, v.iz, CASE WHEN b.voxel_id IS NOT NULL THEN {BLOCK} END AS voxel_id FROM v_voxel v LEFT JOIN o_box b USING (patient_id, voxel_id))"
+
+
+@query("structure_volume", f"SELECT patient_id, structure, {S6.format('n * 2.8812 / 1000')} AS volume_cc, {S6.format('frac')} AS frac_in_box FROM o_struct")
+def structure_volume(t):
+    r = st.structure_volume(t.structure_voxel, block_ct(t), VOX_MM3)
+    return r.select("patient_id", "structure", snap(F.col("volume_cc")).alias("volume_cc"), snap(F.col("frac_in_box")).alias("frac_in_box"))
+
+
+OPT_SQL = f"""{BLOCK_CT_SQL} SELECT s.patient_id, s.structure, c.voxel_id, {S6.format('count(*) * 2.8812 / 1000')} AS volume_cc
+FROM v_structure_voxel s JOIN o_ct c USING (patient_id, ix, iy, iz) WHERE c.voxel_id {{}} GROUP BY 1, 2, 3"""
+
+
+@query("structure_opt_voxels", OPT_SQL.format("> 0"))
+def structure_opt_voxels(t):
+    return st.structure_opt_voxels(t.structure_voxel, block_ct(t), VOX_MM3).withColumn("volume_cc", snap(F.col("volume_cc")))
+
+
+@query("structure_opt_voxels_with_zero", OPT_SQL.format(">= 0"))
+def structure_opt_voxels_with_zero(t):
+    return st.structure_opt_voxels(t.structure_voxel, block_ct(t), VOX_MM3, include_zero=True).withColumn("volume_cc", snap(F.col("volume_cc")))
+
+
+@query("structure_drop", "SELECT patient_id, structure, ix, iy, iz FROM v_structure_voxel WHERE structure NOT IN ('BODY', 'BOX')")
+def structure_drop(t):
+    return st.drop_structures(t.structure_voxel, ["BODY", "BOX"]).select("patient_id", "structure", "ix", "iy", "iz")
+
+
+@query("structure_alias", """o_names AS (SELECT DISTINCT patient_id, structure FROM v_structure_voxel)
+SELECT p.patient_id, q.requested, n.structure AS actual FROM (SELECT DISTINCT patient_id FROM v_voxel) p
+CROSS JOIN (VALUES ('ptv', 'PTV'), ('SpinalCord', 'CORD'), ('Lung_l', 'LUNG_L'), ('Liver', 'LIVER')) q(requested, resolved)
+LEFT JOIN o_names n ON n.patient_id = p.patient_id AND n.structure = q.resolved""")
+def structure_alias(t):
+    asked = F.array(*[F.lit(n) for n in ("ptv", "SpinalCord", "Lung_l", "Liver")])
+    requests = t.voxel.select("patient_id").distinct().withColumn("requested", F.explode(asked))
+    return st.resolve_names(requests, t.structure_voxel, {"SPINALCORD": "CORD"}).select("patient_id", "requested", "actual")
+
+
+@query("derived_structures", f"""SELECT 'TOTAL LUNG - GTV' AS structure, * FROM (({V.format('LUNG_L')} UNION {V.format('LUNG_R')}) EXCEPT {V.format('GTV')})
+UNION ALL SELECT 'HEART_REST' AS structure, * FROM ({V.format('HEART')})
+UNION ALL SELECT 'BOX_REST' AS structure, * FROM (({V.format('BOX')} UNION {V.format('CORD')}) EXCEPT {V.format('PTV')})""")
+def derived_structures(t):
+    s = t.structure_voxel
+    made = [
+        ("TOTAL LUNG - GTV", st.derived_structure(s, "LUNGS_NOT_GTV", ["LUNG_L", "LUNG_R"], "GTV")),
+        ("HEART_REST", st.derived_structure(s, "HEART", ["BOX"])),
+        ("BOX_REST", st.derived_structure(s, "ABSENT", ["BOX", "CORD"], "PTV")),
+    ]
+    parts = [d.select(F.lit(n).alias("structure"), *st.CELL) for n, d in made]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("label_map", """o_l(structure, label, priority) AS (VALUES ('CORD', 1, 0), ('BOX', 2, 1), ('HEART', 3, 2), ('LUNG_L', 4, 3))
+SELECT s.patient_id, s.ix, s.iy, s.iz, cast(coalesce(arg_max(l.label, l.priority), 0) as bigint) AS label,
+ cast(max(CASE WHEN s.structure = 'PTV' THEN 1 ELSE 0 END) as bigint) AS target
+FROM v_structure_voxel s LEFT JOIN o_l l USING (structure) WHERE l.label IS NOT NULL OR s.structure = 'PTV' GROUP BY 1, 2, 3, 4""")
+def label_map(t):
+    return st.label_map(t.structure_voxel, [("CORD", 1), ("BOX", 2), ("HEART", 3), ("LUNG_L", 4)])
+
+
+ORIGIN = (-5.0, 3.0, 10.0)
+CENTER_SQL = f"""SELECT patient_id, voxel_id, {S6.format('(min(ix) + max(ix)) / 2.0::double * 0.98::double - 5')} AS x_mm,
+{S6.format('(min(iy) + max(iy)) / 2.0::double * 0.98::double + 3')} AS y_mm, {S6.format('(min(iz) + max(iz)) / 2.0::double * 3.0::double + 10')} AS z_mm
+FROM o_ct WHERE voxel_id IS NOT NULL GROUP BY 1, 2"""
+
+
+def centers(t):
+    c = grids.voxel_centers(block_ct(t), ORIGIN, RES)
+    return c.select("patient_id", "voxel_id", *[snap(F.col(a)).alias(a) for a in ("x_mm", "y_mm", "z_mm")])
+
+
+@query("voxel_membership", f"""{BLOCK_CT_SQL}, o_c AS ({CENTER_SQL}),
+o_m AS (SELECT c.patient_id, c.voxel_id, string_agg(DISTINCT s.structure, ',' ORDER BY s.structure) AS structures
+  FROM o_ct c JOIN v_structure_voxel s USING (patient_id, ix, iy, iz) WHERE c.voxel_id IS NOT NULL GROUP BY 1, 2)
+SELECT * FROM o_c LEFT JOIN o_m USING (patient_id, voxel_id)""")
+def voxel_membership(t):
+    return st.voxel_membership(t.structure_voxel, block_ct(t), centers(t))
+
+
+@query("voxel_centers", f"{BLOCK_CT_SQL} {CENTER_SQL}")
+def voxel_centers(t):
+    return centers(t)
+
+
+@query("boundary_voxels", """SELECT s.structure, s.patient_id, s.ix, s.iy, s.iz FROM v_structure_voxel s
+LEFT JOIN v_structure_voxel n ON n.patient_id = s.patient_id AND n.structure = s.structure
+ AND n.ix BETWEEN s.ix - 1 AND s.ix + 1 AND n.iy BETWEEN s.iy - 1 AND s.iy + 1 AND n.iz BETWEEN s.iz - 1 AND s.iz + 1
+ AND abs(n.ix - s.ix) + abs(n.iy - s.iy) + abs(n.iz - s.iz) = 1
+GROUP BY 1, 2, 3, 4, 5 HAVING count(n.ix) < 6""")
+def boundary_voxels(t):
+    return st.boundary_voxels(t.structure_voxel)
+
+
+@query("connected_regions", """o_m AS (SELECT patient_id, voxel_id, ix, iy, iz, (iz * 1000 + iy) * 1000 + ix AS code FROM v_structure_voxel WHERE structure = 'PTV'),
+o_adj AS (SELECT a.patient_id, a.code AS a, b.code AS b FROM o_m a JOIN o_m b ON a.patient_id = b.patient_id
+  AND abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1),
+o_reach(patient_id, a, b) AS (SELECT patient_id, code, code FROM o_m UNION SELECT r.patient_id, r.a, j.b FROM o_reach r JOIN o_adj j ON j.patient_id = r.patient_id AND j.a = r.b),
+o_low AS (SELECT patient_id, a, min(b) AS low FROM o_reach GROUP BY 1, 2)
+SELECT m.patient_id, 'PTV' AS structure, dense_rank() OVER (PARTITION BY m.patient_id ORDER BY l.low) AS region, m.ix, m.iy, m.iz
+FROM o_m m JOIN o_low l ON l.patient_id = m.patient_id AND l.a = m.code""", recursive=True)
+def connected_regions(t):
+    return st.connected_regions(t.structure_voxel.filter("structure = 'PTV'"))
