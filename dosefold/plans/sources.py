@@ -1 +1,117 @@
+"""Source and sink queries: files are derived from the given tables by Spark, then read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dosefold.operators import matrix as im
+from dosefold.operators import structures as st
+from dosefold.plans.cohort import NAME_SQL, P_SQL, patients
+from dosefold.plans.registry import query
+from dosefold.session import scratch_folder
+from dosefold.sources import metadata as io
+
+
+@query("metadata_scan", f"""{P_SQL} SELECT p.name AS patient_id, b.beam_id, b.gantry_angle::double AS gantry_angle, b.collimator_angle::double AS collimator_angle,
+b.energy_mv, b.iso_x_mm FROM v_beam b JOIN o_p p USING (patient_id)""")
+def metadata_scan(t):
+    folder = scratch_folder(t.spark, "metadata")
+    t.beam.join(patients(t), "patient_id").select(
+        F.col("name").alias("folder"), F.col("beam_id").alias("ID"), "gantry_angle", "collimator_angle", "couch_angle",
+        F.struct(F.col("iso_x_mm").alias("x_mm"), F.lit(0.0).alias("y_mm"), F.lit(0.0).alias("z_mm")).alias("iso_center"),
+        F.col("energy_mv").alias("energy_MV"),
+    ).write.partitionBy("folder").json(folder)
+    scanned = io.scan_metadata(t.spark, folder, io.BEAM_SCHEMA, r"folder=([^/]+)/", multi_line=False)
+    return scanned.select("patient_id", F.col("ID").alias("beam_id"), "gantry_angle", "collimator_angle",
+                          F.col("energy_MV").alias("energy_mv"), F.col("iso_center.x_mm").alias("iso_x_mm"))
+
+
+@query("manifest_scan", f"""SELECT {NAME_SQL.format(k='s_suppkey')} AS patient_id, split_part({NAME_SQL.format(k='s_suppkey')}, '_', 1) AS disease_site,
+ CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE (s_suppkey % 4)::bigint END AS num_beams FROM supplier WHERE s_suppkey % 7 <> 0""")
+def manifest_scan(t):
+    folder = scratch_folder(t.spark, "manifest")
+    k, text = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Lung_Patient_"), text)).when(
+        k % 3 == 1, F.concat(F.lit("Prostate_Patient_"), text)).otherwise(F.concat(F.lit("Phantom_"), text))
+    paths = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i < k % 4, F.concat(F.lit("Beam_"), i.cast("string")))), lambda x: x.isNotNull())
+    line = F.concat(
+        F.lit('{"patient_id": '), F.when(k % 7 == 0, "null").otherwise(F.concat(F.lit('"'), name, F.lit('"'))),
+        F.lit(', "beam_metadata_paths": '), F.when(k % 5 == 0, '"unknown"').otherwise(F.to_json(paths)), F.lit("}"),
+    )
+    t.table("supplier").select(line.alias("value")).write.text(folder)
+    return io.scan_manifest(t.spark, folder)
+
+
+@query("protocol_scan", """o_c AS (SELECT 'P' || s_suppkey AS protocol_name, * FROM supplier CROSS JOIN
+ (VALUES (0, 'max_dose', 'PTV', 'limit_dose_gy', '66'), (0, 'max_dose', 'PTV', 'goal_dose_gy', '1.1*prescription_gy'), (1, 'mean_dose', 'HEART', 'limit_dose_perc', NULL)) q(criterion_id, type, structure, bound_key, v))
+SELECT protocol_name, 2.0::double AS pres_per_fraction_gy, (s_nationkey + 20)::bigint AS num_of_fractions, criterion_id::bigint AS criterion_id, type, structure, bound_key,
+ coalesce(v, (s_nationkey + 10)::varchar) AS bound_value FROM o_c""")
+def protocol_scan(t):
+    folder = scratch_folder(t.spark, "protocol")
+    k = F.col("s_nationkey")
+    line = F.concat(
+        F.lit('{"disease_site": "Lung", "protocol_name": "P'), F.col("s_suppkey").cast("string"),
+        F.lit('", "pres_per_fraction_gy": 2, "num_of_fractions": '), (k + 20).cast("string"),
+        F.lit(', "criteria": [{"type": "max_dose", "parameters": {"structure_name": "PTV"}, "constraints": {"limit_dose_gy": 66, '
+              '"goal_dose_gy": "1.1*prescription_gy"}}, {"type": "mean_dose", "parameters": {"structure_name": "HEART"}, "constraints": {"limit_dose_perc": '),
+        (k + 10).cast("string"), F.lit("}}]}"),
+    )
+    t.table("supplier").select(line.alias("value")).write.text(folder)
+    return io.scan_protocols(t.spark, folder, multi_line=False).drop("parameters")
+
+
+@query("table_load", """SELECT i.patient_id, b.beam_id, i.voxel_id, i.beamlet_id, i.a_int::double AS a FROM v_influence i JOIN v_beamlet b USING (beamlet_id)
+WHERE b.beam_id IN (0, 3, 5) AND i.a_int > 10""")
+def table_load(t):
+    folder = scratch_folder(t.spark, "matrix")
+    full = t.influence.join(t.beamlet.select("beamlet_id", "beam_id"), "beamlet_id")
+    variants = F.array_compact(F.array(F.lit("full"), F.when(F.col("a") > 10, "sparse")))
+    io.save_matrix(full.withColumn("variant", F.explode(variants)), folder)
+    r = io.load_matrix(t.spark, folder, full=False, beam_ids=[0, 3, 5])
+    return r.select(F.col("patient_id").cast("long").alias("patient_id"), F.col("beam_id").cast("long").alias("beam_id"), "voxel_id", "beamlet_id", "a")
+
+
+@query("source_id_lookup", f"""SELECT q.name, c.subject_id, CASE WHEN c.subject_id IS NULL THEN 'Invalid patient id' ELSE 'ok' END AS status
+FROM (SELECT {NAME_SQL.format(k='s_suppkey')} AS name FROM supplier) q LEFT JOIN (SELECT {NAME_SQL.format(k='n_nationkey')} AS name, n_name AS subject_id FROM nation) c USING (name)""")
+def source_id_lookup(t):
+    k, text = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Lung_Patient_"), text)).when(
+        k % 3 == 1, F.concat(F.lit("Prostate_Patient_"), text)).otherwise(F.concat(F.lit("Phantom_"), text))
+    known = t.table("nation").select(F.col("n_nationkey").cast("long").alias("patient_id"), F.col("n_name").alias("subject_id"))
+    sources = known.join(patients(t), "patient_id").select("name", "subject_id")
+    return io.lookup_source_ids(t.table("supplier").select(name.alias("name")), sources)
+
+
+@query("solution_store", "SELECT plan_id, beamlet_id, intensity::double AS intensity FROM v_fluence WHERE plan_id = 'B'")
+def solution_store(t):
+    folder = scratch_folder(t.spark, "solution")
+    io.save_solution(t.fluence, folder)
+    return io.load_solution(t.spark, folder, "B").select("plan_id", "beamlet_id", "intensity")
+
+
+@query("fluence_export", """
+o_m AS (SELECT beam_id, max(row_idx) AS mr, max(col_idx) + 1 AS nx, min(x_mm) AS x0, max(y_mm) AS y0 FROM v_beamlet GROUP BY 1),
+o_g AS (SELECT m.beam_id, r.r AS row, c.c AS col, m.mr - r.r AS row_idx FROM o_m m, lateral (SELECT unnest(range(0, m.mr + 1)) AS r) r, lateral (SELECT unnest(range(0, m.nx)) AS c) c),
+o_v AS (SELECT g.beam_id, g.row, g.col, coalesce(f.intensity, 0) / 2.0::double AS v FROM o_g g LEFT JOIN v_beamlet b ON b.beam_id = g.beam_id AND b.row_idx = g.row_idx AND b.col_idx = g.col
+  LEFT JOIN (SELECT beamlet_id, intensity FROM v_fluence WHERE plan_id = 'A') f ON f.beamlet_id = b.beamlet_id)
+SELECT beam_id, 8 + row AS line_no, string_agg(printf('%.6f', v), chr(9) ORDER BY col) AS line FROM o_v GROUP BY 1, 2
+UNION ALL SELECT beam_id, q.n::bigint, CASE q.n WHEN 0 THEN 'optimalfluence' WHEN 1 THEN 'SizeX      ' || nx WHEN 2 THEN 'SizeY      ' || (mr + 1) WHEN 3 THEN 'SpacingX   2.5'
+  WHEN 4 THEN 'SpacingY   2.5' WHEN 5 THEN 'OriginX    ' || x0 WHEN 6 THEN 'OriginY    ' || y0 ELSE 'Values' END FROM o_m CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) q(n)""")
+def fluence_export(t):
+    sized = t.beamlet.withColumn("width_mm", F.lit(2.5)).withColumn("height_mm", F.lit(2.5))
+    grid = im.fluence_to_grid(t.fluence.filter("plan_id = 'A'"), im.finest_grid(sized))
+    return io.fluence_lines(grid, sized, dose_per_fraction_gy=2.0)
+
+
+@query("label_volume_export", """
+o_l(structure, label) AS (VALUES ('CORD', 1), ('HEART', 2), ('LUNG_L', 3)),
+o_lab AS (SELECT s.patient_id, s.ix, s.iy, s.iz, max(coalesce(l.label, 0)) AS label, max(CASE WHEN s.structure = 'PTV' THEN 1 ELSE 0 END) AS target
+  FROM v_structure_voxel s LEFT JOIN o_l l USING (structure) GROUP BY 1, 2, 3, 4)
+SELECT v.patient_id, v.ix, v.iy, v.iz, v.hu, d.dose_gy, l.label::bigint AS label, l.target::bigint AS target FROM v_voxel v JOIN o_lab l USING (patient_id, ix, iy, iz)
+JOIN o_dose d ON d.patient_id = v.patient_id AND d.voxel_id = v.voxel_id AND d.plan_id = 'A'""")
+def label_volume_export(t):
+    labels = st.label_map(t.structure_voxel, [("CORD", 1), ("HEART", 2), ("LUNG_L", 3)])
+    dose = t.dose.filter("plan_id = 'A'").drop("plan_id")
+    folder = scratch_folder(t.spark, "volume")
+    io.label_volume(t.voxel, dose, labels).write.partitionBy("patient_id").parquet(folder)
+    return t.spark.read.parquet(folder).withColumn("patient_id", F.col("patient_id").cast("long"))

@@ -34,3 +34,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="dosefold-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, so every executor can reach it."""
+    import uuid
+
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        root = tempfile.mkdtemp(prefix="dosefold-scratch-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
