@@ -12,3 +12,258 @@ def step_lookup(distance: Column, knots: list[tuple[float, float]]) -> Column:
     for at, value in knots:
         chosen = F.when(distance <= at, value) if chosen is None else chosen.when(distance <= at, value)
     return chosen
+
+
+GROUP = ["patient_id", "plan_id"]
+
+
+def penalty(dose: Column, kind: Column, target: Column) -> Column:
+    """Voxel penalty of the three quadratic objective types."""
+    over = F.greatest(dose - target, F.lit(0.0))
+    under = F.greatest(target - dose, F.lit(0.0))
+    return F.when(kind == "quadratic-overdose", over * over).when(kind == "quadratic-underdose", under * under).when(
+        kind == "quadratic", dose * dose
+    )
+
+
+def slope(dose: Column, kind: Column, target: Column) -> Column:
+    """Half the derivative of the penalty."""
+    return F.when(kind == "quadratic-overdose", F.greatest(dose - target, F.lit(0.0))).when(
+        kind == "quadratic-underdose", F.least(dose - target, F.lit(0.0))
+    ).when(kind == "quadratic", dose)
+
+
+def objective_terms(sd: DataFrame, objectives: DataFrame, volume_weighted: bool = False) -> DataFrame:
+    """Value of each objective: weight times the plain or volume-weighted mean penalty.
+
+    `sd` has per-fraction `dose`; `objectives`: objective_id, type, structure,
+    weight_factor, target (per fraction). Objectives of absent structures give no row.
+    """
+    p = penalty(F.col("dose"), F.col("type"), F.col("target"))
+    mean = F.sum(F.col("weight") * p) / F.sum("weight") if volume_weighted else F.sum(p) / F.count(F.lit(1))
+    return sd.join(objectives, "structure").groupBy(*GROUP, "objective_id", "type", "structure").agg(
+        (F.max("weight_factor") * mean).alias("value")
+    )
+
+
+def weighted_quadratic(sd: DataFrame, voxel_weights: DataFrame, weight: float) -> DataFrame:
+    """Sum of per-voxel weight times squared dose over the voxel count."""
+    return sd.join(voxel_weights, ["patient_id", "structure", "voxel_id"]).groupBy(*GROUP, "structure").agg(
+        (F.sum(F.col("voxel_weight") * F.col("dose") * F.col("dose")) / F.count(F.lit(1)) * weight).alias("value")
+    )
+
+
+def neighbour_pairs(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Horizontal and vertical neighbours on a beamlet grid; one window per grid line, no self join."""
+    def along(fixed, axis, label):
+        line = Window.partitionBy(*keys, fixed).orderBy(axis)
+        return grid.select(
+            *keys, F.lit(label).alias("direction"), "beamlet_id", F.lead("beamlet_id").over(line).alias("other"),
+            F.col(axis).alias("_at"), F.lead(axis).over(line).alias("_next"),
+        ).filter("_next = _at + 1").drop("_at", "_next")
+
+    return along("row", "col", "right").unionByName(along("col", "row", "down"))
+
+
+def smoothness(grid: DataFrame, beam: list[str], plan: list[str]) -> DataFrame:
+    """0.6/cols times squared right differences plus 0.4/rows times squared down differences.
+
+    `grid` has plan, beam, row, col and intensity of compact beamlets; empty cells have no row.
+    """
+    size = grid.groupBy(*plan, *beam).agg((F.max("row") + 1).alias("r"), (F.max("col") + 1).alias("c")).groupBy(*plan).agg(
+        F.sum("r").alias("rows"), F.sum("c").alias("cols")
+    )
+    def squares(fixed, axis, name):
+        line = Window.partitionBy(*plan, *beam, fixed).orderBy(axis)
+        diff = F.when(F.lead(axis).over(line) == F.col(axis) + 1, F.col("intensity") - F.lead("intensity").over(line))
+        return grid.withColumn(name, diff).groupBy(*plan).agg(F.coalesce(F.sum(F.col(name) * F.col(name)), F.lit(0.0)).alias(name))
+
+    return squares("row", "col", "sx").join(squares("col", "row", "sy"), plan).join(size, plan).select(
+        *plan, (0.6 / F.col("cols") * F.col("sx") + 0.4 / F.col("rows") * F.col("sy")).alias("value")
+    )
+
+
+def mimicking(dose: DataFrame, predicted: DataFrame, body: DataFrame, target: DataFrame) -> DataFrame:
+    """Mean squared deviation from a predicted dose in the target, mean squared excess elsewhere in the body."""
+    flagged = body.select("patient_id", "voxel_id").join(
+        target.select("patient_id", "voxel_id", F.lit(True).alias("_t")), ["patient_id", "voxel_id"], "left"
+    )
+    e = F.col("dose") - F.col("predicted")
+    over = F.greatest(e, F.lit(0.0))
+    joined = flagged.join(dose, ["patient_id", "voxel_id"]).join(predicted, ["patient_id", "voxel_id"])
+    inside = F.col("_t").isNotNull()
+    return joined.groupBy(*GROUP).agg(
+        F.avg(F.when(inside, e * e)).alias("target_value"), F.avg(F.when(~inside, over * over)).alias("organ_value")
+    )
+
+
+def distance_falloff(
+    dose: DataFrame, distance: DataFrame, limits: list[tuple[float, float]], weights: list[tuple[float, float]],
+    factor: float, kind: str,
+) -> DataFrame:
+    """Penalty by distance from a target: linear excess over the stepped limit, or weighted squared dose."""
+    at = F.col("distance_mm")
+    w, goal = step_lookup(at, weights), step_lookup(at, limits)
+    term = w * F.greatest(F.col("dose") - goal, F.lit(0.0)) if kind == "linear" else w * F.col("dose") * F.col("dose")
+    return dose.join(distance.select("patient_id", "voxel_id", "distance_mm"), ["patient_id", "voxel_id"]).groupBy(*GROUP).agg(
+        (F.sum(term) / F.count(F.lit(1)) * factor).alias("value")
+    )
+
+
+def objective_total(terms: DataFrame) -> DataFrame:
+    """Sum per term and in total, rounded to 4 decimals; the total has a NULL term."""
+    return terms.groupBy(*GROUP, F.col("type").alias("term")).agg(F.sum("value").alias("value")).rollup(*GROUP, "term").agg(
+        F.sum("value").alias("value")
+    ).filter("plan_id IS NOT NULL").withColumn("value", F.bround("value", 4))
+
+
+def voxel_residual(sd: DataFrame, objectives: DataFrame) -> DataFrame:
+    """Gradient of the objective sum with respect to voxel dose, all objectives folded per voxel."""
+    sizes = sd.groupBy(*GROUP, "structure").agg(F.count(F.lit(1)).alias("n"))
+    r = 2 * F.col("weight_factor") / F.col("n") * slope(F.col("dose"), F.col("type"), F.col("target"))
+    return sd.join(objectives, "structure").join(sizes, [*GROUP, "structure"]).groupBy(*GROUP, "voxel_id").agg(
+        F.sum(r).alias("residual")
+    )
+
+
+def gradient(influence: DataFrame, residual: DataFrame) -> DataFrame:
+    """A transposed times the residual: one join on voxel and one map-side combined sum per beamlet."""
+    return influence.join(residual, ["patient_id", "voxel_id"]).groupBy(*GROUP, "beamlet_id").agg(
+        F.sum(F.col("a") * F.col("residual")).alias("gradient")
+    )
+
+
+def scaled_scores(grad: DataFrame) -> DataFrame:
+    top = grad.groupBy(*GROUP).agg(F.max(F.abs("gradient")).alias("_top"))
+    return grad.join(top, GROUP).withColumn("score", F.when(F.col("_top") > 0, F.col("gradient") / F.col("_top"))).drop("_top")
+
+
+def finite_difference(
+    influence: DataFrame, sd: DataFrame, objectives: DataFrame, selected: DataFrame, delta: float = 1e-3
+) -> DataFrame:
+    """Objective change per unit intensity of each unselected beamlet, from the voxels its column reaches."""
+    sizes = sd.groupBy(*GROUP, "structure").agg(F.count(F.lit(1)).alias("n"))
+    kind, target = F.col("type"), F.col("target")
+    moved = penalty(F.col("dose") + delta * F.col("a"), kind, target) - penalty(F.col("dose"), kind, target)
+    return (
+        influence.join(selected, [c for c in ("patient_id", "beamlet_id") if c in selected.columns], "left_anti")
+        .join(sd, ["patient_id", "voxel_id"]).join(objectives, "structure").join(sizes, [*GROUP, "structure"])
+        .groupBy(*GROUP, "beamlet_id")
+        .agg((F.sum(F.col("weight_factor") / F.col("n") * moved) / delta).alias("score"))
+    )
+
+
+def best_row_segments(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Per leaf row the contiguous segment with the most negative score sum; NULL bounds when none is negative.
+
+    One prefix-sum window per grid row, at most the field width long.
+    """
+    line = Window.partitionBy(*keys, "row").orderBy("col")
+    prefix = scores.withColumn("p", F.sum("score").over(line))
+    past = line.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min("col").over(Window.partitionBy(*keys, "row"))
+    top = F.max(F.struct("p", (-F.col("col")).alias("neg"))).over(past)
+    ranked = prefix.select(
+        *keys, "row", "col", "p", first.alias("c0"), top.alias("top")
+    ).select(
+        *keys, "row", "col",
+        (F.col("p") - F.greatest(F.coalesce("top.p", F.lit(0.0)), F.lit(0.0))).alias("value"),
+        F.when(F.col("top.p") > 0, -F.col("top.neg") + 1).otherwise(F.col("c0")).alias("start"),
+    )
+    best = ranked.groupBy(*keys, "row").agg(F.min(F.struct("value", "col", "start")).alias("b"))
+    open_row = F.col("b.value") < 0
+    return best.select(
+        *keys, "row", F.when(open_row, F.col("b.start")).alias("first_col"), F.when(open_row, F.col("b.col")).alias("last_col"),
+        F.when(open_row, F.col("b.value")).otherwise(0.0).alias("segment_score"),
+    )
+
+
+def best_aperture(segments: DataFrame, group: list[str]) -> DataFrame:
+    per_beam = segments.groupBy(*group, "beam_id").agg(F.sum("segment_score").alias("aperture_score"))
+    return per_beam.groupBy(*group).agg(F.min(F.struct("aperture_score", "beam_id")).alias("b")).select(
+        *group, F.col("b.beam_id").alias("beam_id"), F.col("b.aperture_score").alias("aperture_score")
+    )
+
+
+def fluence_descent(
+    start: DataFrame, influence: DataFrame, voxels: DataFrame, opt_voxels: DataFrame, objectives: DataFrame,
+    pairs: DataFrame, smooth: tuple[float, float], step: float, rounds: int = 2, scale: float = 1.0,
+) -> DataFrame:
+    """Projected gradient descent on fluence, keeping each patient's best iterate.
+
+    `start`: patient_id, plan_id, beamlet_id, intensity; `pairs`: neighbouring
+    beamlets with direction; `smooth`: weights of right and down differences.
+    Every iterate is written to the checkpoint folder before the next is planned.
+    """
+    from dosefold.operators.matrix import dose_from_fluence
+    from dosefold.session import cut_lineage
+
+    both = pairs.select("beamlet_id", "other", "direction").unionByName(
+        pairs.select(F.col("other").alias("beamlet_id"), F.col("beamlet_id").alias("other"), "direction")
+    )
+    w = F.when(F.col("direction") == "right", smooth[0]).otherwise(smooth[1])
+    x = cut_lineage(start)
+    history = []
+    for k in range(rounds + 1):
+        dose = dose_from_fluence(influence, x, voxels, scale=scale).withColumnRenamed("dose_gy", "dose")
+        sd = cut_lineage(opt_voxels.join(dose, ["patient_id", "voxel_id"]))
+        peer = x.select("patient_id", "plan_id", F.col("beamlet_id").alias("other"), F.col("intensity").alias("peer"))
+        gaps = x.join(both, "beamlet_id").join(peer, [*GROUP, "other"]).withColumn("gap", F.col("intensity") - F.col("peer"))
+        rough = gaps.groupBy(*GROUP, "beamlet_id").agg(
+            F.sum(w * F.col("gap") * F.col("gap") / 2).alias("part"), F.sum(2 * w * F.col("gap")).alias("pull")
+        )
+        value = objective_terms(sd, objectives).select(*GROUP, "value").unionByName(
+            rough.select(*GROUP, F.col("part").alias("value"))
+        ).groupBy(*GROUP).agg(F.sum("value").alias("objective"))
+        history.append(cut_lineage(value.withColumn("iteration", F.lit(k))).join(x, GROUP))
+        if k == rounds:
+            break
+        grad = gradient(influence, voxel_residual(sd, objectives)).select(
+            *GROUP, "beamlet_id", (F.col("gradient") * scale).alias("g")
+        ).unionByName(rough.select(*GROUP, "beamlet_id", F.col("pull").alias("g"))).groupBy(*GROUP, "beamlet_id").agg(
+            F.sum("g").alias("g"))
+        x = cut_lineage(x.join(grad, [*GROUP, "beamlet_id"], "left").select(
+            *GROUP, "beamlet_id",
+            F.greatest(F.col("intensity") - step * F.coalesce("g", F.lit(0.0)), F.lit(0.0)).alias("intensity"),
+        ))
+    everything = history[0]
+    for later in history[1:]:
+        everything = everything.unionByName(later)
+    best = everything.groupBy(*GROUP).agg(F.min(F.struct("objective", "iteration")).alias("_best"))
+    return everything.join(best, GROUP).filter("iteration = _best.iteration").select(
+        *GROUP, "beamlet_id", "intensity", "objective", F.col("iteration").cast("long").alias("iteration")
+    )
+
+
+def dose_limit_report(stats: DataFrame, tails: DataFrame, limits: DataFrame) -> DataFrame:
+    """Slack (limit minus value) of max, mean and tail limits.
+
+    `stats` from dose_statistics, `tails` from tail_mean with request_id,
+    `limits`: limit_id, kind, structure, limit_gy (limit_id equals request_id for tails).
+    """
+    plain = stats.join(limits.filter(F.col("kind").isin("max", "mean")), "structure").select(
+        *GROUP, "limit_id", "kind", "structure", "limit_gy",
+        F.when(F.col("kind") == "max", F.col("max_dose_gy")).otherwise(F.col("mean_dose_gy")).alias("value_gy"),
+    )
+    tail = tails.join(limits.filter("kind = 'cvar'").withColumnRenamed("limit_id", "request_id"), ["request_id", "structure"]).select(
+        *GROUP, F.col("request_id").alias("limit_id"), "kind", "structure", "limit_gy", F.col("tail_mean_gy").alias("value_gy")
+    )
+    return plain.unionByName(tail).withColumn("slack_gy", F.col("limit_gy") - F.col("value_gy"))
+
+
+def objective_prediction(
+    sd: DataFrame, predicted: DataFrame, objectives: DataFrame, prescription_per_fraction: float, organ_scale: float = 0.1
+) -> DataFrame:
+    """Prediction-guided objective: target terms against prediction and prescription, organ terms by weight."""
+    joined = sd.join(predicted, ["patient_id", "voxel_id"])
+    e = F.col("dose") - F.col("predicted")
+    off = F.col("dose") - prescription_per_fraction
+    target = joined.filter("structure = 'PTV'").groupBy(*GROUP).agg(
+        (10 * F.avg(e * e)).alias("target_prediction"), (0.1 * F.avg(off * off)).alias("target_prescription")
+    )
+    over = F.greatest(e, F.lit(0.0))
+    organs = joined.join(objectives.filter("type = 'quadratic'"), "structure").groupBy(*GROUP, "structure").agg(
+        (organ_scale * F.max("weight_factor") * F.avg(over * over)).alias("o1"),
+        (0.0001 * organ_scale * F.max("weight_factor") * F.avg(F.col("dose") * F.col("dose"))).alias("o2"),
+    ).groupBy(*GROUP).agg(F.sum("o1").alias("organ_prediction"), F.sum("o2").alias("organ_quadratic"))
+    return target.join(organs, GROUP, "left").fillna(0.0, ["organ_prediction", "organ_quadratic"])
