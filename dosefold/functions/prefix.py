@@ -37,6 +37,22 @@ def running_before(
     )
 
 
+def running_min_before(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, out: str) -> DataFrame:
+    """Add `out`: the smallest `value` of earlier rows, NULL on the first; bucketed like `running_before`."""
+    marked = df.withColumn("_bucket", bucket)
+    over_buckets = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        marked.groupBy(*keys, "_bucket").agg(F.min(value).alias("_low"))
+        .select(*keys, "_bucket", F.min("_low").over(over_buckets).alias("_base"))
+    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        marked.join(bases, [*keys, "_bucket"])
+        .withColumn(out, F.least("_base", F.min(value).over(inside)))
+        .drop("_bucket", "_base")
+    )
+
+
 def dose_bucket(dose: str = "dose_gy", width: float = DOSE_BIN_GY) -> Column:
     return F.floor(F.col(dose) / width)
 
