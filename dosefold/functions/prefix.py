@@ -82,3 +82,30 @@ def ordered_by_dose(df: DataFrame, keys: list[str], dose: str = "dose_gy", weigh
         .withColumn("below", F.col("_below_dose") + F.col("_tied_before"))
         .drop("_below_dose", "_tied_before")
     )
+
+
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], width: float
+) -> DataFrame:
+    """Linear-interpolated exact quantiles per group, one column per entry of `quantiles`.
+
+    Equal values are counted first and ranked by buckets of `width`, so no group's
+    values are held by one task.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_before(counts, keys, F.floor(F.col(value) / width), [value], "_n", "_below")
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    at = ranked.join(sizes, keys)
+    picks = []
+    for name, q in quantiles.items():
+        place = (F.col("_size") - 1) * q
+        for end, index in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            held = (F.col("_below") <= index) & (index < F.col("_below") + F.col("_n"))
+            picks.append(F.max(F.when(held, F.col(value))).alias(f"_{name}_{end}"))
+    found = at.groupBy(*keys).agg(F.max("_size").alias("_size"), *picks)
+    out = []
+    for name, q in quantiles.items():
+        place = (F.col("_size") - 1) * q
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        out.append((low + (high - low) * (place - F.floor(place))).alias(name))
+    return found.select(*keys, *out)

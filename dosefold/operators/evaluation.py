@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosefold.functions.prefix import ordered_by_dose, weight_curve
+from dosefold.functions.prefix import DOSE_BIN_GY, exact_quantiles, ordered_by_dose, weight_curve
 
 KEYS = ["patient_id", "plan_id", "structure"]
 TERMINAL_GY = 0.01
@@ -167,14 +167,14 @@ def conformity(grid_dose: DataFrame, target: DataFrame, threshold_gy: float, out
 
 
 def homogeneity(target_dose: DataFrame) -> DataFrame:
-    """(P98 - P2) / P50 of the target dose with linear percentiles.
-
-    `percentile` keeps a value -> count map, merged map-side.
-    """
-    p = target_dose.groupBy("patient_id", "plan_id").agg(
-        F.expr("percentile(dose_gy, array(0.02, 0.5, 0.98))").alias("p")
+    """(P98 - P2) / P50 of the target dose with linear percentiles."""
+    p = exact_quantiles(
+        target_dose, ["patient_id", "plan_id"], "dose_gy", {"p2": 0.02, "p50": 0.5, "p98": 0.98}, DOSE_BIN_GY
+    )
+    return p.select(
+        "patient_id", "plan_id",
+        F.when(F.col("p50") != 0, (F.col("p98") - F.col("p2")) / F.col("p50")).alias("homogeneity_index"),
     )
-    return p.select("patient_id", "plan_id", ((F.col("p")[2] - F.col("p")[0]) / F.col("p")[1]).alias("homogeneity_index"))
 
 
 def biologically_effective_dose(dose: DataFrame, fractions: int, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:

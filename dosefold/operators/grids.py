@@ -153,7 +153,7 @@ def slice_window(labels: DataFrame, depth: int, size_xy: tuple[int, int], window
 CORNERS = [(dx, dy, dz) for dz in (0, 1) for dy in (0, 1) for dx in (0, 1)]
 
 
-def _corners(targets: DataFrame, keys: list[str]) -> DataFrame:
+def corner_weights(targets: DataFrame, keys: list[str]) -> DataFrame:
     """The up to eight source cells around each target with non-zero weight."""
     based = targets.withColumn("x0", F.floor("fx")).withColumn("y0", F.floor("fy")).withColumn("z0", F.floor("fz"))
     spread = based.select("*", F.inline(literal_structs(["dx", "dy", "dz"], CORNERS)))
@@ -171,7 +171,7 @@ def resample_linear(targets: DataFrame, source: DataFrame, keys: list[str], valu
 
     `keys` identify a target and include patient_id.
     """
-    joined = _corners(targets, keys).join(source.select(*CELL, F.col(value).alias("_v")), CELL, "left")
+    joined = corner_weights(targets, keys).join(source.select(*CELL, F.col(value).alias("_v")), CELL, "left")
     return joined.groupBy(*keys).agg(
         F.when(F.count("_v") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("_v"))).otherwise(default).alias(value)
     )
@@ -189,7 +189,7 @@ def resample_masked(
     default: float = 0.0, eps: float = 1e-6, threshold: float = 1e-3,
 ) -> DataFrame:
     """Mask-weighted resampling: weighted values over weights where enough valid weight is near."""
-    joined = _corners(targets, keys).join(source.select(*CELL, F.col(value).alias("_v"), F.col(valid).alias("_m")), CELL, "left")
+    joined = corner_weights(targets, keys).join(source.select(*CELL, F.col(value).alias("_v"), F.col(valid).alias("_m")), CELL, "left")
     full = F.count("_m") == F.count(F.lit(1))
     top = F.when(full, F.sum(F.col("w") * F.col("_v") * F.col("_m"))).otherwise(0.0)
     bottom = F.when(full, F.sum(F.col("w") * F.col("_m"))).otherwise(0.0)
