@@ -16,18 +16,22 @@ VOXEL_CHUNK = 65536
 
 
 def running_before(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, out: str
+    df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, out: str, totals: bool = False
 ) -> DataFrame:
     """Add `out`: the sum of `value` over rows strictly before this one.
 
     `bucket` must be non-decreasing along `order`, and `order` unique within keys.
+    With `totals`, the group's sum and its largest first order column come along as
+    `total` and `top`, read off the bucket table.
     """
     marked = df.withColumn("_bucket", bucket)
     over_buckets = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys)
+    extra = [F.sum("_total").over(group).alias("total"), F.max("_top").over(group).alias("top")] if totals else []
     bases = (
         marked.groupBy(*keys, "_bucket")
-        .agg(F.sum(value).alias("_total"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_total").over(over_buckets), F.lit(0)).alias("_base"))
+        .agg(F.sum(value).alias("_total"), F.max(order[0]).alias("_top"))
+        .select(*keys, "_bucket", F.coalesce(F.sum("_total").over(over_buckets), F.lit(0)).alias("_base"), *extra)
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -58,7 +62,8 @@ def dose_bucket(dose: str = "dose_gy", width: float = DOSE_BIN_GY) -> Column:
 
 
 def weight_curve(df: DataFrame, keys: list[str], dose: str = "dose_gy", weight: str = "weight") -> DataFrame:
-    """One row per distinct dose: its weight, the weight below it and its last voxel's weight.
+    """One row per distinct dose: its weight, the weight below it and its last voxel's weight,
+    with the group's `total` weight and `top` dose.
 
     Ties collapse in the map-side aggregate, so a dose shared by most voxels
     (zero, typically) costs one row.
@@ -68,15 +73,15 @@ def weight_curve(df: DataFrame, keys: list[str], dose: str = "dose_gy", weight:
         F.count(F.lit(1)).alias("n"),
         F.max_by(weight, "voxel_id").alias("w_last"),
     )
-    return running_before(distinct, keys, dose_bucket(dose), [dose], "w", "below")
+    return running_before(distinct, keys, dose_bucket(dose), [dose], "w", "below", totals=True)
 
 
 def ordered_by_dose(df: DataFrame, keys: list[str], dose: str = "dose_gy", weight: str = "weight") -> DataFrame:
-    """Per voxel, `below`: weight of the voxels before it in (dose, voxel_id) order."""
+    """Per voxel, `below`: weight of the voxels before it in (dose, voxel_id) order, with `total` and `top`."""
     ties = running_before(
         df, [*keys, dose], F.floor(F.col("voxel_id") / VOXEL_CHUNK), ["voxel_id"], weight, "_tied_before"
     )
-    base = weight_curve(df, keys, dose, weight).select(*keys, dose, F.col("below").alias("_below_dose"))
+    base = weight_curve(df, keys, dose, weight).select(*keys, dose, F.col("below").alias("_below_dose"), "total", "top")
     return (
         ties.join(base, [*keys, dose])
         .withColumn("below", F.col("_below_dose") + F.col("_tied_before"))

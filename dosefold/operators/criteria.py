@@ -195,14 +195,12 @@ def criteria_report(
     dose_gy = F.when(F.col("dose_unit") == "perc", F.col("dose_value") * rx / 100).otherwise(F.col("dose_value"))
     volume_perc = F.when(F.col("volume_unit") == "cc", F.col("volume_value") / F.col("volume_cc") * 100).otherwise(F.col("volume_value"))
     key = ["patient_id", "structure", "criterion_id"]
-    asked_v = listed.filter("type = 'dose_volume_V'").select(*key, dose_gy.alias("at_dose_gy"))
-    asked_d = listed.filter("type = 'dose_volume_D'").select(*key, volume_perc.alias("volume_perc"))
-    v = ev.volume_at_dose(sd, structures, asked_v).select(*key, "plan_id", F.col("volume_at_dose_perc").alias("raw"))
-    d = ev.dose_at_volume(sd, structures, asked_d).select(*key, "plan_id", F.col("dose_at_volume_gy").alias("raw"))
-    stats = ev.dose_statistics(sd, structures).join(
-        listed.filter(F.col("type").isin("max_dose", "mean_dose")).select(*key, "type"), ["patient_id", "structure"]
-    ).select(*key, "plan_id", F.when(F.col("type") == "max_dose", F.col("max_dose_gy")).otherwise(F.col("mean_dose_gy")).alias("raw"))
-    values = v.unionByName(d).unionByName(stats)
+    metric = (
+        F.when(F.col("type") == "dose_volume_V", "V").when(F.col("type") == "dose_volume_D", "D")
+        .when(F.col("type") == "max_dose", "max").when(F.col("type") == "mean_dose", "mean")
+    )
+    asked = listed.select(*key, metric.alias("metric"), F.when(metric == "V", dose_gy).otherwise(volume_perc).alias("value"))
+    values = ev.curve_metrics(sd, structures, asked.filter("metric IS NOT NULL")).select(*key, "plan_id", "raw")
     first = F.coalesce("limit", "goal")
     is_v = F.col("type") == "dose_volume_V"
     shown = (
@@ -273,13 +271,14 @@ def score_metrics(
     percent = F.when(F.col("metric").isin("DoseAtSubVolume") | (F.col("input_unit") == "CC"),
                      100.0 * F.col("input_value") / F.col("volume_cc")).otherwise(F.col("input_value"))
     unit_ok = (F.col("metric") == "DoseAtSubVolume") | F.col("input_unit").isin("%", "CC")
-    asked_d = found.filter(F.col("metric").isin("DoseAtVolume", "DoseAtSubVolume") & unit_ok).select(*key, percent.alias("volume_perc"))
-    asked_v = found.filter("metric = 'VolumeAtDose'").select(*key, F.col("input_value").alias("at_dose_gy"))
-    d = ev.dose_at_volume(sd, structures, asked_d).select(*key, "plan_id", F.col("dose_at_volume_gy").alias("raw"))
-    v = ev.volume_at_dose(sd, structures, asked_v).select(*key, "plan_id", F.col("volume_at_dose_perc").alias("raw"))
-    mean = ev.dose_statistics(sd, structures).join(
-        found.filter("metric = 'MeanDose'").select(*key), ["patient_id", "structure"]
-    ).select(*key, "plan_id", F.col("mean_dose_gy").alias("raw"))
+    kind = (
+        F.when(F.col("metric").isin("DoseAtVolume", "DoseAtSubVolume") & unit_ok, "D").when(F.col("metric") == "VolumeAtDose", "V")
+        .when(F.col("metric") == "MeanDose", "mean")
+    )
+    asked = found.select(*key, kind.alias("kind"), F.when(kind == "D", percent).otherwise(F.col("input_value")).alias("value"))
+    curve = ev.curve_metrics(
+        sd, structures, asked.filter("kind IS NOT NULL").withColumnRenamed("kind", "metric")
+    ).select(*key, "plan_id", "raw")
     asked_c = found.filter("metric = 'ConformationNumber'").select(*key, F.col("input_value").alias("ri"))
     hit = (F.col("dose_gy") >= F.col("ri")).cast("long")
     iso = grid_dose.join(asked_c, "patient_id").groupBy(*key, "plan_id").agg(F.sum(hit).alias("v_ri"))
@@ -289,7 +288,7 @@ def score_metrics(
         *key, "plan_id",
         F.when((F.col("tv") > 0) & (F.col("v_ri") > 0), F.col("tv_ri") * F.col("tv_ri") / (F.col("tv") * F.col("v_ri"))).alias("raw"),
     )
-    values = d.unionByName(v).unionByName(mean).unionByName(cn)
+    values = curve.unionByName(cn)
     known = ["VolumeAtDose", "DoseAtVolume", "MeanDose", "DoseAtSubVolume", "ConformationNumber"]
     status = (
         F.when(F.col("structure").isNull(), "missing_structure")

@@ -7,7 +7,7 @@ table with `volume_cc` and `frac_in_box` per structure.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosefold.functions.prefix import DOSE_BIN_GY, exact_quantiles, ordered_by_dose, weight_curve
@@ -27,51 +27,99 @@ def _with_fraction(df: DataFrame, structures: DataFrame) -> DataFrame:
 def dvh(sd: DataFrame, structures: DataFrame, keys: list[str] = KEYS, weighted: bool = True) -> DataFrame:
     """Cumulative dose-volume curve, one point per voxel plus the terminal zero point.
 
-    The unweighted form counts voxels and starts at one.
+    The unweighted form counts voxels and starts at one. A structure without voxels
+    has the single point (0, 0) when `structures` carries all keys.
     """
     if not weighted:
         sd = sd.withColumn("weight", F.lit(1.0))
         structures = structures.withColumn("frac_in_box", F.lit(1.0))
-    totals = sd.groupBy(*keys).agg(F.sum("weight").alias("total"), F.max("dose_gy").alias("top"))
-    totals = _with_fraction(totals, structures)
-    points = (
-        ordered_by_dose(sd, keys)
-        .join(totals, keys)
-        .select(
-            *keys, F.col("voxel_id"), F.col("dose_gy").alias("x"),
-            (F.col("frac") * (1 - F.col("below") / F.col("total"))).alias("y"),
-        )
-    )
-    terminal = totals.select(
-        *keys, F.lit(None).cast("long").alias("voxel_id"),
-        (F.col("top") + TERMINAL_GY).alias("x"), F.lit(0.0).alias("y"),
+    ranked = _with_fraction(ordered_by_dose(sd, keys), structures)
+    point = F.struct("voxel_id", F.col("dose_gy").alias("x"), (F.col("frac") * (1 - F.col("below") / F.col("total"))).alias("y"))
+    last = F.struct(
+        F.lit(None).cast("long").alias("voxel_id"), (F.col("top") + TERMINAL_GY).alias("x"), F.lit(0.0).alias("y")
     )
-    absent = (
-        structures.select(*[c for c in keys if c in structures.columns])
-        .join(sd.select(*keys).distinct(), [c for c in keys if c in structures.columns], "left_anti")
+    # the first voxel of a group also emits the group's terminal point
+    points = ranked.select(
+        *keys, F.inline(F.when(F.col("below") == 0, F.array(point, last)).otherwise(F.array(point)))
     )
-    if set(absent.columns) == set(keys):
-        terminal = terminal.unionByName(
-            absent.select(
-                *keys, F.lit(None).cast("long").alias("voxel_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")
-            )
+    if set(keys) <= set(structures.columns):
+        empty = structures.select(*keys).join(sd.select(*keys).distinct(), keys, "left_anti").select(
+            *keys, F.lit(None).cast("long").alias("voxel_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")
         )
-    return points.unionByName(terminal)
+        points = points.unionByName(empty)
+    return points
 
 
 def curve_corners(sd: DataFrame, structures: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """The same curve with tied doses folded: y at the first and at the last voxel of each dose."""
-    curve = weight_curve(sd, keys)
-    totals = _with_fraction(
-        sd.groupBy(*keys).agg(F.sum("weight").alias("total"), F.max("dose_gy").alias("top")), structures
-    )
-    return curve.join(totals, keys).select(
-        *keys, F.col("dose_gy").alias("x"), "frac", "top",
+    return _with_fraction(weight_curve(sd, keys), structures).select(
+        *keys, F.col("dose_gy").alias("x"), "w", "total", "frac", "top",
         (F.col("frac") * (1 - F.col("below") / F.col("total"))).alias("y_first"),
         (F.col("frac") * (1 - (F.col("below") + F.col("w") - F.col("w_last")) / F.col("total"))).alias("y_last"),
     )
 
 
+CORNER = {"x", "w", "total", "frac", "top", "y_first", "y_last"}
+
+
+def _dose_parts(v: Column) -> list[Column]:
+    """Aggregates that bracket volume `v` (percent) on curve corners."""
+    above = 100 * F.col("y_first") >= v
+    return [
+        F.max_by(F.when(above, F.struct("x", "y_last")), F.when(above, F.col("x"))).alias("lo"),
+        F.min_by(F.when(~above, F.struct("x", "y_first")), F.when(~above, F.col("x"))).alias("hi"),
+    ]
+
+
+def _dose_value(v: Column) -> Column:
+    x2 = F.coalesce(F.col("hi.x"), F.col("top") + TERMINAL_GY)
+    y1 = 100 * F.col("lo.y_last")
+    y2 = 100 * F.coalesce(F.col("hi.y_first"), F.lit(0.0))
+    between = F.col("lo.x") + (v - y1) * (x2 - F.col("lo.x")) / (y2 - y1)
+    return (
+        F.when((v > 100.1) | (v > 100 * F.col("frac")), 0.0).when(v < 0, F.col("top") + TERMINAL_GY)
+        .when(v >= y1, F.col("lo.x")).otherwise(between)
+    )
+
+
+def _volume_parts(at: Column, x: Column) -> list[Column]:
+    """Aggregates that bracket dose `at`."""
+    return [
+        F.coalesce(F.sum(F.when(x <= at, F.col("w"))), F.lit(0.0)).alias("upto"),
+        F.min(x).alias("bottom"), F.max(F.when(x <= at, x)).alias("x1"),
+        F.max_by(F.when(x <= at, F.col("w")), F.when(x <= at, x)).alias("w1"), F.min(F.when(x > at, x)).alias("x2"),
+    ]
+
+
+def _volume_value(at: Column) -> Column:
+    y1 = F.col("frac") * (1 - (F.col("upto") - F.col("w1")) / F.col("total"))
+    x2 = F.coalesce("x2", F.col("top") + TERMINAL_GY)
+    y2 = F.when(F.col("x2").isNull(), 0.0).otherwise(F.col("frac") * (1 - F.col("upto") / F.col("total")))
+    between = 100 * y1 + (at - F.col("x1")) * (100 * y2 - 100 * y1) / (x2 - F.col("x1"))
+    return F.when(at > F.col("top") + TERMINAL_GY, 0.0).when(at < F.col("bottom"), 100 * F.col("frac")).otherwise(between)
+
+
+def curve_metrics(sd: DataFrame, structures: DataFrame, requests: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Any mix of D(v), V(d), max and mean requests from one curve and one aggregate.
+
+    `requests`: structure (and patient_id where it matters), metric in D, V, max,
+    mean, and `value`; other columns identify the request. Adds `raw`.
+    """
+    asked = _requests(curve_corners(sd, structures, keys), requests, "value")
+    extra = [c for c in asked.columns if c not in {*keys} | CORNER]
+    v = F.col("value")
+    found = asked.groupBy(*keys, *extra).agg(
+        F.max("frac").alias("frac"), F.max("top").alias("top"), F.max("total").alias("total"),
+        F.sum(F.col("w") * F.col("x")).alias("weighted"), *_dose_parts(v), *_volume_parts(v, F.col("x")),
+    )
+    raw = (
+        F.when(F.col("metric") == "D", _dose_value(v)).when(F.col("metric") == "V", _volume_value(v))
+        .when(F.col("metric") == "max", F.col("top"))
+        .when(F.col("metric") == "mean", F.col("weighted") / F.col("total") * F.col("frac"))
+    )
+    return found.select(*keys, *extra, raw.alias("raw"))
+
+
 def _requests(df: DataFrame, values, column: str) -> DataFrame:
     """Attach requested values: a literal list fans out per row, a table joins on shared columns."""
     if isinstance(values, DataFrame):
@@ -86,26 +134,10 @@ def dose_at_volume(sd: DataFrame, structures: DataFrame, volumes, keys: list[str
     spans a structure.
     """
     asked = _requests(curve_corners(sd, structures, keys), volumes, "volume_perc")
-    extra = [c for c in asked.columns if c not in {*keys, "x", "frac", "top", "y_first", "y_last"}]
+    extra = [c for c in asked.columns if c not in {*keys} | CORNER]
     v = F.col("volume_perc")
-    above = 100 * F.col("y_first") >= v
-    found = asked.groupBy(*keys, *extra).agg(
-        F.max("frac").alias("frac"), F.max("top").alias("top"),
-        F.max_by(F.when(above, F.struct("x", "y_last")), F.when(above, F.col("x"))).alias("lo"),
-        F.min_by(F.when(~above, F.struct("x", "y_first")), F.when(~above, F.col("x"))).alias("hi"),
-    )
-    x2 = F.coalesce(F.col("hi.x"), F.col("top") + TERMINAL_GY)
-    y1 = 100 * F.col("lo.y_last")
-    y2 = 100 * F.coalesce(F.col("hi.y_first"), F.lit(0.0))
-    between = F.col("lo.x") + (v - y1) * (x2 - F.col("lo.x")) / (y2 - y1)
-    return found.select(
-        *keys, *extra,
-        F.when((v > 100.1) | (v > 100 * F.col("frac")), 0.0)
-        .when(v < 0, F.col("top") + TERMINAL_GY)
-        .when(v >= y1, F.col("lo.x"))
-        .otherwise(between)
-        .alias("dose_at_volume_gy"),
-    )
+    found = asked.groupBy(*keys, *extra).agg(F.max("frac").alias("frac"), F.max("top").alias("top"), *_dose_parts(v))
+    return found.select(*keys, *extra, _dose_value(v).alias("dose_at_volume_gy"))
 
 
 def volume_at_dose(sd: DataFrame, structures: DataFrame, doses, keys: list[str] = KEYS) -> DataFrame:
@@ -113,28 +145,14 @@ def volume_at_dose(sd: DataFrame, structures: DataFrame, doses, keys: list[str]
     distinct = sd.groupBy(*keys, "dose_gy").agg(F.sum("weight").alias("w"))
     asked = _requests(distinct, doses, "at_dose_gy")
     extra = [c for c in asked.columns if c not in {*keys, "dose_gy", "w"}]
-    at, x = F.col("at_dose_gy"), F.col("dose_gy")
+    at = F.col("at_dose_gy")
     found = _with_fraction(
         asked.groupBy(*keys, *extra).agg(
-            F.sum("w").alias("total"), F.max("dose_gy").alias("top"), F.min("dose_gy").alias("bottom"),
-            F.coalesce(F.sum(F.when(x <= at, F.col("w"))), F.lit(0.0)).alias("upto"),
-            F.max(F.when(x <= at, x)).alias("x1"),
-            F.max_by(F.when(x <= at, F.col("w")), F.when(x <= at, x)).alias("w1"),
-            F.min(F.when(x > at, x)).alias("x2"),
+            F.sum("w").alias("total"), F.max("dose_gy").alias("top"), *_volume_parts(at, F.col("dose_gy"))
         ),
         structures,
     )
-    y1 = F.col("frac") * (1 - (F.col("upto") - F.col("w1")) / F.col("total"))
-    x2 = F.coalesce("x2", F.col("top") + TERMINAL_GY)
-    y2 = F.when(F.col("x2").isNull(), 0.0).otherwise(F.col("frac") * (1 - F.col("upto") / F.col("total")))
-    between = 100 * y1 + (at - F.col("x1")) * (100 * y2 - 100 * y1) / (x2 - F.col("x1"))
-    return found.select(
-        *keys, *extra,
-        F.when(at > F.col("top") + TERMINAL_GY, 0.0)
-        .when(at < F.col("bottom"), 100 * F.col("frac"))
-        .otherwise(between)
-        .alias("volume_at_dose_perc"),
-    )
+    return found.select(*keys, *extra, _volume_value(at).alias("volume_at_dose_perc"))
 
 
 def dose_statistics(sd: DataFrame, structures: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -242,9 +260,7 @@ def isodose_volumes(sd: DataFrame, prescription_gy: float, keys: list[str] = KEY
 
 def _tail_side(sd: DataFrame, requests: DataFrame, structures: DataFrame, keys: list[str]) -> DataFrame:
     """Voxels with the weight before them on the side each request counts from."""
-    totals = sd.groupBy(*keys).agg(F.sum("weight").alias("total"))
-    ranked = ordered_by_dose(sd, keys).join(totals, keys)
-    asked = _with_fraction(ranked, structures).join(requests, "structure")
+    asked = _with_fraction(ordered_by_dose(sd, keys), structures).join(requests, "structure")
     share = F.col("volume_perc") / F.col("frac")
     return asked.withColumn("share_perc", share)
 
@@ -316,9 +332,13 @@ def smoothed_dvh(labelled: DataFrame, keys: list[str], n_bins: int = 351, top_gy
 
 
 def structure_dose_summary(sd: DataFrame, structures: DataFrame, dose_gy: float = 20.0, volume_perc: float = 95.0) -> DataFrame:
-    """Flagship report: max, mean, V(dose) and D(volume) per patient, plan and structure."""
-    return (
-        dose_statistics(sd, structures)
-        .join(volume_at_dose(sd, structures, [dose_gy]).drop("at_dose_gy"), KEYS)
-        .join(dose_at_volume(sd, structures, [volume_perc]).drop("volume_perc"), KEYS)
+    """Flagship report: max, mean, V(dose) and D(volume) per patient, plan and structure from one curve."""
+    v, at = F.lit(float(volume_perc)), F.lit(float(dose_gy))
+    found = curve_corners(sd, structures).groupBy(*KEYS).agg(
+        F.max("frac").alias("frac"), F.max("top").alias("top"), F.max("total").alias("total"),
+        F.sum(F.col("w") * F.col("x")).alias("weighted"), *_dose_parts(v), *_volume_parts(at, F.col("x")),
+    )
+    return found.select(
+        *KEYS, F.col("top").alias("max_dose_gy"), (F.col("weighted") / F.col("total") * F.col("frac")).alias("mean_dose_gy"),
+        _volume_value(at).alias("volume_at_dose_perc"), _dose_value(v).alias("dose_at_volume_gy"),
     )

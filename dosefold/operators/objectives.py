@@ -162,13 +162,13 @@ def best_row_segments(scores: DataFrame, keys: list[str]) -> DataFrame:
     prefix = scores.withColumn("p", F.sum("score").over(line))
     past = line.rowsBetween(Window.unboundedPreceding, -1)
     first = F.min("col").over(Window.partitionBy(*keys, "row"))
-    top = F.max(F.struct("p", (-F.col("col")).alias("neg"))).over(past)
-    ranked = prefix.select(
+    top = F.max(F.struct("p", (-F.col("col")).alias("neg"), "next_col")).over(past)
+    ranked = prefix.withColumn("next_col", F.lead("col").over(line)).select(
         *keys, "row", "col", "p", first.alias("c0"), top.alias("top")
     ).select(
         *keys, "row", "col",
         (F.col("p") - F.greatest(F.coalesce("top.p", F.lit(0.0)), F.lit(0.0))).alias("value"),
-        F.when(F.col("top.p") > 0, -F.col("top.neg") + 1).otherwise(F.col("c0")).alias("start"),
+        F.when(F.col("top.p") > 0, F.col("top.next_col")).otherwise(F.col("c0")).alias("start"),
     )
     best = ranked.groupBy(*keys, "row").agg(F.min(F.struct("value", "col", "start")).alias("b"))
     open_row = F.col("b.value") < 0

@@ -12,7 +12,7 @@ from dosefold.plans.registry import query
 POINT_SQL = "o_pt0 AS (SELECT beam_id, beam_id // 4 + 1 AS arc_id, beam_id % 4 AS position FROM (SELECT DISTINCT beam_id FROM v_beamlet))"
 MU_SQL = "o_mu AS (SELECT beam_id, CASE WHEN beam_id = 5 THEN 0.0::double ELSE (min(local_id) + beam_id) % 7 + 1.0::double END AS mu FROM v_beamlet GROUP BY beam_id)"
 LEAF_SQL = "o_leaf AS (SELECT b.beam_id, b.row_idx AS row, min(b.col_idx) - 1 AS l, max(b.col_idx) + 1 AS r FROM v_beamlet b JOIN v_fluence f ON f.beamlet_id = b.beamlet_id AND f.plan_id = 'A' WHERE f.intensity >= 20 GROUP BY 1, 2)"
-OPEN_SQL = f"""{MU_SQL}, o_open AS (SELECT b.beam_id, b.row_idx AS row, b.col_idx AS col, b.beamlet_id, f.intensity * m.mu / 40 AS weight, m.mu, CASE WHEN m.mu > 0 THEN least(1.0, f.intensity * m.mu / 40 / m.mu) ELSE 0 END AS open
+OPEN_SQL = f"""{MU_SQL}, o_open AS (SELECT b.beam_id, b.row_idx AS row, b.col_idx AS col, b.beamlet_id, f.intensity * m.mu / 32 AS weight, m.mu, CASE WHEN m.mu > 0 THEN least(1.0, f.intensity * m.mu / 32 / m.mu) ELSE 0 END AS open
  FROM v_beamlet b JOIN v_fluence f ON f.beamlet_id = b.beamlet_id AND f.plan_id = 'A' JOIN o_mu m ON m.beam_id = b.beam_id)"""
 
 
@@ -33,7 +33,7 @@ def leaves(t):
 
 def weights(t):
     w = t.unit_cell.join(t.fluence.filter("plan_id = 'A'"), "beamlet_id").join(units(t), "beam_id")
-    return w.select("beam_id", "row", "col", "beamlet_id", (F.col("intensity") * F.col("mu") / 40).alias("weight"))
+    return w.select("beam_id", "row", "col", "beamlet_id", (F.col("intensity") * F.col("mu") / 32).alias("weight"))
 
 
 def gantry(t):

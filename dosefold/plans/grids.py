@@ -148,7 +148,7 @@ KNOT_SQL = "o_k(x, y) AS (VALUES " + ", ".join(f"({x}::double, {y}::double)" for
 
 
 @query("hu_to_density", f"""{KNOT_SQL} SELECT v.patient_id, v.voxel_id, {S6.format('least(1, greatest(0, (y1 + (h - x1) * ((y2 - y1) / (x2 - x1))) / 3.79::double))')} AS density
-FROM (SELECT patient_id, voxel_id, hu * 3.0::double AS h FROM v_voxel) v JOIN o_kk k ON v.h > k.x1 AND v.h <= k.x2""")
+FROM (SELECT patient_id, voxel_id, hu * 3.0::double AS h FROM v_voxel) v JOIN o_kk k ON (v.h > k.x1 OR k.x1 = -3000) AND v.h <= k.x2""")
 def hu_to_density(t):
     return t.voxel.select("patient_id", "voxel_id", snap(vx.hu_to_density(F.col("hu") * 3)).alias("density"))
 
