@@ -24,3 +24,15 @@ def clamp(value: Column, low, high) -> Column:
 def literal_structs(names: list[str], data: list[tuple]) -> Column:
     """An array literal of structs, for exploding a fixed offset list per row."""
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in data])
+
+
+def scan_code(*indices: Column) -> Column:
+    """One long that orders grid indices (outermost first, each below 2^20).
+
+    A fixed-width order key keeps max_by and min_by in hash aggregation; a struct
+    key would force a sort.
+    """
+    code = indices[0].cast("long")
+    for index in indices[1:]:
+        code = F.shiftleft(code, 20) + index
+    return code

@@ -11,10 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DOSE_BIN_GY = 0.05
+DOSE_BIN_GY = 0.25
 VOXEL_CHUNK = 65536
 
 
+INT_MIN = -(2**31)
+
+
+def _shared_sum(df: DataFrame, value: str) -> Column:
+    """Sum of `value` that depends on all columns, so none is pruned (every hash is at least INT_MIN)."""
+    return F.sum(F.when(F.hash(*df.columns) >= INT_MIN, F.col(value)))
+
+
 def running_before(
     df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, out: str, totals: bool = False
 ) -> DataFrame:
@@ -23,6 +31,10 @@ def running_before(
     `bucket` must be non-decreasing along `order`, and `order` unique within keys.
     With `totals`, the group's sum and its largest first order column come along as
     `total` and `top`, read off the bucket table.
+
+    The bucket totals and the detail rows come from the same input. `_shared_sum`
+    reads every column, so both sides ask for the same shuffle and Spark reuses it
+    instead of computing the input twice.
     """
     marked = df.withColumn("_bucket", bucket)
     over_buckets = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -30,7 +42,7 @@ def running_before(
     extra = [F.sum("_total").over(group).alias("total"), F.max("_top").over(group).alias("top")] if totals else []
     bases = (
         marked.groupBy(*keys, "_bucket")
-        .agg(F.sum(value).alias("_total"), F.max(order[0]).alias("_top"))
+        .agg(_shared_sum(df, value).alias("_total"), F.max(order[0]).alias("_top"))
         .select(*keys, "_bucket", F.coalesce(F.sum("_total").over(over_buckets), F.lit(0)).alias("_base"), *extra)
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -61,18 +73,17 @@ def dose_bucket(dose: str = "dose_gy", width: float = DOSE_BIN_GY) -> Column:
     return F.floor(F.col(dose) / width)
 
 
-def weight_curve(df: DataFrame, keys: list[str], dose: str = "dose_gy", weight: str = "weight") -> DataFrame:
+def weight_curve(
+    df: DataFrame, keys: list[str], dose: str = "dose_gy", weight: str = "weight", last: bool = True
+) -> DataFrame:
     """One row per distinct dose: its weight, the weight below it and its last voxel's weight,
-    with the group's `total` weight and `top` dose.
+    with the group's `total` weight and `top` dose. `w_last` is left out on request.
 
     Ties collapse in the map-side aggregate, so a dose shared by most voxels
     (zero, typically) costs one row.
     """
-    distinct = df.groupBy(*keys, dose).agg(
-        F.sum(weight).alias("w"),
-        F.count(F.lit(1)).alias("n"),
-        F.max_by(weight, "voxel_id").alias("w_last"),
-    )
+    parts = [F.sum(weight).alias("w")] + ([F.max_by(weight, "voxel_id").alias("w_last")] if last else [])
+    distinct = df.groupBy(*keys, dose).agg(*parts)
     return running_before(distinct, keys, dose_bucket(dose), [dose], "w", "below", totals=True)
 
 
@@ -81,7 +92,7 @@ def ordered_by_dose(df: DataFrame, keys: list[str], dose: str = "dose_gy", weigh
     ties = running_before(
         df, [*keys, dose], F.floor(F.col("voxel_id") / VOXEL_CHUNK), ["voxel_id"], weight, "_tied_before"
     )
-    base = weight_curve(df, keys, dose, weight).select(*keys, dose, F.col("below").alias("_below_dose"), "total", "top")
+    base = weight_curve(df, keys, dose, weight, last=False).select(*keys, dose, F.col("below").alias("_below_dose"), "total", "top")
     return (
         ties.join(base, [*keys, dose])
         .withColumn("below", F.col("_below_dose") + F.col("_tied_before"))

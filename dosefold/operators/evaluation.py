@@ -66,19 +66,21 @@ def _dose_parts(v: Column) -> list[Column]:
     """Aggregates that bracket volume `v` (percent) on curve corners."""
     above = 100 * F.col("y_first") >= v
     return [
-        F.max_by(F.when(above, F.struct("x", "y_last")), F.when(above, F.col("x"))).alias("lo"),
-        F.min_by(F.when(~above, F.struct("x", "y_first")), F.when(~above, F.col("x"))).alias("hi"),
+        F.max(F.when(above, F.col("x"))).alias("lo_x"),
+        F.max_by(F.when(above, F.col("y_last")), F.when(above, F.col("x"))).alias("lo_y"),
+        F.min(F.when(~above, F.col("x"))).alias("hi_x"),
+        F.min_by(F.when(~above, F.col("y_first")), F.when(~above, F.col("x"))).alias("hi_y"),
     ]
 
 
 def _dose_value(v: Column) -> Column:
-    x2 = F.coalesce(F.col("hi.x"), F.col("top") + TERMINAL_GY)
-    y1 = 100 * F.col("lo.y_last")
-    y2 = 100 * F.coalesce(F.col("hi.y_first"), F.lit(0.0))
-    between = F.col("lo.x") + (v - y1) * (x2 - F.col("lo.x")) / (y2 - y1)
+    x2 = F.coalesce(F.col("hi_x"), F.col("top") + TERMINAL_GY)
+    y1 = 100 * F.col("lo_y")
+    y2 = 100 * F.coalesce(F.col("hi_y"), F.lit(0.0))
+    between = F.col("lo_x") + (v - y1) * (x2 - F.col("lo_x")) / (y2 - y1)
     return (
         F.when((v > 100.1) | (v > 100 * F.col("frac")), 0.0).when(v < 0, F.col("top") + TERMINAL_GY)
-        .when(v >= y1, F.col("lo.x")).otherwise(between)
+        .when(v >= y1, F.col("lo_x")).otherwise(between)
     )
 
 

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosefold.functions.numeric import clamp, literal_structs
+from dosefold.functions.numeric import clamp, literal_structs, scan_code
 
 
 def downsample_map(ct: DataFrame, block_xyz: tuple[int, int, int], size_xyz: tuple[int, int, int]) -> DataFrame:
@@ -111,7 +111,7 @@ def dose_to_grid(ct: DataFrame, dose: DataFrame) -> DataFrame:
 def grid_to_dose(ct: DataFrame, grid: DataFrame, value: str = "dose_gy") -> DataFrame:
     """Dose vector from the grid; the last cell in z, y, x order gives the value."""
     return ct.filter(F.col("voxel_id").isNotNull()).select(*CELL, "voxel_id").join(grid, CELL).groupBy(
-        "patient_id", "voxel_id").agg(F.max_by(value, F.struct("iz", "iy", "ix")).alias(value))
+        "patient_id", "voxel_id").agg(F.max_by(value, scan_code(F.col("iz"), F.col("iy"), F.col("ix"))).alias(value))
 
 
 def crop_box(grid: DataFrame, start_mm: tuple, end_mm: tuple, origin: tuple, spacing: tuple) -> DataFrame:

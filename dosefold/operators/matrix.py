@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosefold.functions.numeric import clamp
+from dosefold.functions.numeric import clamp, scan_code
 from dosefold.functions.prefix import running_before
 
 
@@ -65,7 +65,7 @@ def finest_grid(beamlets: DataFrame, beam: list[str] = BEAM) -> DataFrame:
         "col", F.explode(F.expr("sequence(c0, c0 + nc - 1)"))
     ).filter((F.col("row") < F.col("rows")) & (F.col("col") < F.col("cols")))
     return painted.groupBy(*beam, "row", "col").agg(
-        F.max_by("beamlet_id", F.struct("r0", "c0")).alias("beamlet_id")
+        F.max_by("beamlet_id", scan_code(F.col("r0"), F.col("c0"))).alias("beamlet_id")
     )
 
 
@@ -302,7 +302,7 @@ def fluence_to_grid(fluence: DataFrame, cells: DataFrame) -> DataFrame:
 
 def grid_to_fluence(grid: DataFrame, keys: list[str]) -> DataFrame:
     """Cells back to beamlets; the last cell in row-major order gives the value."""
-    return grid.groupBy(*keys, "beamlet_id").agg(F.max_by("intensity", F.struct("row", "col")).alias("intensity"))
+    return grid.groupBy(*keys, "beamlet_id").agg(F.max_by("intensity", scan_code(F.col("row"), F.col("col"))).alias("intensity"))
 
 
 def fluence_transfer(coarse: DataFrame, coarse_cells: DataFrame, fine_cells: DataFrame, beam: list[str] = BEAM) -> DataFrame:
@@ -377,7 +377,7 @@ def dose_correction(
 
 def first_column_lookup(cells: DataFrame, wanted: DataFrame, beam: list[str] = BEAM, default: float | None = None) -> DataFrame:
     """Column of the first row-major occurrence of each wanted id."""
-    first = cells.groupBy(*beam, "beamlet_id").agg(F.min_by("col", F.struct("row", "col")).alias("col"))
+    first = cells.groupBy(*beam, "beamlet_id").agg(F.min_by("col", scan_code(F.col("row"), F.col("col"))).alias("col"))
     return wanted.join(first, [*beam, "beamlet_id"], "left").withColumn(
         "first_col", F.coalesce(F.col("col").cast("double"), F.lit(default).cast("double"))
     ).drop("col")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosefold.functions import runs as rl
-from dosefold.functions.numeric import rows
+from dosefold.functions.numeric import rows, scan_code
 from dosefold.functions.prefix import running_before
 from dosefold.session import cut_lineage
 
@@ -275,7 +275,7 @@ def connected_regions(structures: DataFrame, max_rounds: int = 60) -> DataFrame:
     rounds; every round is written to the checkpoint folder.
     """
     keys = ["patient_id", "structure"]
-    nodes = rl.to_runs(structures, keys).withColumn("node", rl.row_code(F.col("iz"), F.col("iy"), F.col("x1")))
+    nodes = rl.to_runs(structures, keys).withColumn("node", scan_code(F.col("iz"), F.col("iy"), F.col("x1")))
     nodes = cut_lineage(nodes)
     there = nodes.select(*keys, "iz", "iy", F.col("x1").alias("u1"), F.col("x2").alias("u2"), F.col("node").alias("other"))
     steps = F.array(*[F.struct(F.lit(z).alias("dz"), F.lit(y).alias("dy")) for z, y in ((1, 0), (0, 1))])

@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", name: str = "dosefold") -> SparkSession
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("DOSEFOLD_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
