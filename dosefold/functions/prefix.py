@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DOSE_BIN_GY = 0.25
+DOSE_BIN_GY = 1.0
+DOSE_BIN_SETTING = "dosefold.dose.bin.gy"
 VOXEL_CHUNK = 65536
 
 
@@ -69,7 +70,9 @@ def running_min_before(df: DataFrame, keys: list[str], bucket: Column, order: li
     )
 
 
-def dose_bucket(dose: str = "dose_gy", width: float = DOSE_BIN_GY) -> Column:
+def dose_bucket(df: DataFrame, dose: str = "dose_gy") -> Column:
+    """Dose bins of 1 Gy; a session with billions of voxels in one structure can set narrower ones."""
+    width = float(df.sparkSession.conf.get(DOSE_BIN_SETTING, str(DOSE_BIN_GY)))
     return F.floor(F.col(dose) / width)
 
 
@@ -84,7 +87,7 @@ def weight_curve(
     """
     parts = [F.sum(weight).alias("w")] + ([F.max_by(weight, "voxel_id").alias("w_last")] if last else [])
     distinct = df.groupBy(*keys, dose).agg(*parts)
-    return running_before(distinct, keys, dose_bucket(dose), [dose], "w", "below", totals=True)
+    return running_before(distinct, keys, dose_bucket(distinct, dose), [dose], "w", "below", totals=True)
 
 
 def ordered_by_dose(df: DataFrame, keys: list[str], dose: str = "dose_gy", weight: str = "weight") -> DataFrame:

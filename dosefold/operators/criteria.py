@@ -253,15 +253,15 @@ def interpolate_score(value: Column, points: Column) -> Column:
 
 
 def score_metrics(
-    items: DataFrame, sd: DataFrame, grid_dose: DataFrame, members: DataFrame, structures: DataFrame, prescription_gy: float
+    items: DataFrame, sd: DataFrame, grid_dose: DataFrame, members: DataFrame, structures: DataFrame, prescription_gy: float,
+    plan_ids: list[str],
 ) -> DataFrame:
     """Metric value and status of each scorecard item and plan.
 
     Items are keyed by patient with `structure` already resolved (NULL if absent):
     patient_id, item_id, structure, metric, input_value, input_unit, points.
     """
-    plans = grid_dose.select("patient_id", "plan_id").distinct()
-    base = items.join(plans, "patient_id").join(
+    base = items.withColumn("plan_id", F.explode(F.array(*[F.lit(p) for p in plan_ids]))).join(
         structures.select("patient_id", "structure", "volume_cc"), ["patient_id", "structure"], "left"
     )
     found = items.filter(F.col("structure").isNotNull()).join(

@@ -166,15 +166,29 @@ def corner_weights(targets: DataFrame, keys: list[str]) -> DataFrame:
     ).filter("w > 0")
 
 
-def resample_linear(targets: DataFrame, source: DataFrame, keys: list[str], value: str, default: float = 0.0) -> DataFrame:
+def resample_linear(
+    targets: DataFrame, source: DataFrame, keys: list[str], value: str, default: float = 0.0, zero_padding: bool = False
+) -> DataFrame:
     """Trilinear value at fractional source indices fx, fy, fz; `default` where a needed cell is missing.
 
-    `keys` identify a target and include patient_id.
+    `keys` identify a target and include patient_id. With `zero_padding` missing
+    cells count as zero instead.
     """
     joined = corner_weights(targets, keys).join(source.select(*CELL, F.col(value).alias("_v")), CELL, "left")
-    return joined.groupBy(*keys).agg(
-        F.when(F.count("_v") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("_v"))).otherwise(default).alias(value)
-    )
+    total = F.sum(F.col("w") * F.coalesce("_v", F.lit(0.0)))
+    if zero_padding:
+        return joined.groupBy(*keys).agg(total.alias(value))
+    return joined.groupBy(*keys).agg(F.when(F.count("_v") == F.count(F.lit(1)), total).otherwise(default).alias(value))
+
+
+def resize_targets(cells: DataFrame, size: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
+    """Targets jx, jy, jz of a grid resized by pixel areas, with mirrored source indices at the edges."""
+    for name, n in zip(("jz", "jy", "jx"), reversed(target)):
+        cells = cells.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    for f, j, n, m in zip(("fx", "fy", "fz"), ("jx", "jy", "jz"), size, target):
+        at = F.abs((F.col(j) + 0.5) * (n / m) - 0.5)
+        cells = cells.withColumn(f, F.when(at > n - 1, 2.0 * (n - 1) - at).otherwise(at))
+    return cells
 
 
 def resample_nearest(targets: DataFrame, source: DataFrame, keys: list[str], value: str, default: float = 0.0) -> DataFrame:

@@ -44,6 +44,23 @@ def training_features(
     )
 
 
+def resize_features(features: DataFrame, start_xy: tuple[int, int], size: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
+    """Training features on a fixed grid: linear CT, dose and open field, nearest label and target.
+
+    `size` is the cropped grid starting at `start_xy`. All linear channels share one
+    join of the eight source cells.
+    """
+    local = features.withColumn("ix", F.col("ix") - start_xy[0]).withColumn("iy", F.col("iy") - start_xy[1])
+    keys = ["patient_id", "jx", "jy", "jz"]
+    targets = vx.resize_targets(local.select("patient_id").distinct(), size, target)
+    smooth = ["ct_norm", "dose_gy", "open_field_gy"]
+    linear = vx.corner_weights(targets, keys).join(local.select(*CELL, *smooth), CELL).groupBy(*keys).agg(
+        *[F.sum(F.col("w") * F.col(c)).alias(c) for c in smooth]
+    )
+    at = targets.select(*keys, *[F.floor(F.col(f) + 0.5).cast("long").alias(i) for f, i in zip(("fx", "fy", "fz"), ("ix", "iy", "iz"))])
+    return linear.join(at.join(local.select(*CELL, "label", "target"), CELL).drop("ix", "iy", "iz"), keys)
+
+
 def beamlet_samples(
     influence: DataFrame, framed: DataFrame, beamlets: DataFrame, beams: DataFrame, radius_mm: float, fraction: float = 0.001
 ) -> DataFrame:

@@ -72,7 +72,7 @@ OK_SQL = C_SQL + ", o_ok AS (SELECT * FROM o_crit WHERE v >= 0)"
 
 
 def protocol(t, data=PROTOCOL):
-    patients = t.structure.select("patient_id").distinct()
+    patients = t.voxel.select("patient_id").distinct()
     template = F.broadcast(rows(t.spark, SCHEMA, data)).withColumn("_all", F.lit(1))
     return patients.withColumn("_all", F.lit(1)).join(template, "_all").withColumn(
         "bound_value", F.coalesce("txt", (F.col("num") + F.col("patient_id") % 3).cast("string"))
@@ -229,7 +229,7 @@ ITEM_SCHEMA = "item_id long, requested string, metric string, input_value double
 
 def score_items(t):
     """Card items per patient with resolved structure names."""
-    patients = t.structure.select("patient_id").distinct().withColumn("_all", F.lit(1))
+    patients = t.voxel.select("patient_id").distinct().withColumn("_all", F.lit(1))
     asked = patients.join(F.broadcast(rows(t.spark, ITEM_SCHEMA, ITEMS)).withColumn("_all", F.lit(1)), "_all").drop("_all")
     names = st.resolve_names(asked, t.structure, {"SPINALCORD": "CORD"})
     return names.withColumnRenamed("actual", "structure")
@@ -259,7 +259,7 @@ o_scored AS (SELECT i.patient_id, i.plan_id, i.item_id, i.requested, i.metric, m
 
 
 def scored(t):
-    return cr.score_metrics(score_items(t), t.structure_dose, t.dose, t.structure_voxel, t.structure, RX)
+    return cr.score_metrics(score_items(t), t.structure_dose, t.dose, t.structure_voxel, t.structure, RX, ["A", "B"])
 
 
 @query("score_metric", f"{SCORE_SQL} SELECT patient_id, plan_id, item_id, requested, metric, {S6.format('metric_value')} AS metric_value, status FROM o_scored")

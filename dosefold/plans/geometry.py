@@ -123,6 +123,28 @@ def radiological_depth(t):
     return r.withColumn("depth_mm", snap(F.col("depth_mm")))
 
 
+DIRECTION = (0.37, -0.21, 0.83)
+TURN = ge.axis_rotation(DIRECTION)
+
+
+def _turn_sql(name, source, rotation):
+    q = [f"({r[0]!r}::double * x + {r[1]!r}::double * y + {r[2]!r}::double * z + 1) * {h}" for r, h in zip(rotation, ("12.0::double", "9.5::double", "1.0::double"))]
+    return f"""{name}_f AS (SELECT patient_id, ix AS jx, iy AS jy, iz AS jz, {q[0]} AS fx, {q[1]} AS fy, {q[2]} AS fz FROM (SELECT *, ix * (2.0::double / 24) - 1 AS x, iy * (2.0::double / 19) - 1 AS y, iz * 1.0::double - 1 AS z FROM {source})),
+{name}_c AS (SELECT patient_id, jx, jy, jz, floor(fx)::bigint + a.a AS ix, floor(fy)::bigint + b.b AS iy, floor(fz)::bigint + c.c AS iz,
+ (CASE a.a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE b.b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE c.c WHEN 1 THEN fz - floor(fz) ELSE 1 - fz + floor(fz) END) AS w
+ FROM {name}_f CROSS JOIN (VALUES (0), (1)) a(a) CROSS JOIN (VALUES (0), (1)) b(b) CROSS JOIN (VALUES (0), (1)) c(c))"""
+
+
+@query("radiological_depth_along", f"""o_rho AS (SELECT patient_id, ix, iy, iz, CASE WHEN hu > -500 THEN least(greatest(hu + 1000, 0), 3000) / 1000.0::double ELSE 0 END AS rho FROM v_voxel),
+{_turn_sql('o_t', 'v_voxel', TURN)}, o_turned AS (SELECT c.patient_id, jx, jy, jz, sum(w * coalesce(r.rho, 0)) AS rho FROM o_t_c c LEFT JOIN o_rho r USING (patient_id, ix, iy, iz) GROUP BY 1, 2, 3, 4),
+o_cum AS (SELECT patient_id, jx AS ix, jy AS iy, jz AS iz, 3 * sum(rho) OVER (PARTITION BY patient_id, jx, jy ORDER BY jz DESC) AS d FROM o_turned),
+o_body AS (SELECT * FROM v_voxel WHERE hu > -500), {_turn_sql('o_h', 'o_body', list(zip(*TURN)))}
+SELECT c.patient_id, jx AS ix, jy AS iy, jz AS iz, {S4.format('sum(w * coalesce(s.d, 0))')} AS depth_mm FROM o_h_c c LEFT JOIN o_cum s USING (patient_id, ix, iy, iz) GROUP BY 1, 2, 3, 4""")
+def radiological_depth_along(t):
+    r = ge.radiological_depth_along(t.voxel, t.voxel.filter("hu > -500"), DIRECTION, (25, 20, 3), 3.0)
+    return r.withColumn("depth_mm", snap(F.col("depth_mm"), 4))
+
+
 @query("beamlet_grid_from_structure", f"""{FRAME_SQL}, o_e AS (SELECT patient_id, beam_id, greatest(min(xp * (1000 / (1000 + yp))) - 5, -28) AS x1, least(max(xp * (1000 / (1000 + yp))) + 5, 26) AS x2, greatest(min(zp * (1000 / (1000 + yp))) - 5, -20) AS y1, least(max(zp * (1000 / (1000 + yp))) + 5, 33) AS y2
   FROM o_fr JOIN v_structure_voxel s USING (patient_id, voxel_id) WHERE s.structure = 'GTV' GROUP BY 1, 2),
 o_n AS (SELECT *, ceil((x2 - x1 - 2.5::double + 1e-9) / 2.5::double)::bigint AS nx, ceil((y2 - y1 - 5 + 1e-9) / 5)::bigint AS ny FROM o_e)

@@ -37,6 +37,21 @@ def training_features(t):
     return r.select("patient_id", "ix", "iy", "iz", snap(F.col("ct_norm")).alias("ct_norm"), snap(F.col("dose_gy")).alias("dose_gy"), "label", "target", snap(F.col("open_field_gy")).alias("open_field_gy"))
 
 
+@query("training_features_resized", f"""{FEATURE_SQL},
+o_tg AS (SELECT p.patient_id, x.range AS jx, y.range AS jy, z.range AS jz, abs((x.range + 0.5::double) * (21.0::double / 9) - 0.5) AS fx, abs((y.range + 0.5::double) * (15.0::double / 7) - 0.5) AS fy, abs((z.range + 0.5::double) * (3.0::double / 8) - 0.5) AS z0
+  FROM (SELECT DISTINCT patient_id FROM o_feat) p CROSS JOIN range(9) x CROSS JOIN range(7) y CROSS JOIN range(8) z),
+o_tm AS (SELECT *, CASE WHEN z0 > 2 THEN 4 - z0 ELSE z0 END AS fz FROM o_tg),
+o_cw AS (SELECT t.*, floor(fx)::bigint + a.a AS ix, floor(fy)::bigint + b.b AS iy, floor(fz)::bigint + c.c AS iz,
+ (CASE a.a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE b.b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE c.c WHEN 1 THEN fz - floor(fz) ELSE 1 - fz + floor(fz) END) AS w
+ FROM o_tm t CROSS JOIN (VALUES (0), (1)) a(a) CROSS JOIN (VALUES (0), (1)) b(b) CROSS JOIN (VALUES (0), (1)) c(c)),
+o_ln AS (SELECT c.patient_id, jx, jy, jz, sum(w * ct_norm) AS ct_norm, sum(w * dose_gy) AS dose_gy, sum(w * open_field) AS open_field FROM o_cw c JOIN o_feat f ON f.patient_id = c.patient_id AND f.ix = c.ix + 2 AND f.iy = c.iy + 3 AND f.iz = c.iz GROUP BY 1, 2, 3, 4)
+SELECT l.patient_id, l.jx, l.jy, l.jz, {S4.format('l.ct_norm')} AS ct_norm, {S4.format('l.dose_gy')} AS dose_gy, {S4.format('l.open_field')} AS open_field_gy, f.label, f.target
+FROM o_ln l JOIN o_tm t USING (patient_id, jx, jy, jz) JOIN o_feat f ON f.patient_id = t.patient_id AND f.ix = floor(t.fx + 0.5)::bigint + 2 AND f.iy = floor(t.fy + 0.5)::bigint + 3 AND f.iz = floor(t.fz + 0.5)::bigint""")
+def training_features_resized(t):
+    r = ml.resize_features(features(t), (2, 3), (21, 15, 3), (9, 7, 8))
+    return r.select("patient_id", "jx", "jy", "jz", *[snap(F.col(c), 4).alias(c) for c in ("ct_norm", "dose_gy", "open_field_gy")], "label", "target")
+
+
 SAMPLE_SQL = f"""{pg.FRAME_SQL}, o_ch AS (SELECT patient_id, beam_id FROM o_b8 WHERE (beam_id * 45 - (patient_id * 7 + 42) % 12 * 5) % 60 = 0),
 o_tail AS (SELECT i.*, b.beam_id, b.x_mm, b.y_mm, max(i.a_int) OVER (PARTITION BY i.patient_id, i.beamlet_id) AS top FROM v_influence i JOIN v_beamlet b USING (beamlet_id)),
 o_pair AS (SELECT t.patient_id, t.beam_id, t.beamlet_id, t.voxel_id, t.a_int, f.hu, {pg.D1} AS d1, {pg.R2} AS r2 FROM o_tail t JOIN o_ch c USING (patient_id, beam_id) JOIN o_fr f ON f.patient_id = t.patient_id AND f.beam_id = t.beam_id AND f.voxel_id = t.voxel_id WHERE t.a_int > t.top * 0.3::double),
@@ -203,13 +218,36 @@ def augment_affine(t):
     return r.select("patient_id", "jx", "jy", "jz", snap(F.col("hu"), 4).alias("hu"), snap(F.col("dose_gy"), 4).alias("dose_gy"), "target")
 
 
-@query("augment_seeded")
+def _draw(k):
+    return f"((((42 * 2654435) % 1000003 + patient_id * (73856093 % 1000003)) % 1000003 + {k} * (19349663 % 1000003)) % 1000003 + {k * k} * (83492791 % 1000003)) % 1000003 * 7919 % 1000003 / 1000003.0::double"
+
+
+SEED_SQL = f"""o_an AS (SELECT patient_id, {', '.join(f'CASE WHEN {_draw(k)} < 0.5 THEN -1.0::double ELSE 1.0::double END AS s{k}' for k in (1, 2, 3))}, {', '.join(f'radians((({_draw(k)}) * 2 - 1) * 10) AS {a}' for k, a in ((4, 'a'), (5, 'b'), (6, 'c')))},
+ {', '.join(f'(({_draw(7 + i)}) * 2 - 1) * 10 AS h{i}' for i in range(3))} FROM (SELECT DISTINCT patient_id FROM v_voxel)),
+o_m AS (SELECT *, s1 * (cos(c) * cos(b)) AS m00, s1 * (cos(c) * sin(b) * sin(a) - sin(c) * cos(a)) AS m01, s1 * (cos(c) * sin(b) * cos(a) + sin(c) * sin(a)) AS m02,
+ s2 * (sin(c) * cos(b)) AS m10, s2 * (sin(c) * sin(b) * sin(a) + cos(c) * cos(a)) AS m11, s2 * (sin(c) * sin(b) * cos(a) - cos(c) * sin(a)) AS m12, s3 * (-sin(b)) AS m20, s3 * (cos(b) * sin(a)) AS m21, s3 * (cos(b) * cos(a)) AS m22 FROM o_an),
+o_f AS (SELECT v.patient_id, v.ix, v.iy, v.iz, {', '.join(f"least(greatest(m{i}0 * v.ix + m{i}1 * v.iy + m{i}2 * v.iz + ({n} - (m{i}0 * 12.5::double + m{i}1 * 10 + m{i}2 * 1.5::double) + h{i}), 0), {top}) AS {f}" for i, n, top, f in ((0, '12.5::double', 24, 'fx'), (1, '10.0::double', 19, 'fy'), (2, '1.5::double', 2, 'fz')))} FROM v_voxel v JOIN o_m USING (patient_id))"""
+
+
+@query("augment_parameters", f"{SEED_SQL} SELECT patient_id, {', '.join(S6.format(f'm{i}{j}') + f' AS m{i}{j}' for i in range(3) for j in range(3))} FROM o_m")
+def augment_parameters(t):
+    maps = ml.augment_parameters(t.voxel.select("patient_id").distinct(), (25, 20, 3), seed=42)
+    return maps.select("patient_id", *[snap(F.col(f"m{i}{j}")).alias(f"m{i}{j}") for i in range(3) for j in range(3)])
+
+
+@query("augment_seeded", f"""{SEED_SQL}, o_src AS (SELECT v.patient_id, v.ix, v.iy, v.iz, v.hu, v.prio, d.dose_gy FROM v_voxel v JOIN o_dose d ON d.patient_id = v.patient_id AND d.voxel_id = v.voxel_id AND d.plan_id = 'A'),
+o_lin AS (SELECT c.patient_id, c.jx, c.jy, c.jz, sum(w * s.hu) AS hu, sum(w * s.dose_gy) AS dose FROM (SELECT patient_id, ix AS jx, iy AS jy, iz AS jz, floor(fx)::bigint + a.a AS ix, floor(fy)::bigint + b.b AS iy, floor(fz)::bigint + c.c AS iz,
+   (CASE a.a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE b.b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE c.c WHEN 1 THEN fz - floor(fz) ELSE 1 - fz + floor(fz) END) AS w
+   FROM o_f CROSS JOIN (VALUES (0), (1)) a(a) CROSS JOIN (VALUES (0), (1)) b(b) CROSS JOIN (VALUES (0), (1)) c(c)) c JOIN o_src s USING (patient_id, ix, iy, iz) WHERE w > 0 GROUP BY 1, 2, 3, 4)
+SELECT f.patient_id, f.ix AS jx, f.iy AS jy, f.iz AS jz, {S4.format('l.hu')} AS hu, {S4.format('CASE WHEN s.dose_gy > 0 THEN l.dose ELSE 0 END')} AS dose_gy, CASE WHEN s.prio = '1-URGENT' THEN 1 ELSE 0 END::bigint AS target
+FROM o_f f JOIN o_lin l ON l.patient_id = f.patient_id AND l.jx = f.ix AND l.jy = f.iy AND l.jz = f.iz JOIN o_src s ON s.patient_id = f.patient_id AND s.ix = floor(f.fx + 0.5)::bigint AND s.iy = floor(f.fy + 0.5)::bigint AND s.iz = floor(f.fz + 0.5)::bigint""")
 def augment_seeded(t):
     grid = t.voxel.join(t.dose.filter("plan_id = 'A'"), ["patient_id", "voxel_id"]).select(
         "patient_id", "ix", "iy", "iz", F.col("hu").cast("double").alias("hu"), "dose_gy", (F.col("prio") == "1-URGENT").cast("long").alias("target")
     )
     maps = ml.augment_parameters(t.voxel.select("patient_id").distinct(), (25, 20, 3), seed=42)
-    return ml.augment(grid, maps, (25, 20, 3), ["hu", "dose_gy"], ["target"])
+    r = ml.augment(grid, maps, (25, 20, 3), ["hu", "dose_gy"], ["target"])
+    return r.select("patient_id", "jx", "jy", "jz", snap(F.col("hu"), 4).alias("hu"), snap(F.col("dose_gy"), 4).alias("dose_gy"), "target")
 
 
 @query("feature_channels", f"{FEATURE_SQL} SELECT patient_id, ix, iy, iz, {S6.format('ct_norm')} AS ct_norm, {S6.format('open_field')} AS open_field_gy, {', '.join(f'CASE WHEN label = {k} THEN 1 ELSE 0 END::bigint AS organ_{k}' for k in range(1, 6))}, target FROM o_feat")
