@@ -37,6 +37,9 @@ def training_features(t):
     return r.select("patient_id", "ix", "iy", "iz", snap(F.col("ct_norm")).alias("ct_norm"), snap(F.col("dose_gy")).alias("dose_gy"), "label", "target", snap(F.col("open_field_gy")).alias("open_field_gy"))
 
 
+S7 = "floor(({}) * 1e7 + 0.5) / 1e7"
+
+
 @query("training_features_resized", f"""{FEATURE_SQL},
 o_tg AS (SELECT p.patient_id, x.range AS jx, y.range AS jy, z.range AS jz, abs((x.range + 0.5::double) * (21.0::double / 9) - 0.5) AS fx, abs((y.range + 0.5::double) * (15.0::double / 7) - 0.5) AS fy, abs((z.range + 0.5::double) * (3.0::double / 8) - 0.5) AS z0
   FROM (SELECT DISTINCT patient_id FROM o_feat) p CROSS JOIN range(9) x CROSS JOIN range(7) y CROSS JOIN range(8) z),
@@ -45,11 +48,11 @@ o_cw AS (SELECT t.*, floor(fx)::bigint + a.a AS ix, floor(fy)::bigint + b.b AS i
  (CASE a.a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE b.b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE c.c WHEN 1 THEN fz - floor(fz) ELSE 1 - fz + floor(fz) END) AS w
  FROM o_tm t CROSS JOIN (VALUES (0), (1)) a(a) CROSS JOIN (VALUES (0), (1)) b(b) CROSS JOIN (VALUES (0), (1)) c(c)),
 o_ln AS (SELECT c.patient_id, jx, jy, jz, sum(w * ct_norm) AS ct_norm, sum(w * dose_gy) AS dose_gy, sum(w * open_field) AS open_field FROM o_cw c JOIN o_feat f ON f.patient_id = c.patient_id AND f.ix = c.ix + 2 AND f.iy = c.iy + 3 AND f.iz = c.iz GROUP BY 1, 2, 3, 4)
-SELECT l.patient_id, l.jx, l.jy, l.jz, {S4.format('l.ct_norm')} AS ct_norm, {S4.format('l.dose_gy')} AS dose_gy, {S4.format('l.open_field')} AS open_field_gy, f.label, f.target
+SELECT l.patient_id, l.jx, l.jy, l.jz, {S7.format('l.ct_norm')} AS ct_norm, {S7.format('l.dose_gy')} AS dose_gy, {S7.format('l.open_field')} AS open_field_gy, f.label, f.target
 FROM o_ln l JOIN o_tm t USING (patient_id, jx, jy, jz) JOIN o_feat f ON f.patient_id = t.patient_id AND f.ix = floor(t.fx + 0.5)::bigint + 2 AND f.iy = floor(t.fy + 0.5)::bigint + 3 AND f.iz = floor(t.fz + 0.5)::bigint""")
 def training_features_resized(t):
     r = ml.resize_features(features(t), (2, 3), (21, 15, 3), (9, 7, 8))
-    return r.select("patient_id", "jx", "jy", "jz", *[snap(F.col(c), 4).alias(c) for c in ("ct_norm", "dose_gy", "open_field_gy")], "label", "target")
+    return r.select("patient_id", "jx", "jy", "jz", *[snap(F.col(c), 7).alias(c) for c in ("ct_norm", "dose_gy", "open_field_gy")], "label", "target")
 
 
 SAMPLE_SQL = f"""{pg.FRAME_SQL}, o_ch AS (SELECT patient_id, beam_id FROM o_b8 WHERE (beam_id * 45 - (patient_id * 7 + 42) % 12 * 5) % 60 = 0),
