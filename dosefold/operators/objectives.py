@@ -117,9 +117,14 @@ def objective_total(terms: DataFrame) -> DataFrame:
     ).filter("plan_id IS NOT NULL").withColumn("value", F.bround("value", 4))
 
 
+def _sizes(sd: DataFrame) -> DataFrame:
+    """Voxel count per structure; counting the dose column keeps the dose shuffle shared with the caller's."""
+    return sd.groupBy(*GROUP, "structure").agg(F.count("dose").alias("n"))
+
+
 def voxel_residual(sd: DataFrame, objectives: DataFrame) -> DataFrame:
     """Gradient of the objective sum with respect to voxel dose, all objectives folded per voxel."""
-    sizes = sd.groupBy(*GROUP, "structure").agg(F.count(F.lit(1)).alias("n"))
+    sizes = _sizes(sd)
     r = 2 * F.col("weight_factor") / F.col("n") * slope(F.col("dose"), F.col("type"), F.col("target"))
     return sd.join(objectives, "structure").join(sizes, [*GROUP, "structure"]).groupBy(*GROUP, "voxel_id").agg(
         F.sum(r).alias("residual")
@@ -142,7 +147,7 @@ def finite_difference(
     influence: DataFrame, sd: DataFrame, objectives: DataFrame, selected: DataFrame, delta: float = 1e-3
 ) -> DataFrame:
     """Objective change per unit intensity of each unselected beamlet, from the voxels its column reaches."""
-    sizes = sd.groupBy(*GROUP, "structure").agg(F.count(F.lit(1)).alias("n"))
+    sizes = _sizes(sd)
     kind, target = F.col("type"), F.col("target")
     moved = penalty(F.col("dose") + delta * F.col("a"), kind, target) - penalty(F.col("dose"), kind, target)
     return (
