@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def snap(value: Column, places: int = 6) -> Column:
@@ -36,3 +39,18 @@ def scan_code(*indices: Column) -> Column:
     for index in indices[1:]:
         code = F.shiftleft(code, 20) + index
     return code
+
+
+def fan_out(df: DataFrame, schema: str, data: list[tuple]) -> DataFrame:
+    """Every row of `df` with every row of a fixed literal list, as one inline and no join."""
+    struct = T._parse_datatype_string(schema)
+
+    def plain(value, kind):
+        if isinstance(kind, T.ArrayType) and value is not None:
+            return [plain(v, kind.elementType) for v in value]
+        if isinstance(kind, T.StructType) and value is not None:
+            return {f.name: plain(v, f.dataType) for f, v in zip(kind.fields, value)}
+        return value
+
+    text = json.dumps([plain(row, struct) for row in data])
+    return df.select("*", F.inline(F.from_json(F.lit(text), T.ArrayType(struct))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dosefold.functions.nearest import nearest_site
-from dosefold.functions.numeric import rows, snap
+from dosefold.functions.numeric import fan_out, rows, snap
 from dosefold.operators import criteria as cr
 from dosefold.operators import structures as st
 from dosefold.plans.evaluation import D_SQL, RX, S6
@@ -72,11 +72,9 @@ OK_SQL = C_SQL + ", o_ok AS (SELECT * FROM o_crit WHERE v >= 0)"
 
 
 def protocol(t, data=PROTOCOL):
-    patients = t.voxel.select("patient_id").distinct()
-    template = F.broadcast(rows(t.spark, SCHEMA, data)).withColumn("_all", F.lit(1))
-    return patients.withColumn("_all", F.lit(1)).join(template, "_all").withColumn(
+    return fan_out(t.voxel.select("patient_id").distinct(), SCHEMA, data).withColumn(
         "bound_value", F.coalesce("txt", (F.col("num") + F.col("patient_id") % 3).cast("string"))
-    ).drop("_all", "num", "txt")
+    ).drop("num", "txt")
 
 
 @query("criteria_list", f"{OK_SQL} SELECT patient_id, criterion_id, type, structure, bound_key, bound_value FROM o_ok")
@@ -229,8 +227,7 @@ ITEM_SCHEMA = "item_id long, requested string, metric string, input_value double
 
 def score_items(t):
     """Card items per patient with resolved structure names."""
-    patients = t.voxel.select("patient_id").distinct().withColumn("_all", F.lit(1))
-    asked = patients.join(F.broadcast(rows(t.spark, ITEM_SCHEMA, ITEMS)).withColumn("_all", F.lit(1)), "_all").drop("_all")
+    asked = fan_out(t.voxel.select("patient_id").distinct(), ITEM_SCHEMA, ITEMS)
     names = st.resolve_names(asked, t.structure, {"SPINALCORD": "CORD"})
     return names.withColumnRenamed("actual", "structure")
 
