@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,26 +24,31 @@ def local_session(cpus: int | str = "*", name: str = "dosefold") -> SparkSession
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read it back.
+def shared_root(spark: SparkSession, name: str) -> str:
+    """The folder that `spark.checkpoint.dir` names; all executors reach it.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    session that names none (tests) gets a temporary folder of its own.
+    Only a session whose executors live on this machine (``local[...]``) may go
+    without the setting and then gets a temporary folder; on a cluster the lack
+    of it is an error, as other executors would not see local files.
     """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"dosefold-{name}-")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the reliable checkpoint folder and read it back."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="dosefold-checkpoint-"))
+        context.setCheckpointDir(shared_root(spark, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints, so every executor can reach it."""
-    import uuid
-
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="dosefold-scratch-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark, 'scratch')}/{name}-{uuid.uuid4().hex}"
