@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dosefold.llm import exact_dedup
+from dosefold.llm import archives, exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def register(name: str, sql: str | None = None):
 @register("op1_exact_dedup", exact_dedup.SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
+
+
+@register("op10_archives", archives.SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.archive_round_trip(table(spark, folder, "pages"))
