@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dosefold.llm import archives, exact_dedup
+from dosefold.llm import archives, exact_dedup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_archives", archives.SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return archives.archive_round_trip(table(spark, folder, "pages"))
+
+
+@register("op6_quality")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
