@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dosefold.llm import archives, exact_dedup, quality, toxicity
+from dosefold.llm import archives, contamination, exact_dedup, pieces, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @register("op8_toxicity")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op5_pieces")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = pieces.encode_and_decode(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
+
+
+@register("op9_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
