@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosefold.llm import archives, contamination, exact_dedup, pieces, quality, toxicity
+from dosefold.llm import archives, contamination, exact_dedup, pieces, quality, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @register("op9_decontamination")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register("op3_token_files")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_round_trip(table(spark, folder, "documents"))
