@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosefold.llm import archives, contamination, exact_dedup, minhash, pieces, quality, token_files, toxicity
+from dosefold.llm import archives, contamination, exact_dedup, minhash, pieces, quality, repeats, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @register("op2_minhash")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_dedup(table(spark, folder, "documents"), words=3, num=85, den=100)
+
+
+@register("op7_repeats")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeats(table(spark, folder, "documents"))
