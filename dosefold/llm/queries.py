@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosefold.llm import archives, contamination, exact_dedup, minhash, pieces, quality, repeats, token_files, toxicity
+from dosefold.llm import archives, contamination, exact_dedup, line_dedup, minhash, pieces, quality, repeats, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @register("op7_repeats")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeats(table(spark, folder, "documents"))
+
+
+@register("op4_line_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, folder, "documents"))
