@@ -19,8 +19,9 @@ import numpy as np
 U = np.uint64
 TOTAL_BITS, TABLE_BITS = 24, 18
 TOTAL = 1 << TOTAL_BITS
-ONE, TWO = 11, 12  # bits of the order-1 and order-2 tables of a block
+ONE, TWO = 9, 10  # bits of the order-1 and order-2 tables of a block
 STATES = 8
+LEARN_EVERY = 4  # symbols between two updates of the chances
 LOW32 = U(0xFFFFFFFF)
 
 
@@ -47,6 +48,7 @@ class Model:
         start[0] = 0  # no prediction
         self.chance1, self.chance2 = np.tile(start, lanes), np.tile(start, lanes)
         self.last, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.step = 0
 
     def predict(self, m: int) -> None:
         mixed = (self.last[:m] * 0x9E3779B1) & 0xFFFFFFFF
@@ -88,9 +90,11 @@ class Model:
     def update(self, s: np.ndarray) -> None:
         """Learn `s`; interval(s) was called before."""
         hit1, hit2 = self.hit1, self.hit2
-        p1, p2 = self.p1, self.p2
-        self.chance2[self.s2] = p2 + ((65000 * hit2 - p2) >> 5) * (self.n2 > 0)
-        self.chance1[self.s1] = p1 + ((65000 * hit1 - p1) >> 5) * ((self.n1 > 0) & ~hit2)
+        if self.step % LEARN_EVERY == 0:
+            p1, p2 = self.p1, self.p2
+            self.chance2[self.s2] = p2 + ((65000 * hit2 - p2) >> 4) * (self.n2 > 0)
+            self.chance1[self.s1] = p1 + ((65000 * hit1 - p1) >> 4) * ((self.n1 > 0) & ~hit2)
+        self.step += 1
         new = (s << 3) + 9  # this symbol, seen once
         self.table1[self.at1] = np.where(hit1, np.minimum(self.n1 + 1, 7) + (new - 1), np.where(self.n1 < 2, new, self.e1 - (self.n1 >> 1)))
         self.table2[self.at2] = np.where(hit2, np.minimum(self.n2 + 1, 7) + (new - 1), np.where(self.n2 < 2, new, self.e2 - (self.n2 >> 1)))

@@ -24,11 +24,11 @@ from dosefold.llm.range_coder import decode_blocks, encode_blocks, frequencies
 from dosefold.session import scratch_folder
 
 MAGIC, MARK = b"TOKENS1\n", b"SEGM"
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 #: A segment ends with the document that reaches so many ids, a file with the segment that does.
 SEGMENT_IDS, FILE_IDS = 8 << 20, 64 << 20
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers: 36 bytes each and their ids.
+CACHE_WORDS = 3_000_000
 
 
 def default_tokenizer() -> str:
@@ -37,6 +37,44 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Known:
+    """Ids of words by a 128-bit hash of the word, in sorted arrays: a new part is merged when it has grown."""
+
+    def __init__(self):
+        self.parts = [self._part(np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int32))] * 2
+
+    @staticmethod
+    def _part(keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        order = np.argsort(keys[:, 0], kind="stable")
+        starts = np.cumsum(sizes) - sizes
+        return keys[order, 0].copy(), keys[order, 1].copy(), starts[order], sizes[order].astype(np.int32), ids
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(part or -1, start, number of ids) of each key."""
+        part, start, size = np.full(len(keys), -1), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for k, (first, second, starts, sizes, _) in enumerate(self.parts):
+            if len(first):
+                at = np.minimum(np.searchsorted(first, keys[:, 0]), len(first) - 1)
+                hit = np.flatnonzero((first[at] == keys[:, 0]) & (second[at] == keys[:, 1]))
+                part[hit], start[hit], size[hit] = k, starts[at[hit]], sizes[at[hit]]
+        return part, start, size
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.parts[0][0]) + len(self.parts[1][0]) + len(keys) > CACHE_WORDS:
+            self.__init__()
+        new = self._merged(self.parts[1], self._part(keys, sizes, ids))
+        if len(new[0]) > len(self.parts[0][0]) // 4:
+            self.parts = [self._merged(self.parts[0], new), Known().parts[1]]
+        else:
+            self.parts = [self.parts[0], new]
+
+    @classmethod
+    def _merged(cls, a, b):
+        first, second, starts, sizes = (np.concatenate(x) for x in zip(a[:2] + (a[2], a[3]), b[:2] + (b[2] + len(a[4]), b[3])))
+        order = np.argsort(first, kind="stable")
+        return first[order], second[order], starts[order], sizes[order], np.concatenate([a[4], b[4]])
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct word encoded once.
 
@@ -50,35 +88,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(words)
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            for word, found in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, np.int32).tobytes()
+        self.known = Known()
+
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids one after the other)."""
+        from xxhash import xxh3_128_digest
+
+        keys = np.frombuffer(b"".join([xxh3_128_digest(w) for w in words]), np.uint64).reshape(-1, 2)
+        part, _, _ = self.known.find(keys)
+        new = np.flatnonzero(part < 0)
+        if len(new):
+            if len(new) + len(self.known.parts[0][0]) + len(self.known.parts[1][0]) > CACHE_WORDS:
+                new = np.arange(len(words))  # the memory starts anew
+            found = []
+            for start in range(0, len(new), 20_000):
+                some = [words[k].decode() for k in new[start : start + 20_000].tolist()]
+                found += [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.known.add(keys[new], sizes, np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum())))
+        part, start, size = self.known.find(keys)
+        ends = np.cumsum(size)
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        place = np.repeat(start - (ends - size), size) + np.arange(len(ids))
+        owner = np.repeat(part, size)
+        for k in (0, 1):
+            ids[owner == k] = self.known.parts[k][4][place[owner == k]]
+        return size, ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets by text)."""
         offsets, codes, words = word_codes(texts)
-        cut = []
+        cut, seen = [], {b"": 0}
         for word in words:
             if b"<|" in word:
-                cut.append((word, b""))
-                continue
-            word = word.lower()
-            stem = word.rstrip(b".,")
-            cut.append((stem, word[len(stem) :]) if len(stem) < len(word) and stem[-1:].isalpha() else (word, b""))
-        self.learn({w for pair in cut for w in pair if w})
-        known = self.known
-        known[b""] = b""
-        each = [known[a] + known[b] for a, b in cut]
-        del known[b""]
-        sizes = np.fromiter((len(x) // 4 for x in each), np.int64, len(each))
-        flat = np.frombuffer(b"".join(each), np.int32)
+                stem, mark = word, b""
+            else:
+                word = word.lower()
+                stem = word.rstrip(b".,")
+                mark = word[len(stem) :]
+                if mark and not stem[-1:].isalpha():
+                    stem, mark = word, b""
+            cut.append(seen.setdefault(stem, len(seen)))
+            cut.append(seen.setdefault(mark, len(seen)))
+        each, flat = self.ids_of(list(seen))
+        first = np.cumsum(each) - each
+        pairs = np.array(cut, np.int64).reshape(-1, 2)
+        sizes = each[pairs].sum(1)
+        n = each[pairs].ravel()
+        flat = flat[np.repeat(first[pairs].ravel() - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         starts, n = np.cumsum(sizes) - sizes, sizes[codes]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
