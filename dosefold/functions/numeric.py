@@ -30,15 +30,16 @@ def literal_structs(names: list[str], data: list[tuple]) -> Column:
 
 
 def scan_code(*indices: Column) -> Column:
-    """One long that orders grid indices (outermost first, each below 2^20).
+    """One long that orders grid indices (outermost first, each from 0 to 2^20 - 1; others raise).
 
     A fixed-width order key keeps max_by and min_by in hash aggregation; a struct
     key would force a sort.
     """
-    code = indices[0].cast("long")
+    code, fits = indices[0].cast("long"), indices[0].between(0, 2**20 - 1)
     for index in indices[1:]:
         code = F.shiftleft(code, 20) + index
-    return code
+        fits = fits & index.between(0, 2**20 - 1)
+    return F.when(F.coalesce(fits, F.lit(True)), code).otherwise(F.raise_error(F.lit("grid index outside 0 .. 2^20 - 1")).cast("long"))
 
 
 def fan_out(df: DataFrame, schema: str, data: list[tuple]) -> DataFrame:

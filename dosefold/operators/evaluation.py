@@ -107,7 +107,7 @@ def curve_metrics(sd: DataFrame, structures: DataFrame, requests: DataFrame, key
     `requests`: structure (and patient_id where it matters), metric in D, V, max,
     mean, and `value`; other columns identify the request. Adds `raw`.
     """
-    asked = _requests(curve_corners(sd, structures, keys), requests, "value")
+    asked = _requests(curve_corners(_asked_only(sd, requests), structures, keys), requests, "value")
     extra = [c for c in asked.columns if c not in {*keys} | CORNER]
     v = F.col("value")
     found = asked.groupBy(*keys, *extra).agg(
@@ -122,6 +122,12 @@ def curve_metrics(sd: DataFrame, structures: DataFrame, requests: DataFrame, key
     return found.select(*keys, *extra, raw.alias("raw"))
 
 
+def _asked_only(sd: DataFrame, values) -> DataFrame:
+    """Voxels of the structures that a request table names: no curve is made of the others."""
+    shared = [c for c in ("patient_id", "structure") if isinstance(values, DataFrame) and c in values.columns and c in sd.columns]
+    return sd.join(values.select(*shared).distinct(), shared, "left_semi") if "structure" in shared else sd
+
+
 def _requests(df: DataFrame, values, column: str) -> DataFrame:
     """Attach requested values: a literal list fans out per row, a table joins on shared columns."""
     if isinstance(values, DataFrame):
@@ -135,7 +141,7 @@ def dose_at_volume(sd: DataFrame, structures: DataFrame, volumes, keys: list[str
     The bracketing points come from two conditional aggregates, so no window
     spans a structure.
     """
-    asked = _requests(curve_corners(sd, structures, keys), volumes, "volume_perc")
+    asked = _requests(curve_corners(_asked_only(sd, volumes), structures, keys), volumes, "volume_perc")
     extra = [c for c in asked.columns if c not in {*keys} | CORNER]
     v = F.col("volume_perc")
     found = asked.groupBy(*keys, *extra).agg(F.max("frac").alias("frac"), F.max("top").alias("top"), *_dose_parts(v))
@@ -158,12 +164,19 @@ def volume_at_dose(sd: DataFrame, structures: DataFrame, doses, keys: list[str]
 
 
 def dose_statistics(sd: DataFrame, structures: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Maximum dose and volume-weighted mean times the calc-box fraction; 0 for empty structures."""
+    """Maximum dose and volume-weighted mean times the calc-box fraction; 0 for empty structures.
+
+    A structure without voxels gets its zeros in every plan its patient has a dose for.
+    """
     stats = sd.groupBy(*keys).agg(
         F.max("dose_gy").alias("max_dose_gy"),
         (F.sum(F.col("weight") * F.col("dose_gy")) / F.sum("weight")).alias("mean"),
     )
-    return _with_fraction(stats, structures).select(
+    shared = [c for c in keys if c in structures.columns]
+    plans = sd.select(*[c for c in keys if c != "structure"]).distinct()
+    every = structures.select(*shared).distinct().join(plans, [c for c in shared if c != "structure"])
+    empty = every.select(*keys).join(stats, keys, "left_anti").select(*keys, F.lit(0.0).alias("max_dose_gy"), F.lit(0.0).alias("mean"))
+    return _with_fraction(stats.unionByName(empty), structures).select(
         *keys, "max_dose_gy", (F.col("mean") * F.col("frac")).alias("mean_dose_gy")
     )
 
@@ -262,7 +275,7 @@ def isodose_volumes(sd: DataFrame, prescription_gy: float, keys: list[str] = KEY
 
 def _tail_side(sd: DataFrame, requests: DataFrame, structures: DataFrame, keys: list[str]) -> DataFrame:
     """Voxels with the weight before them on the side each request counts from."""
-    asked = _with_fraction(ordered_by_dose(sd, keys), structures).join(requests, "structure")
+    asked = _with_fraction(ordered_by_dose(_asked_only(sd, requests), keys), structures).join(requests, "structure")
     share = F.col("volume_perc") / F.col("frac")
     return asked.withColumn("share_perc", share)
 

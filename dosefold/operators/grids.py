@@ -126,23 +126,19 @@ def crop_box(grid: DataFrame, start_mm: tuple, end_mm: tuple, origin: tuple, spa
 
 def slice_window(labels: DataFrame, depth: int, size_xy: tuple[int, int], window: int = 128, half: int = 150) -> DataFrame:
     """A z window of `window` slices around organs with label 3 and above, and the centred in-plane box."""
+    organ = F.when(F.col("label") >= 3, F.col("iz"))
     ends = labels.groupBy("patient_id").agg(
-        F.coalesce(F.min(F.when(F.col("label") >= 3, F.col("iz"))), F.lit(-1)).alias("first"),
-        F.coalesce(F.max(F.when(F.col("label") >= 3, F.col("iz"))), F.lit(-1)).alias("last"),
-    )
-    first, last = F.col("first"), F.col("last")
-    expanse = last - first + 1
-    needed = window - expanse
-    at_end = F.floor(needed / 2)
-    at_start = needed - at_end
-    short_start = F.greatest(at_start - first, F.lit(0))
-    end_slices = at_end + short_start
-    moved = F.greatest(first - at_start, F.lit(0))
-    short_end = F.greatest(end_slices - (depth - last - 1), F.lit(0))
-    z1 = F.when(F.lit(depth < window), 0).when(expanse >= window, first).otherwise(F.greatest(moved - short_end, F.lit(0)))
-    z2 = F.when(F.lit(depth < window), depth).when(expanse >= window, last).otherwise(
-        F.when(short_end > 0, depth - 1).otherwise(last + end_slices)
+        F.coalesce(F.min(organ), F.lit(-1)).alias("low"), F.coalesce(F.max(organ), F.lit(-1)).alias("high")
     )
+    low, high = F.col("low"), F.col("high")
+    spare = F.lit(window) - (high - low + 1)
+    # centred on the organs (the odd slice in front), then moved inside the volume
+    start = clamp(low - F.ceil(spare / 2), 0, max(depth - window, 0))
+    if depth < window:
+        z1, z2 = F.lit(0), F.lit(depth)
+    else:
+        z1 = F.when(spare <= 0, low).otherwise(start)
+        z2 = F.when(spare <= 0, high).otherwise(start + (window - 1))
     cx, cy = size_xy[0] // 2, size_xy[1] // 2
     return ends.select(
         "patient_id", z1.cast("long").alias("z_start"), z2.cast("long").alias("z_end"),

@@ -256,13 +256,9 @@ def sparsify_threshold(
 
 
 def mixed_uniform(*keys: Column, seed: int = 0) -> Column:
-    """A reproducible number in [0, 1) from integer keys, so a retried task draws the same."""
-    modulus = 1_000_003
-    factors = [73_856_093, 19_349_663, 83_492_791]
-    mixed = F.lit(seed * 2_654_435 % modulus)
-    for key, factor in zip(keys, factors):
-        mixed = (mixed + key.cast("long") % modulus * (factor % modulus)) % modulus
-    return (mixed * F.lit(7_919) % modulus) / float(modulus)
+    """A reproducible number in [0, 1): 52 bits of a hash of the seed and the keys, so a retried task draws the same."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[key.cast("string") for key in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / 2.0**52
 
 
 def sparsify_randomised(influence: DataFrame, threshold: float, seed: int = 0) -> DataFrame:

@@ -190,12 +190,23 @@ def best_aperture(segments: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+def _gain(before: DataFrame, after: DataFrame) -> float:
+    """The largest share of its objective that a patient and plan gained."""
+    both = before.select(*GROUP, F.col("objective").alias("was")).join(after, GROUP)
+    share = F.when(F.col("was") != 0, (F.col("was") - F.col("objective")) / F.abs("was"))
+    return both.agg(F.max(share)).first()[0] or 0.0
+
+
 def fluence_descent(
     start: DataFrame, influence: DataFrame, voxels: DataFrame, opt_voxels: DataFrame, objectives: DataFrame,
-    pairs: DataFrame, smooth: tuple[float, float], step: float, rounds: int = 2, scale: float = 1.0,
+    pairs: DataFrame, smooth: tuple[float, float], step: float, rounds: int | None = None, scale: float = 1.0,
+    tolerance: float = 1e-3,
 ) -> DataFrame:
     """Projected gradient descent on fluence, keeping each patient's best iterate.
 
+    Goes on until no patient and plan gains more than `tolerance` of its objective
+    in a round; `rounds` fixes their number instead.
+
     `start`: patient_id, plan_id, beamlet_id, intensity; `pairs`: neighbouring
     beamlets with direction; `smooth`: weights of right and down differences.
     Every iterate is written to the checkpoint folder before the next is planned.
@@ -208,8 +219,9 @@ def fluence_descent(
     )
     w = F.when(F.col("direction") == "right", smooth[0]).otherwise(smooth[1])
     x = cut_lineage(start)
-    history = []
-    for k in range(rounds + 1):
+    history, before, k = [], None, -1
+    while True:
+        k += 1
         dose = dose_from_fluence(influence, x, voxels, scale=scale).withColumnRenamed("dose_gy", "dose")
         sd = cut_lineage(opt_voxels.join(dose, ["patient_id", "voxel_id"]))
         peer = x.select("patient_id", "plan_id", F.col("beamlet_id").alias("other"), F.col("intensity").alias("peer"))
@@ -220,9 +232,11 @@ def fluence_descent(
         value = objective_terms(sd, objectives).select(*GROUP, "value").unionByName(
             rough.select(*GROUP, F.col("part").alias("value"))
         ).groupBy(*GROUP).agg(F.sum("value").alias("objective"))
-        history.append(cut_lineage(value.withColumn("iteration", F.lit(k))).join(x, GROUP))
-        if k == rounds:
+        value = cut_lineage(value.withColumn("iteration", F.lit(k)))
+        history.append(value.join(x, GROUP))
+        if k == rounds or (rounds is None and before is not None and _gain(before, value) <= tolerance):
             break
+        before = value
         grad = gradient(influence, voxel_residual(sd, objectives)).select(
             *GROUP, "beamlet_id", (F.col("gradient") * scale).alias("g")
         ).unionByName(rough.select(*GROUP, "beamlet_id", F.col("pull").alias("g"))).groupBy(*GROUP, "beamlet_id").agg(

@@ -54,6 +54,8 @@ def expand(
         return mask.select(*CELL)
     k, m = margin_steps(margin_mm, resolution_xyz_mm)
     keys = ["patient_id"]
+    if k >= max(size):  # steps reach every cell from any: the whole grid of each patient with a mask
+        return whole_grid(mask, size)
     grown = rl.to_runs(mask, keys)
     for step in rl.passes(k):
         grown = rl.dilate(grown, keys, rl.ball(step), size)
@@ -62,10 +64,22 @@ def expand(
     return rl.to_voxels(grown, keys).select(*CELL)
 
 
-def shrink(mask: DataFrame, margin_mm: float, resolution_xyz_mm: tuple[float, float, float]) -> DataFrame:
-    """Erode a mask by the same step rule; cells beyond the grid count as empty."""
+def whole_grid(mask: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+    """Every cell of the grid for each patient that has a cell of the mask."""
+    nx, ny, nz = size
+    axis = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    owners = mask.select("patient_id").distinct()
+    return owners.select("patient_id", axis(nz).alias("iz")).select("*", axis(ny).alias("iy")).select("*", axis(nx).alias("ix")).select(*CELL)
+
+
+def shrink(
+    mask: DataFrame, margin_mm: float, resolution_xyz_mm: tuple[float, float, float], size: tuple[int, int, int] | None = None
+) -> DataFrame:
+    """Erode a mask by the same step rule; cells beyond the grid count as empty, so a margin as long as the grid leaves nothing."""
     k, m = margin_steps(margin_mm, resolution_xyz_mm)
     keys = ["patient_id"]
+    if size is not None and k >= max(size):
+        return mask.select(*CELL).limit(0)
     left = rl.to_runs(mask, keys)
     for step in rl.passes(k):
         left = rl.erode(left, keys, rl.ball(step))
@@ -125,7 +139,7 @@ def evaluate_expression(
                 if sign == "+":
                     value = expand(value, right, resolution_xyz_mm, size)
                 elif sign == "-":
-                    value = shrink(value, right, resolution_xyz_mm)
+                    value = shrink(value, right, resolution_xyz_mm, size)
                 else:
                     raise ValueError(f"{sign} needs a structure on its right")
             elif sign in "+|":
@@ -144,34 +158,44 @@ def optimization_structures(
 ) -> DataFrame:
     """New structures from definitions, clipped to BODY.
 
-    A definition is skipped for patients that already have the name or lack one of
-    the structures it mentions, and altogether when it cannot be read.
+    Definitions are taken in order: each may use the structures that earlier ones
+    made. A definition is skipped for patients that already have the name (from an
+    earlier definition too) or lack one of the structures it mentions, and
+    altogether when it cannot be read. A made structure that is used again is
+    written to the checkpoint folder once.
     """
-    names = structures.select("patient_id", "structure").distinct()
-    made = []
-    seen: set[str] = set()
+    given = structures.select("patient_id", "structure").distinct()
+    made: dict[str, DataFrame] = {}
+    owners: dict[str, DataFrame] = {}
     for name, definition in definitions:
         try:
-            needed = [*expression_names(definition), "BODY"]
-            mask = evaluate_expression(structures, definition, resolution_xyz_mm, size)
+            needed = sorted({*expression_names(definition), "BODY"})
+            for used in needed:
+                if used in made:
+                    made[used], owners[used] = cut_lineage(made[used]), cut_lineage(owners[used])
+            there, source = given, structures.select("structure", *CELL)
+            for used in needed:
+                if used in made:
+                    there = there.unionByName(owners[used])
+                    source = source.unionByName(made[used])
+            mask = evaluate_expression(source, definition, resolution_xyz_mm, size)
         except (ValueError, IndexError):
             continue
-        if name in seen:
-            continue
-        seen.add(name)
         able = (
-            names.filter(F.col("structure").isin(needed)).groupBy("patient_id").count()
-            .filter(F.col("count") == len(set(needed))).select("patient_id")
-        )
-        taken = names.filter(F.col("structure") == name).select("patient_id")
-        clipped = intersect(mask, mask_of(structures, "BODY"))
-        made.append(
-            clipped.join(able, "patient_id", "left_semi").join(taken, "patient_id", "left_anti")
-            .select(F.lit(name).alias("structure"), *CELL)
+            there.filter(F.col("structure").isin(needed)).groupBy("patient_id").agg(F.count_distinct("structure").alias("n"))
+            .filter(F.col("n") == len(needed)).select("patient_id")
         )
+        taken = given.filter(F.col("structure") == name).select("patient_id")
+        if name in owners:
+            taken = taken.unionByName(owners[name].select("patient_id"))
+        own = able.join(taken, "patient_id", "left_anti")
+        cells = intersect(mask, mask_of(source, "BODY")).join(own, "patient_id", "left_semi").select(F.lit(name).alias("structure"), *CELL)
+        own = own.select("patient_id", F.lit(name).alias("structure"))
+        made[name] = made[name].unionByName(cells) if name in made else cells
+        owners[name] = owners[name].unionByName(own) if name in owners else own
     if not made:
         return structures.select("structure", *CELL).limit(0)
-    return reduce(DataFrame.unionByName, made)
+    return reduce(DataFrame.unionByName, made.values())
 
 
 def structure_volume(structures: DataFrame, ct: DataFrame, voxel_volume_mm3: float) -> DataFrame:
@@ -267,12 +291,13 @@ def boundary_voxels(structures: DataFrame) -> DataFrame:
     return mask.join(inner, ["structure", *CELL], "left_anti")
 
 
-def connected_regions(structures: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_regions(structures: DataFrame) -> DataFrame:
     """Face-connected regions of each mask, numbered in scan order of their first cell.
 
     Runs are the graph nodes. Each round takes the smallest label among touching
     runs and then jumps to that label's own label, so long regions settle in few
-    rounds; every round is written to the checkpoint folder.
+    rounds; every round is written to the checkpoint folder, and rounds go on until
+    no label changes.
     """
     keys = ["patient_id", "structure"]
     nodes = rl.to_runs(structures, keys).withColumn("node", scan_code(F.col("iz"), F.col("iy"), F.col("x1")))
@@ -285,7 +310,7 @@ def connected_regions(structures: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = near.join(there, [*keys, "iz", "iy"]).filter("x1 <= u2 AND x2 >= u1").select(*keys, "node", "other")
     edges = cut_lineage(edges.unionByName(edges.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))))
     labels = nodes.select(*keys, "node", F.col("node").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         offered = edges.join(labels.select(*keys, F.col("node").alias("other"), F.col("label").alias("seen")), [*keys, "other"]).groupBy(
             *keys, "node").agg(F.min("seen").alias("seen"))
         hooked = labels.join(offered, [*keys, "node"], "left").select(
@@ -299,8 +324,6 @@ def connected_regions(structures: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = jumped.select(*keys, "node", "label")
         if jumped.filter("old <> label").limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("regions did not settle; raise max_rounds")
     regions = labels.select(*keys, "label").distinct().withColumn("_one", F.lit(1))
     numbered = running_before(regions, keys, F.shiftright("label", 30), ["label"], "_one", "number").select(
         *keys, "label", (F.col("number") + 1).cast("long").alias("region")

@@ -27,12 +27,12 @@ def units(t):
 
 def leaves(t):
     """Leaf rows around the beamlets with at least 20 units of intensity."""
-    open_cells = t.unit_cell.join(t.fluence.filter("plan_id = 'A' AND intensity >= 20"), "beamlet_id")
+    open_cells = t.unit_cell.join(t.fluence.filter("plan_id = 'A' AND intensity >= 20").drop("plan_id"), "beamlet_id")
     return ac.open_leaf_positions(open_cells)
 
 
 def weights(t):
-    w = t.unit_cell.join(t.fluence.filter("plan_id = 'A'"), "beamlet_id").join(units(t), "beam_id")
+    w = t.unit_cell.join(t.fluence.filter("plan_id = 'A'").drop("plan_id"), "beamlet_id").join(units(t), "beam_id")
     return w.select("beam_id", "row", "col", "beamlet_id", (F.col("intensity") * F.col("mu") / 32).alias("weight"))
 
 
@@ -75,7 +75,7 @@ def open_leaf_positions(t):
     return ac.open_leaf_positions(t.unit_cell)
 
 
-U = "((((7 * 2654435) % 1000003 + beam_id * (73856093 % 1000003)) % 1000003 + row * (19349663 % 1000003)) % 1000003 + {} * (83492791 % 1000003)) % 1000003 * 7919 % 1000003 / 1000003.0::double"
+U = "('0x' || substr(md5('7|' || beam_id || '|' || row || '|' || {}), 1, 13))::bigint / 4503599627370496.0::double"
 
 
 @query("random_leaf_positions", f"""o_l AS (SELECT beam_id, row_idx AS row, min(col_idx) - 1 AS l, max(col_idx) + 1 AS r FROM v_beamlet GROUP BY 1, 2),
@@ -239,3 +239,62 @@ def delivery_leaf_mm(t):
     reach = t.beamlet.groupBy("beam_id").agg(F.min("x_mm").alias("min_x_mm"))
     r = ac.delivery_leaves(points(t), positions(t).drop("area"), matches(t), units(t), reach)
     return r.select("arc_id", "position", "beam_id", "leaf_pair", "mu100", *[snap(F.col(c)).alias(c) for c in ("bank_b_mm", "bank_a_mm", "meterset")])
+
+
+# --- both plans of every patient -------------------------------------------
+
+KEYED = ["patient_id", "plan_id"]
+KEYED_SQL = f"""{POINT_SQL}, {MU_SQL}, o_pp AS (SELECT p.patient_id, f.plan_id FROM (SELECT DISTINCT patient_id FROM v_voxel) p CROSS JOIN (SELECT DISTINCT plan_id FROM v_fluence) f),
+o_kpt AS (SELECT * FROM o_pp CROSS JOIN o_pt0),
+o_kmu AS (SELECT k.patient_id, k.plan_id, m.beam_id, CASE WHEN k.plan_id = 'A' THEN m.mu ELSE m.mu * 2 + k.patient_id % 3 END AS mu FROM o_pp k CROSS JOIN o_mu m),
+o_kaw AS (SELECT patient_id, plan_id, arc_id, position, beam_id, CASE WHEN position IN (0, 3) THEN 5.0::double ELSE 10.0::double END AS angle_weight FROM o_kpt),
+o_kw AS (SELECT k.patient_id, k.plan_id, b.beam_id, b.beamlet_id, f.intensity * m.mu / 32 AS weight FROM o_pp k JOIN v_fluence f ON f.plan_id = k.plan_id JOIN v_beamlet b ON b.beamlet_id = f.beamlet_id JOIN o_kmu m ON m.patient_id = k.patient_id AND m.plan_id = k.plan_id AND m.beam_id = b.beam_id)"""
+
+
+def keyed(t):
+    """Patients and plans; a plan's units differ by patient, so that mixing them would show."""
+    patients = t.voxel.select("patient_id").distinct()
+    return patients.join(t.fluence.select("plan_id").distinct(), F.lit(True))
+
+
+def keyed_points(t):
+    near = points(t).withColumn("angle_weight", F.when(F.col("position").isin(0, 3), 5.0).otherwise(10.0))
+    return keyed(t).join(near, F.lit(True))
+
+
+def keyed_units(t):
+    mu = F.when(F.col("plan_id") == "A", F.col("mu")).otherwise(F.col("mu") * 2 + F.col("patient_id") % 3)
+    return keyed(t).join(units(t), F.lit(True)).select(*KEYED, "beam_id", mu.alias("mu"))
+
+
+def keyed_weights(t):
+    cells = t.unit_cell.join(t.fluence, "beamlet_id").select("plan_id", "beam_id", "beamlet_id", "intensity")
+    return keyed_units(t).join(cells, ["plan_id", "beam_id"]).select(*KEYED, "beam_id", "beamlet_id", (F.col("intensity") * F.col("mu") / 32).alias("weight"))
+
+
+@query("arc_dose_plans", f"""{KEYED_SQL}, o_d AS (SELECT w.patient_id, w.plan_id, i.voxel_id, sum(i.a_int * w.weight * a.angle_weight) AS d FROM v_influence i
+  JOIN o_kw w ON w.patient_id = i.patient_id AND w.beamlet_id = i.beamlet_id JOIN o_kaw a ON a.patient_id = w.patient_id AND a.plan_id = w.plan_id AND a.beam_id = w.beam_id GROUP BY 1, 2, 3),
+o_m AS (SELECT patient_id, plan_id, sum(weight) / count(*) AS m FROM o_kw GROUP BY 1, 2)
+SELECT v.patient_id, m.plan_id, v.voxel_id, floor((coalesce(d.d, 0) + 0.25::double * m.m * v.hu / 100) * 1e4 + 0.5) / 1e4 AS dose_gy
+FROM v_voxel v JOIN o_m m ON m.patient_id = v.patient_id LEFT JOIN o_d d ON d.patient_id = v.patient_id AND d.plan_id = m.plan_id AND d.voxel_id = v.voxel_id""")
+def arc_dose_plans(t):
+    delta = t.voxel.select("patient_id", "voxel_id", (F.col("hu") / 100).alias("delta_gy"))
+    r = ac.arc_dose(t.influence, keyed_weights(t), keyed_points(t), delta, alpha=0.25)
+    return r.withColumn("dose_gy", snap(F.col("dose_gy"), 4))
+
+
+@query("mu_similarity_plans", f"""{KEYED_SQL}, o_n AS (SELECT k.*, u.mu, lead(u.mu) OVER (PARTITION BY k.patient_id, k.plan_id, k.arc_id ORDER BY k.position) - u.mu AS d FROM o_kpt k JOIN o_kmu u USING (patient_id, plan_id, beam_id))
+SELECT patient_id, plan_id, arc_id, sum(abs(d)) AS sum_abs, sum(d * d) AS sum_squared FROM o_n GROUP BY 1, 2, 3""")
+def mu_similarity_plans(t):
+    return ac.mu_similarity(keyed_points(t), keyed_units(t))
+
+
+@query("arc_mu_balance_plans", f"""{KEYED_SQL}, o_s AS (SELECT patient_id, plan_id, arc_id, sum(mu * angle_weight) AS s FROM o_kaw JOIN o_kmu USING (patient_id, plan_id, beam_id) GROUP BY 1, 2, 3)
+SELECT patient_id, plan_id, pow(max(CASE arc_id WHEN 2 THEN s END) - max(CASE arc_id WHEN 1 THEN s END), 2) / 2 AS balance FROM o_s GROUP BY 1, 2""")
+def arc_mu_balance_plans(t):
+    return ac.arc_mu_balance(keyed_points(t), keyed_units(t))
+
+
+@query("meterset_plans", f"""{KEYED_SQL} SELECT patient_id, plan_id, arc_id, position, beam_id, round_even(sum(mu) OVER (PARTITION BY patient_id, plan_id, arc_id ORDER BY position) / sum(mu) OVER (PARTITION BY patient_id, plan_id, arc_id) * 1e4, 0) / 1e4 AS meterset FROM o_kpt JOIN o_kmu USING (patient_id, plan_id, beam_id)""")
+def meterset_plans(t):
+    return ac.meterset(keyed_points(t), keyed_units(t)).select(*KEYED, "arc_id", "position", "beam_id", "meterset")

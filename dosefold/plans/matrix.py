@@ -130,7 +130,7 @@ def sparsify_absolute(t):
 o_small AS (SELECT *, cast(coalesce(sum(a_int) OVER (PARTITION BY patient_id, voxel_id ORDER BY beamlet_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) as double) AS b0,
    cast(sum(a_int) OVER (PARTITION BY patient_id, voxel_id) as double) AS mass FROM v_influence WHERE a_int <= 20),
 o_rows AS (SELECT DISTINCT patient_id, voxel_id, mass, cast(ceil(mass / 20) as bigint) AS k FROM o_small),
-o_draw AS (SELECT *, (((patient_id * (73856093 % 1000003) % 1000003 + voxel_id * (19349663 % 1000003)) % 1000003 + d * (83492791 % 1000003)) % 1000003 * 7919 % 1000003) / 1000003.0::double AS u
+o_draw AS (SELECT *, ('0x' || substr(md5('0|' || patient_id || '|' || voxel_id || '|' || d), 1, 13))::bigint / 4503599627370496.0::double AS u
   FROM (SELECT *, unnest(range(1, k + 1)) AS d FROM o_rows)),
 o_hit AS (SELECT s.patient_id, s.voxel_id, s.beamlet_id, d.mass / d.k AS part FROM o_draw d JOIN o_small s
   ON s.patient_id = d.patient_id AND s.voxel_id = d.voxel_id AND s.b0 / s.mass <= d.u AND (s.b0 + s.a_int) / s.mass > d.u)

@@ -222,7 +222,7 @@ def augment_affine(t):
 
 
 def _draw(k):
-    return f"((((42 * 2654435) % 1000003 + patient_id * (73856093 % 1000003)) % 1000003 + {k} * (19349663 % 1000003)) % 1000003 + {k * k} * (83492791 % 1000003)) % 1000003 * 7919 % 1000003 / 1000003.0::double"
+    return f"('0x' || substr(md5('42|' || patient_id || '|' || {k} || '|' || {k * k}), 1, 13))::bigint / 4503599627370496.0::double"
 
 
 SEED_SQL = f"""o_an AS (SELECT patient_id, {', '.join(f'CASE WHEN {_draw(k)} < 0.5 THEN -1.0::double ELSE 1.0::double END AS s{k}' for k in (1, 2, 3))}, {', '.join(f'radians((({_draw(k)}) * 2 - 1) * 10) AS {a}' for k, a in ((4, 'a'), (5, 'b'), (6, 'c')))},

@@ -106,12 +106,13 @@ def fluence_export(t):
 @query("label_volume_export", """
 o_l(structure, label) AS (VALUES ('CORD', 1), ('HEART', 2), ('LUNG_L', 3)),
 o_lab AS (SELECT s.patient_id, s.ix, s.iy, s.iz, max(coalesce(l.label, 0)) AS label, max(CASE WHEN s.structure = 'PTV' THEN 1 ELSE 0 END) AS target
-  FROM v_structure_voxel s LEFT JOIN o_l l USING (structure) GROUP BY 1, 2, 3, 4)
-SELECT v.patient_id, v.ix, v.iy, v.iz, v.hu, d.dose_gy, l.label::bigint AS label, l.target::bigint AS target FROM v_voxel v JOIN o_lab l USING (patient_id, ix, iy, iz)
-JOIN o_dose d ON d.patient_id = v.patient_id AND d.voxel_id = v.voxel_id AND d.plan_id = 'A'""")
+  FROM v_structure_voxel s LEFT JOIN o_l l USING (structure) GROUP BY 1, 2, 3, 4),
+o_all AS (SELECT patient_id, ix, iy, iz, string_agg(DISTINCT structure, ',' ORDER BY structure) AS structures FROM v_structure_voxel GROUP BY 1, 2, 3, 4)
+SELECT v.patient_id, d.plan_id, v.ix, v.iy, v.iz, v.hu, d.dose_gy, l.label::bigint AS label, l.target::bigint AS target, s.structures FROM v_voxel v JOIN o_lab l USING (patient_id, ix, iy, iz)
+JOIN o_all s USING (patient_id, ix, iy, iz) JOIN o_dose d ON d.patient_id = v.patient_id AND d.voxel_id = v.voxel_id""")
 def label_volume_export(t):
     labels = st.label_map(t.structure_voxel, [("CORD", 1), ("HEART", 2), ("LUNG_L", 3)])
-    dose = t.dose.filter("plan_id = 'A'").drop("plan_id")
     folder = scratch_folder(t.spark, "volume")
-    io.label_volume(t.voxel, dose, labels).write.partitionBy("patient_id").parquet(folder)
-    return t.spark.read.parquet(folder).withColumn("patient_id", F.col("patient_id").cast("long"))
+    io.label_volume(t.voxel, t.dose, labels, t.structure_voxel).write.partitionBy("patient_id").parquet(folder)
+    read = t.spark.read.parquet(folder).withColumn("patient_id", F.col("patient_id").cast("long"))
+    return read.withColumn("structures", F.array_join("structures", ","))

@@ -93,6 +93,19 @@ def optimization_structures(t):
     return st.optimization_structures(t.structure_voxel, definitions, RES, SIZE)
 
 
+@query("structure_infinite", f"SELECT p.patient_id, x.ix, y.iy, z.iz FROM (SELECT DISTINCT patient_id FROM v_structure_voxel WHERE structure = 'PTV') p, (SELECT unnest(range(25)) AS ix) x, (SELECT unnest(range(20)) AS iy) y, (SELECT unnest(range(3)) AS iz) z EXCEPT {V.format('PTV')}")
+def structure_infinite(t):
+    return st.evaluate_expression(t.structure_voxel, "PTV + inf - PTV", RES, SIZE)
+
+
+@query("optimization_structure_chain", grow_sql(V.format("PTV"), 1, 2, "g") + f""",
+r1 AS ((SELECT * FROM g EXCEPT {V.format('PTV')}) INTERSECT {V.format('BODY')}), r2 AS ((SELECT * FROM r1 EXCEPT {V.format('BOX')}) INTERSECT {V.format('BODY')})
+SELECT 'RIND_1' AS structure, * FROM r1 UNION ALL SELECT 'RIND_2' AS structure, * FROM r2""")
+def optimization_structure_chain(t):
+    definitions = [("RIND_1", "(PTV + 3) - PTV"), ("RIND_2", "RIND_1 - BOX"), ("RIND_2", "GTV + 1"), ("RIND_3", "RIND_4 + 1")]
+    return st.optimization_structures(t.structure_voxel, definitions, RES, SIZE)
+
+
 BLOCK = "v.iz * 130 + v.iy // 2 * 13 + v.ix // 2"
 
 
@@ -195,12 +208,14 @@ def boundary_voxels(t):
     return st.boundary_voxels(t.structure_voxel)
 
 
-@query("connected_regions", """o_m AS (SELECT patient_id, voxel_id, ix, iy, iz, (iz * 1000 + iy) * 1000 + ix AS code FROM v_structure_voxel WHERE structure = 'PTV'),
-o_adj AS (SELECT a.patient_id, a.code AS a, b.code AS b FROM o_m a JOIN o_m b ON a.patient_id = b.patient_id
-  AND abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1),
-o_reach(patient_id, a, b) AS (SELECT patient_id, code, code FROM o_m UNION SELECT r.patient_id, r.a, j.b FROM o_reach r JOIN o_adj j ON j.patient_id = r.patient_id AND j.a = r.b),
-o_low AS (SELECT patient_id, a, min(b) AS low FROM o_reach GROUP BY 1, 2)
-SELECT m.patient_id, 'PTV' AS structure, dense_rank() OVER (PARTITION BY m.patient_id ORDER BY l.low) AS region, m.ix, m.iy, m.iz
-FROM o_m m JOIN o_low l ON l.patient_id = m.patient_id AND l.a = m.code""", recursive=True)
+@query("connected_regions", """o_g AS (SELECT patient_id, structure, ix, iy, iz, ix - row_number() OVER (PARTITION BY patient_id, structure, iz, iy ORDER BY ix) AS island FROM v_structure_voxel),
+o_run AS (SELECT patient_id, structure, iz, iy, min(ix) AS x1, max(ix) AS x2, (iz * 1000 + iy) * 1000 + min(ix) AS code FROM o_g GROUP BY patient_id, structure, iz, iy, island),
+o_adj AS (SELECT a.patient_id, a.structure, a.code AS a, b.code AS b FROM o_run a JOIN o_run b ON a.patient_id = b.patient_id AND a.structure = b.structure
+  AND abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1 AND a.x1 <= b.x2 AND a.x2 >= b.x1),
+o_reach(patient_id, structure, a, b) AS (SELECT patient_id, structure, code, code FROM o_run
+  UNION SELECT r.patient_id, r.structure, r.a, j.b FROM o_reach r JOIN o_adj j ON j.patient_id = r.patient_id AND j.structure = r.structure AND j.a = r.b),
+o_low AS (SELECT patient_id, structure, a, min(b) AS low FROM o_reach GROUP BY 1, 2, 3),
+o_num AS (SELECT patient_id, structure, a, dense_rank() OVER (PARTITION BY patient_id, structure ORDER BY low) AS region FROM o_low)
+SELECT m.patient_id, m.structure, n.region, unnest(range(m.x1, m.x2 + 1)) AS ix, m.iy, m.iz FROM o_run m JOIN o_num n ON n.patient_id = m.patient_id AND n.structure = m.structure AND n.a = m.code""", recursive=True)
 def connected_regions(t):
-    return st.connected_regions(t.structure_voxel.filter("structure = 'PTV'"))
+    return st.connected_regions(t.structure_voxel)

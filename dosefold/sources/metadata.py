@@ -163,13 +163,22 @@ def write_fluence(lines: DataFrame, path: str) -> None:
         "beam_id").text(path)
 
 
-def label_volume(ct: DataFrame, dose: DataFrame, labels: DataFrame) -> DataFrame:
-    """Dense CT table with dose and organ label, zero where absent."""
-    return (
-        ct.join(dose, ["patient_id", "voxel_id"], "left")
-        .join(labels, ["patient_id", "ix", "iy", "iz"], "left")
-        .select(
-            "patient_id", "ix", "iy", "iz", "hu", F.coalesce("dose_gy", F.lit(0.0)).alias("dose_gy"),
-            F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("target", F.lit(0)).alias("target"),
-        )
+def label_volume(ct: DataFrame, dose: DataFrame, labels: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """Dense CT table with dose and organ label, zero where absent.
+
+    With `masks` (a structure table) every cell also lists all structures that hold it, overlaps included.
+    A dose with plan_id gives the table of each plan.
+    """
+    cell = ["patient_id", "ix", "iy", "iz"]
+    plan = [c for c in ("plan_id",) if c in dose.columns]
+    if plan:
+        ct = ct.join(dose.select("patient_id", *plan).distinct(), "patient_id")
+    found = ct.join(dose, ["patient_id", *plan, "voxel_id"], "left").join(labels, cell, "left")
+    extra = []
+    if masks is not None:
+        found = found.join(masks.groupBy(*cell).agg(F.array_sort(F.collect_set("structure")).alias("structures")), cell, "left")
+        extra = [F.coalesce("structures", F.array().cast("array<string>")).alias("structures")]
+    return found.select(
+        *plan, *cell, "hu", F.coalesce("dose_gy", F.lit(0.0)).alias("dose_gy"),
+        F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("target", F.lit(0)).alias("target"), *extra,
     )

@@ -145,7 +145,7 @@ def test_gradient_equals_finite_difference(spark):
     assert all(near[b] == pytest.approx(grad[b], rel=1e-4) for b in grad)
 
 
-ANGLES = [(0, 0, 0), (90, 0, 0), (180, 0, 0), (270, 0, 0), (160, 0, 90), (120, 0, 90), (45, 10, 30), (300, 350, 270)]
+ANGLES = [(g, c, t) for g in (0, 33, 178, 251) for c in (0, 17) for t in (0, 115)]
 
 
 def test_rotations_are_proper_and_keep_the_source_distance(spark):
@@ -178,15 +178,15 @@ def test_near_ray_pairs_find_every_close_pair(spark):
 
 
 def test_interpolation_is_exact_on_ramps_and_defaults_outside(spark):
-    origin, spacing, size = (-5.0, 3.0, 10.0), (2.0, 2.5, 3.0), (12, 10, 8)
+    origin, spacing, size = (4.0, -7.0, 1.0), (1.5, 3.0, 2.25), (9, 7, 11)
     place = lambda i: [o + s * k for o, s, k in zip(origin, spacing, i)]
-    source = [(1, x, y, z, float(np.dot([1, 2, 3], place((x, y, z))))) for x in range(size[0]) for y in range(size[1]) for z in range(size[2])]
+    source = [(1, x, y, z, float(np.dot([4, -1, 2.5], place((x, y, z))))) for x in range(size[0]) for y in range(size[1]) for z in range(size[2])]
     grid = spark.createDataFrame(source, "patient_id long, ix long, iy long, iz long, value double")
-    asked = [(1, 0, -4.3, 9.1, 20.2), (1, 1, 17.0, 25.5, 31.0), (1, 2, 3.0, 5.5, 13.0), (1, 3, 900.0, 0.0, 0.0)]
+    asked = [(1, 0, 5.1, -2.2, 9.9), (1, 1, 16.0, 11.0, 23.5), (1, 2, 7.0, -1.0, 3.25), (1, 3, -500.0, 0.0, 0.0)]
     targets = vx.fractional_index(spark.createDataFrame(asked, "patient_id long, t long, x_mm double, y_mm double, z_mm double"), origin, spacing)
     got = {r.t: r.value for r in vx.resample_linear(targets, grid, ["patient_id", "t"], "value", -7.0).collect()}
     for _, t, x, y, z in asked[:3]:
-        assert got[t] == pytest.approx(x + 2 * y + 3 * z)
+        assert got[t] == pytest.approx(4 * x - y + 2.5 * z)
     assert got[3] == -7.0
 
 
