@@ -90,18 +90,23 @@ def erode(runs: DataFrame, keys: list[str], offsets) -> DataFrame:
         *keys, (F.col("iz") - F.col("dz")).alias("iz"), (F.col("iy") - F.col("dy")).alias("iy"),
         (F.col("x1") + F.col("w")).alias("x1"), (F.col("x2") - F.col("w")).alias("x2"),
     ).filter("x1 <= x2")
+    return covered(moved.withColumn("rows", F.lit(len(offsets))), keys)
+
+
+def covered(moved: DataFrame, keys: list[str]) -> DataFrame:
+    """Intervals that as many of the moved runs cover as their column `rows` says."""
     edges = F.array(
         F.struct(F.col("x1").alias("x"), F.lit(1).alias("step")),
         F.struct((F.col("x2") + 1).alias("x"), F.lit(-1).alias("step")),
     )
     line = Window.partitionBy(*keys, *ROW).orderBy("x")
     return (
-        moved.select(*keys, *ROW, F.inline(edges))
-        .groupBy(*keys, *ROW, "x").agg(F.sum("step").alias("step"))
-        .select(*keys, *ROW, F.col("x").alias("x1"), F.sum("step").over(line).alias("cover"),
+        moved.select(*keys, *ROW, "rows", F.inline(edges))
+        .groupBy(*keys, *ROW, "x").agg(F.sum("step").alias("step"), F.max("rows").alias("rows"))
+        .select(*keys, *ROW, "rows", F.col("x").alias("x1"), F.sum("step").over(line).alias("cover"),
                 (F.lead("x").over(line) - 1).alias("x2"))
-        .filter(F.col("cover") == len(offsets))
-        .drop("cover")
+        .filter("cover = rows")
+        .drop("cover", "rows")
     )
 
 

@@ -102,16 +102,21 @@ def uniform_voxel_map(points: DataFrame, origin: tuple, spacing: tuple, dose_spa
 
 
 def dose_to_grid(ct: DataFrame, dose: DataFrame) -> DataFrame:
-    """Dose on every CT cell, zero outside the map."""
-    return ct.select(*CELL, "voxel_id").join(dose, ["patient_id", "voxel_id"], "left").select(
-        *CELL, F.coalesce("dose_gy", F.lit(0.0)).alias("dose_gy")
+    """Dose on every CT cell, zero outside the map; for each plan of the patient, if the dose has plan_id."""
+    plan = [c for c in ("plan_id",) if c in dose.columns]
+    cells = ct.select(*CELL, "voxel_id")
+    if plan:
+        cells = cells.join(dose.select("patient_id", *plan).distinct(), "patient_id")
+    return cells.join(dose, ["patient_id", *plan, "voxel_id"], "left").select(
+        *plan, *CELL, F.coalesce("dose_gy", F.lit(0.0)).alias("dose_gy")
     )
 
 
 def grid_to_dose(ct: DataFrame, grid: DataFrame, value: str = "dose_gy") -> DataFrame:
-    """Dose vector from the grid; the last cell in z, y, x order gives the value."""
+    """Dose vector from the grid, for each plan it has; the last cell in z, y, x order gives the value."""
+    plan = [c for c in ("plan_id",) if c in grid.columns]
     return ct.filter(F.col("voxel_id").isNotNull()).select(*CELL, "voxel_id").join(grid, CELL).groupBy(
-        "patient_id", "voxel_id").agg(F.max_by(value, scan_code(F.col("iz"), F.col("iy"), F.col("ix"))).alias(value))
+        *plan, "patient_id", "voxel_id").agg(F.max_by(value, scan_code(F.col("iz"), F.col("iy"), F.col("ix"))).alias(value))
 
 
 def crop_box(grid: DataFrame, start_mm: tuple, end_mm: tuple, origin: tuple, spacing: tuple) -> DataFrame:

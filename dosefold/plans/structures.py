@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dosefold.functions import headers as hd
 from dosefold.functions.numeric import snap
 from dosefold.operators import grids
 from dosefold.operators import structures as st
@@ -219,3 +220,52 @@ o_num AS (SELECT patient_id, structure, a, dense_rank() OVER (PARTITION BY patie
 SELECT m.patient_id, m.structure, n.region, unnest(range(m.x1, m.x2 + 1)) AS ix, m.iy, m.iz FROM o_run m JOIN o_num n ON n.patient_id = m.patient_id AND n.structure = m.structure AND n.a = m.code""", recursive=True)
 def connected_regions(t):
     return st.connected_regions(t.structure_voxel)
+
+
+# --- patients with grids of their own ---------------------------------------
+
+HEADER_SQL = """o_h AS (SELECT DISTINCT patient_id, patient_id * 10.0::double AS ox, 0.5::double - patient_id AS oy, 3.0::double AS oz,
+ 0.75::double + patient_id % 3 * 0.5 AS sx, 0.5::double + patient_id % 2 AS sy, 2.0::double + patient_id % 4 AS sz FROM v_voxel)"""
+
+
+def headers(t):
+    """Patients with different origins and spacings over the same indices."""
+    p = F.col("patient_id")
+    three = lambda x, y, z: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
+    size = F.struct(*[F.lit(n).alias(a) for n, a in zip(SIZE, ("x", "y", "z"))])
+    return t.voxel.select("patient_id").distinct().select(
+        p, three(p * 10, 0.5 - p, F.lit(3.0)).alias("origin"), three(0.75 + p % 3 * 0.5, 0.5 + p % 2, 2.0 + p % 4).alias("spacing"), size.alias("size")
+    )
+
+
+@query("structure_volume_headers", f"{HEADER_SQL} SELECT s.patient_id, s.structure, {S6.format('s.n * h.sx * h.sy * h.sz / 1000')} AS volume_cc, {S6.format('s.frac')} AS frac_in_box FROM o_struct s JOIN o_h h USING (patient_id)")
+def structure_volume_headers(t):
+    r = hd.structure_volume(t.structure_voxel, block_ct(t), headers(t))
+    return r.select("patient_id", "structure", *[snap(F.col(c)).alias(c) for c in ("volume_cc", "frac_in_box")])
+
+
+@query("voxel_centers_headers", f"""{BLOCK_CT_SQL}, {HEADER_SQL}, o_e AS (SELECT patient_id, voxel_id, (min(ix) + max(ix)) / 2.0 AS mx, (min(iy) + max(iy)) / 2.0 AS my, (min(iz) + max(iz)) / 2.0 AS mz FROM o_ct WHERE voxel_id IS NOT NULL GROUP BY 1, 2)
+SELECT patient_id, voxel_id, {S6.format('mx * sx + ox')} AS x_mm, {S6.format('my * sy + oy')} AS y_mm, {S6.format('mz * sz + oz')} AS z_mm FROM o_e JOIN o_h USING (patient_id)""")
+def voxel_centers_headers(t):
+    c = hd.voxel_centers(block_ct(t), headers(t))
+    return c.select("patient_id", "voxel_id", *[snap(F.col(a)).alias(a) for a in ("x_mm", "y_mm", "z_mm")])
+
+
+@query("calc_box_crop_headers", f"""{HEADER_SQL} SELECT v.patient_id, v.ix, v.iy, v.iz, v.hu FROM v_voxel v JOIN o_h h USING (patient_id)
+WHERE v.ix >= floor(3.1 / h.sx + 0.5) AND v.ix < floor(11.3 / h.sx + 0.5) AND v.iy >= floor(2.2 / h.sy + 0.5) AND v.iy < floor(9.7 / h.sy + 0.5) AND v.iz BETWEEN floor(1.9 / h.sz + 0.5) AND floor(4.1 / h.sz + 0.5)""")
+def calc_box_crop_headers(t):
+    own = headers(t)
+    point = lambda x, y, z: F.struct(*[(F.col("origin")[a] + v).alias(a) for a, v in (("x", x), ("y", y), ("z", z))])
+    boxes = own.select("patient_id", point(3.1, 2.2, 1.9).alias("start_mm"), point(11.3, 9.7, 4.1).alias("end_mm"))
+    return hd.crop_box(t.voxel, boxes, own).select("patient_id", "ix", "iy", "iz", "hu")
+
+
+@query("structure_expand_headers", f"""{HEADER_SQL}, o_n AS (SELECT patient_id, greatest(round_even(2.6 / sx, 0), 1) AS nx, greatest(round_even(2.6 / sz, 0), 1) AS nz FROM o_h),
+o_k AS (SELECT patient_id, greatest(round_even(nx / greatest(floor(nx / nz), 1), 0), 1)::bigint AS k, ((greatest(floor(nx / nz), 1) - 1) * greatest(round_even(nx / greatest(floor(nx / nz), 1), 0), 1))::bigint AS m FROM o_n),
+o_ball AS (SELECT DISTINCT s.patient_id, s.ix + x.d AS ix, s.iy + y.d AS iy, s.iz + z.d AS iz FROM v_structure_voxel s JOIN o_k USING (patient_id), (SELECT unnest(range(-8, 9)) AS d) x, (SELECT unnest(range(-8, 9)) AS d) y, (SELECT unnest(range(-8, 9)) AS d) z
+  WHERE s.structure = 'GTV' AND abs(x.d) <= k AND abs(y.d) <= k AND abs(z.d) <= k AND abs(x.d) + abs(y.d) + abs(z.d) <= 2 * k),
+o_in AS (SELECT * FROM o_ball WHERE ix BETWEEN 0 AND 24 AND iy BETWEEN 0 AND 19 AND iz BETWEEN 0 AND 2)
+SELECT DISTINCT b.patient_id, b.ix + x.d AS ix, b.iy + y.d AS iy, b.iz FROM o_in b JOIN o_k USING (patient_id), (SELECT unnest(range(-8, 9)) AS d) x, (SELECT unnest(range(-8, 9)) AS d) y
+WHERE abs(x.d) <= m AND abs(y.d) <= m AND b.ix + x.d BETWEEN 0 AND 24 AND b.iy + y.d BETWEEN 0 AND 19""")
+def structure_expand_headers(t):
+    return hd.expand(m(t, "GTV"), 2.6, headers(t))
