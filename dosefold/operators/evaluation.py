@@ -199,6 +199,25 @@ def conformity(grid_dose: DataFrame, target: DataFrame, threshold_gy: float, out
     )
 
 
+def conformity_on_cells(ct: DataFrame, dose: DataFrame, target: DataFrame, threshold_gy: float, out: str = "conformity_index") -> DataFrame:
+    """The same by CT cells, where several cells share a dose voxel (`voxel_id` of `ct`, NULL outside the map).
+
+    Each dose voxel counts with its cells, and with those of them in the target;
+    target cells outside the map have no dose but belong to the target.
+    """
+    cell = ["patient_id", "ix", "iy", "iz"]
+    inside = target.select(*cell).distinct()
+    shares = ct.filter(F.col("voxel_id").isNotNull()).select(*cell, "voxel_id").join(inside.withColumn("inside", F.lit(1)), cell, "left").groupBy(
+        "patient_id", "voxel_id").agg(F.count(F.lit(1)).alias("n"), F.count("inside").alias("n_in"))
+    hit = F.col("dose_gy") >= threshold_gy
+    counts = dose.join(shares, ["patient_id", "voxel_id"]).groupBy("patient_id", "plan_id").agg(
+        F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("n_iso"), F.coalesce(F.sum(F.when(hit, F.col("n_in"))), F.lit(0)).alias("n_both"))
+    whole = inside.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_target"))
+    both = counts.join(whole, "patient_id", "left").withColumn("n_target", F.coalesce("n_target", F.lit(0)))
+    denominator = F.col("n_target") * F.col("n_iso")
+    return both.select("patient_id", "plan_id", F.when(denominator > 0, F.col("n_both") * F.col("n_both") / denominator).alias(out))
+
+
 def homogeneity(target_dose: DataFrame) -> DataFrame:
     """(P98 - P2) / P50 of the target dose with linear percentiles."""
     p = exact_quantiles(

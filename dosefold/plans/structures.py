@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dosefold.functions import headers as hd
 from dosefold.functions.numeric import snap
+from dosefold.operators import evaluation as ev
 from dosefold.operators import grids
 from dosefold.operators import structures as st
 from dosefold.plans.evaluation import S6
@@ -269,3 +270,14 @@ SELECT DISTINCT b.patient_id, b.ix + x.d AS ix, b.iy + y.d AS iy, b.iz FROM o_in
 WHERE abs(x.d) <= m AND abs(y.d) <= m AND b.ix + x.d BETWEEN 0 AND 24 AND b.iy + y.d BETWEEN 0 AND 19""")
 def structure_expand_headers(t):
     return hd.expand(m(t, "GTV"), 2.6, headers(t))
+
+
+@query("conformity_index_cells", f"""{BLOCK_CT_SQL}, o_in AS (SELECT DISTINCT patient_id, ix, iy, iz FROM v_structure_voxel WHERE structure = 'PTV'),
+o_sh AS (SELECT c.patient_id, c.voxel_id, count(*) AS n, count(i.ix) AS n_in FROM o_ct c LEFT JOIN o_in i USING (patient_id, ix, iy, iz) WHERE c.voxel_id IS NOT NULL GROUP BY 1, 2),
+o_c AS (SELECT d.patient_id, d.plan_id, sum(CASE WHEN d.dose_gy >= 20 THEN s.n ELSE 0 END)::bigint AS iso, sum(CASE WHEN d.dose_gy >= 20 THEN s.n_in ELSE 0 END)::bigint AS hit FROM o_dose d JOIN o_sh s USING (patient_id, voxel_id) GROUP BY 1, 2),
+o_n AS (SELECT patient_id, count(*) AS n FROM o_in GROUP BY 1)
+SELECT patient_id, plan_id, {S6.format('CASE WHEN o_n.n * iso > 0 THEN hit * hit / (o_n.n * iso)::double END')} AS conformity_index FROM o_c JOIN o_n USING (patient_id)""")
+def conformity_index_cells(t):
+    """Several CT cells share a dose voxel."""
+    r = ev.conformity_on_cells(block_ct(t), t.dose, m(t, "PTV"), 20.0)
+    return r.withColumn("conformity_index", snap(F.col("conformity_index")))
