@@ -116,3 +116,28 @@ def label_volume_export(t):
     io.label_volume(t.voxel, t.dose, labels, t.structure_voxel).write.partitionBy("patient_id").parquet(folder)
     read = t.spark.read.parquet(folder).withColumn("patient_id", F.col("patient_id").cast("long"))
     return read.withColumn("structures", F.array_join("structures", ","))
+
+
+@query("ct_header_scan", """SELECT s_suppkey AS patient_id, s_suppkey * 1.5::double AS origin_x, -2.0::double AS origin_y, 0.98::double AS spacing_x, 2.0::double + s_nationkey % 3 AS spacing_z, (100 + s_nationkey)::integer AS size_z FROM supplier""")
+def ct_header_scan(t):
+    """Headers written as one file per row's folder, read back as the header table."""
+    folder, k = scratch_folder(t.spark, "ct"), F.col("s_suppkey")
+    t.table("supplier").select(
+        k.alias("folder"), F.array(k * 1.5, F.lit(-2.0), F.lit(0.0)).alias("origin_xyz_mm"),
+        F.array(F.lit(0.98), F.lit(0.98), 2.0 + F.col("s_nationkey") % 3).alias("resolution_xyz_mm"),
+        F.array(F.lit(512), F.lit(512), F.col("s_nationkey").cast("int") + 100).alias("size_xyz_mm"),
+    ).repartition(8, "folder").write.partitionBy("folder").json(folder)
+    found = io.ct_headers(io.scan_metadata(t.spark, folder, io.CT_SCHEMA, r"folder=([^/]+)/", multi_line=False))
+    return found.select(F.col("patient_id").cast("long").alias("patient_id"), F.col("origin.x").alias("origin_x"), F.col("origin.y").alias("origin_y"),
+                        F.col("spacing.x").alias("spacing_x"), F.col("spacing.z").alias("spacing_z"), F.col("size.z").alias("size_z"))
+
+
+@query("arc_scan", """SELECT b.patient_id, a.n::varchar AS arc_id, count(*) AS points, min(b.beam_id) AS first_beam, max(b.beam_id) AS last_beam FROM v_beam b JOIN (SELECT unnest([0, 1]) AS n) a ON b.beam_id % 2 = a.n GROUP BY 1, 2""")
+def arc_scan(t):
+    """Arcs of each patient's beams, written as JSON and read back."""
+    folder = scratch_folder(t.spark, "arcs")
+    arc = t.beam.groupBy("patient_id", (F.col("beam_id") % 2).cast("string").alias("arc_id")).agg(F.sort_array(F.collect_list("beam_id")).alias("control_point_ids"))
+    arc.groupBy(F.col("patient_id").alias("folder")).agg(F.collect_list(F.struct("arc_id", "control_point_ids")).alias("arcs")).write.partitionBy("folder").json(folder)
+    found = io.arc_rows(io.scan_metadata(t.spark, folder, io.ARC_SCHEMA, r"folder=([^/]+)/", multi_line=False))
+    return found.select(F.col("patient_id").cast("long").alias("patient_id"), "arc_id", F.size("beam_ids").cast("long").alias("points"),
+                        F.array_min("beam_ids").alias("first_beam"), F.array_max("beam_ids").alias("last_beam"))

@@ -15,7 +15,27 @@ BEAM_SCHEMA = (
     f"ID long, gantry_angle double, collimator_angle double, couch_angle double, iso_center {POINT}, "
     "jaw_position struct<top_left_x_mm: double, top_left_y_mm: double, bottom_right_x_mm: double, bottom_right_y_mm: double>, "
     "MLC_name string, beam_modality string, energy_MV string, SSD_mm double, SAD_mm double, machine_name string, "
-    "influenceMatrixSparse_File string, influenceMatrixSparse_tol double, influenceMatrixFull_File string"
+    "influenceMatrixSparse_File string, influenceMatrixSparse_tol double, influenceMatrixFull_File string, "
+    "beamlets struct<id_File: string, width_mm_File: string, height_mm_File: string, position_x_mm_File: string, position_y_mm_File: string, "
+    "MLC_leaf_idx_File: string>, BEV_structure_contour_points_File string, MLC_leaves_pos_y_mm_File string"
+)
+# fixed field names of the file formats
+CT_SCHEMA = "origin_xyz_mm array<double>, resolution_xyz_mm array<double>, size_xyz_mm array<int>, direction array<double>, ct_hu_3d_File string"
+VOXEL_SCHEMA = (
+    "ct_origin_xyz_mm array<double>, ct_voxel_resolution_xyz_mm array<double>, dose_voxel_resolution_xyz_mm array<double>, "
+    "ct_to_dose_voxel_map_File string, voxel_coordinate_XYZ_mm_File string, cal_box_xyz_start array<double>, cal_box_xyz_end array<double>"
+)
+ARC_SCHEMA = (
+    "arcs array<struct<arc_id: string, control_point_ids: array<long>, gantry_start_angle: double, gantry_stop_angle: double, "
+    "minimum_dynamic_leaf_gap: double, technique: string, gantry_rotation_direction: string>>"
+)
+OBJECTIVE = "struct<type: string, structure_name: string, weight: double, dose_gy: string, dose_perc: double, structure_def: string>"
+OBJECTIVE_SCHEMA = f"objective_functions array<{OBJECTIVE}>, constraints array<struct<type: string, parameters: map<string, string>, constraints: map<string, string>>>"
+SOURCE_ID_SCHEMA = "tcia_patients array<map<string, string>>"
+SCORECARD_SCHEMA = (
+    "DosePerFraction double, NumberOfFractions long, ScoreTemplates array<struct<Structure: struct<StructureId: string, TemplateStructureId: string>, "
+    "MetricType: string, InputValue: double, InputUnit: string, OutputUnit: string, MetricComment: string, "
+    "ScorePoints: array<struct<PointX: double, Score: double>>>>"
 )
 STRUCTURE_SCHEMA = "name string, volume_cc double, fraction_of_vol_in_calc_box double, structure_mask_3d_File string"
 PLANNER_SCHEMA = "IDs array<long>"
@@ -59,6 +79,73 @@ def scan_planner_beams(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _three(column: str, kind: str = "double"):
+    return F.struct(*[F.col(column)[i].cast(kind).alias(a) for i, a in enumerate("xyz")])
+
+
+def ct_headers(files: DataFrame) -> DataFrame:
+    """The header table of functions/headers.py from rows of CT_SCHEMA with a patient_id."""
+    return files.select("patient_id", _three("origin_xyz_mm").alias("origin"), _three("resolution_xyz_mm").alias("spacing"), _three("size_xyz_mm", "int").alias("size"))
+
+
+def scan_ct_headers(spark: SparkSession, root: str) -> DataFrame:
+    return ct_headers(scan_metadata(spark, f"{root}/*/CT_MetaData.json", CT_SCHEMA))
+
+
+def scan_voxel_headers(spark: SparkSession, root: str) -> DataFrame:
+    """Origin and both spacings of each patient's dose grid, with the corners of its calculation box (NULL if not given)."""
+    found = scan_metadata(spark, f"{root}/*/OptimizationVoxels_MetaData.json", VOXEL_SCHEMA)
+    return found.select(
+        "patient_id", _three("ct_origin_xyz_mm").alias("origin"), _three("ct_voxel_resolution_xyz_mm").alias("spacing"),
+        _three("dose_voxel_resolution_xyz_mm").alias("dose_spacing"),
+        *[F.when(F.col(c).isNotNull(), _three(c)).alias(c.removeprefix("cal_box_xyz_") + "_mm") for c in ("cal_box_xyz_start", "cal_box_xyz_end")],
+    )
+
+
+def arc_rows(files: DataFrame) -> DataFrame:
+    """Arcs with their control points from rows of ARC_SCHEMA with a patient_id; `beam_ids` fits operators/arcs.py."""
+    arcs = files.select("patient_id", F.explode("arcs").alias("arc"))
+    return arcs.select(
+        "patient_id", "arc.arc_id", F.col("arc.control_point_ids").alias("beam_ids"), "arc.gantry_start_angle", "arc.gantry_stop_angle",
+        "arc.minimum_dynamic_leaf_gap", "arc.technique", "arc.gantry_rotation_direction",
+    )
+
+
+def scan_arcs(spark: SparkSession, root: str) -> DataFrame:
+    return arc_rows(scan_metadata(spark, f"{root}/*/arcs.json", ARC_SCHEMA))
+
+
+def scan_objectives(spark: SparkSession, paths) -> DataFrame:
+    """Objective functions of each file in their order; a dose may be a number or a formula, as text."""
+    files = _json(spark, OBJECTIVE_SCHEMA, paths, True).select(F.col("_metadata.file_name").alias("file_name"), F.posexplode("objective_functions").alias("place", "o"))
+    return files.select("file_name", F.col("place").cast("long").alias("objective_id"), "o.*").withColumnRenamed("structure_name", "structure")
+
+
+def scan_source_ids(spark: SparkSession, paths, name_field: str) -> DataFrame:
+    """External ids of the listed patients, a row for each field but `name_field`, which names the patient."""
+    listed = _json(spark, SOURCE_ID_SCHEMA, paths, True).select(F.explode("tcia_patients").alias("p"))
+    return listed.select(F.col("p")[name_field].alias("name"), F.explode("p").alias("field", "value")).filter(F.col("field") != name_field)
+
+
+def scan_size_tiers(spark: SparkSession, path: str) -> DataFrame:
+    """(tier, low, high) of a file with ptv_size_thresholds_cc."""
+    files = _json(spark, "ptv_size_thresholds_cc map<string, array<double>>", path, True)
+    return files.select(F.explode("ptv_size_thresholds_cc").alias("tier", "ends")).select("tier", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+
+
+def scan_scorecards(spark: SparkSession, paths) -> DataFrame:
+    """A row for each score point of each metric."""
+    files = _json(spark, SCORECARD_SCHEMA, paths, True)
+    metrics = files.select("DosePerFraction", "NumberOfFractions", F.posexplode("ScoreTemplates").alias("metric_id", "m"))
+    points = metrics.select("*", F.posexplode("m.ScorePoints").alias("point_id", "p"))
+    return points.select(
+        F.col("DosePerFraction").alias("dose_per_fraction_gy"), F.col("NumberOfFractions").alias("fractions"), F.col("metric_id").cast("long").alias("metric_id"),
+        F.coalesce("m.Structure.TemplateStructureId", "m.Structure.StructureId").alias("structure"), F.col("m.MetricType").alias("metric_type"),
+        F.col("m.InputValue").alias("input_value"), F.col("m.InputUnit").alias("input_unit"), F.col("m.OutputUnit").alias("output_unit"),
+        F.col("point_id").cast("long").alias("point_id"), F.col("p.PointX").alias("x"), F.col("p.Score").alias("score"),
+    )
+
+
 def scan_manifest(spark: SparkSession, paths) -> DataFrame:
     """Cohort manifest: JSON lines, rows without an id dropped, beam count NULL unless a list."""
     listed = F.from_json("beam_metadata_paths", "array<string>")

@@ -51,3 +51,23 @@ def test_fluence_files_are_ordered(spark, tmp_path):
     text = next((tmp_path / "out" / "beam_id=0").glob("*.txt")).read_text().splitlines()
     assert text[:3] == ["optimalfluence", "SizeX      3", "SizeY      2"] and text[7] == "Values"
     assert text[8:] == ["0.000000\t0.000000\t1.000000", "1.500000\t2.000000\t2.500000"]
+
+
+def test_headers_arcs_and_configuration(spark, tmp_path):
+    put(tmp_path / "P_1" / "CT_MetaData.json", {"origin_xyz_mm": [-10.5, 2, 3], "resolution_xyz_mm": [1, 1, 3], "size_xyz_mm": [9, 8, 7], "direction": [1, 0, 0, 0, 1, 0, 0, 0, 1]})
+    put(tmp_path / "P_1" / "OptimizationVoxels_MetaData.json", {"ct_origin_xyz_mm": [0, 1, 2], "ct_voxel_resolution_xyz_mm": [1, 1, 2], "dose_voxel_resolution_xyz_mm": [2, 2, 2]})
+    put(tmp_path / "P_1" / "arcs.json", {"arcs": [{"arc_id": "a", "control_point_ids": [3, 4, 5], "gantry_start_angle": 180.0}, {"arc_id": "b", "control_point_ids": []}]})
+    put(tmp_path / "objectives.json", {"objective_functions": [{"type": "quadratic", "structure_name": "CORD", "weight": 2.5}, {"type": "linear", "structure_name": "PTV", "weight": 1, "dose_gy": "prescription_gy"}]})
+    put(tmp_path / "ids.json", {"tcia_patients": [{"own": "P_1", "subject": "S9", "site": "x"}]})
+    put(tmp_path / "tiers.json", {"ptv_size_thresholds_cc": {"small": [0, 50], "large": [50, 900.5]}})
+    put(tmp_path / "card.json", {"DosePerFraction": 2, "NumberOfFractions": 30, "ScoreTemplates": [
+        {"Structure": {"StructureId": "PTV"}, "MetricType": "DoseAtVolume", "InputValue": 95, "InputUnit": "%", "OutputUnit": "Gy", "ScorePoints": [{"PointX": 57, "Score": 0}, {"PointX": 60, "Score": 10}]}]})
+    head = io.scan_ct_headers(spark, str(tmp_path)).first()
+    assert (head.patient_id, head.origin.x, head.spacing.z, head.size.y) == ("P_1", -10.5, 3.0, 8)
+    voxel = io.scan_voxel_headers(spark, str(tmp_path)).first()
+    assert voxel.dose_spacing.x == 2.0 and voxel.start_mm is None
+    assert [(r.arc_id, r.beam_ids) for r in io.scan_arcs(spark, str(tmp_path)).collect()] == [("a", [3, 4, 5]), ("b", [])]
+    assert [(r.objective_id, r.structure, r.dose_gy) for r in io.scan_objectives(spark, str(tmp_path / "objectives.json")).collect()] == [(0, "CORD", None), (1, "PTV", "prescription_gy")]
+    assert {(r.name, r.field, r.value) for r in io.scan_source_ids(spark, str(tmp_path / "ids.json"), "own").collect()} == {("P_1", "subject", "S9"), ("P_1", "site", "x")}
+    assert {tuple(r) for r in io.scan_size_tiers(spark, str(tmp_path / "tiers.json")).collect()} == {("small", 0.0, 50.0), ("large", 50.0, 900.5)}
+    assert [(r.structure, r.fractions, r.x, r.score) for r in io.scan_scorecards(spark, str(tmp_path / "card.json")).collect()] == [("PTV", 30, 57.0, 0.0), ("PTV", 30, 60.0, 10.0)]
