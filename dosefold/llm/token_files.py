@@ -8,6 +8,7 @@ ids, each coded on its own (range_coder) with a CRC-32 of its ids.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -27,6 +28,8 @@ MAGIC, MARK = b"TOKENS1\n", b"SEGM"
 BLOCK_IDS = 2048
 #: A segment ends with the document that reaches so many ids, a file with the segment that does.
 SEGMENT_IDS, FILE_IDS = 8 << 20, 64 << 20
+#: Words of which the pre-tokenizer makes one piece each, whatever stands around them.
+SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 #: Words whose ids a worker remembers: 36 bytes each and their ids.
 CACHE_WORDS = 3_000_000
 
@@ -90,6 +93,20 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.known = Known()
 
+    def encode_new(self, texts: list[str], simple: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids); the first `simple` words go to the library many to a text."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for start in range(0, simple, 20_000):
+            groups = [texts[k : min(k + 1000, simple)] for k in range(start, min(start + 20_000, simple), 1000)]
+            for group, found in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+                sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(group)))
+                ids.append(np.array(found.ids, np.int32))
+        for start in range(simple, len(texts), 20_000):
+            found = [e.ids for e in self.library.encode_batch_fast(texts[start : start + 20_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((i for f in found for i in f), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(ids)
+
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids one after the other)."""
         from xxhash import xxh3_128_digest
@@ -100,12 +117,11 @@ class Encoder:
         if len(new):
             if len(new) + len(self.known.parts[0][0]) + len(self.known.parts[1][0]) > CACHE_WORDS:
                 new = np.arange(len(words))  # the memory starts anew
-            found = []
-            for start in range(0, len(new), 20_000):
-                some = [words[k].decode() for k in new[start : start + 20_000].tolist()]
-                found += [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.known.add(keys[new], sizes, np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum())))
+            texts = [words[k].decode() for k in new.tolist()]
+            simple = np.fromiter((SIMPLE(x) is not None for x in texts), bool, len(texts))
+            order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+            sizes, ids = self.encode_new([texts[k] for k in order.tolist()], int(simple.sum()))
+            self.known.add(keys[new[order]], sizes, ids)
         part, start, size = self.known.find(keys)
         ends = np.cumsum(size)
         ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
@@ -267,7 +283,7 @@ def _writer(folder: str, path: str, end_id: int, segment_ids: int, file_ids: int
             return pa.RecordBatch.from_pylist([{"part": part, "place": place, "name": file.name, "n_docs": file.n_docs, "n_ids": file.n_ids}], PACKED)
 
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 16 << 20):
                 ids, n = _with_end(*load(path).encode(batch.column("text")), end_id)
                 doc_ids += batch.column("doc_id").to_pylist()
                 lengths.append(n)

@@ -55,7 +55,7 @@ def test_ids_are_the_library_s(text):
     assert ids[: offsets[1]].tolist() == library_ids(text) and offsets[1] == offsets[2]
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> a <|ENDOFTEXT|>, b", "it's, It'S. 3.14,5 x.,y.", "ΑΣ. ΑΣ", "word,.,.", "..., ,"])
+@pytest.mark.parametrize("text", ["<|endoftext|> a <|ENDOFTEXT|>, b", "it's, It'S. 3.14,5 x.,y.", "ΑΣ. ΑΣ", "word,.,.", "..., ,", "straße Çà l'été ÷ naïve × ø", "a\u0301b ab\u0301 a b"])
 def test_special_cases(text):
     ids, _ = token_files.load(token_files.default_tokenizer()).encode(pa.array([text]))
     assert ids.tolist() == library_ids(text)
