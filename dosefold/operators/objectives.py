@@ -197,6 +197,12 @@ def _gain(before: DataFrame, after: DataFrame) -> float:
     return both.agg(F.max(share)).first()[0] or 0.0
 
 
+def _best_of(iterates: DataFrame) -> DataFrame:
+    """The iterate of least objective of each patient and plan, the earliest of equals."""
+    least = iterates.groupBy(*GROUP).agg(F.min(F.struct("objective", "iteration")).alias("_best"))
+    return iterates.join(least, GROUP).filter("iteration = _best.iteration").drop("_best")
+
+
 def fluence_descent(
     start: DataFrame, influence: DataFrame, voxels: DataFrame, opt_voxels: DataFrame, objectives: DataFrame,
     pairs: DataFrame, smooth: tuple[float, float], step: float, rounds: int | None = None, scale: float = 1.0,
@@ -209,7 +215,8 @@ def fluence_descent(
 
     `start`: patient_id, plan_id, beamlet_id, intensity; `pairs`: neighbouring
     beamlets with direction; `smooth`: weights of right and down differences.
-    Every iterate is written to the checkpoint folder before the next is planned.
+    Every iterate is written to the checkpoint folder before the next is planned;
+    only the best so far is kept, so the number of rounds doesn't widen the plan.
     """
     from dosefold.operators.matrix import dose_from_fluence
     from dosefold.session import cut_lineage
@@ -219,7 +226,7 @@ def fluence_descent(
     )
     w = F.when(F.col("direction") == "right", smooth[0]).otherwise(smooth[1])
     x = cut_lineage(start)
-    history, before, k = [], None, -1
+    best, before, k = None, None, -1
     while True:
         k += 1
         dose = dose_from_fluence(influence, x, voxels, scale=scale).withColumnRenamed("dose_gy", "dose")
@@ -233,7 +240,8 @@ def fluence_descent(
             rough.select(*GROUP, F.col("part").alias("value"))
         ).groupBy(*GROUP).agg(F.sum("value").alias("objective"))
         value = cut_lineage(value.withColumn("iteration", F.lit(k)))
-        history.append(value.join(x, GROUP))
+        now = value.join(x, GROUP)
+        best = now if best is None else cut_lineage(_best_of(best.unionByName(now)))
         if k == rounds or (rounds is None and before is not None and _gain(before, value) <= tolerance):
             break
         before = value
@@ -245,13 +253,7 @@ def fluence_descent(
             *GROUP, "beamlet_id",
             F.greatest(F.col("intensity") - step * F.coalesce("g", F.lit(0.0)), F.lit(0.0)).alias("intensity"),
         ))
-    everything = history[0]
-    for later in history[1:]:
-        everything = everything.unionByName(later)
-    best = everything.groupBy(*GROUP).agg(F.min(F.struct("objective", "iteration")).alias("_best"))
-    return everything.join(best, GROUP).filter("iteration = _best.iteration").select(
-        *GROUP, "beamlet_id", "intensity", "objective", F.col("iteration").cast("long").alias("iteration")
-    )
+    return best.select(*GROUP, "beamlet_id", "intensity", "objective", F.col("iteration").cast("long").alias("iteration"))
 
 
 def dose_limit_report(stats: DataFrame, tails: DataFrame, limits: DataFrame) -> DataFrame:
