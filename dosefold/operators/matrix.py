@@ -292,7 +292,7 @@ def sparsify_randomised(influence: DataFrame, threshold: float, seed: int = 0) -
 
 
 def fluence_to_grid(fluence: DataFrame, cells: DataFrame) -> DataFrame:
-    keys = [c for c in ("patient_id", "beamlet_id") if c in cells.columns and c in fluence.columns]
+    keys = [c for c in ("plan_id", "patient_id", "beamlet_id") if c in cells.columns and c in fluence.columns]
     return cells.join(fluence, keys, "left").withColumn("intensity", F.coalesce("intensity", F.lit(0.0)))
 
 

@@ -25,19 +25,19 @@ def training_features(
 
     `ct` is the cropped grid with hu and voxel_id. Target cells carry the prescription
     in the open-field channel. Cases without a target or without dose are left out.
+    Each plan of a patient is a case of its own, if the dose has plan_id.
     """
-    cases = labels.filter("target = 1").select("patient_id").distinct().join(
-        dose.select("patient_id").distinct(), "patient_id", "left_semi"
-    )
+    plan = [c for c in ("plan_id",) if c in dose.columns]
+    cases = dose.select("patient_id", *plan).distinct().join(labels.filter("target = 1").select("patient_id"), "patient_id", "left_semi")
     joined = (
-        ct.join(cases, "patient_id", "left_semi")
-        .join(dose.select("patient_id", "voxel_id", "dose_gy"), ["patient_id", "voxel_id"], "left")
+        ct.join(cases, "patient_id")
+        .join(dose.select("patient_id", *plan, "voxel_id", "dose_gy"), ["patient_id", *plan, "voxel_id"], "left")
         .join(open_field, ["patient_id", "voxel_id"], "left")
         .join(labels, CELL, "left")
     )
     target = F.coalesce("target", F.lit(0))
     return joined.select(
-        *CELL, vx.hu_normalize(F.col("hu")).alias("ct_norm"),
+        *plan, *CELL, vx.hu_normalize(F.col("hu")).alias("ct_norm"),
         clamp(F.coalesce("dose_gy", F.lit(0.0)), 0.0, 1.2 * prescription_gy).alias("dose_gy"),
         F.coalesce("label", F.lit(0)).alias("label"), target.alias("target"),
         F.when(target == 1, float(prescription_gy)).otherwise(F.coalesce("open_field_gy", F.lit(0.0))).alias("open_field_gy"),
@@ -48,17 +48,18 @@ def resize_features(features: DataFrame, start_xy: tuple[int, int], size: tuple[
     """Training features on a fixed grid: linear CT, dose and open field, nearest label and target.
 
     `size` is the cropped grid starting at `start_xy`. All linear channels share one
-    join of the eight source cells.
+    join of the eight source cells. plan_id stays a key, if the features have it.
     """
+    plan = [c for c in ("plan_id",) if c in features.columns]
     local = features.withColumn("ix", F.col("ix") - start_xy[0]).withColumn("iy", F.col("iy") - start_xy[1])
-    keys = ["patient_id", "jx", "jy", "jz"]
-    targets = vx.resize_targets(local.select("patient_id").distinct(), size, target)
+    keys = [*plan, "patient_id", "jx", "jy", "jz"]
+    targets = vx.resize_targets(local.select(*plan, "patient_id").distinct(), size, target)
     smooth = ["ct_norm", "dose_gy", "open_field_gy"]
-    linear = vx.corner_weights(targets, keys).join(local.select(*CELL, *smooth), CELL).groupBy(*keys).agg(
+    linear = vx.corner_weights(targets, keys).join(local.select(*plan, *CELL, *smooth), [*plan, *CELL]).groupBy(*keys).agg(
         *[F.sum(F.col("w") * F.col(c)).alias(c) for c in smooth]
     )
     at = targets.select(*keys, *[F.floor(F.col(f) + 0.5).cast("long").alias(i) for f, i in zip(("fx", "fy", "fz"), ("ix", "iy", "iz"))])
-    return linear.join(at.join(local.select(*CELL, "label", "target"), CELL).drop("ix", "iy", "iz"), keys)
+    return linear.join(at.join(local.select(*plan, *CELL, "label", "target"), [*plan, *CELL]).drop("ix", "iy", "iz"), keys)
 
 
 def beamlet_samples(
@@ -299,23 +300,25 @@ def augment_parameters(samples: DataFrame, size: tuple[int, int, int], seed: int
 def augment(grid: DataFrame, maps: DataFrame, size: tuple[int, int, int], linear: list[str], nearest: list[str], dose: str = "dose_gy") -> DataFrame:
     """Apply one affine map per sample; positions clamp to the grid, dose survives where its moved mask does.
 
-    `grid` is complete. All linear channels share one join of the eight source cells.
+    `grid` is complete, for each plan if it has plan_id. All linear channels share one join of the eight source cells.
     """
-    targets = grid.select(*CELL).join(maps, "patient_id")
+    plan = [c for c in ("plan_id",) if c in grid.columns]
+    targets = grid.select(*plan, *CELL).join(maps, "patient_id")
     for i, (f, n) in enumerate(zip(("fx", "fy", "fz"), size)):
         at = F.col(f"m{i}0") * F.col("ix") + F.col(f"m{i}1") * F.col("iy") + F.col(f"m{i}2") * F.col("iz") + F.col(f"o{i}")
         targets = targets.withColumn(f, clamp(at, 0.0, float(n - 1)))
-    named = targets.select("patient_id", F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.col("iz").alias("jz"), "fx", "fy", "fz")
-    keys = ["patient_id", "jx", "jy", "jz"]
-    corners = vx.corner_weights(named, keys).join(grid.select(*CELL, *linear), CELL)
+    named = targets.select(*plan, "patient_id", F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.col("iz").alias("jz"), "fx", "fy", "fz")
+    keys = [*plan, "patient_id", "jx", "jy", "jz"]
+    corners = vx.corner_weights(named, keys).join(grid.select(*plan, *CELL, *linear), [*plan, *CELL])
     smooth = corners.groupBy(*keys).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in linear])
-    source = grid.select(*CELL, *nearest, (F.col(dose) > 0).cast("int").alias("_dosed"))
+    source = grid.select(*plan, *CELL, *nearest, (F.col(dose) > 0).cast("int").alias("_dosed"))
     at = named.select(*keys, *[F.floor(F.col(f) + 0.5).cast("long").alias(i) for f, i in zip(("fx", "fy", "fz"), ("ix", "iy", "iz"))])
-    sharp = at.join(source, CELL).select(*keys, *nearest, "_dosed")
+    sharp = at.join(source, [*plan, *CELL]).select(*keys, *nearest, "_dosed")
     return smooth.join(sharp, keys).withColumn(dose, F.col(dose) * F.col("_dosed")).drop("_dosed")
 
 
 def feature_channels(features: DataFrame, n_labels: int = 6) -> DataFrame:
     """Channels in model order: CT, open field, one-hot organs without background, target."""
     organs = [(F.col("label") == k).cast("long").alias(f"organ_{k}") for k in range(1, n_labels)]
-    return features.select(*CELL, "ct_norm", "open_field_gy", *organs, "target")
+    plan = [c for c in ("plan_id",) if c in features.columns]
+    return features.select(*plan, *CELL, "ct_norm", "open_field_gy", *organs, "target")

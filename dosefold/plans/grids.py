@@ -8,7 +8,7 @@ from dosefold.functions.numeric import snap
 from dosefold.operators import grids as vx
 from dosefold.operators import structures as st
 from dosefold.plans.evaluation import RX, S6
-from dosefold.plans.registry import query
+from dosefold.plans.registry import changed, query
 from dosefold.plans.structures import BLOCK_CT_SQL, ORIGIN, RES, SIZE, block_ct
 
 S4 = "floor(({}) * 1e4 + 0.5) / 1e4"
@@ -60,6 +60,29 @@ def grid_to_dose(t):
     return vx.grid_to_dose(block_ct(t), cell_dose(t))
 
 
+DOSE_BLOCK_PLANS_SQL = changed(DOSE_BLOCK_SQL, ("SELECT c.patient_id, c.voxel_id, avg", "SELECT c.patient_id, d.plan_id, c.voxel_id, avg"), (" AND d.plan_id = 'A'", ""), ("GROUP BY 1, 2)", "GROUP BY 1, 2, 3)"))
+
+
+def cell_dose_plans(t):
+    """Dose of every plan on CT cells, each cell its own value."""
+    return t.voxel.join(t.dose, ["patient_id", "voxel_id"]).select("patient_id", "plan_id", "ix", "iy", "iz", "dose_gy")
+
+
+@query("dose_to_grid_plans", f"""{DOSE_BLOCK_PLANS_SQL}, o_pl AS (SELECT DISTINCT patient_id, plan_id FROM o_dose)
+SELECT c.patient_id, p.plan_id, c.ix, c.iy, c.iz, {S6.format('coalesce(b.dose_gy, 0)')} AS dose_gy FROM o_ct c JOIN o_pl p USING (patient_id) LEFT JOIN o_bd b ON b.patient_id = c.patient_id AND b.plan_id = p.plan_id AND b.voxel_id = c.voxel_id""")
+def dose_to_grid_plans(t):
+    ct = block_ct(t)
+    block = ct.filter("voxel_id IS NOT NULL").join(cell_dose_plans(t), ["patient_id", "ix", "iy", "iz"]).groupBy(
+        "patient_id", "plan_id", "voxel_id").agg(F.avg("dose_gy").alias("dose_gy"))
+    return vx.dose_to_grid(ct, block).withColumn("dose_gy", snap(F.col("dose_gy")))
+
+
+@query("grid_to_dose_plans", f"""{BLOCK_CT_SQL} SELECT c.patient_id, d.plan_id, c.voxel_id, arg_max(d.dose_gy, (c.iz * 1000 + c.iy) * 1000 + c.ix) AS dose_gy
+FROM o_ct c JOIN v_voxel v USING (patient_id, ix, iy, iz) JOIN o_dose d ON d.patient_id = c.patient_id AND d.voxel_id = v.voxel_id WHERE c.voxel_id IS NOT NULL GROUP BY 1, 2, 3""")
+def grid_to_dose_plans(t):
+    return vx.grid_to_dose(block_ct(t), cell_dose_plans(t))
+
+
 @query("calc_box_crop", "SELECT patient_id, ix, iy, iz, hu FROM v_voxel WHERE ix >= 4 AND ix < 20 AND iy >= 2 AND iy < 15 AND iz BETWEEN 1 AND 2")
 def calc_box_crop(t):
     r = vx.crop_box(t.voxel, (-1.2, 5.0, 13.2), (14.7, 17.5, 15.9), ORIGIN, RES)

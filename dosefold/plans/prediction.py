@@ -12,7 +12,7 @@ from dosefold.operators import structures as st
 from dosefold.plans import geometry as pg
 from dosefold.plans.evaluation import RX, S6
 from dosefold.plans.grids import S4
-from dosefold.plans.registry import query
+from dosefold.plans.registry import changed, query
 from dosefold.plans.structures import BLOCK_CT_SQL, block_ct
 
 ORGANS = [("CORD", 1), ("HEART", 3), ("LUNG_L", 4), ("LUNG_R", 5)]
@@ -23,11 +23,15 @@ FEATURE_SQL = f"""{LABEL_SQL}, {OPEN_SQL}, o_feat AS (SELECT v.patient_id, v.ix,
  WHERE v.ix >= 2 AND v.ix < 23 AND v.iy >= 3 AND v.iy < 18 AND EXISTS (SELECT 1 FROM o_lab t WHERE t.patient_id = v.patient_id AND t.target = 1))"""
 
 
-def features(t):
+FEATURE_PLANS_SQL = changed(FEATURE_SQL, ("o_feat AS (SELECT v.patient_id,", "o_feat AS (SELECT v.patient_id, d.plan_id,"), (" AND d.plan_id = 'A'", ""))
+
+
+def features(t, dose=None):
+    """Of plan A, or of all plans of the given dose."""
     ct = t.voxel.filter("ix >= 2 AND ix < 23 AND iy >= 3 AND iy < 18")
     labels = st.label_map(t.structure_voxel, ORGANS)
     return ml.training_features(
-        ct, t.dose.filter("plan_id = 'A'"), labels, im.open_field_dose(t.influence, t.voxel, RX), RX
+        ct, t.dose.filter("plan_id = 'A'").drop("plan_id") if dose is None else dose, labels, im.open_field_dose(t.influence, t.voxel, RX), RX
     )
 
 
@@ -37,11 +41,16 @@ def training_features(t):
     return r.select("patient_id", "ix", "iy", "iz", snap(F.col("ct_norm")).alias("ct_norm"), snap(F.col("dose_gy")).alias("dose_gy"), "label", "target", snap(F.col("open_field_gy")).alias("open_field_gy"))
 
 
+@query("training_features_plans", f"{FEATURE_PLANS_SQL} SELECT patient_id, plan_id, ix, iy, iz, {S6.format('ct_norm')} AS ct_norm, {S6.format('dose_gy')} AS dose_gy, label, target, {S6.format('open_field')} AS open_field_gy FROM o_feat")
+def training_features_plans(t):
+    r = features(t, t.dose)
+    return r.select("patient_id", "plan_id", "ix", "iy", "iz", *[snap(F.col(c)).alias(c) for c in ("ct_norm", "dose_gy", "open_field_gy")], "label", "target")
+
+
 S7 = "floor(({}) * 1e7 + 0.5) / 1e7"
 
 
-@query("training_features_resized", f"""{FEATURE_SQL},
-o_tg AS (SELECT p.patient_id, x.range AS jx, y.range AS jy, z.range AS jz, abs((x.range + 0.5::double) * (21.0::double / 9) - 0.5) AS fx, abs((y.range + 0.5::double) * (15.0::double / 7) - 0.5) AS fy, abs((z.range + 0.5::double) * (3.0::double / 8) - 0.5) AS z0
+RESIZED_SQL = f"""o_tg AS (SELECT p.patient_id, x.range AS jx, y.range AS jy, z.range AS jz, abs((x.range + 0.5::double) * (21.0::double / 9) - 0.5) AS fx, abs((y.range + 0.5::double) * (15.0::double / 7) - 0.5) AS fy, abs((z.range + 0.5::double) * (3.0::double / 8) - 0.5) AS z0
   FROM (SELECT DISTINCT patient_id FROM o_feat) p CROSS JOIN range(9) x CROSS JOIN range(7) y CROSS JOIN range(8) z),
 o_tm AS (SELECT *, CASE WHEN z0 > 2 THEN 4 - z0 ELSE z0 END AS fz FROM o_tg),
 o_cw AS (SELECT t.*, floor(fx)::bigint + a.a AS ix, floor(fy)::bigint + b.b AS iy, floor(fz)::bigint + c.c AS iz,
@@ -49,12 +58,28 @@ o_cw AS (SELECT t.*, floor(fx)::bigint + a.a AS ix, floor(fy)::bigint + b.b AS i
  FROM o_tm t CROSS JOIN (VALUES (0), (1)) a(a) CROSS JOIN (VALUES (0), (1)) b(b) CROSS JOIN (VALUES (0), (1)) c(c)),
 o_ln AS (SELECT c.patient_id, jx, jy, jz, sum(w * ct_norm) AS ct_norm, sum(w * dose_gy) AS dose_gy, sum(w * open_field) AS open_field FROM o_cw c JOIN o_feat f ON f.patient_id = c.patient_id AND f.ix = c.ix + 2 AND f.iy = c.iy + 3 AND f.iz = c.iz GROUP BY 1, 2, 3, 4)
 SELECT l.patient_id, l.jx, l.jy, l.jz, {S7.format('l.ct_norm')} AS ct_norm, {S7.format('l.dose_gy')} AS dose_gy, {S7.format('l.open_field')} AS open_field_gy, f.label, f.target
-FROM o_ln l JOIN o_tm t USING (patient_id, jx, jy, jz) JOIN o_feat f ON f.patient_id = t.patient_id AND f.ix = floor(t.fx + 0.5)::bigint + 2 AND f.iy = floor(t.fy + 0.5)::bigint + 3 AND f.iz = floor(t.fz + 0.5)::bigint""")
+FROM o_ln l JOIN o_tm t USING (patient_id, jx, jy, jz) JOIN o_feat f ON f.patient_id = t.patient_id AND f.ix = floor(t.fx + 0.5)::bigint + 2 AND f.iy = floor(t.fy + 0.5)::bigint + 3 AND f.iz = floor(t.fz + 0.5)::bigint"""
+
+
+@query("training_features_resized", f"{FEATURE_SQL},\n{RESIZED_SQL}")
 def training_features_resized(t):
     r = ml.resize_features(features(t), (2, 3), (21, 15, 3), (9, 7, 8))
     return r.select("patient_id", "jx", "jy", "jz", *[snap(F.col(c), 7).alias(c) for c in ("ct_norm", "dose_gy", "open_field_gy")], "label", "target")
 
 
+RESIZED_PLANS_SQL = changed(
+    RESIZED_SQL, ("SELECT p.patient_id, x.range", "SELECT p.patient_id, p.plan_id, x.range"), ("SELECT DISTINCT patient_id FROM", "SELECT DISTINCT patient_id, plan_id FROM"),
+    ("SELECT c.patient_id, jx", "SELECT c.patient_id, c.plan_id, jx"), ("f.patient_id = c.patient_id", "f.patient_id = c.patient_id AND f.plan_id = c.plan_id"), ("GROUP BY 1, 2, 3, 4)", "GROUP BY 1, 2, 3, 4, 5)"),
+    ("SELECT l.patient_id, l.jx", "SELECT l.patient_id, l.plan_id, l.jx"), ("USING (patient_id, jx", "USING (patient_id, plan_id, jx"), ("f.patient_id = t.patient_id", "f.patient_id = t.patient_id AND f.plan_id = t.plan_id"),
+)
+
+
+@query("training_features_resized_plans", f"{FEATURE_PLANS_SQL},\n{RESIZED_PLANS_SQL}")
+def training_features_resized_plans(t):
+    r = ml.resize_features(features(t, t.dose), (2, 3), (21, 15, 3), (9, 7, 8))
+    return r.select("patient_id", "plan_id", "jx", "jy", "jz", *[snap(F.col(c), 7).alias(c) for c in ("ct_norm", "dose_gy", "open_field_gy")], "label", "target")
+
+
 SAMPLE_SQL = f"""{pg.FRAME_SQL}, o_ch AS (SELECT patient_id, beam_id FROM o_b8 WHERE (beam_id * 45 - (patient_id * 7 + 42) % 12 * 5) % 60 = 0),
 o_tail AS (SELECT i.*, b.beam_id, b.x_mm, b.y_mm, max(i.a_int) OVER (PARTITION BY i.patient_id, i.beamlet_id) AS top FROM v_influence i JOIN v_beamlet b USING (beamlet_id)),
 o_pair AS (SELECT t.patient_id, t.beam_id, t.beamlet_id, t.voxel_id, t.a_int, f.hu, {pg.D1} AS d1, {pg.R2} AS r2 FROM o_tail t JOIN o_ch c USING (patient_id, beam_id) JOIN o_fr f ON f.patient_id = t.patient_id AND f.beam_id = t.beam_id AND f.voxel_id = t.voxel_id WHERE t.a_int > t.top * 0.3::double),
@@ -199,7 +224,7 @@ MAP = [[0.98123457, -0.17234561, 0.01345619], [0.16456723, 0.97567833, -0.056789
 SHIFT = [1.3, -0.7, 2.1]
 
 
-@query("augment_affine", f"""
+AFFINE_SQL = f"""
 o_f AS (SELECT v.patient_id, v.ix, v.iy, v.iz, least(greatest({MAP[0][0]}::double * v.ix + {MAP[0][1]}::double * v.iy + {MAP[0][2]}::double * v.iz + 1.3::double, 0), 24) AS fx,
  least(greatest({MAP[1][0]}::double * v.ix + {MAP[1][1]}::double * v.iy + {MAP[1][2]}::double * v.iz - 0.7::double, 0), 19) AS fy, least(greatest({MAP[2][0]}::double * v.ix + {MAP[2][1]}::double * v.iy + {MAP[2][2]}::double * v.iz + 2.1::double, 0), 2) AS fz FROM v_voxel v),
 o_src AS (SELECT v.patient_id, v.ix, v.iy, v.iz, v.hu, v.prio, d.dose_gy FROM v_voxel v JOIN o_dose d ON d.patient_id = v.patient_id AND d.voxel_id = v.voxel_id AND d.plan_id = 'A'),
@@ -207,7 +232,10 @@ o_lin AS (SELECT c.patient_id, c.jx, c.jy, c.jz, sum(w * s.hu) AS hu, sum(w * s.
    (CASE a.a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE b.b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE c.c WHEN 1 THEN fz - floor(fz) ELSE 1 - fz + floor(fz) END) AS w
    FROM o_f CROSS JOIN (VALUES (0), (1)) a(a) CROSS JOIN (VALUES (0), (1)) b(b) CROSS JOIN (VALUES (0), (1)) c(c)) c JOIN o_src s USING (patient_id, ix, iy, iz) WHERE w > 0 GROUP BY 1, 2, 3, 4)
 SELECT f.patient_id, f.ix AS jx, f.iy AS jy, f.iz AS jz, {S4.format('l.hu')} AS hu, {S4.format('CASE WHEN s.dose_gy > 0 THEN l.dose ELSE 0 END')} AS dose_gy, CASE WHEN s.prio = '1-URGENT' THEN 1 ELSE 0 END::bigint AS target
-FROM o_f f JOIN o_lin l ON l.patient_id = f.patient_id AND l.jx = f.ix AND l.jy = f.iy AND l.jz = f.iz JOIN o_src s ON s.patient_id = f.patient_id AND s.ix = floor(f.fx + 0.5)::bigint AND s.iy = floor(f.fy + 0.5)::bigint AND s.iz = floor(f.fz + 0.5)::bigint""")
+FROM o_f f JOIN o_lin l ON l.patient_id = f.patient_id AND l.jx = f.ix AND l.jy = f.iy AND l.jz = f.iz JOIN o_src s ON s.patient_id = f.patient_id AND s.ix = floor(f.fx + 0.5)::bigint AND s.iy = floor(f.fy + 0.5)::bigint AND s.iz = floor(f.fz + 0.5)::bigint"""
+
+
+@query("augment_affine", AFFINE_SQL)
 def augment_affine(t):
     grid = t.voxel.join(t.dose.filter("plan_id = 'A'"), ["patient_id", "voxel_id"]).select(
         "patient_id", "ix", "iy", "iz", F.col("hu").cast("double").alias("hu"), "dose_gy", (F.col("prio") == "1-URGENT").cast("long").alias("target")
@@ -238,12 +266,15 @@ def augment_parameters(t):
     return maps.select("patient_id", *[snap(F.col(f"m{i}{j}")).alias(f"m{i}{j}") for i in range(3) for j in range(3)])
 
 
-@query("augment_seeded", f"""{SEED_SQL}, o_src AS (SELECT v.patient_id, v.ix, v.iy, v.iz, v.hu, v.prio, d.dose_gy FROM v_voxel v JOIN o_dose d ON d.patient_id = v.patient_id AND d.voxel_id = v.voxel_id AND d.plan_id = 'A'),
+SEEDED_SQL = f"""{SEED_SQL}, o_src AS (SELECT v.patient_id, v.ix, v.iy, v.iz, v.hu, v.prio, d.dose_gy FROM v_voxel v JOIN o_dose d ON d.patient_id = v.patient_id AND d.voxel_id = v.voxel_id AND d.plan_id = 'A'),
 o_lin AS (SELECT c.patient_id, c.jx, c.jy, c.jz, sum(w * s.hu) AS hu, sum(w * s.dose_gy) AS dose FROM (SELECT patient_id, ix AS jx, iy AS jy, iz AS jz, floor(fx)::bigint + a.a AS ix, floor(fy)::bigint + b.b AS iy, floor(fz)::bigint + c.c AS iz,
    (CASE a.a WHEN 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) * (CASE b.b WHEN 1 THEN fy - floor(fy) ELSE 1 - fy + floor(fy) END) * (CASE c.c WHEN 1 THEN fz - floor(fz) ELSE 1 - fz + floor(fz) END) AS w
    FROM o_f CROSS JOIN (VALUES (0), (1)) a(a) CROSS JOIN (VALUES (0), (1)) b(b) CROSS JOIN (VALUES (0), (1)) c(c)) c JOIN o_src s USING (patient_id, ix, iy, iz) WHERE w > 0 GROUP BY 1, 2, 3, 4)
 SELECT f.patient_id, f.ix AS jx, f.iy AS jy, f.iz AS jz, {S4.format('l.hu')} AS hu, {S4.format('CASE WHEN s.dose_gy > 0 THEN l.dose ELSE 0 END')} AS dose_gy, CASE WHEN s.prio = '1-URGENT' THEN 1 ELSE 0 END::bigint AS target
-FROM o_f f JOIN o_lin l ON l.patient_id = f.patient_id AND l.jx = f.ix AND l.jy = f.iy AND l.jz = f.iz JOIN o_src s ON s.patient_id = f.patient_id AND s.ix = floor(f.fx + 0.5)::bigint AND s.iy = floor(f.fy + 0.5)::bigint AND s.iz = floor(f.fz + 0.5)::bigint""")
+FROM o_f f JOIN o_lin l ON l.patient_id = f.patient_id AND l.jx = f.ix AND l.jy = f.iy AND l.jz = f.iz JOIN o_src s ON s.patient_id = f.patient_id AND s.ix = floor(f.fx + 0.5)::bigint AND s.iy = floor(f.fy + 0.5)::bigint AND s.iz = floor(f.fz + 0.5)::bigint"""
+
+
+@query("augment_seeded", SEEDED_SQL)
 def augment_seeded(t):
     grid = t.voxel.join(t.dose.filter("plan_id = 'A'"), ["patient_id", "voxel_id"]).select(
         "patient_id", "ix", "iy", "iz", F.col("hu").cast("double").alias("hu"), "dose_gy", (F.col("prio") == "1-URGENT").cast("long").alias("target")
@@ -257,3 +288,36 @@ def augment_seeded(t):
 def feature_channels(t):
     r = ml.feature_channels(features(t))
     return r.withColumn("ct_norm", snap(F.col("ct_norm"))).withColumn("open_field_gy", snap(F.col("open_field_gy")))
+
+
+AUGMENT_PLANS = (
+    ("v.prio, d.dose_gy FROM", "v.prio, d.dose_gy, d.plan_id FROM"), (" AND d.plan_id = 'A'", ""), ("SELECT c.patient_id, c.jx", "SELECT c.patient_id, s.plan_id, c.jx"), ("WHERE w > 0 GROUP BY 1, 2, 3, 4)", "WHERE w > 0 GROUP BY 1, 2, 3, 4, 5)"),
+    ("SELECT f.patient_id, f.ix AS jx", "SELECT f.patient_id, l.plan_id, f.ix AS jx"), ("JOIN o_src s ON s.patient_id = f.patient_id", "JOIN o_src s ON s.patient_id = f.patient_id AND s.plan_id = l.plan_id"),
+)
+
+
+def augmented_plans(t, maps):
+    grid = t.voxel.join(t.dose, ["patient_id", "voxel_id"]).select(
+        "patient_id", "plan_id", "ix", "iy", "iz", F.col("hu").cast("double").alias("hu"), "dose_gy", (F.col("prio") == "1-URGENT").cast("long").alias("target")
+    )
+    r = ml.augment(grid, maps, (25, 20, 3), ["hu", "dose_gy"], ["target"])
+    return r.select("patient_id", "plan_id", "jx", "jy", "jz", snap(F.col("hu"), 4).alias("hu"), snap(F.col("dose_gy"), 4).alias("dose_gy"), "target")
+
+
+@query("augment_affine_plans", changed(AFFINE_SQL, *AUGMENT_PLANS))
+def augment_affine_plans(t):
+    maps = t.voxel.select("patient_id").distinct().select(
+        "patient_id", *[F.lit(MAP[i][j]).alias(f"m{i}{j}") for i in range(3) for j in range(3)], *[F.lit(SHIFT[i]).alias(f"o{i}") for i in range(3)]
+    )
+    return augmented_plans(t, maps)
+
+
+@query("augment_seeded_plans", changed(SEEDED_SQL, *AUGMENT_PLANS))
+def augment_seeded_plans(t):
+    return augmented_plans(t, ml.augment_parameters(t.voxel.select("patient_id").distinct(), (25, 20, 3), seed=42))
+
+
+@query("feature_channels_plans", f"{FEATURE_PLANS_SQL} SELECT patient_id, plan_id, ix, iy, iz, {S6.format('ct_norm')} AS ct_norm, {S6.format('open_field')} AS open_field_gy, {', '.join(f'CASE WHEN label = {k} THEN 1 ELSE 0 END::bigint AS organ_{k}' for k in range(1, 6))}, target FROM o_feat")
+def feature_channels_plans(t):
+    r = ml.feature_channels(features(t, t.dose))
+    return r.withColumn("ct_norm", snap(F.col("ct_norm"))).withColumn("open_field_gy", snap(F.col("open_field_gy")))

@@ -49,3 +49,12 @@ def query(name: str, oracle: str | None = None, recursive: bool = False):
         return fn
 
     return register
+
+
+def changed(sql: str, *pairs: tuple[str, str]) -> str:
+    """`sql` with each first text of a pair, which it must hold, replaced by the second: the SQL of a plan-wide query."""
+    for old, new in pairs:
+        if old not in sql:
+            raise ValueError(f"not in the SQL: {old}")
+        sql = sql.replace(old, new)
+    return sql

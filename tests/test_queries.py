@@ -49,3 +49,16 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", [
+    "dose_to_grid", "grid_to_dose", "training_features", "training_features_resized", "feature_channels", "augment_affine", "augment_seeded", "fluence_export",
+])
+def test_plan_wide_query_has_every_plan(spark, sql, name):
+    """Rows of all plans, each plan's as the SQL has them, and those of plan A as the query of one plan."""
+    wide = entry.queries()[f"{name}_plans"](spark, FOLDER).toPandas()
+    assert set(wide["plan_id"]) == {"A", "B"}
+    one = entry.queries()[name](spark, FOLDER).toPandas()
+    columns = sorted(one.columns)
+    assert Counter(map(tuple, wide[wide["plan_id"] == "A"][columns].values.tolist())) == Counter(map(tuple, one[columns].values.tolist()))
+    test_query_equals_sql(spark, sql, f"{name}_plans")
