@@ -15,8 +15,8 @@ anchors at equal places, so only windows of one anchor are ever compared.
    Extensions are verified byte by byte; a collision sends its group to a plain
    comparison.
 
-An anchor with very many different runs is split: its windows are grouped by
-their place and the bytes they have in common.
+The runs of an anchor with very many different ones are not compared in a task:
+their single windows are counted by SHA-256, so no group grows with the corpus.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from dosefold.llm.common import mix, plain, slices, stored
 
 LENGTH = 400
 PIECE = 4 << 20
-#: Different runs of one anchor from which on they are split, and the windows of a part.
-HOT, PART = 512, 32
+#: Different runs of one anchor over which their windows are counted one by one, and the parts of one digest in the join with the counts.
+HOT, SALTS = 512, 8
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -268,41 +268,41 @@ NEEDED = "array<struct<begin:bigint,windows:int,place:int,anchor:bigint,role:int
 OPEN, WITNESS, WHOLE = 0, 1, 2  # role of a run: to be compared; compared as a witness, itself repeated; repeated
 
 
-def _parts(begin: int, windows: int, place: int, split: bool):
-    """(begin, windows, place) of a run, or of its parts by the anchor's place."""
-    if not split:
-        return [(begin, windows, place)]
-    out, high = [], place
-    while high > place - windows:
-        low = max(high - high % PART, place - windows + 1)
-        out.append((begin + place - high, high - low + 1, high))
-        high = low - 1
-    return out
-
-
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
+    """Runs to be compared in tasks, of anchors with at most HOT different runs."""
     names = ["key", "doc_id", "tag", "begin", "windows", "place", "role", "data"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     for whole in batches:
         for batch in slices(whole, "text"):
             rows: list[tuple] = []
             for doc_id, tag, text, needed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "needed"))):
-                if all(r["role"] % 10 == WHOLE for r in needed):
-                    continue
                 data = (text or "").encode()
                 for r in needed:
-                    if r["role"] % 10 == WHOLE:
-                        continue
-                    split = r["role"] >= 10
-                    for begin, windows, place in _parts(r["begin"], r["windows"], r["place"], split):
-                        key = r["anchor"]
-                        if split:  # every window of such a part holds these bytes, whichever of its windows the run has
-                            anchor, nearest = begin + place, place - place % PART
-                            core = data[anchor - nearest : anchor + LENGTH - (nearest + PART - 1)]
-                            key = xxhash.xxh64_intdigest(core, (key ^ (place // PART)) & (2**64 - 1)) - 2**63
-                        rows.append((key, doc_id, tag, begin, windows, place, r["role"] % 10, data[begin : begin + windows - 1 + LENGTH]))
+                    if r["role"] < WHOLE:
+                        begin, windows = r["begin"], r["windows"]
+                        rows.append((r["anchor"], doc_id, tag, begin, windows, r["place"], r["role"], data[begin : begin + windows - 1 + LENGTH]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, begin, open, digest) of each window of the runs of the other anchors: equal bytes have one anchor at one place."""
+    from hashlib import sha256
+
+    names = ["doc_id", "tag", "begin", "open", "digest"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            rows: list[tuple] = []
+            for doc_id, tag, text, needed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "needed"))):
+                data = memoryview((text or "").encode())
+                for r in needed:
+                    if r["role"] in (10 + OPEN, 10 + WITNESS):
+                        is_open = r["role"] == 10 + OPEN
+                        rows += [(doc_id, tag, b, is_open, sha256(data[b : b + LENGTH]).digest()) for b in range(r["begin"], r["begin"] + r["windows"])]
+                    if len(rows) >= 20000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -386,9 +386,14 @@ def repeats_cut(docs: DataFrame) -> DataFrame:
     needed = judged.select("doc_id", "tag", F.struct("begin", "windows", "place", "anchor", role.alias("role")).alias("run"))
     by_doc = needed.groupBy("doc_id", "tag").agg(F.collect_list("run").cast(NEEDED).alias("needed"))  # a document's own runs
     touched = stored(texts.join(by_doc, _same(texts, by_doc)).select(texts["doc_id"], texts["tag"], "text", "needed"), "touched")
-    held = touched.mapInArrow(_bytes, "key long, doc_id long, tag long, begin long, windows int, place int, role int, data binary")
+    held = touched.where(f"exists(needed, r -> r.role < {WHOLE})").mapInArrow(_bytes, "key long, doc_id long, tag long, begin long, windows int, place int, role int, data binary")
     compared = held.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc_id long, tag long, begin long, end long")
-    spans = compared.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    hot = touched.where(f"exists(needed, r -> r.role IN ({10 + OPEN}, {10 + WITNESS}))").mapInArrow(
+        _windows, "doc_id long, tag long, begin long, open boolean, digest binary")
+    again = hot.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    counted = hot.where("open").withColumn("salt", F.pmod(F.xxhash64("doc_id", "tag", "begin"), F.lit(SALTS)).cast("int")).join(
+        again, ["digest", "salt"], "left_semi").select("doc_id", "tag", "begin", (F.col("begin") + LENGTH).alias("end"))
+    spans = compared.unionByName(counted).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
     joined = touched.join(spans, _same(touched, spans), "left").select(touched["doc_id"], touched["tag"], "text", "needed", "found")
     return joined.mapInArrow(_cut, "doc_id long, tag long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept_bytes binary")
 

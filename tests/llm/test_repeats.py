@@ -111,3 +111,23 @@ def test_runs_and_groups(texts, collide):
 def test_whole_table(spark):
     given_ = [(r.doc_id, r.text) for r in table(spark, FOLDER, "documents").collect()]
     assert sorted(map(tuple, QUERIES["op7_repeats"](spark, FOLDER).collect()), key=str) == brute(given_)
+
+
+def test_a_common_passage_makes_no_group(spark, monkeypatch):
+    """A passage in many documents, each with its own surroundings: no run of its anchors goes to the comparison in a task."""
+    draw = random.Random(4)
+    make = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    passage = make(640)
+    given_ = [(i, make(250) + passage + make(250), "", 0) for i in range(40)]
+    monkeypatch.setattr(repeats, "HOT", 8)
+    compare = repeats._compare
+
+    def noted(batches):
+        for batch in batches:
+            most = max(Counter(batch.column("key").to_pylist()).values(), default=0)
+            assert most <= 8, f"{most} runs of one key in one task"
+            yield from compare(iter([batch]))
+
+    monkeypatch.setattr(repeats, "_compare", noted)
+    got = repeats.repeats(spark.createDataFrame(given_, SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(given_) and min(r.n_removed for r in got) >= 640
