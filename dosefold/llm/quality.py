@@ -83,7 +83,7 @@ def measures(texts: pa.Array) -> np.ndarray:
 def bradley_terry(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3, per_document: int = PAIRS_PER_DOCUMENT, steps: int = 60):
     """(weights, cut) from measures and labels; `cut` is the quantile of the worths by the share of bad labels.
 
-    Every document of the rarer label meets `per_document` of the other label.
+    Every document of the commoner label meets `per_document` drawn ones of the other label, however many there are.
     """
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     w = np.zeros(x.shape[1])
@@ -91,8 +91,9 @@ def bradley_terry(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3, per_doc
         return w, -1.0 if len(good) else 1.0
     scale = x.std(0) + 1e-9
     draws = np.random.default_rng(7)
-    n = max(len(good), len(bad)) if len(x) < 4000 else per_document * min(len(good), len(bad))
-    diff = (x[draws.choice(good, n)] - x[draws.choice(bad, n)]) / scale
+    n = per_document * max(len(good), len(bad))
+    first, second = (np.repeat(rows, per_document) if len(rows) * per_document == n else draws.choice(rows, n) for rows in (good, bad))
+    diff = (x[first] - x[second]) / scale
     for _ in range(steps):  # Newton's method on the ridge-penalised loss
         p = 1 / (1 + np.exp(-np.clip(diff @ w, -35, 35)))
         gradient = diff.T @ (p - 1) / n + ridge * w

@@ -103,3 +103,14 @@ def test_held_out_accuracy(spark):
     assert len(good) == 1000
     rows = [(r.predicted, labels[r.doc_id].quality) for r in good if r.held_out and r.doc_id in labels]
     assert np.mean([p == y for p, y in rows]) > 0.95
+
+
+@pytest.mark.parametrize("rows", [3999, 4000, 9000])
+def test_every_row_of_the_commoner_label_is_fitted(rows):
+    """One rule at every size: 1 % bad; each of ten good rows alone has a value in a column, whose weight is 0 if the row isn't drawn."""
+    label = (np.arange(rows) >= rows // 100).astype(int)
+    x = np.zeros((rows, 11))
+    x[:, 0] = np.random.default_rng(3).normal(size=rows) + label
+    x[np.arange(10) + rows - 10, np.arange(1, 11)] = 1
+    w, _ = quality.bradley_terry(x, label)
+    assert (w != 0).all()
