@@ -52,10 +52,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
 
 
 def plain(array) -> pa.Array:
-    """A null-free large string array; null counts as the empty text."""
+    """A null-free large string array; null counts as the empty text.
+
+    Always a copy whose offsets begin at 0: some string kernels misread a slice whose offsets don't.
+    """
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
-    return pc.fill_null(array.cast(pa.large_string()), "")
+    filled = pc.fill_null(array.cast(pa.large_string()), "")
+    return pa.concat_arrays([filled, pa.array([], pa.large_string())])
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

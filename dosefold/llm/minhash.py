@@ -38,12 +38,8 @@ FACTORS = _draws.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct shingles of each text; A-Z count as a-z. Fewer words than a shingle make one shingle, none make none."""
-    import pyarrow.compute as pc
-
-    from dosefold.llm.common import plain
-
-    offsets, codes, distinct = word_codes(pc.ascii_lower(plain(texts)))
-    hashes = word_hashes(distinct)[codes] if len(distinct) else np.empty(0, np.uint64)
+    offsets, codes, distinct = word_codes(texts)
+    hashes = word_hashes([w.lower() for w in distinct])[codes] if len(distinct) else np.empty(0, np.uint64)
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         out.append(np.unique(grams(hashes[a:b], min(words, b - a))) if b > a else np.empty(0, np.uint64))

@@ -80,6 +80,14 @@ def measures(texts: pa.Array) -> np.ndarray:
     return found
 
 
+def worths(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sum of each row's measures, column by column: a row's last bits don't depend on the rows beside it."""
+    total = np.zeros(len(x))
+    for k, weight in enumerate(weights):
+        total += x[:, k] * weight
+    return total
+
+
 def bradley_terry(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3, per_document: int = PAIRS_PER_DOCUMENT, steps: int = 60):
     """(weights, cut) from measures and labels; `cut` is the quantile of the worths by the share of bad labels.
 
@@ -103,7 +111,7 @@ def bradley_terry(x: np.ndarray, label: np.ndarray, ridge: float = 1e-3, per_doc
         if np.linalg.norm(step) < 1e-6:
             break
     w = w / scale
-    return w, float(np.quantile(x @ w, len(bad) / len(x)))
+    return w, float(np.quantile(worths(x, w), len(bad) / len(x)))
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +143,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_r
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                worth = measures(batch.column("text")) @ weights - cut + at_cut
+                worth = worths(measures(batch.column("text")), weights) - cut + at_cut
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(worth, -35, 35))))], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")

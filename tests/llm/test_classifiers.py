@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -114,3 +117,62 @@ def test_every_row_of_the_commoner_label_is_fitted(rows):
     x[np.arange(10) + rows - 10, np.arange(1, 11)] = 1
     w, _ = quality.bradley_terry(x, label)
     assert (w != 0).all()
+
+
+def plain_measures(text):
+    """The measures of one text, character by character."""
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * 24
+    kinds = Counter()
+    for b in data:
+        c = chr(b)
+        for name, chars in (("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("lower", "abcdefghijklmnopqrstuvwxyz"), ("digit", "0123456789"), ("stop", ",.;:"),
+                            ("call", "!?"), ("bar", "|"), ("sign", "#$%&*+=<>@^_~\\/"), ("quote", "()[]{}\"'`-")):
+            kinds[name] += c in chars
+        kinds["other"] += b >= 0xC0
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    lines = data.split(b"\n")
+    n, count = len(data), len(words)
+    some = max(count, 1)
+    letters = max(kinds["upper"] + kinds["lower"] + kinds["other"], 1)
+    again = sum(a == b for a, b in zip(words, words[1:])) / some
+    distinct, most = len(set(words)) / some, max(Counter(words).values(), default=0) / some
+    marked = sum(w[-1] < 128 and not w[-1:].isalnum() for w in words) / some
+    share = {k: v / n for k, v in kinds.items()}
+    return [
+        kinds["upper"] / letters, share["digit"], share["stop"], share["call"], share["bar"], share["sign"], share["quote"], share["other"],
+        math.sqrt(share["call"]), math.sqrt(share["bar"]), math.sqrt(share["sign"]), math.sqrt(again), again,
+        sum(map(len, words)) / some / 10, marked, distinct, most, most**2,
+        math.log1p(count) / 10, len(lines) / some, 1 - len(set(lines)) / len(lines), math.log1p(count) / 10 * distinct,
+        float(count < 5), float(count < 20),
+    ]
+
+
+ODD = ["", None, " ", "a", "A a a\n\nb!", "é Ünï 12, 3;", "x|y|z ((" * 40, "word " * 3000, "\n\n\n", "one two three four five.\nsix\nsix\n", "\x01 \x02"]
+
+
+def test_measures_against_plain_version(spark):
+    texts = ODD + [r.text for r in table(spark, FOLDER, "documents").limit(300).collect()]
+    assert np.allclose(quality.measures(pa.array(texts)), [plain_measures(t) for t in texts], rtol=1e-12, atol=0)
+
+
+def test_scores_do_not_depend_on_the_batch(spark):
+    texts = pa.array(ODD + [r.text for r in table(spark, FOLDER, "documents").collect()])
+    weights = np.random.default_rng(4).normal(size=24)
+    whole = quality.worths(quality.measures(texts), weights)
+    for size in (1, 7, 500):
+        parts = [quality.worths(quality.measures(texts.slice(k, size)), weights) for k in range(0, len(texts), size)]
+        assert (np.concatenate(parts) == whole).all()
+
+
+def test_whole_query_against_plain_scores(spark):
+    """Every score of the query again from plain measures and the fitted weights, one text at a time."""
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    weights, cut = quality.train(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op6_quality"](spark, FOLDER).collect()}
+    for row in docs.collect():
+        worth = math.fsum(a * b for a, b in zip(plain_measures(row.text), weights)) - cut + math.log(0.3 / 0.7)
+        score = 1 / (1 + math.exp(-min(max(worth, -35), 35)))
+        assert abs(got[row.doc_id].score - score) < 1e-9 and got[row.doc_id].predicted == int(got[row.doc_id].score >= 0.3)
+    assert len(got) == docs.count()

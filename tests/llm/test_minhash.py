@@ -3,9 +3,10 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from dosefold.llm import minhash
+from dosefold.llm import common, minhash
 from dosefold.llm.components import components
 from dosefold.llm.queries import QUERIES, table
 
@@ -111,3 +112,30 @@ def test_whole_table(spark):
     given = [(r.doc_id, r.text) for r in table(spark, FOLDER, "documents").collect()]
     got = QUERIES["op2_minhash"](spark, FOLDER).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(given, 3, 85, 100)
+
+
+def test_slices_of_a_batch_do_not_change_sets(monkeypatch):
+    given = rows()
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in given], pa.int64()), "text": pa.array([r[1] for r in given], pa.string())})
+    monkeypatch.setattr(minhash, "slices", lambda whole, column: common.slices(whole, column, 1000))
+    parts = list(minhash._features(3)(iter([batch.slice(3)])))
+    assert len(parts) > 20
+    got = {r["doc_id"]: r["n_shingles"] for part in parts for r in part.to_pylist()}
+    assert got == {r[0]: len(shingles(r[1], 3)) for r in given[3:]}
+
+
+def test_batch_of_several_slices(spark):
+    draw = random.Random(8)
+    words = [f"Word{i}" for i in range(4000)]
+    base = [draw.choice(words) for _ in range(3000)]
+    texts = family(draw, base, 40, words) + [" ".join(draw.choice(words) for _ in range(3000)) for _ in range(260)]
+    far = list(base)
+    for k in range(0, 3000, 24):  # near the threshold: each change undoes three shingles
+        far[k] = "x"
+    texts += [" ".join(far), texts[0].lower(), texts[0].upper()]
+    draw.shuffle(texts)
+    given = [(i, t, "", 0) for i, t in enumerate(texts)]
+    assert sum(len(t) for t in texts) > 6 << 20
+    df = spark.createDataFrame(given, SCHEMA).coalesce(1)
+    got = minhash.near_components(df, 3, 85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(given, 3, 85, 100)
