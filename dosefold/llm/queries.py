@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosefold.llm import archives, contamination, exact_dedup, line_dedup, minhash, pieces, quality, repeats, token_files, toxicity
+from dosefold.llm import archives, contamination, exact_dedup, line_dedup, minhash, periodic_runs, pieces, quality, repeats, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @register("op4_line_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, folder, "documents"))
+
+
+@register("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    looped = periodic_runs.with_planted_loops(table(spark, folder, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(looped))
