@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosefold.llm import archives, contamination, exact_dedup, line_dedup, minhash, periodic_runs, pieces, quality, repeats, token_files, toxicity
+from dosefold.llm import (
+    archives, contamination, exact_dedup, licenses, line_dedup, minhash, periodic_runs, pieces, quality, ranked_search, repeats, token_files, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +84,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     looped = periodic_runs.with_planted_loops(table(spark, folder, "documents"))
     return periodic_runs.run_digests(periodic_runs.periodic_runs(looped))
+
+
+@register("op12_license_scan", licenses.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents"))
+
+
+@register("op13_ranked_search", ranked_search.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
