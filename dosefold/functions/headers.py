@@ -3,8 +3,10 @@
 A header table has patient_id and the structs origin, spacing (x, y, z as
 doubles, mm) and size (x, y, z as integers). No two patients need share a grid:
 the header is a column of the patient's rows, joined where a formula needs it. It
-has one row per patient, so Catalyst broadcasts it below the session's threshold
-and splits the larger side beyond.
+has one row per patient, so Catalyst broadcasts it below the session's threshold;
+beyond, the rows of a patient are spread over many tasks. Operators of
+`dosefold.operators` that take origin, spacing or size also take such a table
+as `headers`, in their stead.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosefold.functions import runs as rl
+from dosefold.functions.salted import salted_join
 
 AXES = ("x", "y", "z")
 CELL = ["patient_id", "ix", "iy", "iz"]
@@ -22,7 +25,19 @@ CELL = ["patient_id", "ix", "iy", "iz"]
 
 def with_header(df: DataFrame, headers: DataFrame) -> DataFrame:
     """`df` with the columns origin, spacing and size of each row's patient; a patient without a header is dropped."""
-    return df.join(headers.select("patient_id", "origin", "spacing", "size"), "patient_id")
+    return _headed(df, headers, ["origin", "spacing", "size"])
+
+
+def _headed(df: DataFrame, headers: DataFrame, parts: list[str]) -> DataFrame:
+    rest = [c for c in df.columns if c != "patient_id"]
+    return salted_join(df, headers.select("patient_id", *parts), ["patient_id"], rest or ["patient_id"])
+
+
+def on_grid(df: DataFrame, headers: DataFrame | None, **parts):
+    """`df` and the x, y, z of each named part: what is given for all patients, or with `headers` each row's own columns."""
+    if headers is None:
+        return (df, *parts.values())
+    return (_headed(df, headers, list(parts)), *(axis(p) for p in parts))
 
 
 def axis(part: str) -> tuple[Column, ...]:

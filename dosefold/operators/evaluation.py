@@ -7,7 +7,9 @@ table with `volume_cc` and `frac_in_box` per structure.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosefold.functions.prefix import DOSE_BIN_GY, exact_quantiles, ordered_by_dose, weight_curve
@@ -349,19 +351,38 @@ def dose_difference(dose: DataFrame, opt_voxels: DataFrame, first: str, second:
     )
 
 
+#: Bins to either side of a dose beyond which its sigmoid is 1 or 0, to 2e-14.
+KERNEL_BINS = 32
+
+
 def smoothed_dvh(labelled: DataFrame, keys: list[str], n_bins: int = 351, top_gy: float = 70.0) -> DataFrame:
     """Sigmoid-smoothed curve: mean of 1/(1+exp(-(d-b)/w)) over the voxels of each label.
 
-    Equal doses are counted first, so each distinct dose meets the bins once.
+    Bins are multiples of w, so a dose of k whole bins and a rest f gives the bin
+    k + j the value 1/(1+exp(j-f)): one exp for all bins. Voxels fold in the map-side
+    aggregate to one row per bin of dose, with a sum for each j of the kernel; the
+    bins far below a dose count it whole, by a cumulative sum over bins. No row
+    fans out by bins before that fold. A null dose counts as a voxel with value 0.
     """
     width = top_gy / (n_bins - 1)
-    counted = labelled.groupBy(*keys, "dose_gy").agg(F.count(F.lit(1)).alias("n"))
-    bins = counted.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
-    term = 1.0 / (1.0 + F.exp(-(F.col("dose_gy") - F.col("bin") * width) / width))
-    return (
-        bins.groupBy(*keys, "bin")
-        .agg((F.sum(term * F.col("n")) / F.sum("n")).alias("volume_frac"))
-        .select(*keys, F.col("bin").cast("long").alias("bin"), (F.col("bin") * width).alias("bin_gy"), "volume_frac")
+    near = range(-KERNEL_BINS, KERNEL_BINS + 1)
+    place = F.col("dose_gy") / width
+    placed = labelled.select(*keys, F.floor(place).cast("long").alias("k"), F.exp(F.floor(place) - place).alias("_e"))
+    cells = placed.groupBy(*keys, "k").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(1.0 / (1.0 + F.lit(math.exp(j)) * F.col("_e"))).alias(f"s{i}") for i, j in enumerate(near)]
+    )
+    kernel = [F.struct((F.col("k") + j).alias("bin"), F.col(f"s{i}").alias("near"), F.lit(0).cast("long").alias("whole"), F.lit(0).cast("long").alias("n")) for i, j in enumerate(near)]
+    far = F.when(F.col("k").isNotNull(), F.least(F.col("k") - KERNEL_BINS - 1, F.lit(n_bins - 1).cast("long")))
+    below = F.struct(far.alias("bin"), F.lit(0.0).alias("near"), F.col("n").alias("whole"), F.col("n").alias("n"))
+    parts = cells.select(*keys, F.inline(F.array(*kernel, below)))
+    every = cells.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))).alias("bin"))
+    folded = parts.unionByName(every, allowMissingColumns=True).groupBy(*keys, "bin").agg(
+        F.coalesce(F.sum("near"), F.lit(0.0)).alias("near"), F.coalesce(F.sum("whole"), F.lit(0)).alias("whole"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
+    )
+    from_here = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    summed = folded.select(*keys, "bin", "near", F.sum("whole").over(from_here).alias("far"), F.sum("n").over(Window.partitionBy(*keys)).alias("size"))
+    return summed.filter(F.col("bin").between(0, n_bins - 1)).select(
+        *keys, "bin", (F.col("bin") * width).alias("bin_gy"), ((F.col("near") + F.col("far")) / F.col("size")).alias("volume_frac")
     )
 
 

@@ -6,10 +6,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosefold.functions.headers import on_grid
 from dosefold.functions.numeric import clamp, literal_structs, scan_code
+from dosefold.functions.salted import salted_join
 
 
-def downsample_map(ct: DataFrame, block_xyz: tuple[int, int, int], size_xyz: tuple[int, int, int]) -> DataFrame:
+CELL = ["patient_id", "ix", "iy", "iz"]
+
+
+def downsample_map(ct: DataFrame, block_xyz: tuple[int, int, int], size_xyz: tuple[int, int, int] | None = None, headers: DataFrame | None = None) -> DataFrame:
     """Group CT cells in blocks and weigh member dose voxels by their cell share.
 
     Incomplete blocks at the far ends are dropped; used blocks are numbered in
@@ -17,9 +22,10 @@ def downsample_map(ct: DataFrame, block_xyz: tuple[int, int, int], size_xyz: tup
     slices before, so it stays parallel inside one large patient.
     """
     bx, by, bz = block_xyz
-    nx, ny, nz = (size // block * block for size, block in zip(size_xyz, block_xyz))
-    cells = ct.filter(
-        F.col("voxel_id").isNotNull() & (F.col("ix") < nx) & (F.col("iy") < ny) & (F.col("iz") < nz)
+    mapped, size_xyz = on_grid(ct.filter(F.col("voxel_id").isNotNull()).select(*CELL, "voxel_id"), headers, size=size_xyz)
+    nx, ny, nz = (size - size % block for size, block in zip(size_xyz, block_xyz))
+    cells = mapped.filter(
+        (F.col("ix") < nx) & (F.col("iy") < ny) & (F.col("iz") < nz)
     ).select(
         "patient_id", "voxel_id", F.floor(F.col("iz") / bz).alias("kz"), F.floor(F.col("iy") / by).alias("ky"),
         F.floor(F.col("ix") / bx).alias("kx"),
@@ -38,9 +44,6 @@ def downsample_map(ct: DataFrame, block_xyz: tuple[int, int, int], size_xyz: tup
     )
 
 
-CELL = ["patient_id", "ix", "iy", "iz"]
-
-
 def voxel_centers(ct: DataFrame, origin: tuple, resolution: tuple) -> DataFrame:
     """Centre of each dose voxel: middle of its smallest and largest CT index per axis, in mm."""
     axes = list(zip(("ix", "iy", "iz"), ("x_mm", "y_mm", "z_mm"), origin, resolution))
@@ -64,7 +67,8 @@ def inside(size: tuple[int, int, int]) -> Column:
 
 
 def build_voxel_map(
-    points: DataFrame, body: DataFrame, origin: tuple, spacing: tuple, size: tuple[int, int, int]
+    points: DataFrame, body: DataFrame, origin: tuple | None = None, spacing: tuple | None = None, size: tuple[int, int, int] | None = None,
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """CT cell to dose point: later points overwrite, gaps inside the bounding box take the nearest mapped cell.
 
@@ -72,11 +76,10 @@ def build_voxel_map(
     """
     from dosefold.functions.nearest import nearest_site
 
-    at = points.select(
-        "patient_id", "point_id", *[
-            cell_index(F.col(p), o, s).alias(i) for p, i, o, s in zip(("x_mm", "y_mm", "z_mm"), ("ix", "iy", "iz"), origin, spacing)
-        ],
-    ).filter(inside(size))
+    points, origin, spacing, size = on_grid(points.select("patient_id", "point_id", "x_mm", "y_mm", "z_mm"), headers, origin=origin, spacing=spacing, size=size)
+    at = points.withColumns({
+        i: cell_index(F.col(p), o, s) for p, i, o, s in zip(("x_mm", "y_mm", "z_mm"), ("ix", "iy", "iz"), origin, spacing)
+    }).filter(inside(size))
     mapped = at.groupBy(*CELL).agg(F.max("point_id").alias("site_id"))
     box = mapped.groupBy("patient_id").agg(*[f(c).alias(f"{n}{c}") for c in ("ix", "iy", "iz") for n, f in (("lo_", F.min), ("hi_", F.max))])
     cells = (
@@ -89,15 +92,19 @@ def build_voxel_map(
     return filled.select(*CELL, F.col("site_id").alias("voxel_id"))
 
 
-def uniform_voxel_map(points: DataFrame, origin: tuple, spacing: tuple, dose_spacing: tuple, size: tuple[int, int, int]) -> DataFrame:
-    """Each dose point fills its block of CT cells; later points overwrite."""
-    block = [round(d / s) for d, s in zip(dose_spacing, spacing)]
-    corner = points
+def uniform_voxel_map(
+    points: DataFrame, origin: tuple | None = None, spacing: tuple | None = None, dose_spacing: tuple | None = None,
+    size: tuple[int, int, int] | None = None, headers: DataFrame | None = None,
+) -> DataFrame:
+    """Each dose point fills its block of CT cells; later points overwrite. `headers` has dose_spacing too."""
+    corner, origin, spacing, dose_spacing, size = on_grid(
+        points.select("patient_id", "point_id", "x_mm", "y_mm", "z_mm"), headers, origin=origin, spacing=spacing, dose_spacing=dose_spacing, size=size)
+    block = [F.rint(F.lit(d) / s).cast("long") for d, s in zip(dose_spacing, spacing)]
     for p, i, o, s, d in zip(("x_mm", "y_mm", "z_mm"), ("x0", "y0", "z0"), origin, spacing, dose_spacing):
         corner = corner.withColumn(i, cell_index(F.col(p) - d / 2 + s / 2, o, s))
-    cells = corner.select("patient_id", "point_id", "x0", "y0", "z0")
+    cells = corner
     for i, name, n in zip(("x0", "y0", "z0"), ("ix", "iy", "iz"), block):
-        cells = cells.withColumn(name, F.explode(F.sequence(F.col(i), F.col(i) + (n - 1))))
+        cells = cells.withColumn(name, F.explode(F.sequence(F.col(i), F.col(i) + n - 1)))
     return cells.filter(inside(size)).groupBy(*CELL).agg(F.max("point_id").alias("voxel_id"))
 
 
@@ -106,7 +113,7 @@ def dose_to_grid(ct: DataFrame, dose: DataFrame) -> DataFrame:
     plan = [c for c in ("plan_id",) if c in dose.columns]
     cells = ct.select(*CELL, "voxel_id")
     if plan:
-        cells = cells.join(dose.select("patient_id", *plan).distinct(), "patient_id")
+        cells = salted_join(cells, dose.select("patient_id", *plan).distinct(), ["patient_id"], ["ix", "iy", "iz"])
     return cells.join(dose, ["patient_id", *plan, "voxel_id"], "left").select(
         *plan, *CELL, F.coalesce("dose_gy", F.lit(0.0)).alias("dose_gy")
     )
@@ -182,14 +189,15 @@ def resample_linear(
     return joined.groupBy(*keys).agg(F.when(F.count("_v") == F.count(F.lit(1)), total).otherwise(default).alias(value))
 
 
-def resize_targets(cells: DataFrame, size: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
+def resize_targets(cells: DataFrame, size: tuple[int, int, int] | None, target: tuple[int, int, int], headers: DataFrame | None = None) -> DataFrame:
     """Targets jx, jy, jz of a grid resized by pixel areas, with mirrored source indices at the edges."""
+    cells, size = on_grid(cells, headers, size=size)
     for name, n in zip(("jz", "jy", "jx"), reversed(target)):
         cells = cells.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     for f, j, n, m in zip(("fx", "fy", "fz"), ("jx", "jy", "jz"), size, target):
         at = F.abs((F.col(j) + 0.5) * (n / m) - 0.5)
         cells = cells.withColumn(f, F.when(at > n - 1, 2.0 * (n - 1) - at).otherwise(at))
-    return cells
+    return cells if headers is None else cells.drop("size")
 
 
 def resample_nearest(targets: DataFrame, source: DataFrame, keys: list[str], value: str, default: float = 0.0) -> DataFrame:
@@ -214,11 +222,16 @@ def resample_masked(
     )
 
 
-def reference_box(body: DataFrame, z_center_mm: float, origin: tuple, spacing: tuple, box_spacing: tuple, box_size: tuple) -> DataFrame:
+def reference_box(
+    body: DataFrame, z_center_mm: float, origin: tuple | None, spacing: tuple | None, box_spacing: tuple, box_size: tuple, headers: DataFrame | None = None
+) -> DataFrame:
     """Cells of a box centred on the body's mean x and y and a given z, with physical positions."""
-    centre = body.groupBy("patient_id").agg(
-        (F.avg("ix") * spacing[0] + origin[0]).alias("cx"), (F.avg("iy") * spacing[1] + origin[1]).alias("cy")
-    ).withColumn("cz", F.lit(float(z_center_mm)))
+    means = body.groupBy("patient_id").agg(F.avg("ix").alias("mx"), F.avg("iy").alias("my"))
+    means, origin, spacing = on_grid(means, headers, origin=origin, spacing=spacing)
+    centre = means.select(
+        "patient_id", (F.col("mx") * spacing[0] + origin[0]).alias("cx"), (F.col("my") * spacing[1] + origin[1]).alias("cy"),
+        F.lit(float(z_center_mm)).alias("cz"),
+    )
     half = [s * (n - 1) / 2 for s, n in zip(box_spacing, box_size)]
     cells = centre
     for name, n in zip(("jz", "jy", "jx"), reversed(box_size)):
@@ -229,11 +242,12 @@ def reference_box(body: DataFrame, z_center_mm: float, origin: tuple, spacing: t
     )
 
 
-def fractional_index(targets: DataFrame, origin: tuple, spacing: tuple) -> DataFrame:
+def fractional_index(targets: DataFrame, origin: tuple | None = None, spacing: tuple | None = None, headers: DataFrame | None = None) -> DataFrame:
     """Add source indices fx, fy, fz of physical positions."""
+    targets, origin, spacing = on_grid(targets, headers, origin=origin, spacing=spacing)
     for f, p, o, s in zip(("fx", "fy", "fz"), ("x_mm", "y_mm", "z_mm"), origin, spacing):
         targets = targets.withColumn(f, (F.col(p) - o) / s)
-    return targets
+    return targets if headers is None else targets.drop("origin", "spacing")
 
 
 def paste_back(ct: DataFrame, cropped: DataFrame, start_xyz: tuple[int, int, int], value: str) -> DataFrame:
@@ -285,29 +299,28 @@ def hu_to_density(hu: Column) -> Column:
 
 
 def downsample_masked(
-    source: DataFrame, mask: DataFrame, value: str, size: tuple[int, int, int], target: tuple[int, int, int]
+    source: DataFrame, mask: DataFrame, value: str, size: tuple[int, int, int] | None, target: tuple[int, int, int], headers: DataFrame | None = None
 ) -> DataFrame:
     """Coarser grid: linear inside the mask but never below the minimum around the source cell; 0 outside.
 
     `source` is a complete grid; targets map to source indices end to end.
     """
-    patients = source.select("patient_id").distinct()
-    cells = patients
+    cells, size = on_grid(source.select("patient_id").distinct(), headers, size=size)
     for name, n in zip(("jz", "jy", "jx"), reversed(target)):
         cells = cells.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     ratio = [(s - 1) / (t - 1) if t > 1 else 0.0 for s, t in zip(size, target)]
     for f, j, r in zip(("fx", "fy", "fz"), ("jx", "jy", "jz"), ratio):
         cells = cells.withColumn(f, F.col(j) * r)
     keys = ["patient_id", "jx", "jy", "jz"]
-    near = cells.select(*keys, *[F.floor(F.col(f) + 0.5).alias(i) for f, i in zip(("fx", "fy", "fz"), ("ix", "iy", "iz"))])
+    carried = [] if headers is None else ["size"]
+    near = cells.select(*keys, *carried, *[F.floor(F.col(f) + 0.5).alias(i) for f, i in zip(("fx", "fy", "fz"), ("ix", "iy", "iz"))])
     used = near.join(mask.select(*CELL), CELL, "left_semi")
     linear = resample_linear(cells.join(used, keys, "left_semi"), source, keys, value)
-    widths = [-(-s // t) for s, t in zip(size, target)]
-    window = [
-        (dx - widths[0] // 2, dy - widths[1] // 2, dz - widths[2] // 2)
-        for dz in range(widths[2]) for dy in range(widths[1]) for dx in range(widths[0])
-    ]
-    around = used.select(*keys, "ix", "iy", "iz", F.inline(literal_structs(["dx", "dy", "dz"], window))).select(
+    around = used
+    for d, s, t in zip(("dx", "dy", "dz"), size, target):
+        width = F.ceil(F.lit(s) / t)
+        around = around.withColumn(d, F.explode(F.sequence(-F.floor(width / 2), width - 1 - F.floor(width / 2))))
+    around = around.select(
         *keys, (F.col("ix") + F.col("dx")).alias("ix"), (F.col("iy") + F.col("dy")).alias("iy"), (F.col("iz") + F.col("dz")).alias("iz")
     )
     lows = around.join(source.join(mask.select(*CELL), CELL, "left_semi").select(*CELL, value), CELL).groupBy(*keys).agg(F.min(value).alias("_low"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dosefold.functions.numeric import clamp, scan_code
 from dosefold.functions.prefix import running_before
+from dosefold.functions.salted import salted_join
 
 
 def dose_from_fluence(
@@ -29,7 +30,7 @@ def dose_from_fluence(
             )
         else:
             plans = fluence.select("patient_id", "plan_id").distinct()
-            zero = voxels.select("patient_id", "voxel_id").join(plans, "patient_id")
+            zero = salted_join(voxels.select("patient_id", "voxel_id"), plans, ["patient_id"], ["voxel_id"])
         parts = parts.unionByName(zero.withColumn("part", F.lit(0.0)))
     return parts.groupBy("plan_id", "patient_id", "voxel_id").agg((F.sum("part") * scale).alias("dose_gy"))
 
@@ -236,7 +237,7 @@ def open_field_dose(influence: DataFrame, voxels: DataFrame, prescription_gy: fl
     )
     total = parts.groupBy("patient_id", "voxel_id").agg(F.sum("a").alias("raw"))
     ends = total.groupBy("patient_id").agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
-    return total.join(ends, "patient_id").select(
+    return salted_join(total, ends, ["patient_id"], ["voxel_id"]).select(
         "patient_id", "voxel_id",
         ((F.col("raw") - F.col("low")) / (F.col("high") - F.col("low")) * (1.2 * prescription_gy)).alias("open_field_gy"),
     )
@@ -252,7 +253,7 @@ def sparsify_threshold(
     if threshold_abs is not None:
         return influence.filter(passes(F.lit(float(threshold_abs))))
     top = influence.groupBy("patient_id").agg(F.max("a").alias("_top"))
-    return influence.join(top, "patient_id").filter(passes(F.col("_top") * threshold_perc * 0.01)).drop("_top")
+    return salted_join(influence, top, ["patient_id"], ["voxel_id", "beamlet_id"]).filter(passes(F.col("_top") * threshold_perc * 0.01)).drop("_top")
 
 
 def mixed_uniform(*keys: Column, seed: int = 0) -> Column:

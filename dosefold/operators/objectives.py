@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosefold.functions.salted import salted_join
+
 
 def step_lookup(distance: Column, knots: list[tuple[float, float]]) -> Column:
     """Value of the next knot at or beyond the distance; NULL past the last knot."""
@@ -126,7 +128,7 @@ def voxel_residual(sd: DataFrame, objectives: DataFrame) -> DataFrame:
     """Gradient of the objective sum with respect to voxel dose, all objectives folded per voxel."""
     sizes = _sizes(sd)
     r = 2 * F.col("weight_factor") / F.col("n") * slope(F.col("dose"), F.col("type"), F.col("target"))
-    return sd.join(objectives, "structure").join(sizes, [*GROUP, "structure"]).groupBy(*GROUP, "voxel_id").agg(
+    return salted_join(sd.join(objectives, "structure"), sizes, [*GROUP, "structure"], ["voxel_id"]).groupBy(*GROUP, "voxel_id").agg(
         F.sum(r).alias("residual")
     )
 
@@ -190,28 +192,27 @@ def best_aperture(segments: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def _gain(before: DataFrame, after: DataFrame) -> float:
-    """The largest share of its objective that a patient and plan gained."""
-    both = before.select(*GROUP, F.col("objective").alias("was")).join(after, GROUP)
-    share = F.when(F.col("was") != 0, (F.col("was") - F.col("objective")) / F.abs("was"))
-    return both.agg(F.max(share)).first()[0] or 0.0
-
-
 def _best_of(iterates: DataFrame) -> DataFrame:
     """The iterate of least objective of each patient and plan, the earliest of equals."""
     least = iterates.groupBy(*GROUP).agg(F.min(F.struct("objective", "iteration")).alias("_best"))
     return iterates.join(least, GROUP).filter("iteration = _best.iteration").drop("_best")
 
 
+def _both_ways(pairs: DataFrame, smooth: tuple[float, float]) -> DataFrame:
+    """Each neighbour pair from either side, with the weight of its direction."""
+    both = pairs.select("beamlet_id", "other", "direction").unionByName(
+        pairs.select(F.col("other").alias("beamlet_id"), F.col("beamlet_id").alias("other"), "direction")
+    )
+    return both.select("beamlet_id", "other", F.when(F.col("direction") == "right", smooth[0]).otherwise(smooth[1]).alias("w"))
+
+
 def fluence_descent(
     start: DataFrame, influence: DataFrame, voxels: DataFrame, opt_voxels: DataFrame, objectives: DataFrame,
-    pairs: DataFrame, smooth: tuple[float, float], step: float, rounds: int | None = None, scale: float = 1.0,
-    tolerance: float = 1e-3,
+    pairs: DataFrame, smooth: tuple[float, float], step: float, rounds: int, scale: float = 1.0,
 ) -> DataFrame:
-    """Projected gradient descent on fluence, keeping each patient's best iterate.
+    """A fixed number of projected gradient steps of fixed length on fluence, keeping each patient's best iterate.
 
-    Goes on until no patient and plan gains more than `tolerance` of its objective
-    in a round; `rounds` fixes their number instead.
+    `settled_descent` chooses its steps and goes on until nothing is gained.
 
     `start`: patient_id, plan_id, beamlet_id, intensity; `pairs`: neighbouring
     beamlets with direction; `smooth`: weights of right and down differences.
@@ -221,14 +222,10 @@ def fluence_descent(
     from dosefold.operators.matrix import dose_from_fluence
     from dosefold.session import cut_lineage
 
-    both = pairs.select("beamlet_id", "other", "direction").unionByName(
-        pairs.select(F.col("other").alias("beamlet_id"), F.col("beamlet_id").alias("other"), "direction")
-    )
-    w = F.when(F.col("direction") == "right", smooth[0]).otherwise(smooth[1])
+    both, w = _both_ways(pairs, smooth), F.col("w")
     x = cut_lineage(start)
-    best, before, k = None, None, -1
-    while True:
-        k += 1
+    best = None
+    for k in range(rounds + 1):
         dose = dose_from_fluence(influence, x, voxels, scale=scale).withColumnRenamed("dose_gy", "dose")
         sd = cut_lineage(opt_voxels.join(dose, ["patient_id", "voxel_id"]))
         peer = x.select("patient_id", "plan_id", F.col("beamlet_id").alias("other"), F.col("intensity").alias("peer"))
@@ -239,12 +236,10 @@ def fluence_descent(
         value = objective_terms(sd, objectives).select(*GROUP, "value").unionByName(
             rough.select(*GROUP, F.col("part").alias("value"))
         ).groupBy(*GROUP).agg(F.sum("value").alias("objective"))
-        value = cut_lineage(value.withColumn("iteration", F.lit(k)))
-        now = value.join(x, GROUP)
+        now = value.withColumn("iteration", F.lit(k)).join(x, GROUP)
         best = now if best is None else cut_lineage(_best_of(best.unionByName(now)))
-        if k == rounds or (rounds is None and before is not None and _gain(before, value) <= tolerance):
+        if k == rounds:
             break
-        before = value
         grad = gradient(influence, voxel_residual(sd, objectives)).select(
             *GROUP, "beamlet_id", (F.col("gradient") * scale).alias("g")
         ).unionByName(rough.select(*GROUP, "beamlet_id", F.col("pull").alias("g"))).groupBy(*GROUP, "beamlet_id").agg(
@@ -256,6 +251,116 @@ def fluence_descent(
     return best.select(*GROUP, "beamlet_id", "intensity", "objective", F.col("iteration").cast("long").alias("iteration"))
 
 
+#: Shares of the full step, and of the way from it to the farthest feasible one, that a line search tries.
+WITHIN = (0.0, 1 / 256, 1 / 64, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 1.0)
+BEYOND = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 3 / 4, 1.0)
+FARTHEST = 8.0
+
+
+def _line_search(sd: DataFrame, objectives: DataFrame, beams: DataFrame, rough: DataFrame) -> DataFrame:
+    """Per patient and plan the tried step `t` of least objective; `objective` there and `was` at step 0.
+
+    The dose is linear in the step, so every tried step is valued in one pass
+    over voxels, without another product with the matrix.
+    """
+    reach = beams.groupBy(*GROUP).agg(F.expr(f"least(coalesce(min(CASE WHEN d < 0 THEN -x / d END), {FARTHEST}D), {FARTHEST}D)").alias("reach"))
+    tries = [f"{t}D" for t in WITHIN] + [f"(1 + (greatest(reach, 1D) - 1) * {t}D)" for t in BEYOND]
+    names = [f"v{j}" for j in range(len(tries))]
+
+    def valued(t: str) -> str:
+        e = f"(dose + {t} * along - target)"
+        return f"""max(weight_factor) * sum(CASE type WHEN 'quadratic-overdose' THEN greatest({e}, 0D) * greatest({e}, 0D)
+            WHEN 'quadratic-underdose' THEN least({e}, 0D) * least({e}, 0D) WHEN 'quadratic' THEN ({e} + target) * ({e} + target) END) / count(1)"""
+
+    terms = salted_join(sd, reach, GROUP, ["voxel_id"]).join(objectives, "structure").groupBy(*GROUP, "objective_id", "type", "structure").agg(
+        *[F.expr(valued(t)).alias(n) for t, n in zip(tries, names)]
+    ).select(*GROUP, *names)
+    whole = rough.groupBy(*GROUP).agg(*[F.sum(q).alias(q) for q in ("q0", "q1", "q2")])
+    uneven = whole.join(reach, GROUP).selectExpr(*GROUP, *[f"q0 + {t} * q1 + {t} * {t} * q2 AS {n}" for t, n in zip(tries, names)])
+    total = terms.unionByName(uneven).groupBy(*GROUP).agg(*[F.expr(f"sum({n})").alias(n) for n in names]).join(reach, GROUP)
+    pairs = ", ".join(f"struct({n} AS objective, {t} AS t)" for t, n in zip(tries, names))
+    return total.selectExpr(*GROUP, f"array_min(array({pairs})) AS least", "v0 AS was").selectExpr(*GROUP, "least.t AS t", "least.objective AS objective", "was")
+
+
+def settled_descent(
+    start: DataFrame, influence: DataFrame, voxels: DataFrame, opt_voxels: DataFrame, objectives: DataFrame,
+    pairs: DataFrame, smooth: tuple[float, float], step: float, scale: float = 1.0, tolerance: float = 1e-3,
+) -> DataFrame:
+    """Projected conjugate gradient descent on fluence until a plan gains no more than `tolerance` of its objective in a round.
+
+    A round moves along d = max(x - a (g - b s), 0) - x by the best of several
+    tried lengths, never uphill. Per patient and plan `a` is `step` first, then the
+    two Barzilai-Borwein lengths by turns, and `b` the Hestenes-Stiefel share of
+    the last move s (0 where a beamlet is shut). It reads the matrix twice: for
+    the dose along d and for the next gradient. What a round leaves (beamlets, dose
+    by structure voxel, steps by plan) is written to the shared folder, so the plan
+    doesn't grow and a lost executor repeats one round at most. A plan that has
+    settled leaves the loop; its rows are kept as they are then.
+
+    Arguments as for `fluence_descent`; result: patient_id, plan_id, beamlet_id,
+    intensity, objective, iteration (rounds that moved the plan).
+    """
+    from dosefold.operators.matrix import dose_from_fluence
+    from dosefold.session import scratch_folder
+
+    spark = start.sparkSession
+    folder = scratch_folder(spark, "descent")
+    beamlet, cells = [*GROUP, "beamlet_id"], [*GROUP, "structure", "voxel_id"]
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def with_pulls(moving: DataFrame) -> DataFrame:
+        """Roughness of x + t d as q0 + t q1 + t^2 q2 and its slope as px + t pd, by beamlet."""
+        peer = moving.selectExpr(*GROUP, "beamlet_id AS other", "x AS _x", "d AS _d")
+        gaps = moving.join(both, "beamlet_id").join(peer, [*GROUP, "other"]).selectExpr(*beamlet, "w", "x - _x AS gx", "d - _d AS gd")
+        names = {"q0": "w * gx * gx / 2", "q1": "w * gx * gd", "q2": "w * gd * gd / 2", "px": "2 * w * gx", "pd": "2 * w * gd"}
+        pulls = gaps.groupBy(*beamlet).agg(*[F.expr(f"sum({v})").alias(n) for n, v in names.items()])
+        return moving.join(pulls, beamlet, "left").fillna(0.0, list(names))
+
+    def slopes(sd: DataFrame) -> DataFrame:
+        found = gradient(influence, voxel_residual(sd, objectives))
+        return found.selectExpr(*beamlet, f"gradient * {scale}D AS _g")
+
+    both = written(_both_ways(pairs, smooth), "pairs")
+    influence = written(influence.select("patient_id", "voxel_id", "beamlet_id", "a"), "matrix")
+    x = written(start.selectExpr(*beamlet, "intensity AS x", "0D AS d"), "start")
+    dose = dose_from_fluence(influence, x.selectExpr(*beamlet, "x AS intensity"), voxels, scale=scale)
+    sd = written(opt_voxels.select("patient_id", "structure", "voxel_id").join(dose, ["patient_id", "voxel_id"]).selectExpr(*cells, "dose_gy AS dose"), "dose")
+    beams = written(with_pulls(x).join(slopes(sd), beamlet, "left").selectExpr(*beamlet, "x", "coalesce(_g, 0D) + px AS g", "0D AS s", "0D AS y"), "beams")
+    lengths = x.select(*GROUP).distinct().withColumn("a", F.lit(float(step)))
+    done, k = f"{folder}/done", 0
+    while True:
+        k += 1
+        spectral = "ss / sy" if k % 2 else "sy / yy"
+        sums = beams.groupBy(*GROUP).agg(*[F.expr(f"sum({v})").alias(n) for n, v in (
+            ("ss", "s * s"), ("sy", "s * y"), ("yy", "y * y"), ("gy", "CASE WHEN x <= 0 AND g > 0 THEN 0D ELSE g * y END"))])
+        lengths = written(sums.join(lengths, GROUP).selectExpr(
+            *GROUP, f"CASE WHEN sy > 0 AND yy > 0 THEN {spectral} ELSE a END AS a", "CASE WHEN sy > 0 THEN greatest(gy / sy, 0D) ELSE 0D END AS b"), f"lengths{k}")
+        ahead = beams.join(lengths, GROUP).selectExpr(
+            *beamlet, "x", "g", "greatest(x - a * (g - b * CASE WHEN x > 0 THEN s ELSE 0D END), 0D) - x AS d", "b")
+        moving = written(with_pulls(ahead), f"moving{k}")
+        along = dose_from_fluence(influence, moving.selectExpr(*beamlet, "d AS intensity"), scale=scale)
+        sd = written(sd.join(along, [*GROUP, "voxel_id"], "left").selectExpr(*cells, "dose", "coalesce(dose_gy, 0D) AS along"), f"dose{k}")
+        search = _line_search(sd, objectives, moving, moving).join(lengths.select(*GROUP, "b"), GROUP)
+        # a move that gains nothing with a share of the last one is tried again without
+        steps = written(search.selectExpr(
+            *GROUP, "t", "objective", "CASE WHEN was > 0 THEN 1 - objective / was ELSE 0D END AS gain", "t = 0 AND b > 0 AS again"), f"steps{k}")
+        over = F.expr(f"gain <= {tolerance}D AND NOT again")
+        left, ended = steps.agg(F.count(F.when(~over, 1)), F.count(F.when(over, 1))).first()
+        moved = moving.join(steps, GROUP).selectExpr("*", "greatest(x + t * d, 0D) AS to")
+        if ended:
+            settled = moved.where(over).selectExpr(*beamlet, "to AS intensity", "objective", f"CASE WHEN t > 0 THEN {k}L ELSE {k - 1}L END AS iteration")
+            settled.write.mode("append").parquet(done)
+        if not left:
+            return spark.read.schema(settled.schema).parquet(done)
+        sd = salted_join(sd, steps.where(~over).select(*GROUP, "t"), GROUP, ["voxel_id"]).selectExpr(*cells, "dose + t * along AS dose")
+        changed = moved.where(~over).join(slopes(sd), beamlet, "left").selectExpr(
+            *beamlet, "to", "g", "to - x AS s", "coalesce(_g, 0D) + px + t * pd AS new")
+        beams = written(changed.selectExpr(*beamlet, "to AS x", "new AS g", "s", "new - g AS y"), f"beams{k}")
+
+
 def dose_limit_report(stats: DataFrame, tails: DataFrame, limits: DataFrame) -> DataFrame:
     """Slack (limit minus value) of max, mean and tail limits.
 

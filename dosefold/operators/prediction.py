@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosefold.functions.headers import on_grid
 from dosefold.functions.numeric import clamp
 from dosefold.functions.prefix import DOSE_BIN_GY, exact_quantiles
+from dosefold.functions.salted import salted_join
 from dosefold.operators import geometry as ge
 from dosefold.operators import grids as vx
 from dosefold.operators.evaluation import smoothed_dvh
@@ -30,7 +32,7 @@ def training_features(
     plan = [c for c in ("plan_id",) if c in dose.columns]
     cases = dose.select("patient_id", *plan).distinct().join(labels.filter("target = 1").select("patient_id"), "patient_id", "left_semi")
     joined = (
-        ct.join(cases, "patient_id")
+        salted_join(ct, cases, ["patient_id"], ["ix", "iy", "iz"])
         .join(dose.select("patient_id", *plan, "voxel_id", "dose_gy"), ["patient_id", *plan, "voxel_id"], "left")
         .join(open_field, ["patient_id", "voxel_id"], "left")
         .join(labels, CELL, "left")
@@ -104,47 +106,40 @@ def normalize_beam(samples: DataFrame, keys: list[str], value: str = "value", qu
     return samples.join(q, keys).join(top, keys).withColumn("beam_norm", clamp(F.col(value) / scale, 0.0, 1.0)).drop("_q", "_top", "_n")
 
 
-def scatter_linear(cells: DataFrame, keys: list[str], value: str, ratio: tuple, shift: tuple, size: tuple[int, int, int]) -> DataFrame:
-    """Trilinear resampling of sparse cells: target t samples source index t * ratio + shift, absent cells are zero.
+def interpolation_operator(ct: DataFrame, ratio: tuple | None, shift: tuple | None, size: tuple[int, int, int] | None, headers: DataFrame | None = None) -> DataFrame:
+    """The resampling of a predicted grid to dose voxels as a sparse operator: patient_id, voxel_id, ix, iy, iz, w.
 
-    Each non-zero source cell is sent to the targets it touches, so the work follows
-    the non-zeros and not the grid.
+    A dose voxel takes the trilinear value at its last CT cell (z, y, x order),
+    none if that lies beyond `size`: the cell t lies at the source index t * ratio + shift. One table
+    per set of CTs serves all predictions on them, so store it. `headers` has the
+    structs ratio, shift and size for each patient.
     """
-    df = cells
-    for axis, target, r, o, n in zip(("ix", "iy", "iz"), ("tx", "ty", "tz"), ratio, shift, size):
-        low = F.greatest(F.ceil((F.col(axis) - 1 - o) / r), F.lit(0))
-        high = F.least(F.floor((F.col(axis) + 1 - o) / r), F.lit(n - 1))
-        df = df.withColumn("_lo", low).withColumn("_hi", high).filter("_lo <= _hi").withColumn(target, F.explode(F.sequence("_lo", "_hi")))
-        df = df.withColumn(f"_w{target}", 1 - F.abs(F.col(target) * r + o - F.col(axis))).filter(f"_w{target} > 0").drop("_lo", "_hi")
-    weight = F.col("_wtx") * F.col("_wty") * F.col("_wtz")
-    return df.groupBy(*keys, "tx", "ty", "tz").agg(F.sum(weight * F.col(value)).alias(value)).select(
-        *keys, F.col("tx").alias("ix"), F.col("ty").alias("iy"), F.col("tz").alias("iz"), value
-    )
-
-
-def predicted_matrix(
-    predictions: DataFrame, ct: DataFrame, ratio: tuple, shift: tuple, size: tuple[int, int, int],
-    unscale: float = DOSE_SCALE / DOSE_GAIN, tail: float = 0.0,
-) -> DataFrame:
-    """Matrix entries from predicted grids: unscale, mask, cut tails, resample to CT cells, last cell per dose voxel.
-
-    `predictions`: patient_id, beamlet_id, ix, iy, iz, value, mask.
+    cells, ratio, shift, size = on_grid(ct.filter(F.col("voxel_id").isNotNull()).select(*CELL, "voxel_id"), headers, ratio=ratio, shift=shift, size=size)
+    last = F.max(F.struct("iz", "iy", "ix")).alias("_c")
+    parts = [] if headers is None else [F.first(p).alias(p) for p in ("ratio", "shift", "size")]
+    at = cells.groupBy("patient_id", "voxel_id").agg(last, *parts)
+    for f, axis, r, o, n in zip(("fx", "fy", "fz"), ("ix", "iy", "iz"), ratio, shift, size):
+        index = F.col("_c")[axis]
+        at = at.withColumn(f, F.when((index >= 0) & (index < n), index * r + o))
+    at = at.filter("fx IS NOT NULL AND fy IS NOT NULL AND fz IS NOT NULL")
+    return vx.corner_weights(at, ["patient_id", "voxel_id"])
+
+
+def predicted_matrix(predictions: DataFrame, operator: DataFrame, unscale: float = DOSE_SCALE / DOSE_GAIN, tail: float = 0.0) -> DataFrame:
+    """Matrix entries from predicted grids: unscale, mask, cut tails, resample to dose voxels by `interpolation_operator`.
+
+    `predictions`: patient_id, beamlet_id, ix, iy, iz, value, mask. Only non-zero
+    cells are sent to the voxels they touch; cells beyond the predicted grid are
+    zero. A `tail` cuts each beamlet's cells below that share of its largest, by a
+    window over the beamlet's own cells.
     """
     column = ["patient_id", "beamlet_id"]
     scaled = predictions.withColumn("value", F.col("value") * unscale * F.col("mask"))
     if tail > 0:
-        tops = scaled.groupBy(*column).agg(F.max("value").alias("_top"))
-        scaled = scaled.join(tops, column).filter(F.col("value") >= tail * F.col("_top")).drop("_top")
-    grid = scatter_linear(scaled.filter("value != 0"), column, "value", ratio, shift, size)
-    # every CT cell of a touched dose voxel counts, since the last one gives the value
-    cells = ct.filter(F.col("voxel_id").isNotNull()).select(*CELL, "voxel_id")
-    touched = grid.join(cells, CELL).select(*column, "voxel_id").distinct()
-    last = cells.groupBy("patient_id", "voxel_id").agg(F.max(F.struct("iz", "iy", "ix")).alias("_c")).select(
-        "patient_id", "voxel_id", F.col("_c.ix").alias("ix"), F.col("_c.iy").alias("iy"), F.col("_c.iz").alias("iz")
-    )
-    return touched.join(last, ["patient_id", "voxel_id"]).join(grid, [*column, "ix", "iy", "iz"]).filter("value != 0").select(
-        *column, "voxel_id", F.col("value").alias("a")
-    )
+        top = F.max("value").over(Window.partitionBy(*column))
+        scaled = scaled.withColumn("_top", top).filter(F.col("value") >= tail * F.col("_top")).drop("_top")
+    hit = scaled.filter("value != 0").select(*column, "ix", "iy", "iz", "value").join(operator, CELL)
+    return hit.groupBy(*column, "voxel_id").agg(F.sum(F.col("w") * F.col("value")).alias("a")).filter("a != 0")
 
 
 def prediction_metrics(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -236,13 +231,21 @@ def gradient_difference(
     return df.groupBy("patient_id").agg(F.avg(lambda_edge * term(gamma_edge) + lambda_flat * term(gamma_flat)).alias("loss"))
 
 
+def _curve_pairs(samples: DataFrame) -> DataFrame:
+    """Smoothed curves of the true (`t`) and the predicted (`p`) value, both from one pass over the samples."""
+    sides = F.array(
+        F.struct(F.lit("t").alias("side"), F.col("true_value").alias("dose_gy")),
+        F.struct(F.lit("p").alias("side"), F.col("predicted").alias("dose_gy")),
+    )
+    curve = smoothed_dvh(samples.select("patient_id", "structure", F.inline(sides)), ["patient_id", "structure", "side"])
+    return curve.groupBy("patient_id", "structure", "bin").agg(
+        F.max("bin_gy").alias("bin_gy"), *[F.max(F.when(F.col("side") == s, F.col("volume_frac"))).alias(s) for s in ("t", "p")]
+    )
+
+
 def dvh_losses(samples: DataFrame) -> DataFrame:
     """Mean squared difference of the smoothed curves and the Bhattacharyya form."""
-    keys = ["patient_id", "structure"]
-    true = smoothed_dvh(samples.select(*keys, F.col("true_value").alias("dose_gy")), keys).withColumnRenamed("volume_frac", "t")
-    guess = smoothed_dvh(samples.select(*keys, F.col("predicted").alias("dose_gy")), keys).withColumnRenamed("volume_frac", "p")
-    both = true.join(guess.drop("bin_gy"), [*keys, "bin"])
-    return both.groupBy("patient_id").agg(
+    return _curve_pairs(samples).groupBy("patient_id").agg(
         F.avg((F.col("p") - F.col("t")) * (F.col("p") - F.col("t"))).alias("dvh_loss"),
         (-F.log(F.greatest(F.sum(F.sqrt(F.col("p") * F.col("t"))), F.lit(1e-3)))).alias("bhattacharyya_loss"),
     )
@@ -255,21 +258,15 @@ def berhu(samples: DataFrame, keys: list[str], delta: float = 1.0, eps: float =
 
 
 def dvh_comparison(samples: DataFrame) -> DataFrame:
-    """True and predicted smoothed curves in percent per case and organ; both sides share one aggregate."""
-    sides = F.array(
-        F.struct(F.lit("true").alias("side"), F.col("true_value").alias("dose_gy")),
-        F.struct(F.lit("predicted").alias("side"), F.col("predicted").alias("dose_gy")),
-    )
-    long = samples.select("patient_id", "structure", F.inline(sides))
-    curve = smoothed_dvh(long, ["patient_id", "structure", "side"])
-    return curve.groupBy("patient_id", "structure", "bin").agg(
-        F.max("bin_gy").alias("bin_gy"),
-        (F.max(F.when(F.col("side") == "true", F.col("volume_frac"))) * 100).alias("true_perc"),
-        (F.max(F.when(F.col("side") == "predicted", F.col("volume_frac"))) * 100).alias("predicted_perc"),
+    """True and predicted smoothed curves in percent per case and organ."""
+    return _curve_pairs(samples).select(
+        "patient_id", "structure", "bin", "bin_gy", (F.col("t") * 100).alias("true_perc"), (F.col("p") * 100).alias("predicted_perc")
     )
 
 
-def augment_parameters(samples: DataFrame, size: tuple[int, int, int], seed: int = 0, max_shift: float = 10.0, max_angle: float = 10.0) -> DataFrame:
+def augment_parameters(
+    samples: DataFrame, size: tuple[int, int, int] | None = None, seed: int = 0, max_shift: float = 10.0, max_angle: float = 10.0, headers: DataFrame | None = None
+) -> DataFrame:
     """A seeded affine map per sample: axis flips times a small rotation about the centre, plus a shift.
 
     Adds m00..m22 and o0..o2 (axes x, y, z).
@@ -287,26 +284,29 @@ def augment_parameters(samples: DataFrame, size: tuple[int, int, int], seed: int
         [sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx],
         [-sy, cy * sx, cy * cx],
     ]
-    df = samples
+    df, size = on_grid(samples, headers, size=size)
     for i in range(3):
         for j in range(3):
             df = df.withColumn(f"m{i}{j}", flips[i] * rotation[i][j])
     for i in range(3):
         turned = F.col(f"m{i}0") * (size[0] / 2) + F.col(f"m{i}1") * (size[1] / 2) + F.col(f"m{i}2") * (size[2] / 2)
         df = df.withColumn(f"o{i}", size[i] / 2 - turned + (draw(7 + i) * 2 - 1) * max_shift)
-    return df
+    return df if headers is None else df.drop("size")
 
 
-def augment(grid: DataFrame, maps: DataFrame, size: tuple[int, int, int], linear: list[str], nearest: list[str], dose: str = "dose_gy") -> DataFrame:
+def augment(
+    grid: DataFrame, maps: DataFrame, size: tuple[int, int, int] | None, linear: list[str], nearest: list[str], dose: str = "dose_gy", headers: DataFrame | None = None
+) -> DataFrame:
     """Apply one affine map per sample; positions clamp to the grid, dose survives where its moved mask does.
 
     `grid` is complete, for each plan if it has plan_id. All linear channels share one join of the eight source cells.
     """
     plan = [c for c in ("plan_id",) if c in grid.columns]
-    targets = grid.select(*plan, *CELL).join(maps, "patient_id")
+    maps, size = on_grid(maps, headers, size=size)
+    targets = salted_join(grid.select(*plan, *CELL), maps, ["patient_id"], ["ix", "iy", "iz"])
     for i, (f, n) in enumerate(zip(("fx", "fy", "fz"), size)):
         at = F.col(f"m{i}0") * F.col("ix") + F.col(f"m{i}1") * F.col("iy") + F.col(f"m{i}2") * F.col("iz") + F.col(f"o{i}")
-        targets = targets.withColumn(f, clamp(at, 0.0, float(n - 1)))
+        targets = targets.withColumn(f, clamp(at, 0.0, F.lit(n - 1).cast("double")))
     named = targets.select(*plan, "patient_id", F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.col("iz").alias("jz"), "fx", "fy", "fz")
     keys = [*plan, "patient_id", "jx", "jy", "jz"]
     corners = vx.corner_weights(named, keys).join(grid.select(*plan, *CELL, *linear), [*plan, *CELL])

@@ -11,9 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dosefold.functions import headers as hd
 from dosefold.functions import runs as rl
 from dosefold.functions.numeric import rows, scan_code
 from dosefold.functions.prefix import running_before
+from dosefold.functions.regions import label_slice, merge_labels
 from dosefold.session import cut_lineage
 
 CELL = ["patient_id", "ix", "iy", "iz"]
@@ -110,15 +112,23 @@ def expression_names(expression: str) -> list[str]:
 
 
 def evaluate_expression(
-    structures: DataFrame, expression: str, resolution_xyz_mm: tuple[float, float, float], size: tuple[int, int, int]
+    structures: DataFrame, expression: str, resolution_xyz_mm: tuple[float, float, float] | None = None, size: tuple[int, int, int] | None = None,
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """Fold a structure expression strictly left to right into one lazy mask plan.
 
     `+ number` grows, `- number` shrinks (`inf` is 500 mm); `+ - & |` on names are
     union, difference, intersection, union. A minus inside a name needs no spaces.
+    With `headers` each patient's margins follow its own spacing and size.
     """
     tokens = _tokens(expression)
 
+    def grown(mask: DataFrame, margin: float) -> DataFrame:
+        return expand(mask, margin, resolution_xyz_mm, size) if headers is None else hd.expand(mask, margin, headers)
+
+    def shrunk(mask: DataFrame, margin: float) -> DataFrame:
+        return shrink(mask, margin, resolution_xyz_mm, size) if headers is None else hd.shrink(mask, margin, headers)
+
     def operand(at: int):
         token = tokens[at]
         if token == "(":
@@ -137,9 +147,9 @@ def evaluate_expression(
             right, at = operand(at + 1)
             if isinstance(right, float):
                 if sign == "+":
-                    value = expand(value, right, resolution_xyz_mm, size)
+                    value = grown(value, right)
                 elif sign == "-":
-                    value = shrink(value, right, resolution_xyz_mm, size)
+                    value = shrunk(value, right)
                 else:
                     raise ValueError(f"{sign} needs a structure on its right")
             elif sign in "+|":
@@ -154,7 +164,7 @@ def evaluate_expression(
 
 
 def optimization_structures(
-    structures: DataFrame, definitions: list[tuple[str, str]], resolution_xyz_mm, size
+    structures: DataFrame, definitions: list[tuple[str, str]], resolution_xyz_mm=None, size=None, headers: DataFrame | None = None
 ) -> DataFrame:
     """New structures from definitions, clipped to BODY.
 
@@ -167,18 +177,20 @@ def optimization_structures(
     given = structures.select("patient_id", "structure").distinct()
     made: dict[str, DataFrame] = {}
     owners: dict[str, DataFrame] = {}
+    cut: set[str] = set()
     for name, definition in definitions:
         try:
             needed = sorted({*expression_names(definition), "BODY"})
             for used in needed:
-                if used in made:
+                if used in made and used not in cut:
                     made[used], owners[used] = cut_lineage(made[used]), cut_lineage(owners[used])
+                    cut.add(used)
             there, source = given, structures.select("structure", *CELL)
             for used in needed:
                 if used in made:
                     there = there.unionByName(owners[used])
                     source = source.unionByName(made[used])
-            mask = evaluate_expression(source, definition, resolution_xyz_mm, size)
+            mask = evaluate_expression(source, definition, resolution_xyz_mm, size, headers)
         except (ValueError, IndexError):
             continue
         able = (
@@ -191,6 +203,7 @@ def optimization_structures(
         own = able.join(taken, "patient_id", "left_anti")
         cells = intersect(mask, mask_of(source, "BODY")).join(own, "patient_id", "left_semi").select(F.lit(name).alias("structure"), *CELL)
         own = own.select("patient_id", F.lit(name).alias("structure"))
+        cut.discard(name)
         made[name] = made[name].unionByName(cells) if name in made else cells
         owners[name] = owners[name].unionByName(own) if name in owners else own
     if not made:
@@ -291,42 +304,55 @@ def boundary_voxels(structures: DataFrame) -> DataFrame:
     return mask.join(inner, ["structure", *CELL], "left_anti")
 
 
+#: Slices of the first slabs; each level of slabs holds so many of the level before.
+SLAB = 32
+
+
 def connected_regions(structures: DataFrame) -> DataFrame:
     """Face-connected regions of each mask, numbered in scan order of their first cell.
 
-    Runs are the graph nodes. Each round takes the smallest label among touching
-    runs and then jumps to that label's own label, so long regions settle in few
-    rounds; every round is written to the checkpoint folder, and rounds go on until
-    no label changes.
+    Runs of a slice are joined into parts in one task (a slice is bounded by the
+    scanner). From then on only parts and the pairs of them that touch across a
+    slice border count: pairs inside a slab of SLAB slices are merged by one task
+    per slab, then those inside slabs of SLAB slabs, and so on. So the graph
+    shrinks at each level, and the number of levels is the logarithm of the
+    slices, whatever the shape of a region.
     """
     keys = ["patient_id", "structure"]
-    nodes = rl.to_runs(structures, keys).withColumn("node", scan_code(F.col("iz"), F.col("iy"), F.col("x1")))
-    nodes = cut_lineage(nodes)
-    there = nodes.select(*keys, "iz", "iy", F.col("x1").alias("u1"), F.col("x2").alias("u2"), F.col("node").alias("other"))
-    steps = F.array(*[F.struct(F.lit(z).alias("dz"), F.lit(y).alias("dy")) for z, y in ((1, 0), (0, 1))])
-    near = nodes.select(*keys, "iz", "iy", "x1", "x2", "node", F.inline(steps)).select(
-        *keys, (F.col("iz") + F.col("dz")).alias("iz"), (F.col("iy") + F.col("dy")).alias("iy"), "x1", "x2", "node"
-    )
-    edges = near.join(there, [*keys, "iz", "iy"]).filter("x1 <= u2 AND x2 >= u1").select(*keys, "node", "other")
-    edges = cut_lineage(edges.unionByName(edges.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))))
-    labels = nodes.select(*keys, "node", F.col("node").alias("label"))
-    while True:
-        offered = edges.join(labels.select(*keys, F.col("node").alias("other"), F.col("label").alias("seen")), [*keys, "other"]).groupBy(
-            *keys, "node").agg(F.min("seen").alias("seen"))
-        hooked = labels.join(offered, [*keys, "node"], "left").select(
-            *keys, "node", F.col("label").alias("old"), F.least("label", "seen").alias("label")
+    runs = rl.to_runs(structures, keys).withColumn("node", scan_code(F.col("iz"), F.col("iy"), F.col("x1")))
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
+    typed = [f"{c} {kinds[c]}" for c in [*keys, "iz", "iy", "x1", "x2", "node"]]
+    shaped = runs.select(*keys, "iz", "iy", "x1", "x2", "node")
+    labelled = cut_lineage(shaped.groupBy(*keys, "iz").applyInArrow(label_slice, ", ".join([*typed, "label long"])))
+    below = labelled.select(*keys, (F.col("iz") - 1).alias("iz"), "iy", F.col("x1").alias("u1"), F.col("x2").alias("u2"), F.col("label").alias("b"))
+    edges = cut_lineage(labelled.join(below, [*keys, "iz", "iy"]).filter("x1 <= u2 AND x2 >= u1").select(*keys, "iz", F.col("label").alias("a"), "b").distinct())
+    last = edges.agg(F.max("iz")).first()[0]
+    label_kinds = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "label long", "root long"])
+    named, slab = labelled.withColumnRenamed("label", "region_node"), 1
+    while last is not None and last + 1 >= slab:
+        slab *= SLAB
+        inside = F.floor(F.col("iz") / slab) == F.floor((F.col("iz") + 1) / slab)
+        marked = edges.filter(inside).select(*keys, F.floor(F.col("iz") / slab).alias("_slab"), "a", "b")
+        merged = cut_lineage(
+            marked.groupBy(*keys, "_slab").applyInArrow(_merge_only(keys), label_kinds)
         )
-        hooked = cut_lineage(hooked)
-        jump = hooked.select(*keys, F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = cut_lineage(hooked.join(jump, [*keys, "label"], "left").select(
-            *keys, "node", "old", F.coalesce("root", "label").alias("label")
-        ))
-        labels = jumped.select(*keys, "node", "label")
-        if jumped.filter("old <> label").limit(1).count() == 0:
-            break
-    regions = labels.select(*keys, "label").distinct().withColumn("_one", F.lit(1))
+        named = _renamed(named, merged, keys, "region_node")
+        edges = _renamed(_renamed(edges.filter(~inside), merged, keys, "a"), merged, keys, "b").distinct()
+        if last + 1 >= slab:
+            edges = cut_lineage(edges)
+    named = cut_lineage(named)
+    regions = named.select(*keys, F.col("region_node").alias("label")).distinct().withColumn("_one", F.lit(1))
     numbered = running_before(regions, keys, F.shiftright("label", 30), ["label"], "_one", "number").select(
-        *keys, "label", (F.col("number") + 1).cast("long").alias("region")
+        *keys, F.col("label").alias("region_node"), (F.col("number") + 1).cast("long").alias("region")
     )
-    labelled = nodes.join(labels, [*keys, "node"]).join(numbered, [*keys, "label"])
-    return rl.to_voxels(labelled, [*keys, "region"])
+    return rl.to_voxels(named.join(numbered, [*keys, "region_node"]), [*keys, "region"])
+
+
+def _merge_only(keys: list[str]):
+    return lambda table: merge_labels(table.select([*keys, "a", "b"]))
+
+
+def _renamed(df: DataFrame, merged: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """`column` replaced by the root of its label, where it has one."""
+    roots = merged.select(*keys, F.col("label").alias(column), "root")
+    return df.join(roots, [*keys, column], "left").withColumn(column, F.coalesce("root", column)).drop("root")

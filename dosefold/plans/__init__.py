@@ -6,7 +6,7 @@ from importlib import import_module
 
 GROUPS = [
     "evaluation", "matrix", "structures", "cohort", "criteria", "objectives",
-    "grids", "geometry", "arcs", "prediction", "sources",
+    "grids", "geometry", "arcs", "prediction", "sources", "own_grids",
 ]
 
 

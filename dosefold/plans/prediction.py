@@ -121,11 +121,15 @@ o_sc AS (SELECT patient_id, beamlet_id, x.range AS ix, y.range AS iy, p.iz, sum(
 o_last AS (SELECT patient_id, voxel_id, max((iz * 1000 + iy) * 1000 + ix) AS code FROM o_ct WHERE voxel_id IS NOT NULL GROUP BY 1, 2)
 SELECT s.patient_id, s.beamlet_id, l.voxel_id, {S6.format('s.v')} AS a FROM o_sc s JOIN o_last l ON l.patient_id = s.patient_id AND l.code = (s.iz * 1000 + s.iy) * 1000 + s.ix WHERE s.v <> 0""")
 def predicted_matrix(t):
-    guess = t.influence.join(t.voxel.select("patient_id", "voxel_id", "ix", "iy", "iz"), ["patient_id", "voxel_id"]).select(
+    operator = ml.interpolation_operator(block_ct(t), (0.8, 1.0, 1.0), (1.3, 0.4, 0.0), (25, 20, 3))
+    return ml.predicted_matrix(guessed(t), operator, unscale=0.07, tail=0.2).withColumn("a", snap(F.col("a")))
+
+
+def guessed(t):
+    """Predicted grids made from the matrix."""
+    return t.influence.join(t.voxel.select("patient_id", "voxel_id", "ix", "iy", "iz"), ["patient_id", "voxel_id"]).select(
         "patient_id", "beamlet_id", "ix", "iy", "iz", (F.col("a") * 0.1).alias("value"), (F.col("a") > 3).cast("int").alias("mask")
     )
-    r = ml.predicted_matrix(guess, block_ct(t), (0.8, 1.0, 1.0), (1.3, 0.4, 0.0), (25, 20, 3), unscale=0.07, tail=0.2)
-    return r.withColumn("a", snap(F.col("a")))
 
 
 PAIR_SQL = "o_tp AS (SELECT p.patient_id, p.voxel_id, v.ix, v.iy, v.iz, v.prio, true_cgy / 100.0::double AS t, pred_cgy / 100.0::double AS p, CASE WHEN v.hu > 0 THEN 1 ELSE 0 END AS m FROM v_predicted p JOIN v_voxel v USING (patient_id, voxel_id))"
@@ -235,17 +239,25 @@ SELECT f.patient_id, f.ix AS jx, f.iy AS jy, f.iz AS jz, {S4.format('l.hu')} AS
 FROM o_f f JOIN o_lin l ON l.patient_id = f.patient_id AND l.jx = f.ix AND l.jy = f.iy AND l.jz = f.iz JOIN o_src s ON s.patient_id = f.patient_id AND s.ix = floor(f.fx + 0.5)::bigint AND s.iy = floor(f.fy + 0.5)::bigint AND s.iz = floor(f.fz + 0.5)::bigint"""
 
 
-@query("augment_affine", AFFINE_SQL)
-def augment_affine(t):
-    grid = t.voxel.join(t.dose.filter("plan_id = 'A'"), ["patient_id", "voxel_id"]).select(
+def plan_a_grid(t):
+    """CT, dose of plan A and target flag on CT cells."""
+    return t.voxel.join(t.dose.filter("plan_id = 'A'"), ["patient_id", "voxel_id"]).select(
         "patient_id", "ix", "iy", "iz", F.col("hu").cast("double").alias("hu"), "dose_gy", (F.col("prio") == "1-URGENT").cast("long").alias("target")
     )
+
+
+def fixed_maps(t):
     maps = t.voxel.select("patient_id").distinct()
     for i in range(3):
         for j in range(3):
             maps = maps.withColumn(f"m{i}{j}", F.lit(MAP[i][j]))
         maps = maps.withColumn(f"o{i}", F.lit(SHIFT[i]))
-    r = ml.augment(grid, maps, (25, 20, 3), ["hu", "dose_gy"], ["target"])
+    return maps
+
+
+@query("augment_affine", AFFINE_SQL)
+def augment_affine(t):
+    r = ml.augment(plan_a_grid(t), fixed_maps(t), (25, 20, 3), ["hu", "dose_gy"], ["target"])
     return r.select("patient_id", "jx", "jy", "jz", snap(F.col("hu"), 4).alias("hu"), snap(F.col("dose_gy"), 4).alias("dose_gy"), "target")
 
 

@@ -89,6 +89,15 @@ def solution_store(t):
     return io.load_solution(t.spark, folder, "B").select("plan_id", "beamlet_id", "intensity")
 
 
+@query("solution_store_patients", "SELECT DISTINCT i.patient_id, f.plan_id, f.beamlet_id, f.intensity::double AS intensity FROM v_influence i JOIN v_fluence f ON f.beamlet_id = i.beamlet_id WHERE f.plan_id = 'B'")
+def solution_store_patients(t):
+    folder = scratch_folder(t.spark, "solution")
+    own = t.influence.select("patient_id", "beamlet_id").distinct().join(t.fluence, "beamlet_id")
+    io.save_solution(own, folder)
+    found = io.load_solution(t.spark, folder, "B")
+    return found.select(F.col("patient_id").cast("long").alias("patient_id"), "plan_id", "beamlet_id", "intensity")
+
+
 @query("fluence_export", """
 o_m AS (SELECT beam_id, max(row_idx) AS mr, max(col_idx) + 1 AS nx, min(x_mm) AS x0, max(y_mm) AS y0 FROM v_beamlet GROUP BY 1),
 o_g AS (SELECT m.beam_id, r.r AS row, c.c AS col, m.mr - r.r AS row_idx FROM o_m m, lateral (SELECT unnest(range(0, m.mr + 1)) AS r) r, lateral (SELECT unnest(range(0, m.nx)) AS c) c),
@@ -103,19 +112,36 @@ def fluence_export(t):
     return io.fluence_lines(grid, sized, dose_per_fraction_gy=2.0)
 
 
-@query("fluence_export_plans", """
+PLAN_LINES_SQL = """
 o_m AS (SELECT beam_id, max(row_idx) AS mr, max(col_idx) + 1 AS nx, min(x_mm) AS x0, max(y_mm) AS y0 FROM v_beamlet GROUP BY 1), o_pl AS (SELECT DISTINCT plan_id FROM v_fluence),
 o_g AS (SELECT p.plan_id, m.beam_id, r.r AS row, c.c AS col, m.mr - r.r AS row_idx FROM o_m m CROSS JOIN o_pl p, lateral (SELECT unnest(range(0, m.mr + 1)) AS r) r, lateral (SELECT unnest(range(0, m.nx)) AS c) c),
 o_v AS (SELECT g.plan_id, g.beam_id, g.row, g.col, coalesce(f.intensity, 0) / 2.0::double AS v FROM o_g g LEFT JOIN v_beamlet b ON b.beam_id = g.beam_id AND b.row_idx = g.row_idx AND b.col_idx = g.col
   LEFT JOIN v_fluence f ON f.beamlet_id = b.beamlet_id AND f.plan_id = g.plan_id)
 SELECT plan_id, beam_id, 8 + row AS line_no, string_agg(printf('%.6f', v), chr(9) ORDER BY col) AS line FROM o_v GROUP BY 1, 2, 3
 UNION ALL SELECT plan_id, beam_id, q.n::bigint, CASE q.n WHEN 0 THEN 'optimalfluence' WHEN 1 THEN 'SizeX      ' || nx WHEN 2 THEN 'SizeY      ' || (mr + 1) WHEN 3 THEN 'SpacingX   2.5'
-  WHEN 4 THEN 'SpacingY   2.5' WHEN 5 THEN 'OriginX    ' || x0 WHEN 6 THEN 'OriginY    ' || y0 ELSE 'Values' END FROM o_m CROSS JOIN o_pl CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) q(n)""")
+  WHEN 4 THEN 'SpacingY   2.5' WHEN 5 THEN 'OriginX    ' || x0 WHEN 6 THEN 'OriginY    ' || y0 ELSE 'Values' END FROM o_m CROSS JOIN o_pl CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) q(n)"""
+
+
+@query("fluence_export_plans", PLAN_LINES_SQL)
 def fluence_export_plans(t):
-    plans = t.fluence.select("plan_id").distinct()
-    sized = t.beamlet.withColumn("width_mm", F.lit(2.5)).withColumn("height_mm", F.lit(2.5))
-    grid = im.fluence_to_grid(t.fluence, im.finest_grid(sized).crossJoin(plans))
-    return io.fluence_lines(grid, sized.crossJoin(plans), dose_per_fraction_gy=2.0, beam=["plan_id", "beam_id"])
+    return plan_lines(t)
+
+
+def plan_lines(t):
+    """Fluence lines of every plan on the beamlets it has an intensity for."""
+    sized = t.fluence.select("plan_id", "beamlet_id").join(t.beamlet, "beamlet_id").withColumn("width_mm", F.lit(2.5)).withColumn("height_mm", F.lit(2.5))
+    keys = ["plan_id", "beam_id"]
+    grid = im.fluence_to_grid(t.fluence, im.finest_grid(sized.select("beam_id", "beamlet_id", "x_mm", "y_mm", "width_mm", "height_mm", "plan_id"), keys))
+    return io.fluence_lines(grid, sized, dose_per_fraction_gy=2.0, beam=keys)
+
+
+@query("fluence_files", PLAN_LINES_SQL)
+def fluence_files(t):
+    """The files of every plan and beam, written and read back."""
+    folder = scratch_folder(t.spark, "fluence")
+    io.write_fluence(plan_lines(t), folder)
+    read = io.read_fluence(t.spark, folder)
+    return read.select("plan_id", F.col("beam_id").cast("long").alias("beam_id"), "line_no", "line")
 
 
 @query("label_volume_export", """

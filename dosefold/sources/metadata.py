@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosefold.operators.cohort import disease_site
+from dosefold.sources.sinks import read_keyed_text, write_keyed_text
 
 POINT = "struct<x_mm: double, y_mm: double, z_mm: double>"
 BEAM_SCHEMA = (
@@ -199,12 +200,17 @@ def load_matrix(spark: SparkSession, path: str, full: bool = False, beam_ids: li
 
 
 def save_solution(fluence: DataFrame, path: str) -> None:
-    fluence.write.partitionBy("plan_id").parquet(path)
+    """Solutions by patient (where the table has one) and plan; Spark's commit leaves a failed job's rows out."""
+    keys = [c for c in ("patient_id", "plan_id") if c in fluence.columns]
+    fluence.repartition(*keys).write.partitionBy(*keys).parquet(path)
 
 
-def load_solution(spark: SparkSession, path: str, plan_id: str | None = None) -> DataFrame:
+def load_solution(spark: SparkSession, path: str, plan_id: str | None = None, patient_id=None) -> DataFrame:
+    """All solutions, or those of a plan or patient: only their folders are read."""
     df = spark.read.parquet(path)
-    return df if plan_id is None else df.filter(F.col("plan_id") == plan_id)
+    for column, value in (("plan_id", plan_id), ("patient_id", patient_id)):
+        df = df if value is None else df.filter(F.col(column) == value)
+    return df
 
 
 def fluence_lines(
@@ -244,10 +250,18 @@ def fluence_lines(
     return head.withColumn("line_no", F.col("line_no").cast("long")).unionByName(body)
 
 
-def write_fluence(lines: DataFrame, path: str) -> None:
-    """One folder per beam with its lines in order."""
-    lines.repartition("beam_id").sortWithinPartitions("beam_id", "line_no").select("beam_id", "line").write.partitionBy(
-        "beam_id").text(path)
+FLUENCE_FILE = "optimal_fluence.txt"
+
+
+def write_fluence(lines: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A file for each patient, plan and beam (as far as `lines` has them as keys), all of them or none."""
+    keys = [c for c in ("patient_id", "plan_id", "beam_id") if c in lines.columns]
+    write_keyed_text(lines, keys, path, FLUENCE_FILE, overwrite)
+
+
+def read_fluence(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of `write_fluence`, with their keys and line_no."""
+    return read_keyed_text(spark, path, FLUENCE_FILE)
 
 
 def label_volume(ct: DataFrame, dose: DataFrame, labels: DataFrame, masks: DataFrame | None = None) -> DataFrame:

@@ -218,3 +218,20 @@ def test_overlapping_partial_rows_are_dropped(spark):
     cells = spark.createDataFrame([(0, r, c, b) for r, line in rows.items() for c, b in enumerate(line) if b], "beam_id long, row long, col long, beamlet_id long")
     got = {(r.row, r.col): r.beamlet_id for r in im.compact_grid(cells).collect()}
     assert got == {(0, 0): 1, (0, 1): 2, (1, 0): 3, (1, 1): 4}
+
+
+def test_smoothed_curve_equals_the_mean_of_all_sigmoids(spark):
+    draws = np.random.default_rng(9)
+    doses = np.concatenate([draws.random(300) * 80 - 2, np.zeros(50), np.full(20, 0.2 * 7), [69.9999, 70.0, 1e6, -50.0], np.arange(0, 71, 5.0)])
+    rows = [("S", float(d)) for d in doses] + [("T", 3.1), ("T", None)]
+    got = {(r.structure, r.bin): r for r in ev.smoothed_dvh(spark.createDataFrame(rows, "structure string, dose_gy double"), ["structure"]).collect()}
+    assert len(got) == 2 * 351
+    width = 70.0 / 350
+    with np.errstate(over="ignore"):
+        for b in range(351):
+            assert abs(got["S", b].volume_frac - np.mean(1 / (1 + np.exp(-(doses - b * width) / width)))) < 1e-12
+            assert abs(got["T", b].volume_frac - 0.5 / (1 + np.exp(-(3.1 - b * width) / width))) < 1e-12
+            assert abs(got["S", b].bin_gy - b * width) < 1e-12
+    plan = ev.smoothed_dvh(spark.createDataFrame(rows, "structure string, dose_gy double"), ["structure"])._jdf.queryExecution().optimizedPlan().toString()
+    before_fold = plan[plan.rindex("Aggregate [structure"):]
+    assert "explode" not in before_fold and "inline" not in before_fold

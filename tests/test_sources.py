@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from dosefold.sources import metadata as io
 
 
@@ -71,3 +74,46 @@ def test_headers_arcs_and_configuration(spark, tmp_path):
     assert {(r.name, r.field, r.value) for r in io.scan_source_ids(spark, str(tmp_path / "ids.json"), "own").collect()} == {("P_1", "subject", "S9"), ("P_1", "site", "x")}
     assert {tuple(r) for r in io.scan_size_tiers(spark, str(tmp_path / "tiers.json")).collect()} == {("small", 0.0, 50.0), ("large", 50.0, 900.5)}
     assert [(r.structure, r.fractions, r.x, r.score) for r in io.scan_scorecards(spark, str(tmp_path / "card.json")).collect()] == [("PTV", 30, 57.0, 0.0), ("PTV", 30, 60.0, 10.0)]
+
+
+LINES = "patient_id long, plan_id string, beam_id long, line_no long, line string"
+
+
+def fluence_rows():
+    return [(p, plan, b, n, f"{p}{plan}{b} line {n}\tx") for p in (1, 22) for plan in ("A", "B/2") for b in range(3) for n in range(12)]
+
+
+def test_fluence_files_of_two_plans(spark, tmp_path):
+    given = spark.createDataFrame(fluence_rows(), LINES).repartition(5)
+    io.write_fluence(given, str(tmp_path / "out"))
+    assert (tmp_path / "out/patient_id=22/plan_id=A/beam_id=2/optimal_fluence.txt").read_text().splitlines() == [f"22A2 line {n}\tx" for n in range(12)]
+    read = io.read_fluence(spark, str(tmp_path / "out"))
+    assert sorted((r.patient_id, r.plan_id, r.beam_id, r.line_no, r.line) for r in read.collect()) == sorted(fluence_rows())
+    left = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert len(left) == 12 and not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+
+
+def test_failed_fluence_job_leaves_no_file(spark, tmp_path):
+    given = spark.createDataFrame(fluence_rows(), LINES).repartition(4, "beam_id")
+    bad = given.withColumn("line", F.when((F.col("beam_id") == 2) & (F.col("line_no") == 11) & (F.col("patient_id") == 22), F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="lost"):
+        io.write_fluence(bad, str(tmp_path / "out"))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_files_that_are_there_stay(spark, tmp_path):
+    first = spark.createDataFrame(fluence_rows(), LINES)
+    io.write_fluence(first.filter("beam_id = 0"), str(tmp_path))
+    with pytest.raises(Exception, match="are there already"):
+        io.write_fluence(first.withColumn("line", F.lit("new")), str(tmp_path))
+    assert len([p for p in tmp_path.rglob("*") if p.is_file()]) == 4
+    io.write_fluence(first.withColumn("line", F.lit("new")), str(tmp_path), overwrite=True)
+    assert {p.read_text() for p in tmp_path.rglob("*") if p.is_file()} == {"new\n" * 12}
+
+
+def test_solutions_of_a_patient_and_plan(spark, tmp_path):
+    rows = [(p, plan, b, float(b)) for p in (1, 2) for plan in "AB" for b in range(5)]
+    io.save_solution(spark.createDataFrame(rows, "patient_id long, plan_id string, beamlet_id long, intensity double"), str(tmp_path / "s"))
+    found = io.load_solution(spark, str(tmp_path / "s"), "B", 2)
+    assert sorted((r.patient_id, r.plan_id, r.beamlet_id) for r in found.collect()) == [(2, "B", b) for b in range(5)]
+    assert "PartitionFilters: [isnotnull" in found._jdf.queryExecution().toString()
