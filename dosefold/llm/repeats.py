@@ -7,7 +7,8 @@ anchors at equal places, so only windows of one anchor are ever compared.
 1. Prefix polynomial hashes give every substring's hash; consecutive windows of
    one anchor make a run, known by the anchor's hash and the hash of all its bytes.
 2. Runs whose anchor comes once are unique. A run whose bytes come twice is
-   repeated as a whole; both are counts by key.
+   repeated as a whole; both are counts by key. Runs that share the key are held
+   against each other by SHA-256 of their bytes before they count as equal.
 3. The others, at the borders of matches, are compared in tasks: the suffixes
    from their anchors are mergesorted, two suffixes compared by binary search
    for their common extension on prefix hashes, and the extensions to the right
@@ -22,6 +23,7 @@ their single windows are counted by SHA-256, so no group grows with the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ LENGTH = 400
 PIECE = 4 << 20
 #: Different runs of one anchor over which their windows are counted one by one, and the parts of one digest in the join with the counts.
 HOT, SALTS = 512, 8
+#: A key of more than 1 / SHARE of all rows (so there are fewer than SHARE of them), and of LEAST rows, is dealt to PARTS tasks.
+SHARE, LEAST, PARTS = 1000, 10_000, 64
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -125,7 +129,7 @@ def _pieces(texts: pa.Array):
     return data, found
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], bits: int = 64) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             data, found = _pieces(batch.column("text"))
@@ -136,7 +140,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows, inside, starts, ends = (np.array(x, np.int64) for x in zip(*group))
                     base = starts[0]
                     text, begin, count, place, key, content = runs(data[base : ends[-1]], starts - base, ends - base)
-                    row = rows[text]
+                    row, content = rows[text], content >> U(64 - bits)
                     columns = [batch.column("doc_id").take(pa.array(row)), batch.column("tag").take(pa.array(row)), pa.array(begin + base - starts[text] + inside[text]),
                                pa.array(count, pa.int32()), pa.array(place, pa.int32()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "begin", "windows", "place", "anchor", "content"])
@@ -264,7 +268,7 @@ def plainly_repeated(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, g
 
 # --- tasks -----------------------------------------------------------------
 
-NEEDED = "array<struct<begin:bigint,windows:int,place:int,anchor:bigint,role:int>>"
+NEEDED = "array<struct<begin:bigint,windows:int,place:int,anchor:bigint,content:bigint,role:int>>"
 OPEN, WITNESS, WHOLE = 0, 1, 2  # role of a run: to be compared; compared as a witness, itself repeated; repeated
 
 
@@ -285,6 +289,26 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
+def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, content, proof) of the runs that count as repeated: a part of the SHA-256 of their bytes."""
+    from hashlib import sha256
+
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            needed = batch.column("needed")
+            flat = needed.flatten()
+            names = ["begin", "windows", "anchor", "content", "role"]
+            begin, windows, anchor, content, role = (flat.field(n).to_numpy(zero_copy_only=False) for n in names)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(needed.offsets.to_numpy()))
+            asked = np.flatnonzero(role % 10 != OPEN)
+            proofs, text, at = [], b"", -1
+            for k, b, n in zip(owner[asked].tolist(), begin[asked].tolist(), (windows[asked] - 1 + LENGTH).tolist()):
+                if k != at:
+                    text, at = memoryview((batch.column("text")[k].as_py() or "").encode()), k
+                proofs.append(sha256(text[b : b + n]).digest()[:16])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[asked]), pa.array(content[asked]), pa.array(proofs, pa.binary())], ["anchor", "content", "proof"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tag, begin, open, digest) of each window of the runs of the other anchors: equal bytes have one anchor at one place."""
     from hashlib import sha256
@@ -370,22 +394,54 @@ def _same(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["tag"] == right["tag"])
 
 
-def repeats_cut(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, n_removed, n_spans, kept_sha256, spans, kept_bytes) of the documents that hold a candidate; `tag` is a hash of the text."""
+def _dealt(df: DataFrame, hot: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """`df` with `part`: by `spread` for the rows of hot keys, 0 for the others. Fewer than SHARE keys are hot."""
+    marked = df.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    return marked.withColumn("part", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+
+
+def _in_parts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` with the rows of hot keys in every part, the others in part 0."""
+    marked = df.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    every, one = F.sequence(F.lit(0), F.lit(PARTS - 1)), F.array(F.lit(0))
+    return marked.withColumn("part", F.explode(F.when(F.col("_hot").isNotNull(), every).otherwise(one))).drop("_hot")
+
+
+def repeats_cut(docs: DataFrame, content_bits: int = 64) -> DataFrame:
+    """(doc_id, tag, n_removed, n_spans, kept_sha256, spans, kept_bytes) of the documents that hold a candidate; `tag` is a hash of the text.
+
+    `content_bits` of the hash of a run's bytes are used; fewer change the cost, not the result.
+    """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    found = stored(texts.mapInArrow(_runs, "doc_id long, tag long, begin long, windows int, place int, anchor long, content long"), "runs")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    candidates = stored(found.join(twice, "anchor"), "candidates")
+    found = stored(texts.mapInArrow(partial(_runs, bits=content_bits), "doc_id long, tag long, begin long, windows int, place int, anchor long, content long"), "runs")
+    limit = max(LEAST, found.count() // SHARE)
+    twice = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
+    hot = stored(twice.where(F.col("n") > limit), "hot")
+    candidates = _dealt(found, hot, ["anchor"], ["doc_id", "tag", "begin"]).join(_in_parts(twice.select("anchor"), hot, ["anchor"]), ["anchor", "part"])
+    candidates = stored(candidates.drop("part"), "candidates")
     contents = candidates.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tag", "begin")).alias("witness"))
     anchors = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
-    judged = candidates.join(contents, ["anchor", "content"]).join(anchors, "anchor")
+    contents = _dealt(contents, hot, ["anchor"], ["content"]).join(_in_parts(anchors, hot, ["anchor"]), ["anchor", "part"]).drop("part")
+    contents, key = stored(contents, "contents"), ["anchor", "content"]
+    copied = stored(contents.where(F.col("copies") > limit), "copied")
+    judged = _dealt(candidates, copied, key, ["doc_id", "tag", "begin"]).join(_in_parts(contents, copied, key), [*key, "part"])
     is_witness = F.struct("doc_id", "tag", "begin").eqNullSafe(F.col("witness"))
     # a run whose anchor has one content only is repeated, and no witness is needed
     role = F.when(F.col("copies") == 1, F.lit(OPEN)).when(is_witness & (F.col("different") > 1), F.lit(WITNESS)).otherwise(F.lit(WHOLE))
     role = (role + F.when(F.col("different") > HOT, F.lit(10)).otherwise(F.lit(0))).cast("int")
-    needed = judged.select("doc_id", "tag", F.struct("begin", "windows", "place", "anchor", role.alias("role")).alias("run"))
-    by_doc = needed.groupBy("doc_id", "tag").agg(F.collect_list("run").cast(NEEDED).alias("needed"))  # a document's own runs
-    touched = stored(texts.join(by_doc, _same(texts, by_doc)).select(texts["doc_id"], texts["tag"], "text", "needed"), "touched")
+
+    def with_roles(judged: DataFrame, role) -> DataFrame:
+        needed = judged.select("doc_id", "tag", F.struct("begin", "windows", "place", "anchor", "content", role.alias("role")).alias("run"))
+        by_doc = needed.groupBy("doc_id", "tag").agg(F.collect_set("run").cast(NEEDED).alias("needed"))  # a document's own runs
+        return stored(texts.join(by_doc, _same(texts, by_doc)).select(texts["doc_id"], texts["tag"], "text", "needed"), "touched")
+
+    touched = with_roles(judged, role)
+    proofs = touched.mapInArrow(_proofs, "anchor long, content long, proof binary")
+    unlike = proofs.groupBy(*key).agg(F.min("proof").alias("low"), F.max("proof").alias("high")).where("low <> high")
+    collided = stored(unlike.select("anchor").distinct(), "collided")
+    if not collided.isEmpty():  # hashes of different runs met: the windows of these anchors are counted one by one
+        apart = judged.join(collided.withColumn("_apart", F.lit(True)), "anchor", "left")
+        touched = with_roles(apart, F.when(F.col("_apart").isNotNull(), F.lit(10 + OPEN)).otherwise(role).cast("int"))
     held = touched.where(f"exists(needed, r -> r.role < {WHOLE})").mapInArrow(_bytes, "key long, doc_id long, tag long, begin long, windows int, place int, role int, data binary")
     compared = held.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc_id long, tag long, begin long, end long")
     hot = touched.where(f"exists(needed, r -> r.role IN ({10 + OPEN}, {10 + WITNESS}))").mapInArrow(

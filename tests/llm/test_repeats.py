@@ -131,3 +131,27 @@ def test_a_common_passage_makes_no_group(spark, monkeypatch):
     monkeypatch.setattr(repeats, "_compare", noted)
     got = repeats.repeats(spark.createDataFrame(given_, SCHEMA)).collect()
     assert sorted(map(tuple, got), key=str) == brute(given_) and min(r.n_removed for r in got) >= 640
+
+
+@pytest.mark.parametrize("bits", [2, 9])
+def test_colliding_contents_are_told_apart(spark, bits):
+    """With a few bits of the content hash many different runs of an anchor look equal; their bytes tell."""
+    draw = random.Random(3)
+    make = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    common = make(260)
+    given_ = rows() + [(6000 + i, make(150) + common + make(150), "", 0) for i in range(60)]
+    df = spark.createDataFrame(given_, SCHEMA)
+    cut = {(r.doc_id, r.kept_sha256): r for r in repeats.repeats_cut(df, bits).collect()}
+    for doc_id, size, removed, spans, sha in brute(given_):
+        if removed:
+            assert (cut[doc_id, sha].n_removed, cut[doc_id, sha].n_spans) == (removed, spans)
+    assert not {k for k, r in cut.items() if r.n_removed} - {(b[0], b[4]) for b in brute(given_)}
+
+
+def test_hot_keys_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "LEAST", 20)
+    monkeypatch.setattr(repeats, "SHARE", 50)
+    shared = rows()[5][1]
+    given_ = rows() + [(7000 + i, shared, "", 0) for i in range(80)] + [(None, shared, "", 0)] * 10 + [(8000 + i, f"{i:05d}" * 90 + shared, "", 0) for i in range(40)]
+    got = repeats.repeats(spark.createDataFrame(given_, SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(given_)
