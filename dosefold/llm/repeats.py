@@ -131,7 +131,7 @@ def _pieces(texts: pa.Array):
 
 def _runs(batches: Iterator[pa.RecordBatch], bits: int = 64) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 2 << 20):
             data, found = _pieces(batch.column("text"))
             group = []
             for k, piece in enumerate(found):
@@ -294,7 +294,7 @@ def _proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from hashlib import sha256
 
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 2 << 20):
             needed = batch.column("needed")
             flat = needed.flatten()
             names = ["begin", "windows", "anchor", "content", "role"]
@@ -432,7 +432,7 @@ def repeats_cut(docs: DataFrame, content_bits: int = 64) -> DataFrame:
 
     def with_roles(judged: DataFrame, role) -> DataFrame:
         needed = judged.select("doc_id", "tag", F.struct("begin", "windows", "place", "anchor", "content", role.alias("role")).alias("run"))
-        by_doc = needed.groupBy("doc_id", "tag").agg(F.collect_set("run").cast(NEEDED).alias("needed"))  # a document's own runs
+        by_doc = needed.groupBy("doc_id", "tag").agg(F.collect_list("run").cast(NEEDED).alias("needed"))  # a document's own runs
         return stored(texts.join(by_doc, _same(texts, by_doc)).select(texts["doc_id"], texts["tag"], "text", "needed"), "touched")
 
     touched = with_roles(judged, role)
