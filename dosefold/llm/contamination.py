@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from dosefold.llm.common import grams, slices, word_codes, word_hashes
+from dosefold.llm.common import grams, slices, stored, word_codes, word_hashes
 from dosefold.llm.toxicity import bare
 
 SEED_WORDS = 5
@@ -110,14 +110,17 @@ class Block:
         return out
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[Block]:
-    """Blocks of about `block_words` words; an item counts one word more than its white space."""
+def _blocks(benchmark: DataFrame, block_words: int) -> tuple[int, Iterator[Block]]:
+    """How many blocks of about `block_words` words there are, and the blocks, read one by one; an item counts one word more than its white space."""
     size = F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     parts = max(1, -(-(items.agg(size).first()[0] or 0) // block_words))
-    for part in range(parts):
+
+    def read(part: int) -> Block:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).distinct().orderBy("item_id", "text").collect()
-        yield Block([r.item_id for r in rows], [r.text for r in rows])
+        return Block([r.item_id for r in rows], [r.text for r in rows])
+
+    return parts, (read(part) for part in range(parts))
 
 
 def _tile(sent, keep: list[str], threshold: float):
@@ -138,11 +141,23 @@ def _tile(sent, keep: list[str], threshold: float):
 
 
 def coverage(docs: DataFrame, benchmark: DataFrame, keep: list[str], threshold: float = COVERAGE, block_words: int = BLOCK_WORDS) -> list[DataFrame]:
-    """For each block of items: `keep` of every row with `_most` (largest share) and `_items` (ids at `threshold`)."""
+    """For each block of items: `keep` of every row with `_most` (largest share) and `_items` (ids at `threshold`).
+
+    Of several blocks each is met, written and given up before the next is read.
+    """
     schema = StructType([docs.schema[c] for c in keep] + [StructField("_most", _type("double")), StructField("_items", _type("array<bigint>"))])
     send = docs.sparkSession.sparkContext.broadcast
     read = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    return [read.mapInArrow(_tile(send(block), keep, threshold), schema) for block in _blocks(benchmark, block_words)]
+    n, blocks = _blocks(benchmark, block_words)
+    out = []
+    for block in blocks:
+        sent = send(block)
+        part = read.mapInArrow(_tile(sent, keep, threshold), schema)
+        if n > 1:
+            part = stored(part, "covered")
+            sent.destroy()
+        out.append(part)
+    return out
 
 
 def _type(name: str):
@@ -175,7 +190,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = COVE
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of `docs` that cover no item to `threshold`, with all their columns."""
-    for block in _blocks(benchmark, block_words):
+    n, blocks = _blocks(benchmark, block_words)
+    for block in blocks:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -185,4 +201,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COV
                         yield batch.filter(pa.array([not x for x in marked.column("_items").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if n > 1:  # the next pass reads what this one left; its block is given up
+            docs = stored(docs, "clean")
+            sent.destroy()
     return docs
