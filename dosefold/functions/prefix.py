@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DOSE_BIN_GY = 1.0
-DOSE_BIN_SETTING = "dosefold.dose.bin.gy"
+from dosefold.functions.salted import salted_join
+
+#: Rows of a group (equal values folded) that one window may hold.
+GROUP_ROWS = 1 << 17
 VOXEL_CHUNK = 65536
 
 
@@ -70,10 +72,28 @@ def running_min_before(df: DataFrame, keys: list[str], bucket: Column, order: li
     )
 
 
-def dose_bucket(df: DataFrame, dose: str = "dose_gy") -> Column:
-    """Dose bins of 1 Gy; a session with billions of voxels in one structure can set narrower ones."""
-    width = float(df.sparkSession.conf.get(DOSE_BIN_SETTING, str(DOSE_BIN_GY)))
-    return F.floor(F.col(dose) / width)
+def even_buckets(df: DataFrame, keys: list[str], value: str, large: int | None = None, cells: int = 1024, parts: int = 256) -> DataFrame:
+    """`df` with `even`, a bucket number that never falls along `value`, of about equal counts in large groups.
+
+    A group of at most `large` rows (GROUP_ROWS) is one bucket. A larger one is counted in `cells`
+    equal steps between its ends; running counts cut the cells into `parts` buckets,
+    and a cell that holds more than a bucket is cut again by equal steps. So the
+    cuts follow the data, whatever the scale of `value`, and depend on counts alone:
+    a task that is run again cuts alike.
+    """
+    large = GROUP_ROWS if large is None else large
+    v = F.col(value).cast("double")
+    rows = F.count(F.when(F.hash(*df.columns) >= INT_MIN, 1))  # reads all columns, so that the shuffle of `df` is shared
+    ends = df.groupBy(*keys).agg(F.min(v).alias("_e_lo"), F.max(v).alias("_e_hi"), rows.alias("_e_n")).filter(F.col("_e_n") > large)
+    scaled = F.when(F.col("_e_hi") > F.col("_e_lo"), (v - F.col("_e_lo")) / (F.col("_e_hi") - F.col("_e_lo")) * cells).when(F.col("_e_n").isNotNull(), 0.0)
+    placed = salted_join(df, ends, keys, [value], "left").withColumn("_e_at", scaled).withColumn("_e_cell", F.least(F.floor("_e_at"), F.lit(cells - 1)))
+    counts = placed.filter("_e_cell IS NOT NULL").groupBy(*keys, "_e_cell").agg(F.count(F.lit(1)).alias("_e_c"), F.max("_e_n").alias("_e_n"))
+    before = F.coalesce(F.sum("_e_c").over(Window.partitionBy(*keys).orderBy("_e_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.ceil(F.col("_e_n") / parts)
+    cuts = counts.select(*keys, "_e_cell", F.floor(before / share).alias("_e_b"), F.ceil(F.col("_e_c") / share).alias("_e_pieces"))
+    piece = F.when(F.col("_e_pieces") > 1, 1 + F.least(F.floor((F.col("_e_at") - F.col("_e_cell")) * F.col("_e_pieces")), F.col("_e_pieces") - 1)).otherwise(0)
+    even = F.coalesce(F.shiftleft(F.col("_e_b"), 32) + piece, F.lit(0)).cast("long")
+    return placed.join(cuts, [*keys, "_e_cell"], "left").select(*df.columns, even.alias("even"))
 
 
 def weight_curve(
@@ -87,7 +107,7 @@ def weight_curve(
     """
     parts = [F.sum(weight).alias("w")] + ([F.max_by(weight, "voxel_id").alias("w_last")] if last else [])
     distinct = df.groupBy(*keys, dose).agg(*parts)
-    return running_before(distinct, keys, dose_bucket(distinct, dose), [dose], "w", "below", totals=True)
+    return running_before(even_buckets(distinct, keys, dose), keys, F.col("even"), [dose], "w", "below", totals=True).drop("even")
 
 
 def ordered_by_dose(df: DataFrame, keys: list[str], dose: str = "dose_gy", weight: str = "weight") -> DataFrame:
@@ -103,16 +123,14 @@ def ordered_by_dose(df: DataFrame, keys: list[str], dose: str = "dose_gy", weigh
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], width: float
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Linear-interpolated exact quantiles per group, one column per entry of `quantiles`.
 
-    Equal values are counted first and ranked by buckets of `width`, so no group's
+    Equal values are counted first and ranked by even buckets, so no large group's
     values are held by one task.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_before(counts, keys, F.floor(F.col(value) / width), [value], "_n", "_below")
+    ranked = running_before(even_buckets(counts, keys, value), keys, F.col("even"), [value], "_n", "_below")
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     at = ranked.join(sizes, keys)
     picks = []

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dosefold.functions.salted import salted_join
 from dosefold.operators import evaluation as ev
 
 FORMULA = r"^\s*([0-9]*\.?[0-9]+)\s*\*\s*prescription_gy\s*$"
@@ -254,10 +255,13 @@ def interpolate_score(value: Column, points: Column) -> Column:
 
 def score_metrics(
     items: DataFrame, sd: DataFrame, grid_dose: DataFrame, members: DataFrame, structures: DataFrame, prescription_gy: float,
-    plan_ids: list[str],
+    plan_ids: list[str], ct: DataFrame | None = None,
 ) -> DataFrame:
     """Metric value and status of each scorecard item and plan.
 
+    The conformation number counts dose voxels, or with `ct` (CT cells with their
+    voxel_id, NULL outside the map) CT cells; `members` then has the cells too.
+
     Items are keyed by patient with `structure` already resolved (NULL if absent):
     patient_id, item_id, structure, metric, input_value, input_unit, points.
     """
@@ -281,9 +285,21 @@ def score_metrics(
     ).select(*key, "plan_id", "raw")
     asked_c = found.filter("metric = 'ConformationNumber'").select(*key, F.col("input_value").alias("ri"))
     hit = (F.col("dose_gy") >= F.col("ri")).cast("long")
-    iso = grid_dose.join(asked_c, "patient_id").groupBy(*key, "plan_id").agg(F.sum(hit).alias("v_ri"))
-    inside = members.join(asked_c, ["patient_id", "structure"]).join(grid_dose, ["patient_id", "voxel_id"]).groupBy(
-        *key, "plan_id").agg(F.count(F.lit(1)).alias("tv"), F.sum(hit).alias("tv_ri"))
+    if ct is None:
+        weighed, covered = grid_dose.withColumn("_n", F.lit(1)), members.withColumn("_n", F.lit(1))
+        sizes = None
+    else:
+        cell = ["patient_id", "ix", "iy", "iz"]
+        mapped = ct.filter(F.col("voxel_id").isNotNull()).select(*cell, "voxel_id")
+        weighed = grid_dose.join(mapped.groupBy("patient_id", "voxel_id").agg(F.count(F.lit(1)).alias("_n")), ["patient_id", "voxel_id"])
+        own = members.join(asked_c.select("patient_id", "structure").distinct(), ["patient_id", "structure"], "left_semi").select("structure", *cell).distinct()
+        covered = own.join(mapped, cell).groupBy("patient_id", "structure", "voxel_id").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = own.groupBy("patient_id", "structure").agg(F.count(F.lit(1)).alias("tv"))
+    iso = salted_join(weighed, asked_c, ["patient_id"], ["voxel_id"]).groupBy(*key, "plan_id").agg(F.sum(hit * F.col("_n")).alias("v_ri"))
+    inside = salted_join(covered, asked_c, ["patient_id", "structure"], ["voxel_id"]).join(grid_dose, ["patient_id", "voxel_id"]).groupBy(
+        *key, "plan_id").agg(F.sum("_n").alias("tv"), F.sum(hit * F.col("_n")).alias("tv_ri"))
+    if sizes is not None:
+        inside = inside.drop("tv").join(sizes, ["patient_id", "structure"])
     cn = iso.join(inside, [*key, "plan_id"]).select(
         *key, "plan_id",
         F.when((F.col("tv") > 0) & (F.col("v_ri") > 0), F.col("tv_ri") * F.col("tv_ri") / (F.col("tv") * F.col("v_ri"))).alias("raw"),

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosefold.functions.prefix import DOSE_BIN_GY, exact_quantiles, ordered_by_dose, weight_curve
+from dosefold.functions.prefix import exact_quantiles, ordered_by_dose, weight_curve
 
 KEYS = ["patient_id", "plan_id", "structure"]
 TERMINAL_GY = 0.01
@@ -223,7 +223,7 @@ def conformity_on_cells(ct: DataFrame, dose: DataFrame, target: DataFrame, thres
 def homogeneity(target_dose: DataFrame) -> DataFrame:
     """(P98 - P2) / P50 of the target dose with linear percentiles."""
     p = exact_quantiles(
-        target_dose, ["patient_id", "plan_id"], "dose_gy", {"p2": 0.02, "p50": 0.5, "p98": 0.98}, DOSE_BIN_GY
+        target_dose, ["patient_id", "plan_id"], "dose_gy", {"p2": 0.02, "p50": 0.5, "p98": 0.98}
     )
     return p.select(
         "patient_id", "plan_id",

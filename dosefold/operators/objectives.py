@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosefold.functions.salted import salted_join
+from dosefold.functions.stored import bucketed
 
 
 def step_lookup(distance: Column, knots: list[tuple[float, float]]) -> Column:
@@ -292,7 +293,8 @@ def settled_descent(
     tried lengths, never uphill. Per patient and plan `a` is `step` first, then the
     two Barzilai-Borwein lengths by turns, and `b` the Hestenes-Stiefel share of
     the last move s (0 where a beamlet is shut). It reads the matrix twice: for
-    the dose along d and for the next gradient. What a round leaves (beamlets, dose
+    the dose along d and for the next gradient; the matrix is written once in
+    buckets by voxel, so that neither product shuffles it. What a round leaves (beamlets, dose
     by structure voxel, steps by plan) is written to the shared folder, so the plan
     doesn't grow and a lost executor repeats one round at most. A plan that has
     settled leaves the loop; its rows are kept as they are then.
@@ -324,7 +326,7 @@ def settled_descent(
         return found.selectExpr(*beamlet, f"gradient * {scale}D AS _g")
 
     both = written(_both_ways(pairs, smooth), "pairs")
-    influence = written(influence.select("patient_id", "voxel_id", "beamlet_id", "a"), "matrix")
+    influence = bucketed(influence.select("patient_id", "voxel_id", "beamlet_id", "a"), f"{folder}/matrix", ["patient_id", "voxel_id"])
     x = written(start.selectExpr(*beamlet, "intensity AS x", "0D AS d"), "start")
     dose = dose_from_fluence(influence, x.selectExpr(*beamlet, "x AS intensity"), voxels, scale=scale)
     sd = written(opt_voxels.select("patient_id", "structure", "voxel_id").join(dose, ["patient_id", "voxel_id"]).selectExpr(*cells, "dose_gy AS dose"), "dose")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dosefold.functions.headers import on_grid
 from dosefold.functions.numeric import clamp
-from dosefold.functions.prefix import DOSE_BIN_GY, exact_quantiles
+from dosefold.functions.prefix import exact_quantiles
 from dosefold.functions.salted import salted_join
 from dosefold.operators import geometry as ge
 from dosefold.operators import grids as vx
@@ -98,9 +98,9 @@ def normalize_channels(samples: DataFrame) -> DataFrame:
     )
 
 
-def normalize_beam(samples: DataFrame, keys: list[str], value: str = "value", quantile: float = 0.99, width: float = 0.01) -> DataFrame:
+def normalize_beam(samples: DataFrame, keys: list[str], value: str = "value", quantile: float = 0.99) -> DataFrame:
     """Divide by the 0.99 quantile of the group (its maximum below 16 values) and clip to [0, 1]."""
-    q = exact_quantiles(samples, keys, value, {"_q": quantile}, width)
+    q = exact_quantiles(samples, keys, value, {"_q": quantile})
     top = samples.groupBy(*keys).agg(F.max(value).alias("_top"), F.count(F.lit(1)).alias("_n"))
     scale = F.greatest(F.when(F.col("_n") >= 16, F.col("_q")).otherwise(F.col("_top")), F.lit(1e-6))
     return samples.join(q, keys).join(top, keys).withColumn("beam_norm", clamp(F.col(value) / scale, 0.0, 1.0)).drop("_q", "_top", "_n")
@@ -172,7 +172,7 @@ def scaled_mae(doses: DataFrame, target: DataFrame, body: DataFrame, prescriptio
     """Mean absolute error over dosed body voxels after scaling D97 of the true target dose to the prescription."""
     d97 = exact_quantiles(
         doses.join(target.select("patient_id", "voxel_id"), ["patient_id", "voxel_id"], "left_semi"),
-        ["patient_id"], "true_gy", {"d97": 0.03}, DOSE_BIN_GY,
+        ["patient_id"], "true_gy", {"d97": 0.03},
     )
     inside = doses.join(body.select("patient_id", "voxel_id"), ["patient_id", "voxel_id"], "left_semi").join(d97, "patient_id")
     scale = prescription_gy / (F.col("d97") + 1e-5)

@@ -298,3 +298,59 @@ def arc_mu_balance_plans(t):
 @query("meterset_plans", f"""{KEYED_SQL} SELECT patient_id, plan_id, arc_id, position, beam_id, round_even(sum(mu) OVER (PARTITION BY patient_id, plan_id, arc_id ORDER BY position) / sum(mu) OVER (PARTITION BY patient_id, plan_id, arc_id) * 1e4, 0) / 1e4 AS meterset FROM o_kpt JOIN o_kmu USING (patient_id, plan_id, beam_id)""")
 def meterset_plans(t):
     return ac.meterset(keyed_points(t), keyed_units(t)).select(*KEYED, "arc_id", "position", "beam_id", "meterset")
+
+
+OWN_SQL = """o_kc AS (SELECT DISTINCT i.patient_id, f.plan_id, b.beam_id, b.row_idx AS row, b.col_idx AS col, b.beamlet_id, f.intensity FROM v_influence i JOIN v_beamlet b ON b.beamlet_id = i.beamlet_id JOIN v_fluence f ON f.beamlet_id = i.beamlet_id),
+o_kl AS (SELECT patient_id, plan_id, beam_id, row, min(col) - 1 AS l, max(col) + 1 AS r FROM o_kc WHERE intensity >= 20 GROUP BY 1, 2, 3, 4)"""
+STEP_SUM = "coalesce(sum((b.l - a.l) * (b.l - a.l) + (b.r - a.r) * (b.r - a.r)), 0)::bigint"
+
+
+def own_cells(t):
+    """The beamlets that a patient's matrix has, with the intensity of each plan."""
+    own = t.influence.select("patient_id", "beamlet_id").distinct()
+    return own.join(t.fluence, "beamlet_id").join(t.unit_cell, "beamlet_id").select(*KEYED, "beam_id", "row", "col", "beamlet_id", "intensity")
+
+
+def own_leaves(t):
+    return ac.open_leaf_positions(own_cells(t).filter("intensity >= 20"))
+
+
+@query("open_leaf_positions_plans", f'{OWN_SQL} SELECT patient_id, plan_id, beam_id, row, l AS "left", r AS "right" FROM o_kl')
+def open_leaf_positions_plans(t):
+    return own_leaves(t)
+
+
+@query("interior_boundary_split_plans", f"""{OWN_SQL}, o_f0 AS (SELECT *, least(l + 3, r - 1) AS nl, greatest(r - 3, l + 1) AS nr FROM o_kl),
+o_f1 AS (SELECT patient_id, plan_id, beam_id, row, l, r, nl - ceil(greatest(nl - nr + 1, 0) / 2.0)::bigint AS nl, nr + floor(greatest(nl - nr + 1, 0) / 2.0)::bigint AS nr FROM o_f0),
+o_cls AS (SELECT c.patient_id, c.plan_id, c.beam_id, c.row, c.col, c.beamlet_id, CASE WHEN c.col BETWEEN f.l + 1 AND f.nl THEN 'left' WHEN c.col BETWEEN f.nr AND f.r - 1 THEN 'right'
+  WHEN c.col BETWEEN CASE WHEN f.l + 1 <= f.nl THEN f.nl + 1 ELSE f.l + 1 END AND CASE WHEN f.nr <= f.r - 1 THEN f.nr - 1 ELSE f.r - 1 END THEN 'interior' END AS kind
+  FROM o_kc c JOIN o_f1 f USING (patient_id, plan_id, beam_id, row)) SELECT * FROM o_cls WHERE kind IS NOT NULL""")
+def interior_boundary_split_plans(t):
+    cells = own_cells(t).drop("intensity")
+    widths = cells.groupBy(*KEYED, "beam_id").agg((F.max("col") + 1).alias("num_cols"))
+    return ac.classify_cells(cells, ac.split_rows(own_leaves(t), ac.open_leaf_positions(cells), widths, True, 3))
+
+
+@query("beamlet_openness_plans", f"{KEYED_SQL} SELECT patient_id, plan_id, beam_id, w.beamlet_id, {S6.format('CASE WHEN m.mu > 0 THEN least(1.0, w.weight / m.mu) ELSE 0 END')} AS open FROM o_kw w JOIN o_kmu m USING (patient_id, plan_id, beam_id)")
+def beamlet_openness_plans(t):
+    return ac.openness(keyed_weights(t), keyed_units(t)).select(*KEYED, "beam_id", "beamlet_id", snap(F.col("open")).alias("open"))
+
+
+@query("leaf_position_continuous_plans", f"""{KEYED_SQL}, {OWN_SQL}, o_kp AS (SELECT patient_id, plan_id, beam_id, l.row, round_even((l.l + 1.37::double) * m.mu / (m.mu + 1e-12) * 1e4, 0) / 1e4 AS left_pos, round_even((l.r + 1.37::double) * m.mu / (m.mu + 1e-12) * 1e4, 0) / 1e4 AS right_pos
+  FROM o_kl l JOIN o_kmu m USING (patient_id, plan_id, beam_id))
+SELECT patient_id, plan_id, beam_id, row, left_pos, right_pos, {S6.format('sum(right_pos - left_pos) OVER (PARTITION BY patient_id, plan_id, beam_id)')} AS area FROM o_kp""")
+def leaf_position_continuous_plans(t):
+    scaled = own_leaves(t).join(keyed_units(t), [*KEYED, "beam_id"]).select(
+        *KEYED, "beam_id", "row", ((F.col("left") + 1.37) * F.col("mu")).alias("left_mu"), ((F.col("right") + 1.37) * F.col("mu")).alias("right_mu"))
+    return ac.continuous_leaves(scaled, keyed_units(t)).withColumn("area", snap(F.col("area")))
+
+
+@query("aperture_regularity_plans", f"{OWN_SQL} SELECT a.patient_id, a.plan_id, a.beam_id, {STEP_SUM} AS regularity FROM o_kl a LEFT JOIN o_kl b ON b.patient_id = a.patient_id AND b.plan_id = a.plan_id AND b.beam_id = a.beam_id AND b.row = a.row + 1 GROUP BY 1, 2, 3")
+def aperture_regularity_plans(t):
+    return ac.aperture_regularity(own_leaves(t))
+
+
+@query("aperture_similarity_plans", f"""{KEYED_SQL}, {OWN_SQL}, o_lp AS (SELECT l.*, p.arc_id, p.position FROM o_kl l JOIN o_kpt p USING (patient_id, plan_id, beam_id))
+SELECT a.patient_id, a.plan_id, a.arc_id, {STEP_SUM} AS similarity, count(b.l) AS pairs FROM o_lp a LEFT JOIN o_lp b ON b.patient_id = a.patient_id AND b.plan_id = a.plan_id AND b.arc_id = a.arc_id AND b.row = a.row AND b.position = a.position + 1 GROUP BY 1, 2, 3""")
+def aperture_similarity_plans(t):
+    return ac.aperture_similarity(own_leaves(t), keyed_points(t))

@@ -118,11 +118,11 @@ def resample_linear_headers(t):
 
 @query("resample_masked_headers", f"""{OWN_BOX_SQL}, o_m AS (SELECT c.patient_id, c.jx, c.jy, c.jz, CASE WHEN count(v.hu) = count(*) THEN sum(CASE WHEN v.hu > 0 THEN c.w * v.hu ELSE 0 END) ELSE 0 END AS a,
   CASE WHEN count(v.hu) = count(*) THEN sum(CASE WHEN v.hu > 0 THEN c.w ELSE 0 END) ELSE 0 END AS b FROM o_co c LEFT JOIN v_voxel v USING (patient_id, ix, iy, iz) WHERE c.w > 0 GROUP BY 1, 2, 3, 4)
-SELECT patient_id, jx, jy, jz, {S4.format('CASE WHEN b > 0.001 THEN a / (b + 0.000001::double) ELSE -7 END')} AS value, {S4.format('b')} AS valid_weight FROM o_m""")
+SELECT patient_id, jx, jy, jz, {S4.format('CASE WHEN b > 0.001 THEN a / (b + 0.000001::double) ELSE -7 END')} AS value, {S6.format('b')} AS valid_weight FROM o_m""")
 def resample_masked_headers(t):
     source = t.voxel.select(*CELL, F.col("hu").cast("double").alias("value"), (F.col("hu") > 0).cast("double").alias("valid"))
     r = vx.resample_masked(own_targets(t), source, pv.J, "value", "valid", -7.0)
-    return r.withColumn("value", snap(F.col("value"), 4)).withColumn("valid_weight", snap(F.col("valid_weight"), 4))
+    return r.withColumn("value", snap(F.col("value"), 4)).withColumn("valid_weight", snap(F.col("valid_weight")))
 
 
 @query("downsample_masked_headers", f"""{GRID_SQL},

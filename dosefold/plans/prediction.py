@@ -111,7 +111,7 @@ o_s AS (SELECT patient_id, beam_id, CASE WHEN count(*) >= 16 THEN quantile_cont(
 SELECT patient_id, beam_id, voxel_id, beamlet_id, {S6.format('least(greatest(a_int / greatest(scale, 1e-6), 0), 1)')} AS beam_norm FROM o_q JOIN o_s USING (patient_id, beam_id)""")
 def beam_normalize(t):
     df = t.influence.join(t.beamlet.select("beamlet_id", "beam_id"), "beamlet_id")
-    r = ml.normalize_beam(df, ["patient_id", "beam_id"], "a", width=5.0)
+    r = ml.normalize_beam(df, ["patient_id", "beam_id"], "a")
     return r.select("patient_id", "beam_id", "voxel_id", "beamlet_id", snap(F.col("beam_norm")).alias("beam_norm"))
 
 

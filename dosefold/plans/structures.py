@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from dosefold.functions import headers as hd
 from dosefold.functions.numeric import snap
+from dosefold.operators import criteria
 from dosefold.operators import evaluation as ev
 from dosefold.operators import grids
 from dosefold.operators import structures as st
-from dosefold.plans.evaluation import S6
-from dosefold.plans.registry import query
+from dosefold.plans import criteria as cr
+from dosefold.plans.evaluation import RX, S6
+from dosefold.plans.registry import changed, query
 
 RES = (0.98, 0.98, 3.0)
 SIZE = (25, 20, 3)
@@ -272,12 +274,34 @@ def structure_expand_headers(t):
     return hd.expand(m(t, "GTV"), 2.6, headers(t))
 
 
-@query("conformity_index_cells", f"""{BLOCK_CT_SQL}, o_in AS (SELECT DISTINCT patient_id, ix, iy, iz FROM v_structure_voxel WHERE structure = 'PTV'),
+CELLS_SQL = f"""{BLOCK_CT_SQL}, o_in AS (SELECT DISTINCT patient_id, ix, iy, iz FROM v_structure_voxel WHERE structure = 'PTV'),
 o_sh AS (SELECT c.patient_id, c.voxel_id, count(*) AS n, count(i.ix) AS n_in FROM o_ct c LEFT JOIN o_in i USING (patient_id, ix, iy, iz) WHERE c.voxel_id IS NOT NULL GROUP BY 1, 2),
 o_c AS (SELECT d.patient_id, d.plan_id, sum(CASE WHEN d.dose_gy >= 20 THEN s.n ELSE 0 END)::bigint AS iso, sum(CASE WHEN d.dose_gy >= 20 THEN s.n_in ELSE 0 END)::bigint AS hit FROM o_dose d JOIN o_sh s USING (patient_id, voxel_id) GROUP BY 1, 2),
 o_n AS (SELECT patient_id, count(*) AS n FROM o_in GROUP BY 1)
-SELECT patient_id, plan_id, {S6.format('CASE WHEN o_n.n * iso > 0 THEN hit * hit / (o_n.n * iso)::double END')} AS conformity_index FROM o_c JOIN o_n USING (patient_id)""")
+SELECT patient_id, plan_id, {S6.format('CASE WHEN o_n.n * iso > 0 THEN hit * hit / (o_n.n * iso)::double END')} AS conformity_index FROM o_c JOIN o_n USING (patient_id)"""
+
+
+@query("conformity_index_cells", CELLS_SQL)
 def conformity_index_cells(t):
     """Several CT cells share a dose voxel."""
     r = ev.conformity_on_cells(block_ct(t), t.dose, m(t, "PTV"), 20.0)
     return r.withColumn("conformity_index", snap(F.col("conformity_index")))
+
+
+@query("conformation_number_cells", changed(CELLS_SQL, ("'PTV'", "'GTV'"), ("dose_gy >= 20", "dose_gy >= 30"), ("AS conformity_index", "AS conformation_number")))
+def conformation_number_cells(t):
+    r = ev.conformity_on_cells(block_ct(t), t.dose, m(t, "GTV"), 30.0, "conformation_number")
+    return r.withColumn("conformation_number", snap(F.col("conformation_number")))
+
+
+def score_cells_sql():
+    """The scorecard of score_metric with the conformation number of CT cells."""
+    start, end = cr.SCORE_SQL.index("o_cn AS ("), cr.SCORE_SQL.index("o_metric AS (")
+    cells = changed(CELLS_SQL[: CELLS_SQL.rindex("\nSELECT")], ("dose_gy >= 20", "dose_gy >= 30"))
+    return cr.SCORE_SQL[:start] + cells + ", o_cn AS (SELECT o_c.patient_id, plan_id, iso AS v_ri, o_n.n AS tv, hit AS tv_ri FROM o_c JOIN o_n USING (patient_id)),\n" + cr.SCORE_SQL[end:]
+
+
+@query("score_metric_cells", f"{score_cells_sql()} SELECT patient_id, plan_id, item_id, requested, metric, {S6.format('metric_value')} AS metric_value, status FROM o_scored")
+def score_metric_cells(t):
+    r = criteria.score_metrics(cr.score_items(t), t.structure_dose, t.dose, t.structure_voxel, t.structure, RX, ["A", "B"], ct=block_ct(t))
+    return r.select("patient_id", "plan_id", "item_id", "requested", "metric", snap(F.col("metric_value")).alias("metric_value"), "status")

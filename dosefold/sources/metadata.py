@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dosefold.functions.stored import bucketed
 from dosefold.operators.cohort import disease_site
 from dosefold.sources.sinks import read_keyed_text, write_keyed_text
 
@@ -193,6 +194,11 @@ def save_matrix(influence: DataFrame, path: str) -> None:
     influence.repartition("patient_id", "beam_id", buckets).write.partitionBy("variant", "patient_id", "beam_id").parquet(path)
 
 
+def save_matrix_by_voxel(influence: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """The matrix as a table in buckets by patient and voxel: dose from fluence and gradients of many plans read it without a shuffle of it."""
+    return bucketed(influence, path, ["patient_id", "voxel_id"], buckets)
+
+
 def load_matrix(spark: SparkSession, path: str, full: bool = False, beam_ids: list[int] | None = None) -> DataFrame:
     """Either the sparse or the full variant, never both; filters prune partitions."""
     df = spark.read.parquet(path).filter(F.col("variant") == ("full" if full else "sparse"))

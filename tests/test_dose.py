@@ -99,7 +99,7 @@ def test_running_sum_and_quantiles_over_buckets(spark):
     got = {r.i: r.before for r in running_before(df, ["g"], F.floor(F.col("i") / 50), ["i"], "v", "before").collect()}
     want = np.concatenate([[0.0], np.cumsum(values)[:-1]])
     assert all(got[i] == want[i] for i in range(500))
-    row = exact_quantiles(df, ["g"], "v", {"a": 0.02, "b": 0.5, "c": 0.975}, 3.0).first()
+    row = exact_quantiles(df, ["g"], "v", {"a": 0.02, "b": 0.5, "c": 0.975}).first()
     assert np.allclose([row.a, row.b, row.c], np.quantile(values, [0.02, 0.5, 0.975]))
 
 
@@ -235,3 +235,30 @@ def test_smoothed_curve_equals_the_mean_of_all_sigmoids(spark):
     plan = ev.smoothed_dvh(spark.createDataFrame(rows, "structure string, dose_gy double"), ["structure"])._jdf.queryExecution().optimizedPlan().toString()
     before_fold = plan[plan.rindex("Aggregate [structure"):]
     assert "explode" not in before_fold and "inline" not in before_fold
+
+
+@pytest.mark.parametrize("shape", ["below one Gy", "mostly cold", "one value"])
+def test_even_buckets_follow_the_data(spark, shape):
+    from dosefold.functions import prefix
+
+    draws = np.random.default_rng(12)
+    doses = {"below one Gy": draws.random(40_000) * 0.9, "mostly cold": np.concatenate([draws.random(39_000) ** 3 * 0.01, draws.random(1000) * 70]), "one value": np.full(3000, 2.5)}[shape]
+    df = spark.createDataFrame([("BODY", float(d)) for d in doses] + [("SMALL", float(d)) for d in range(50)], "structure string, dose_gy double")
+    got = prefix.even_buckets(df, ["structure"], "dose_gy", large=1000).collect()
+    assert len(got) == len(doses) + 50 and {r.even for r in got if r.structure == "SMALL"} == {0}
+    body = sorted((r.dose_gy, r.even) for r in got if r.structure == "BODY")
+    assert all(a[1] <= b[1] or a[0] == b[0] for a, b in zip(body, body[1:]))
+    sizes = np.unique([e for _, e in body], return_counts=True)[1]
+    if shape == "below one Gy":
+        assert len(sizes) > 100 and sizes.max() <= 2 * sizes.mean()
+    if shape == "mostly cold":
+        assert sizes.max() < len(doses) / 2  # equal steps of the first cell, where the cube root crowds
+    before = prefix.GROUP_ROWS
+    try:
+        found = []
+        for prefix.GROUP_ROWS in (500, 10**9):
+            curve = prefix.weight_curve(df.distinct().withColumn("weight", F.lit(1.0)).withColumn("voxel_id", F.lit(0)), ["structure"])
+            found.append(sorted((r.structure, r.dose_gy, r.below, r.total) for r in curve.collect()))
+        assert found[0] == found[1]
+    finally:
+        prefix.GROUP_ROWS = before
