@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -139,3 +140,38 @@ def test_batch_of_several_slices(spark):
     df = spark.createDataFrame(given, SCHEMA).coalesce(1)
     got = minhash.near_components(df, 3, 85).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(given, 3, 85, 100)
+
+
+def exact_components(rows, k, num, den):
+    """All links by an exact join: rarest shingles first, sizes compared, counts on whole sets."""
+    sets = [shingles(t, k) for _, t in rows]
+    seen = Counter(x for s in sets for x in s)
+    parent, index = list(range(len(rows))), defaultdict(list)
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in sorted(range(len(rows)), key=lambda i: len(sets[i])):
+        own = sets[i]
+        prefix = sorted(own, key=lambda x: (seen[x], x))[: len(own) + (-len(own) * num // den) + 1]
+        for j in {j for x in prefix for j in index[x]}:
+            if len(sets[j]) * den >= num * len(own) and root(i) != root(j):
+                common = len(own & sets[j])
+                if den * common >= num * (len(own) + len(sets[j]) - common):
+                    parent[root(i)] = root(j)
+        for x in prefix:
+            index[x].append(i)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), doc_id), doc_id)
+    return sorted((doc_id, len(sets[i]), least[root(i)]) for i, (doc_id, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("k,num", [(3, 85), (5, 80)])
+def test_larger_table_against_an_exact_join(spark, k, num):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    got = minhash.near_components(docs, k, num).collect()
+    assert sorted(map(tuple, got)) == exact_components([(r.doc_id, r.text) for r in docs.collect()], k, num, 100)
