@@ -273,8 +273,9 @@ def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     `decoded` is the text made again from the ids; `round_trip` says whether it
     equals the input. It does but for texts that hold the space mark itself,
-    which come back with spaces. A null text counts as empty: no ids, and the
-    empty text again. Repeated rows give equal rows.
+    which come back with spaces. Of equal scores the longest last piece wins. A null
+    text counts as empty: no ids, and the empty text again. Repeated rows give
+    equal rows.
     """
     path = path or default_model()
 

@@ -345,7 +345,8 @@ def token_round_trip(docs: DataFrame, path: str | None = None, segment_ids: int
 
     A null text counts as empty and has the end id alone. Rows without doc_id
     come first; rows that repeat a doc_id stand one after the other. An empty
-    table writes no file.
+    table writes no file. A segment of over 131,072 different ids does not fit
+    the coder's table and is refused.
     """
     folder = scratch_folder(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, folder, path, segment_ids=segment_ids, file_ids=file_ids), folder)
