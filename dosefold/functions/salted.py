@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+def grown(df: DataFrame) -> DataFrame:
+    """`df`, many rows of which came from one by explode, for a join by shuffle.
+
+    Spark takes an explode's size for that of its input and would send such a table
+    through the driver to every executor.
+    """
+    return df.hint("merge")
+
+
 #: Parts that the rows of one key are dealt to.
 SALTS = 64
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dosefold.functions.headers import on_grid
 from dosefold.functions.numeric import clamp, literal_structs, scan_code
-from dosefold.functions.salted import salted_join
+from dosefold.functions.salted import grown, salted_join
 
 
 CELL = ["patient_id", "ix", "iy", "iz"]
@@ -168,10 +168,10 @@ def corner_weights(targets: DataFrame, keys: list[str]) -> DataFrame:
     def part(f, base, d):
         t = F.col(f) - F.col(base)
         return F.when(F.col(d) == 1, t).otherwise(1 - t)
-    return spread.select(
+    return grown(spread.select(
         *keys, (F.col("x0") + F.col("dx")).alias("ix"), (F.col("y0") + F.col("dy")).alias("iy"), (F.col("z0") + F.col("dz")).alias("iz"),
         (part("fx", "x0", "dx") * part("fy", "y0", "dy") * part("fz", "z0", "dz")).alias("w"),
-    ).filter("w > 0")
+    ).filter("w > 0"))
 
 
 def resample_linear(
@@ -315,7 +315,7 @@ def downsample_masked(
     carried = [] if headers is None else ["size"]
     near = cells.select(*keys, *carried, *[F.floor(F.col(f) + 0.5).alias(i) for f, i in zip(("fx", "fy", "fz"), ("ix", "iy", "iz"))])
     used = near.join(mask.select(*CELL), CELL, "left_semi")
-    linear = resample_linear(cells.join(used, keys, "left_semi"), source, keys, value)
+    linear = resample_linear(cells.join(grown(used), keys, "left_semi"), source, keys, value)
     around = used
     for d, s, t in zip(("dx", "dy", "dz"), size, target):
         width = F.ceil(F.lit(s) / t)
@@ -323,7 +323,7 @@ def downsample_masked(
     around = around.select(
         *keys, (F.col("ix") + F.col("dx")).alias("ix"), (F.col("iy") + F.col("dy")).alias("iy"), (F.col("iz") + F.col("dz")).alias("iz")
     )
-    lows = around.join(source.join(mask.select(*CELL), CELL, "left_semi").select(*CELL, value), CELL).groupBy(*keys).agg(F.min(value).alias("_low"))
+    lows = grown(around).join(source.join(mask.select(*CELL), CELL, "left_semi").select(*CELL, value), CELL).groupBy(*keys).agg(F.min(value).alias("_low"))
     return cells.select(*keys).join(linear, keys, "left").join(lows, keys, "left").select(
         "patient_id", *[F.col(j).cast("long").alias(j) for j in ("jx", "jy", "jz")],
         F.coalesce(F.greatest(value, "_low"), F.lit(0.0)).alias(value),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dosefold.functions.headers import on_grid
 from dosefold.functions.numeric import clamp
 from dosefold.functions.prefix import exact_quantiles
-from dosefold.functions.salted import salted_join
+from dosefold.functions.salted import grown, salted_join
 from dosefold.operators import geometry as ge
 from dosefold.operators import grids as vx
 from dosefold.operators.evaluation import smoothed_dvh
@@ -61,7 +61,7 @@ def resize_features(features: DataFrame, start_xy: tuple[int, int], size: tuple[
         *[F.sum(F.col("w") * F.col(c)).alias(c) for c in smooth]
     )
     at = targets.select(*keys, *[F.floor(F.col(f) + 0.5).cast("long").alias(i) for f, i in zip(("fx", "fy", "fz"), ("ix", "iy", "iz"))])
-    return linear.join(at.join(local.select(*plan, *CELL, "label", "target"), [*plan, *CELL]).drop("ix", "iy", "iz"), keys)
+    return linear.join(grown(grown(at).join(local.select(*plan, *CELL, "label", "target"), [*plan, *CELL]).drop("ix", "iy", "iz")), keys)
 
 
 def beamlet_samples(
