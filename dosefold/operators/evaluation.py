@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosefold.functions.numeric import literal_structs
 from dosefold.functions.prefix import exact_quantiles, ordered_by_dose, weight_curve
 
 KEYS = ["patient_id", "plan_id", "structure"]
@@ -353,37 +354,53 @@ def dose_difference(dose: DataFrame, opt_voxels: DataFrame, first: str, second:
 
 #: Bins to either side of a dose beyond which its sigmoid is 1 or 0, to 2e-14.
 KERNEL_BINS = 32
+#: Bins of dose that one task folds for a group.
+BLOCK_BINS = 64
 
 
-def smoothed_dvh(labelled: DataFrame, keys: list[str], n_bins: int = 351, top_gy: float = 70.0) -> DataFrame:
+def smoothed_dvh(labelled: DataFrame, keys: list[str], n_bins: int = 351, top_gy: float = 70.0, together: list[str] | None = None) -> DataFrame:
     """Sigmoid-smoothed curve: mean of 1/(1+exp(-(d-b)/w)) over the voxels of each label.
 
     Bins are multiples of w, so a dose of k whole bins and a rest f gives the bin
-    k + j the value 1/(1+exp(j-f)): one exp for all bins. Voxels fold in the map-side
-    aggregate to one row per bin of dose, with a sum for each j of the kernel; the
-    bins far below a dose count it whole, by a cumulative sum over bins. No row
-    fans out by bins before that fold. A null dose counts as a voxel with value 0.
+    k + j the value 1/(1+exp(j-f)): one exp for all bins. Only the doses are
+    shuffled, dealt by group and block of bins. There a task folds equal doses, then
+    sums each dose's share of the bins near it to one row per bin that the block
+    reaches; the bins far below a dose count it whole, by a cumulative sum over
+    bins. A null dose counts as a voxel with value 0. The result is dealt by
+    `together` (some of `keys`; all by default).
     """
     width = top_gy / (n_bins - 1)
-    near = range(-KERNEL_BINS, KERNEL_BINS + 1)
     place = F.col("dose_gy") / width
-    placed = labelled.select(*keys, F.floor(place).cast("long").alias("k"), F.exp(F.floor(place) - place).alias("_e"))
-    cells = placed.groupBy(*keys, "k").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(1.0 / (1.0 + F.lit(math.exp(j)) * F.col("_e"))).alias(f"s{i}") for i, j in enumerate(near)]
-    )
-    kernel = [F.struct((F.col("k") + j).alias("bin"), F.col(f"s{i}").alias("near"), F.lit(0).cast("long").alias("whole"), F.lit(0).cast("long").alias("n")) for i, j in enumerate(near)]
-    far = F.when(F.col("k").isNotNull(), F.least(F.col("k") - KERNEL_BINS - 1, F.lit(n_bins - 1).cast("long")))
-    below = F.struct(far.alias("bin"), F.lit(0.0).alias("near"), F.col("n").alias("whole"), F.col("n").alias("n"))
-    parts = cells.select(*keys, F.inline(F.array(*kernel, below)))
-    every = cells.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))).alias("bin"))
-    folded = parts.unionByName(every, allowMissingColumns=True).groupBy(*keys, "bin").agg(
-        F.coalesce(F.sum("near"), F.lit(0.0)).alias("near"), F.coalesce(F.sum("whole"), F.lit(0)).alias("whole"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
-    )
-    from_here = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    summed = folded.select(*keys, "bin", "near", F.sum("whole").over(from_here).alias("far"), F.sum("n").over(Window.partitionBy(*keys)).alias("size"))
-    return summed.filter(F.col("bin").between(0, n_bins - 1)).select(
-        *keys, "bin", (F.col("bin") * width).alias("bin_gy"), ((F.col("near") + F.col("far")) / F.col("size")).alias("volume_frac")
+    part = [*keys, "_block"]
+    tasks = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = labelled.select(*keys, "dose_gy", F.floor(place / BLOCK_BINS).alias("_block")).repartition(tasks, *part)
+    cells = dealt.groupBy(*part, "dose_gy").agg(F.count(F.lit(1)).alias("n")).select(
+        *part, "n", F.floor(place).cast("long").alias("k"), F.exp(F.floor(place) - place).alias("_e"))
+    # one step per bin near a dose, and a last one for the bins that count it whole
+    steps = [(j, math.exp(j)) for j in range(-KERNEL_BINS, KERNEL_BINS + 2)]
+    whole, none = F.col("j") > KERNEL_BINS, F.lit(0).cast("long")
+    # bin -1, below all, takes the voxels that no bin counts whole
+    far = F.when(F.col("k") > KERNEL_BINS, F.least(F.col("k") - KERNEL_BINS - 1, F.lit(n_bins - 1).cast("long"))).otherwise(F.lit(-1).cast("long"))
+    reached = cells.select(*part, "n", "k", "_e", F.inline(literal_structs(["j", "w"], steps))).select(
+        *part, F.when(whole, far).otherwise(F.col("k") + F.col("j")).alias("bin"),
+        F.when(whole, 0.0).otherwise(F.col("n") / (1.0 + F.col("w") * F.col("_e"))).alias("near"),
+        F.when(whole, F.col("n")).otherwise(none).alias("whole"),
+    ).filter(F.col("bin").between(-1, n_bins - 1))
+    sums = [F.sum(c).alias(c) for c in ("near", "whole")]
+    folded = reached.groupBy(*part, "bin").agg(*sums).drop("_block").repartition(*(together or keys)).groupBy(*keys, "bin").agg(*sums)
+    group = Window.partitionBy(*keys)
+    along = group.orderBy("bin")
+    after = F.sum("whole").over(group) - F.sum("whole").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = folded.select(
+        *keys, F.col("bin").alias("_at"), "near", "whole", after.alias("_after"), F.sum("whole").over(group).alias("_size"),
+        F.when(F.lag("bin").over(along).isNull(), F.least(F.col("bin"), none)).otherwise(F.col("bin")).alias("_from"),
+        (F.coalesce(F.lead("bin").over(along), F.lit(n_bins).cast("long")) - 1).alias("_to"),
     )
+    # a row stands for the empty bins up to the next one too, the first also for those before it
+    every = rows.select("*", F.explode(F.sequence("_from", "_to")).alias("bin")).filter(F.col("bin") >= 0)
+    here = F.col("_after") + F.col("whole")
+    value = F.when(F.col("bin") == F.col("_at"), F.col("near") + here).when(F.col("bin") < F.col("_at"), here).otherwise(F.col("_after"))
+    return every.select(*keys, "bin", (F.col("bin") * width).alias("bin_gy"), (value / F.col("_size")).alias("volume_frac"))
 
 
 def structure_dose_summary(sd: DataFrame, structures: DataFrame, dose_gy: float = 20.0, volume_perc: float = 95.0) -> DataFrame:

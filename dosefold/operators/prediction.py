@@ -237,7 +237,7 @@ def _curve_pairs(samples: DataFrame) -> DataFrame:
         F.struct(F.lit("t").alias("side"), F.col("true_value").alias("dose_gy")),
         F.struct(F.lit("p").alias("side"), F.col("predicted").alias("dose_gy")),
     )
-    curve = smoothed_dvh(samples.select("patient_id", "structure", F.inline(sides)), ["patient_id", "structure", "side"])
+    curve = smoothed_dvh(samples.select("patient_id", "structure", F.inline(sides)), ["patient_id", "structure", "side"], together=["patient_id", "structure"])
     return curve.groupBy("patient_id", "structure", "bin").agg(
         F.max("bin_gy").alias("bin_gy"), *[F.max(F.when(F.col("side") == s, F.col("volume_frac"))).alias(s) for s in ("t", "p")]
     )
