@@ -313,7 +313,8 @@ def fluence_transfer(coarse: DataFrame, coarse_cells: DataFrame, fine_cells: Dat
         F.when(F.col("n_fine") < F.col("n_coarse"), F.raise_error(F.lit("the target beamlets are coarser")).cast("boolean"))
         .otherwise(F.lit(True)).alias("_ok"),
     )
-    return grid_to_fluence(merged.join(guard.filter("_ok"), beam, "left_semi"), ["plan_id", *beam])
+    # one value for all, as a join by beam would sort a beam's cells in one task
+    return grid_to_fluence(merged.filter(guard.agg(F.bool_and("_ok")).scalar()), ["plan_id", *beam])
 
 
 def column_group_sum(influence: DataFrame, groups: DataFrame) -> DataFrame:
