@@ -187,11 +187,10 @@ def lookup_source_ids(requests: DataFrame, sources: DataFrame) -> DataFrame:
 def save_matrix(influence: DataFrame, path: str) -> None:
     """Matrix table laid out by patient, beam and variant, so a plan reads only its beams.
 
-    Rows are hashed on the voxel as well, so one large patient or beam still spreads
-    over many writers.
+    A patient's beam is one file of each variant; Spark splits one that is large among
+    many writers (rebalance).
     """
-    buckets = F.pmod(F.xxhash64("voxel_id"), F.lit(16))
-    influence.repartition("patient_id", "beam_id", buckets).write.partitionBy("variant", "patient_id", "beam_id").parquet(path)
+    influence.hint("rebalance", "patient_id", "beam_id").write.partitionBy("variant", "patient_id", "beam_id").parquet(path)
 
 
 def save_matrix_by_voxel(influence: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
