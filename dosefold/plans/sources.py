@@ -154,7 +154,7 @@ JOIN o_all s USING (patient_id, ix, iy, iz) JOIN o_dose d ON d.patient_id = v.pa
 def label_volume_export(t):
     labels = st.label_map(t.structure_voxel, [("CORD", 1), ("HEART", 2), ("LUNG_L", 3)])
     folder = scratch_folder(t.spark, "volume")
-    io.label_volume(t.voxel, t.dose, labels, t.structure_voxel).write.partitionBy("patient_id").parquet(folder)
+    io.label_volume(t.voxel, t.dose, labels, t.structure_voxel).hint("rebalance", "patient_id").write.partitionBy("patient_id").parquet(folder)
     read = t.spark.read.parquet(folder).withColumn("patient_id", F.col("patient_id").cast("long"))
     return read.withColumn("structures", F.array_join("structures", ","))
 
