@@ -106,3 +106,20 @@ def test_a_patients_beam_is_one_file(spark, tmp_path):
     files = [f for _, _, names in os.walk(tmp_path / "m") for f in names if f.endswith(".parquet")]
     assert len(files) == 4
     assert io.load_matrix(spark, str(tmp_path / "m"), True).count() == len(rows)
+
+
+def test_descent_leaves_parquet_and_no_row_checkpoints(spark, tmp_path, monkeypatch):
+    from dosefold import session
+    from dosefold.plans import load_all
+
+    def refused(df):
+        raise AssertionError("rows were checkpointed")
+
+    monkeypatch.setattr(session, "cut_lineage", refused)
+    monkeypatch.setattr(session, "scratch_folder", lambda *_: str(tmp_path))
+    assert load_all()[0]["fluence_descent"](spark, "/root/testdata/sf0.001").count() > 0
+    dose = spark.read.parquet(f"{tmp_path}/dose2")
+    assert set(dose.columns) == {"patient_id", "plan_id", "structure", "voxel_id", "dose"}
+    size = sum(os.path.getsize(os.path.join(folder, f)) for folder, _, files in os.walk(tmp_path) for f in files)
+    matrix = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert size < 150 * matrix
