@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosefold.functions.salted import salted_join
-
 #: Rows of a group (equal values folded) that one window may hold.
 GROUP_ROWS = 1 << 17
 VOXEL_CHUNK = 65536
+#: Cells that a large group is counted in, for each GROUP_ROWS of its rows.
+CELLS = 16
 
 
 INT_MIN = -(2**31)
@@ -27,32 +27,35 @@ def _shared_sum(df: DataFrame, value: str) -> Column:
 
 
 def running_before(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, out: str, totals: bool = False
+    df: DataFrame, keys: list[str], bucket: Column | list[str], order: list[str], value: str, out: str, totals: bool = False
 ) -> DataFrame:
     """Add `out`: the sum of `value` over rows strictly before this one.
 
-    `bucket` must be non-decreasing along `order`, and `order` unique within keys.
-    With `totals`, the group's sum and its largest first order column come along as
-    `total` and `top`, read off the bucket table.
+    `bucket` (a column, or names of columns that sort alike) must be non-decreasing
+    along `order`, and `order` unique within keys. With `totals`, the group's sum
+    and its largest first order column come along as `total` and `top`, read off the
+    bucket table.
 
     The bucket totals and the detail rows come from the same input. `_shared_sum`
     reads every column, so both sides ask for the same shuffle and Spark reuses it
-    instead of computing the input twice.
+    instead of computing the input twice. The rows are summed inside their bucket
+    before they meet its base: the join finds them dealt and sorted.
     """
-    marked = df.withColumn("_bucket", bucket)
-    over_buckets = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    marked, names = (df, list(bucket)) if isinstance(bucket, list) else (df.withColumn("_bucket", bucket), ["_bucket"])
+    over_buckets = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
     extra = [F.sum("_total").over(group).alias("total"), F.max("_top").over(group).alias("top")] if totals else []
     bases = (
-        marked.groupBy(*keys, "_bucket")
+        marked.groupBy(*keys, *names)
         .agg(_shared_sum(df, value).alias("_total"), F.max(order[0]).alias("_top"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_total").over(over_buckets), F.lit(0)).alias("_base"), *extra)
+        .select(*keys, *names, F.coalesce(F.sum("_total").over(over_buckets), F.lit(0)).alias("_base"), *extra)
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        marked.join(bases, [*keys, "_bucket"])
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_bucket", "_base")
+        marked.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(bases, [*keys, *names])
+        .withColumn(out, F.col("_base") + F.col("_inside"))
+        .drop("_inside", "_base", *([] if isinstance(bucket, list) else names))
     )
 
 
@@ -82,18 +85,28 @@ def even_buckets(df: DataFrame, keys: list[str], value: str, large: int | None =
     a task that is run again cuts alike.
     """
     large = GROUP_ROWS if large is None else large
+    return _cut(df, _large_ends(df, keys, value, large), keys, value, large, cells, parts)
+
+
+def _large_ends(df: DataFrame, keys: list[str], value: str, large: int) -> DataFrame:
+    """Ends and rows of the groups with more than `large` rows."""
     v = F.col(value).cast("double")
     rows = F.count(F.when(F.hash(*df.columns) >= INT_MIN, 1))  # reads all columns, so that the shuffle of `df` is shared
-    ends = df.groupBy(*keys).agg(F.min(v).alias("_e_lo"), F.max(v).alias("_e_hi"), rows.alias("_e_n")).filter(F.col("_e_n") > large)
-    scaled = F.when(F.col("_e_hi") > F.col("_e_lo"), (v - F.col("_e_lo")) / (F.col("_e_hi") - F.col("_e_lo")) * cells).when(F.col("_e_n").isNotNull(), 0.0)
-    placed = salted_join(df, ends, keys, [value], "left").withColumn("_e_at", scaled).withColumn("_e_cell", F.least(F.floor("_e_at"), F.lit(cells - 1)))
+    return df.groupBy(*keys).agg(F.min(v).alias("_e_lo"), F.max(v).alias("_e_hi"), rows.alias("_e_n")).filter(F.col("_e_n") > large)
+
+
+def _cut(df: DataFrame, ends: DataFrame, keys: list[str], value: str, large: int, cells: int, parts: int) -> DataFrame:
+    """Each of `ends` stands for more than `large` rows and gets at most CELLS cells for as many, so both tables are sent whole."""
+    v, steps = F.col(value).cast("double"), F.least(F.ceil(F.col("_e_n") * CELLS / large), F.lit(cells))
+    scaled = F.when(F.col("_e_hi") > F.col("_e_lo"), (v - F.col("_e_lo")) / (F.col("_e_hi") - F.col("_e_lo")) * steps).when(F.col("_e_n").isNotNull(), 0.0)
+    placed = df.join(F.broadcast(ends), keys, "left").withColumn("_e_at", scaled).withColumn("_e_cell", F.least(F.floor("_e_at"), steps - 1))
     counts = placed.filter("_e_cell IS NOT NULL").groupBy(*keys, "_e_cell").agg(F.count(F.lit(1)).alias("_e_c"), F.max("_e_n").alias("_e_n"))
     before = F.coalesce(F.sum("_e_c").over(Window.partitionBy(*keys).orderBy("_e_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     share = F.ceil(F.col("_e_n") / parts)
     cuts = counts.select(*keys, "_e_cell", F.floor(before / share).alias("_e_b"), F.ceil(F.col("_e_c") / share).alias("_e_pieces"))
     piece = F.when(F.col("_e_pieces") > 1, 1 + F.least(F.floor((F.col("_e_at") - F.col("_e_cell")) * F.col("_e_pieces")), F.col("_e_pieces") - 1)).otherwise(0)
     even = F.coalesce(F.shiftleft(F.col("_e_b"), 32) + piece, F.lit(0)).cast("long")
-    return placed.join(cuts, [*keys, "_e_cell"], "left").select(*df.columns, even.alias("even"))
+    return placed.join(F.broadcast(cuts), [*keys, "_e_cell"], "left").select(*df.columns, even.alias("even"))
 
 
 def weight_curve(
@@ -111,16 +124,36 @@ def weight_curve(
 
 
 def ordered_by_dose(df: DataFrame, keys: list[str], dose: str = "dose_gy", weight: str = "weight") -> DataFrame:
-    """Per voxel, `below`: weight of the voxels before it in (dose, voxel_id) order, with `total` and `top`."""
-    ties = running_before(
-        df, [*keys, dose], F.floor(F.col("voxel_id") / VOXEL_CHUNK), ["voxel_id"], weight, "_tied_before"
-    )
-    base = weight_curve(df, keys, dose, weight, last=False).select(*keys, dose, F.col("below").alias("_below_dose"), "total", "top")
-    return (
-        ties.join(base, [*keys, dose])
-        .withColumn("below", F.col("_below_dose") + F.col("_tied_before"))
-        .drop("_below_dose", "_tied_before")
-    )
+    """Per voxel, `below`: weight of the voxels before it in (dose, voxel_id) order, with `total` and `top`.
+
+    The rows are shuffled once, by group and bucket. A group of at most GROUP_ROWS
+    rows is one bucket and needs nothing more. A larger one is cut by even buckets,
+    a dose that alone has more than GROUP_ROWS voxels by chunks of voxel_id too; the
+    sums before its buckets are a small table, at most a few rows for GROUP_ROWS.
+    """
+    df = df.filter(F.col(dose).isNotNull())
+    ends = _large_ends(df, keys, dose, GROUP_ROWS)
+    of_large = F.broadcast(ends.select(*keys))
+    hot = df.join(of_large, keys, "left_semi").groupBy(*keys, dose).count().filter(F.col("count") > GROUP_ROWS)
+    hot = hot.groupBy(*keys).agg(F.collect_list(dose).alias("_hot"))
+    tied = F.array_contains("_hot", F.col(dose))
+    # along the dose 0 below the first dose of many voxels, 1 at it, 2 between it and the next, 3 at that
+    side = 2 * F.size(F.filter("_hot", lambda h: h < F.col(dose))) + F.when(tied, 1).otherwise(0)
+    names = ["even", "_side", "_chunk"]
+    placed = _cut(df, ends, keys, dose, GROUP_ROWS, 1024, 256).join(F.broadcast(hot), keys, "left").withColumn(
+        "_side", F.when(F.col("_hot").isNull(), 0).otherwise(side)
+    ).withColumn("_chunk", F.when(tied, F.floor(F.col("voxel_id") / VOXEL_CHUNK)).otherwise(0)).drop("_hot")
+    group = Window.partitionBy(*keys)
+    before = group.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.join(of_large, keys, "left_semi").groupBy(*keys, *names).agg(F.sum(weight).alias("_sum"), F.max(dose).alias("_max")).select(
+        *keys, *names, F.sum("_sum").over(before).alias("_base"), F.sum("_sum").over(group).alias("_total"), F.max("_max").over(group).alias("_top"))
+    along = Window.partitionBy(*keys, *names).orderBy(dose, "voxel_id")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inside = F.coalesce(F.sum(weight).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.select("*", inside.alias("_inside"), F.sum(weight).over(whole).alias("_all"), F.max(dose).over(whole).alias("_last"))
+    return ranked.join(F.broadcast(bases), [*keys, *names], "left").select(
+        *df.columns, (F.coalesce("_base", F.lit(0)) + F.col("_inside")).alias("below"),
+        F.coalesce("_total", "_all").alias("total"), F.coalesce("_top", "_last").alias("top"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:

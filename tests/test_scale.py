@@ -123,3 +123,30 @@ def test_descent_leaves_parquet_and_no_row_checkpoints(spark, tmp_path, monkeypa
     size = sum(os.path.getsize(os.path.join(folder, f)) for folder, _, files in os.walk(tmp_path) for f in files)
     matrix = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert size < 150 * matrix
+
+
+def test_ranking_shuffles_its_rows_once_and_equals_a_window(spark, monkeypatch):
+    from dosefold.functions import prefix
+
+    draws = np.random.default_rng(5)
+    doses = np.concatenate([np.zeros(900), draws.random(700) * 60, np.full(500, 7.5), np.full(400, 60.0), draws.random(200) * 1e-3])
+    rows = [(1, "BODY", int(v), float(d), float(v % 7 + 1)) for v, d in enumerate(draws.permutation(doses))]
+    rows += [(p, "PTV", v, float(v * 3 % 11), 2.0) for p in (1, 2) for v in range(40)]
+    df = spark.createDataFrame(rows, "patient_id long, structure string, voxel_id long, dose_gy double, weight double")
+    keys, want = ["patient_id", "structure"], {}
+    for p, s in {r[:2] for r in rows}:
+        below = 0.0
+        group = sorted((r for r in rows if r[:2] == (p, s)), key=lambda r: (r[3], r[2]))
+        for r in group:
+            want[r[:3]] = (below, sum(g[4] for g in group), group[-1][3])
+            below += r[4]
+    for large, chunk in ((10**6, 65536), (300, 128), (50, 64)):
+        monkeypatch.setattr(prefix, "GROUP_ROWS", large)
+        monkeypatch.setattr(prefix, "VOXEL_CHUNK", chunk)
+        ranked = prefix.ordered_by_dose(df, keys)
+        found = ranked.collect()
+        assert len(found) == len(rows)
+        assert {(r.patient_id, r.structure, r.voxel_id): (r.below, r.total, r.top) for r in found} == want
+    plan = optimized(prefix.ordered_by_dose(df, keys))
+    joins = [line for line in plan.splitlines() if " Join " in line or line.startswith("Join ")]
+    assert joins and all("strategy=broadcast" in line for line in joins)
