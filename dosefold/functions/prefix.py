@@ -85,7 +85,7 @@ def even_buckets(df: DataFrame, keys: list[str], value: str, large: int | None =
     a task that is run again cuts alike.
     """
     large = GROUP_ROWS if large is None else large
-    return _cut(df, _large_ends(df, keys, value, large), keys, value, large, cells, parts)
+    return _cut(df, _large_ends(df, keys, value, large), keys, value, large, cells, parts).fillna(0, ["even"])
 
 
 def _large_ends(df: DataFrame, keys: list[str], value: str, large: int) -> DataFrame:
@@ -96,7 +96,10 @@ def _large_ends(df: DataFrame, keys: list[str], value: str, large: int) -> DataF
 
 
 def _cut(df: DataFrame, ends: DataFrame, keys: list[str], value: str, large: int, cells: int, parts: int) -> DataFrame:
-    """Each of `ends` stands for more than `large` rows and gets at most CELLS cells for as many, so both tables are sent whole."""
+    """Even buckets of the groups in `ends`, NULL for the others.
+
+    A row of `ends` stands for more than `large` rows and gets at most CELLS cells for as many, so both tables are sent whole.
+    """
     v, steps = F.col(value).cast("double"), F.least(F.ceil(F.col("_e_n") * CELLS / large), F.lit(cells))
     scaled = F.when(F.col("_e_hi") > F.col("_e_lo"), (v - F.col("_e_lo")) / (F.col("_e_hi") - F.col("_e_lo")) * steps).when(F.col("_e_n").isNotNull(), 0.0)
     placed = df.join(F.broadcast(ends), keys, "left").withColumn("_e_at", scaled).withColumn("_e_cell", F.least(F.floor("_e_at"), steps - 1))
@@ -105,7 +108,7 @@ def _cut(df: DataFrame, ends: DataFrame, keys: list[str], value: str, large: int
     share = F.ceil(F.col("_e_n") / parts)
     cuts = counts.select(*keys, "_e_cell", F.floor(before / share).alias("_e_b"), F.ceil(F.col("_e_c") / share).alias("_e_pieces"))
     piece = F.when(F.col("_e_pieces") > 1, 1 + F.least(F.floor((F.col("_e_at") - F.col("_e_cell")) * F.col("_e_pieces")), F.col("_e_pieces") - 1)).otherwise(0)
-    even = F.coalesce(F.shiftleft(F.col("_e_b"), 32) + piece, F.lit(0)).cast("long")
+    even = (F.shiftleft(F.col("_e_b"), 32) + piece).cast("long")
     return placed.join(F.broadcast(cuts), [*keys, "_e_cell"], "left").select(*df.columns, even.alias("even"))
 
 
@@ -131,21 +134,20 @@ def ordered_by_dose(df: DataFrame, keys: list[str], dose: str = "dose_gy", weigh
     a dose that alone has more than GROUP_ROWS voxels by chunks of voxel_id too; the
     sums before its buckets are a small table, at most a few rows for GROUP_ROWS.
     """
-    df = df.filter(F.col(dose).isNotNull())
-    ends = _large_ends(df, keys, dose, GROUP_ROWS)
-    of_large = F.broadcast(ends.select(*keys))
-    hot = df.join(of_large, keys, "left_semi").groupBy(*keys, dose).count().filter(F.col("count") > GROUP_ROWS)
+    df = df.dropna(subset=[*keys, dose])
+    cut = _cut(df, _large_ends(df, keys, dose, GROUP_ROWS), keys, dose, GROUP_ROWS, 1024, 256)
+    hot = cut.filter("even IS NOT NULL").groupBy(*keys, dose).count().filter(F.col("count") > GROUP_ROWS)
     hot = hot.groupBy(*keys).agg(F.collect_list(dose).alias("_hot"))
     tied = F.array_contains("_hot", F.col(dose))
     # along the dose 0 below the first dose of many voxels, 1 at it, 2 between it and the next, 3 at that
     side = 2 * F.size(F.filter("_hot", lambda h: h < F.col(dose))) + F.when(tied, 1).otherwise(0)
     names = ["even", "_side", "_chunk"]
-    placed = _cut(df, ends, keys, dose, GROUP_ROWS, 1024, 256).join(F.broadcast(hot), keys, "left").withColumn(
+    placed = cut.join(F.broadcast(hot), keys, "left").withColumn(
         "_side", F.when(F.col("_hot").isNull(), 0).otherwise(side)
     ).withColumn("_chunk", F.when(tied, F.floor(F.col("voxel_id") / VOXEL_CHUNK)).otherwise(0)).drop("_hot")
     group = Window.partitionBy(*keys)
     before = group.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    bases = placed.join(of_large, keys, "left_semi").groupBy(*keys, *names).agg(F.sum(weight).alias("_sum"), F.max(dose).alias("_max")).select(
+    bases = placed.filter("even IS NOT NULL").groupBy(*keys, *names).agg(F.sum(weight).alias("_sum"), F.max(dose).alias("_max")).select(
         *keys, *names, F.sum("_sum").over(before).alias("_base"), F.sum("_sum").over(group).alias("_total"), F.max("_max").over(group).alias("_top"))
     along = Window.partitionBy(*keys, *names).orderBy(dose, "voxel_id")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
