@@ -315,7 +315,7 @@ STEP_SUM = "coalesce(sum((b.l - a.l) * (b.l - a.l) + (b.r - a.r) * (b.r - a.r)),
 
 def own_cells(t):
     """The beamlets that a patient's matrix has, with the intensity of each plan."""
-    own = t.influence.select("patient_id", "beamlet_id").distinct()
+    own = t.own_beamlet
     return own.join(t.fluence, "beamlet_id").join(t.unit_cell, "beamlet_id").select(*KEYED, "beam_id", "row", "col", "beamlet_id", "intensity")
 
 

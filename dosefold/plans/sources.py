@@ -92,7 +92,7 @@ def solution_store(t):
 @query("solution_store_patients", "SELECT DISTINCT i.patient_id, f.plan_id, f.beamlet_id, f.intensity::double AS intensity FROM v_influence i JOIN v_fluence f ON f.beamlet_id = i.beamlet_id WHERE f.plan_id = 'B'")
 def solution_store_patients(t):
     folder = scratch_folder(t.spark, "solution")
-    own = t.influence.select("patient_id", "beamlet_id").distinct().join(t.fluence, "beamlet_id")
+    own = t.own_beamlet.join(t.fluence, "beamlet_id")
     io.save_solution(own, folder)
     found = io.load_solution(t.spark, folder, "B")
     return found.select(F.col("patient_id").cast("long").alias("patient_id"), "plan_id", "beamlet_id", "intensity")

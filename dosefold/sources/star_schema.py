@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOXELS_PER_PATIENT = 1500
+#: Rows of the matrix that one task adds up.
+TASK_ROWS = 1 << 19
 GRID = (25, 20, 3)
 
 
@@ -41,18 +43,30 @@ class StarSchema:
         )
 
     @cached_property
-    def influence(self) -> DataFrame:
+    def tasks(self) -> int:
+        """Tasks for the rows of the matrix, from the row counts that the files tell: a task's share, and so its memory, does not grow with the table."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.table("lineitem").count() // TASK_ROWS))
+
+    @cached_property
+    def entry(self) -> DataFrame:
         key = F.col("l_orderkey").cast("long")
-        return (
-            self.table("lineitem")
-            .groupBy(
-                F.floor(key / 1500).alias("patient_id"),
-                (key % 1500).alias("voxel_id"),
-                F.col("l_partkey").cast("long").alias("beamlet_id"),
-            )
-            .agg(F.sum("l_quantity").cast("double").alias("a"))
+        return self.table("lineitem").select(
+            F.floor(key / 1500).alias("patient_id"), (key % 1500).alias("voxel_id"),
+            F.col("l_partkey").cast("long").alias("beamlet_id"), "l_quantity",
+        )
+
+    @cached_property
+    def influence(self) -> DataFrame:
+        """Entries of one voxel and beamlet added up; few share one, so they are dealt before any sum."""
+        return self.entry.repartition(self.tasks, "patient_id", "voxel_id").groupBy("patient_id", "voxel_id", "beamlet_id").agg(
+            F.sum("l_quantity").cast("double").alias("a")
         )
 
+    @cached_property
+    def own_beamlet(self) -> DataFrame:
+        """The beamlets that a patient's matrix has."""
+        return self.entry.select("patient_id", "beamlet_id").repartition(self.tasks, "patient_id", "beamlet_id").distinct()
+
     @cached_property
     def beamlet(self) -> DataFrame:
         key = F.col("p_partkey").cast("long")

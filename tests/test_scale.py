@@ -150,3 +150,18 @@ def test_ranking_shuffles_its_rows_once_and_equals_a_window(spark, monkeypatch):
     plan = optimized(prefix.ordered_by_dose(df, keys))
     joins = [line for line in plan.splitlines() if " Join " in line or line.startswith("Join ")]
     assert joins and all("strategy=broadcast" in line for line in joins)
+
+
+def test_matrix_is_dealt_by_the_rows_of_the_table(spark, monkeypatch):
+    from dosefold.sources import star_schema
+
+    monkeypatch.setattr(star_schema, "TASK_ROWS", 200)
+    tables = star_schema.StarSchema(spark, "/root/testdata/sf0.001")
+    rows = tables.table("lineitem").count()
+    for df in (tables.influence, tables.own_beamlet):
+        assert df.rdd.getNumPartitions() == -(-rows // 200)
+    pairs = tables.influence.select("patient_id", "beamlet_id").distinct()
+    assert sorted(pairs.collect()) == sorted(tables.own_beamlet.collect())
+    sums = tables.table("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("a"))
+    assert tables.influence.count() == sums.count()
+    assert tables.influence.agg(F.sum("a")).first() == sums.agg(F.sum("a")).first()
