@@ -142,8 +142,9 @@ def gradient(influence: DataFrame, residual: DataFrame) -> DataFrame:
 
 
 def scaled_scores(grad: DataFrame) -> DataFrame:
-    top = grad.groupBy(*GROUP).agg(F.max(F.abs("gradient")).alias("_top"))
-    return grad.join(top, GROUP).withColumn("score", F.when(F.col("_top") > 0, F.col("gradient") / F.col("_top"))).drop("_top")
+    """Gradients as shares of the plan's largest. The window holds one plan's beamlets, so the gradient is not made twice for a join."""
+    top = F.max(F.abs("gradient")).over(Window.partitionBy(*GROUP))
+    return grad.withColumn("_top", top).withColumn("score", F.when(F.col("_top") > 0, F.col("gradient") / F.col("_top"))).drop("_top")
 
 
 def finite_difference(

@@ -165,3 +165,13 @@ def test_matrix_is_dealt_by_the_rows_of_the_table(spark, monkeypatch):
     sums = tables.table("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("a"))
     assert tables.influence.count() == sums.count()
     assert tables.influence.agg(F.sum("a")).first() == sums.agg(F.sum("a")).first()
+
+
+def test_scores_make_the_gradient_once(spark):
+    from dosefold.operators import objectives as ob
+
+    grad = spark.createDataFrame([(p, "A", b, float(b - 3 * p)) for p in (1, 2) for b in range(5)] + [(3, "A", 0, 0.0)], "patient_id long, plan_id string, beamlet_id long, gradient double")
+    scored = ob.scaled_scores(grad)
+    found = {(r.patient_id, r.beamlet_id): r.score for r in scored.collect()}
+    assert found == {**{(p, b): (b - 3 * p) / {1: 3, 2: 6}[p] for p in (1, 2) for b in range(5)}, (3, 0): None}
+    assert "Join" not in optimized(scored)
