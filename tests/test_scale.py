@@ -175,3 +175,13 @@ def test_scores_make_the_gradient_once(spark):
     found = {(r.patient_id, r.beamlet_id): r.score for r in scored.collect()}
     assert found == {**{(p, b): (b - 3 * p) / {1: 3, 2: 6}[p] for p in (1, 2) for b in range(5)}, (3, 0): None}
     assert "Join" not in optimized(scored)
+
+
+def test_files_of_solutions_do_not_grow_with_the_patients(spark, tmp_path):
+    rows = [(p, plan, b, float(p + b)) for p in range(120) for plan in "AB" for b in range(3)]
+    io.save_solution(spark.createDataFrame(rows, "patient_id long, plan_id string, beamlet_id long, intensity double"), str(tmp_path / "s"))
+    files = list((tmp_path / "s").rglob("*.parquet"))
+    assert 2 <= len(files) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = io.load_solution(spark, str(tmp_path / "s"), "A", 7)
+    assert sorted((r.patient_id, r.plan_id, r.beamlet_id, r.intensity) for r in one.collect()) == [r for r in rows if r[0] == 7 and r[1] == "A"]
+    assert io.load_solution(spark, str(tmp_path / "s")).count() == len(rows)
