@@ -40,6 +40,7 @@ class Model:
 
     def __init__(self, freq: np.ndarray, lanes: int):
         self.cum = np.concatenate([[0], np.cumsum(freq)]).astype(np.int64)
+        self.before = np.concatenate([[0], self.cum])  # the start of a prediction's symbol
         self.base1, self.base2 = np.arange(lanes) << ONE, np.arange(lanes) << TWO
         self.base_state = np.arange(lanes) * STATES
         # a prediction is (symbol + 1) * 8 + confidence, 0 for none
@@ -55,23 +56,26 @@ class Model:
         self.at1 = self.base1[:m] + (mixed >> (32 - ONE))
         self.at2 = self.base2[:m] + ((((mixed ^ (self.mixed[:m] >> 7)) * 0x2545F491) & 0xFFFFFFFF) >> (32 - TWO))
         self.mixed[:m] = mixed
-        self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
+        # one width of integers throughout: numpy is slow on mixed ones
+        self.e1, self.e2 = self.table1.take(self.at1).astype(np.int64), self.table2.take(self.at2).astype(np.int64)
         self.n1, self.n2 = self.e1 & 7, self.e2 & 7
-        self.c1, self.c2 = (self.e1 >> 3) - 1, (self.e2 >> 3) - 1
+        self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3  # symbol + 1
         self.s1, self.s2 = self.base_state[:m] + self.n1, self.base_state[:m] + self.n2
         self.p1, self.p2 = self.chance1.take(self.s1), self.chance2.take(self.s2)
         room = TOTAL - (TOTAL >> 5)  # order 0 keeps 1/32 at least
-        self.w2 = (self.p2 * room) >> 16
-        self.w1 = (self.p1 * (room - self.w2)) >> 16
-        self.w0 = TOTAL - self.w1 - self.w2
+        self.w2 = self.p2 * (room >> 16)
+        left = room - self.w2
+        self.w1 = (self.p1 * left) >> 16
+        self.w0 = left - self.w1 + (TOTAL >> 5)
 
     def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, width) of symbol `s` in the mixed distribution."""
+        behind = s + 1
         low = (self.cum.take(s) * self.w0) >> TABLE_BITS
-        width = ((self.cum.take(s + 1) * self.w0) >> TABLE_BITS) - low
-        self.hit1, self.hit2 = self.c1 == s, self.c2 == s
-        low += self.w1 * (self.c1 < s)
-        low += self.w2 * (self.c2 < s)
+        width = ((self.cum.take(behind) * self.w0) >> TABLE_BITS) - low
+        self.hit1, self.hit2 = self.c1 == behind, self.c2 == behind
+        low += self.w1 * (self.c1 < behind)
+        low += self.w2 * (self.c2 < behind)
         width += self.w1 * self.hit1
         width += self.w2 * self.hit2
         return low, width
@@ -82,10 +86,10 @@ class Model:
         swap = self.c1 > self.c2
         a, b = np.where(swap, self.c2, self.c1), np.where(swap, self.c1, self.c2)
         wa, wb = np.where(swap, self.w2, self.w1), np.where(swap, self.w1, self.w2)
-        low_a, low_b = (self.cum.take(a, mode="clip") * self.w0) >> TABLE_BITS, (self.cum.take(b, mode="clip") * self.w0) >> TABLE_BITS
+        low_a, low_b = (self.before.take(a) * self.w0) >> TABLE_BITS, (self.before.take(b) * self.w0) >> TABLE_BITS
         rest = target - np.minimum(wa, np.maximum(target - low_a, 0))
         rest -= np.minimum(wb, np.maximum(rest - low_b, 0))
-        return inverse.take((((rest + 1) << TABLE_BITS) - 1) // self.w0)
+        return inverse.take((((rest + 1) << TABLE_BITS) - 1) // self.w0).astype(np.int64)
 
     def update(self, s: np.ndarray) -> None:
         """Learn `s`; interval(s) was called before."""
@@ -96,8 +100,9 @@ class Model:
             self.chance1[self.s1] = p1 + ((65000 * hit1 - p1) >> 4) * ((self.n1 > 0) & ~hit2)
         self.step += 1
         new = (s << 3) + 9  # this symbol, seen once
-        self.table1[self.at1] = np.where(hit1, np.minimum(self.n1 + 1, 7) + (new - 1), np.where(self.n1 < 2, new, self.e1 - (self.n1 >> 1)))
-        self.table2[self.at2] = np.where(hit2, np.minimum(self.n2 + 1, 7) + (new - 1), np.where(self.n2 < 2, new, self.e2 - (self.n2 >> 1)))
+        for table, at, e, n, hit in ((self.table1, self.at1, self.e1, self.n1, hit1), (self.table2, self.at2, self.e2, self.n2, hit2)):
+            value = np.where(hit, np.minimum(e + 1, e | 7), np.where(n < 2, new, e - (n >> 1)))
+            table[at] = value.astype(np.int32)
         self.last[: len(s)] = s
 
 
@@ -135,7 +140,7 @@ def encode_blocks(symbols: np.ndarray, sizes: np.ndarray, freq: np.ndarray) -> t
     owners += [every, every]
     words += [(low >> U(32)).astype(np.uint32), (low & LOW32).astype(np.uint32)]
     owner, word = np.concatenate(owners), np.concatenate(words)
-    order = np.argsort(owner, kind="stable")
+    order = np.argsort(owner.astype(np.uint16) if lanes <= 1 << 16 else owner, kind="stable")
     return word[order], np.bincount(owner, minlength=lanes)
 
 
@@ -143,7 +148,7 @@ def decode_blocks(words: np.ndarray, counts: np.ndarray, sizes: np.ndarray, freq
     """The symbols of the blocks that encode_blocks coded."""
     lanes = len(sizes)
     to, model = np.cumsum(sizes) - sizes, Model(freq, lanes)
-    inverse = np.repeat(np.arange(len(freq)), freq)
+    inverse = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
     at = np.cumsum(counts) - counts
     words = np.concatenate([words, np.zeros(2, np.uint32)]).astype(U)
     low, span = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)

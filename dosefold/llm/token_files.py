@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosefold.llm.common import file_system, slices, stored, word_codes
+from dosefold.llm.common import file_system, slices, stored, word_dictionary
 from dosefold.llm.range_coder import decode_blocks, encode_blocks, frequencies
 from dosefold.session import scratch_folder
 
@@ -94,11 +95,17 @@ class Encoder:
         self.known = Known()
 
     def encode_new(self, texts: list[str], simple: int) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each word, all ids); the first `simple` words go to the library many to a text."""
-        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for start in range(0, simple, 20_000):
-            groups = [texts[k : min(k + 1000, simple)] for k in range(start, min(start + 20_000, simple), 1000)]
-            for group, found in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+        """(number of ids of each word, all ids); of the first `simple` words the ASCII ones go to the library's model at once, as
+        no step before it changes them, the others many to a text."""
+        sizes, ids, model = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], self.library.model
+        for start in range(0, simple, 1000):
+            group = texts[start : min(start + 1000, simple)]
+            if all(map(str.isascii, group)):
+                found = [[token.id for token in model.tokenize(x)] for x in group]
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+                ids.append(np.fromiter((i for f in found for i in f), np.int32, int(sizes[-1].sum())))
+            else:
+                found = self.library.encode(" ".join(group), add_special_tokens=False)
                 sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(group)))
                 ids.append(np.array(found.ids, np.int32))
         for start in range(simple, len(texts), 20_000):
@@ -119,44 +126,57 @@ class Encoder:
                 new = np.arange(len(words))  # the memory starts anew
             texts = [words[k].decode() for k in new.tolist()]
             simple = np.fromiter((SIMPLE(x) is not None for x in texts), bool, len(texts))
-            order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+            ascii_ = np.fromiter(map(str.isascii, texts), bool, len(texts))
+            order = np.concatenate([np.flatnonzero(simple & ascii_), np.flatnonzero(simple & ~ascii_), np.flatnonzero(~simple)])
             sizes, ids = self.encode_new([texts[k] for k in order.tolist()], int(simple.sum()))
             self.known.add(keys[new[order]], sizes, ids)
         part, start, size = self.known.find(keys)
-        ends = np.cumsum(size)
-        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-        place = np.repeat(start - (ends - size), size) + np.arange(len(ids))
-        owner = np.repeat(part, size)
-        for k in (0, 1):
-            ids[owner == k] = self.known.parts[k][4][place[owner == k]]
-        return size, ids
+        return size, np.concatenate([self.known.parts[0][4], self.known.parts[1][4]])[_places(start + part * len(self.known.parts[0][4]), size)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets by text)."""
-        offsets, codes, words = word_codes(texts)
-        cut, seen = [], {b"": 0}
-        for word in words:
-            if b"<|" in word:
-                stem, mark = word, b""
-            else:
-                word = word.lower()
-                stem = word.rstrip(b".,")
-                mark = word[len(stem) :]
-                if mark and not stem[-1:].isalpha():
-                    stem, mark = word, b""
-            cut.append(seen.setdefault(stem, len(seen)))
-            cut.append(seen.setdefault(mark, len(seen)))
-        each, flat = self.ids_of(list(seen))
+        offsets, codes, words = word_dictionary(texts)
+        stem, mark, distinct = _stems(words)
+        each, flat = self.ids_of(distinct)
         first = np.cumsum(each) - each
-        pairs = np.array(cut, np.int64).reshape(-1, 2)
+        pairs = np.stack([stem, mark], 1)
         sizes = each[pairs].sum(1)
-        n = each[pairs].ravel()
-        flat = flat[np.repeat(first[pairs].ravel() - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        starts, n = np.cumsum(sizes) - sizes, sizes[codes]
+        flat = flat[_places(first[pairs].ravel(), each[pairs].ravel())]
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[codes]
         ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(total)]
-        return ids, np.concatenate([[0], ends])[offsets]
+        return flat[_places(starts[codes], n)], np.concatenate([[0], ends])[offsets]
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + sizes[i] - 1 of each i, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat((starts - (ends - sizes)).astype(np.int32), sizes) + np.arange(total, dtype=np.int32)
+
+
+def _stems(words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(code of the stem, code of the mark of each word, distinct stems and marks); stems are in lower case, but for words that hold `<|`."""
+    special = pc.match_substring(words, "<|")
+    whole = pc.ascii_lower(words.cast(pa.large_string()))
+    short = pc.ascii_rtrim(whole, characters=".,")
+    size, left = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (whole, short))
+    ends = np.frombuffer(short.buffers()[1], np.int64)[: len(short) + 1][1:]
+    data = np.frombuffer(short.buffers()[2] or b"", np.uint8)
+    last = np.zeros(len(words), np.uint8)  # the stem's last byte
+    last[left > 0] = data[ends[left > 0] - 1] | 32
+    marked = (size > left) & (last >= ord("a")) & (last <= ord("z")) & ~special.to_numpy(zero_copy_only=False)
+    stem = pc.if_else(special, words.cast(pa.large_string()), pc.if_else(pa.array(marked), short, whole))
+    marks, mark = {"": 0}, np.zeros(len(words), np.int64)
+    for k in np.flatnonzero(marked & (size > left + 1)).tolist():
+        mark[k] = marks.setdefault(whole[k].as_py()[left[k] - size[k] :], len(marks))
+    one = np.flatnonzero(marked & (size == left + 1))
+    tail = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[np.frombuffer(whole.buffers()[1], np.int64)[one + 1] - 1]
+    for byte in ".,":
+        mark[one[tail == ord(byte)]] = marks.setdefault(byte, len(marks))
+    found = pa.concat_arrays([stem, pa.array(list(marks), pa.large_string())]).cast(pa.large_binary()).dictionary_encode()
+    place = found.indices.to_numpy(zero_copy_only=False)
+    return place[: len(words)], place[len(words) :][mark], found.dictionary.to_pylist()
 
 
 _LOADED: dict[str, Encoder] = {}

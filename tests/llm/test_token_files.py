@@ -61,6 +61,32 @@ def test_special_cases(text):
     assert ids.tolist() == library_ids(text)
 
 
+def test_plain_words_go_to_the_model_alone():
+    class Library:
+        """Takes marks and odd words only."""
+
+        def __init__(self, whole):
+            self.whole, self.model = whole, whole.model
+
+        def encode_batch_fast(self, texts, **options):
+            assert not any(x.isalpha() for x in texts)
+            return self.whole.encode_batch_fast(texts, **options)
+
+    encoder, text = token_files.Encoder(token_files.default_tokenizer()), "Plain words, thththed words. relyha 3.14 x., plain"
+    encoder.library = Library(encoder.library)
+    ids, _ = encoder.encode(pa.array([text]))
+    assert ids.tolist() == library_ids(text)
+
+
+def test_stems_and_marks():
+    words = [b"The", b"the.", b"the", b"word,.,", b"...", b".", b"3.14,", b"<|X|>.", "caf\u00e9,".encode(), b"Z,", b""]
+    stem, mark, distinct = token_files._stems(pa.array(words, pa.large_binary()))
+    assert [(distinct[a], distinct[b]) for a, b in zip(stem, mark)] == [
+        (b"the", b""), (b"the", b"."), (b"the", b""), (b"word", b",.,"), (b"...", b""), (b".", b""), (b"3.14,", b""), (b"<|X|>.", b""),
+        ("caf\u00e9,".encode(), b""), (b"z", b","), (b"", b"")]
+    assert len(set(distinct)) == len(distinct)
+
+
 def brute(rows):
     out, start = [], 0
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
