@@ -38,3 +38,20 @@ def test_blocks_are_bounded_and_hold_every_row(spark, monkeypatch):
     assert met.agg(F.max(F.size(blocks))).first()[0] == 7
     pairs = met.select("y", F.inline(blocks)).collect()
     assert sorted((p["y"], p["x"]) for p in pairs) == sorted((y, x) for y in range(5) for x in range(300) if x % 2 == y % 2)
+
+
+def test_patch_of_rays_known_to_miss_is_made_without_a_join(spark):
+    """Misses among the rays and rays given as missed get the same cells; no ray is marched twice for its misses."""
+    rays = _beams(spark, 3).join(_lattice(spark, 30), "beam_id")
+    rays = ge._with_points(rays, 1000.0).withColumn("entry_mm", F.when(F.col("beamlet_id") % 3 == 0, 995.0))
+    body = spark.createDataFrame([(p, x, y, z) for p in range(3) for x in range(-9, 9) for y in range(-9, 9) for z in range(-6, 6)], "patient_id long, ix long, iy long, iz long")
+    place = ((0.0, 0.0, 0.0), (5.0, 5.0, 5.0), (60.0, 11.0, 9.0), (4, 2, 2), 970.0)
+    whole = ge.ray_patch(rays, body, *place)
+    apart = ge.ray_patch(rays.filter("entry_mm IS NOT NULL"), body, *place, missed=rays.filter("entry_mm IS NULL"))
+    found = sorted(map(tuple, whole.collect()))
+    assert found == sorted(map(tuple, apart.select(whole.columns).collect())) and len(found) == 3 * 30 * 16
+    misses = [r for r in whole.join(rays.filter("entry_mm IS NULL").select("patient_id", "beam_id", "beamlet_id"), ["patient_id", "beam_id", "beamlet_id"]).collect()]
+    assert len(misses) == 3 * 20 * 16 and all(r.outside_mm == r.d1_mm and r.inside_mm == 0 for r in misses)
+    assert any(r[-1] > 0 for r in found)
+    text = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in text and text.count("Generate") == 2  # the beams and the places
