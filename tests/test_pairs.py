@@ -55,3 +55,19 @@ def test_patch_of_rays_known_to_miss_is_made_without_a_join(spark):
     assert any(r[-1] > 0 for r in found)
     text = whole._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in text and text.count("Generate") == 2  # the beams and the places
+
+
+def test_large_beamlet_table_is_not_broadcast(spark, monkeypatch):
+    """Its file is small for its rows, so Spark would send tables of it through the driver at any size of the file below the threshold."""
+    from dosefold.plans import load_all
+    from dosefold.sources import star_schema
+
+    found = []
+    for limit in (10**9, 10):
+        monkeypatch.setattr(star_schema, "SHARED_ROWS", limit)
+        t = star_schema.StarSchema(spark, "/root/testdata/sf0.001")
+        joins = [t.own_beamlet.join(t.fluence, "beamlet_id"), t.own_beamlet.join(t.fluence.filter("plan_id = 'A'"), "beamlet_id"), t.own_beamlet.join(t.unit_cell, "beamlet_id")]
+        plans = [j._jdf.queryExecution().executedPlan().toString() for j in joins]
+        assert all(("BroadcastExchange" in p) == (limit > 10) for p in plans)
+        found.append(sorted(load_all()[0]["interior_boundary_split_plans"](spark, "/root/testdata/sf0.001").collect()))
+    assert found[0] == found[1] and found[0]
