@@ -184,13 +184,24 @@ def lookup_source_ids(requests: DataFrame, sources: DataFrame) -> DataFrame:
     return found.withColumn("status", F.when(F.col("subject_id").isNull(), "Invalid patient id").otherwise("ok"))
 
 
+#: Folders of a beam that the patients of a matrix table are dealt to.
+PATIENT_GROUPS = 16
+
+
+def _patient_group(patient):
+    return F.pmod(F.xxhash64(patient.cast("string")), F.lit(PATIENT_GROUPS)).cast("int")
+
+
 def save_matrix(influence: DataFrame, path: str) -> None:
-    """Matrix table laid out by patient, beam and variant, so a plan reads only its beams.
+    """Matrix table laid out by variant, beam and group of patients, so a plan reads only its beams.
 
-    A patient's beam is one file of each variant; Spark splits one that is large among
-    many writers (rebalance).
+    A patient's beam lies in one file of each variant, sorted by patient: folders and
+    files grow with the rows and the beams' numbers, which patients share, and not with
+    the patients. Spark splits a group that is large among many writers (rebalance).
     """
-    influence.hint("rebalance", "patient_id", "beam_id").write.partitionBy("variant", "patient_id", "beam_id").parquet(path)
+    keys = ["variant", "beam_id", "patient_group"]
+    dealt = influence.withColumn("patient_group", _patient_group(F.col("patient_id"))).hint("rebalance", *keys)
+    dealt.sortWithinPartitions(*keys, "patient_id").write.partitionBy(*keys).parquet(path)
 
 
 def save_matrix_by_voxel(influence: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
@@ -198,10 +209,12 @@ def save_matrix_by_voxel(influence: DataFrame, path: str, buckets: int | None =
     return bucketed(influence, path, ["patient_id", "voxel_id"], buckets)
 
 
-def load_matrix(spark: SparkSession, path: str, full: bool = False, beam_ids: list[int] | None = None) -> DataFrame:
-    """Either the sparse or the full variant, never both; filters prune partitions."""
+def load_matrix(spark: SparkSession, path: str, full: bool = False, beam_ids: list[int] | None = None, patient_id=None) -> DataFrame:
+    """Either the sparse or the full variant, never both; beams and the group of a patient prune folders."""
     df = spark.read.parquet(path).filter(F.col("variant") == ("full" if full else "sparse"))
-    return df if beam_ids is None else df.filter(F.col("beam_id").isin(beam_ids))
+    if patient_id is not None:
+        df = df.filter((F.col("patient_group") == _patient_group(F.lit(patient_id))) & (F.col("patient_id") == patient_id))
+    return (df if beam_ids is None else df.filter(F.col("beam_id").isin(beam_ids))).drop("patient_group")
 
 
 def save_solution(fluence: DataFrame, path: str) -> None:

@@ -71,3 +71,33 @@ def test_large_beamlet_table_is_not_broadcast(spark, monkeypatch):
         assert all(("BroadcastExchange" in p) == (limit > 10) for p in plans)
         found.append(sorted(load_all()[0]["interior_boundary_split_plans"](spark, "/root/testdata/sf0.001").collect()))
     assert found[0] == found[1] and found[0]
+
+
+def test_matrix_files_do_not_grow_with_patients(spark, tmp_path):
+    import os
+
+    import pyarrow.parquet as pq
+
+    from dosefold.sources import metadata as io
+
+    def saved(patients):
+        k, path = F.col("id"), f"{tmp_path}/{patients}"
+        df = spark.range(patients * 40).select((k % patients).alias("patient_id"), (k % 4).alias("beam_id"), k.alias("voxel_id"), k.alias("beamlet_id"), (k % 7).cast("double").alias("a"))
+        df = df.withColumn("variant", F.explode(F.array(F.lit("full"), F.lit("sparse"))))
+        io.save_matrix(df, path)
+        for full in (True, False):
+            read = io.load_matrix(spark, path, full, [1, 3])
+            want = df.filter((F.col("beam_id") % 2 == 1) & (F.col("variant") == ("full" if full else "sparse")))
+            assert sorted(read.select(want.columns).collect()) == sorted(want.collect()) and read.count()
+        own = io.load_matrix(spark, path, True, patient_id=3)
+        assert sorted(r.voxel_id for r in own.collect()) == [v for v in range(patients * 40) if v % patients == 3]
+        one = [f for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+        for d, _, names in os.walk(path):
+            for f in names:
+                if f.endswith(".parquet"):
+                    rows = pq.ParquetFile(f"{d}/{f}").read(["patient_id"])["patient_id"].to_pylist()
+                    assert rows == sorted(rows)
+        return len(one)
+
+    most = 2 * 4 * io.PATIENT_GROUPS  # variants, beams, groups
+    assert saved(5) <= saved(60) <= most < 2 * 4 * 60
